@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import Column, functions as F
 
-from rolecast.functions.text import strip, strip_markdown, text
+from rolecast.functions.text import let, strip, strip_markdown, text
 
 # Month names by their first three letters.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -70,11 +70,12 @@ def epoch_date(c: Column) -> Column:
 
 def parse_date_loose(c: Column, as_of=None) -> Column:
     """Date of a string: yyyyMMdd, an epoch, or free text; null when none is found."""
-    s = strip(text(c.cast("string")))
-    digits = s.rlike("^[0-9]+$")
-    compact = F.when(s.rlike("^(19|20)[0-9]{6}$"), F.try_to_date(s, "yyyyMMdd"))
-    return (F.when(digits, F.coalesce(compact, epoch_date(s.try_cast("bigint"))))
-            .otherwise(free_text_date(s, as_of)))
+    def parse(s: Column) -> Column:
+        compact = F.when(s.rlike("^(19|20)[0-9]{6}$"), F.try_to_date(s, "yyyyMMdd"))
+        return (F.when(s.rlike("^[0-9]+$"), F.coalesce(compact, epoch_date(s.try_cast("bigint"))))
+                .otherwise(free_text_date(s, as_of)))
+
+    return let(strip(text(c.cast("string"))), parse)
 
 
 def _days_back(as_of, n: Column, unit_days: Column) -> Column:
@@ -130,16 +131,19 @@ def parse_explicit_date(c: Column, as_of) -> Column:
 
 def list_date(cell: Column, as_of) -> Column:
     """Struct (posted_date, date_confidence, date_source) of a curated-list cell."""
-    s = strip_markdown(cell)
-    age = F.coalesce(parse_compact_age(s, as_of), parse_relative_date(s, as_of))
-    explicit = parse_explicit_date(s, as_of)
-    return F.struct(
-        F.coalesce(age, explicit).alias("posted_date"),
-        F.when(age.isNull() & explicit.isNotNull(), F.lit("verified")).otherwise(
-            F.lit("approximate")).alias("date_confidence"),
-        F.when(age.isNotNull(), F.lit("curated list age"))
-        .when(explicit.isNotNull(), F.lit("curated list date column"))
-        .otherwise(F.lit("")).alias("date_source"))
+    def label(d: Column) -> Column:
+        aged, written = d["age"].isNotNull(), d["written"].isNotNull()
+        return F.struct(
+            F.coalesce(d["age"], d["written"]).alias("posted_date"),
+            F.when(~aged & written, "verified").otherwise("approximate").alias("date_confidence"),
+            F.when(aged, "curated list age").when(written, "curated list date column")
+            .otherwise("").alias("date_source"))
+
+    def read(s: Column) -> Column:
+        age = F.coalesce(parse_compact_age(s, as_of), parse_relative_date(s, as_of))
+        return F.struct(age.alias("age"), parse_explicit_date(s, as_of).alias("written"))
+
+    return let(let(strip_markdown(cell), read), label)
 
 
 def iso_prefix_date(c: Column) -> Column:

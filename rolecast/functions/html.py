@@ -4,11 +4,14 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from rolecast.functions.text import strip, text
+from rolecast.functions.text import let, strip, text
 
 BREAK = "\x01"
 
 
+_REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
+
+
 def _char(code: Column) -> Column:
     """The character of a code point; null when it is no valid one."""
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
@@ -25,20 +28,22 @@ def unescape(c: Column) -> Column:
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items()
                            for x in (name, chr(code))])
 
-    def decode(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, r"^(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?", 0)
+    def decode(piece: Column, ref: Column) -> Column:
         body = F.rtrim(ref, F.lit(";"))
         number = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10))
                   .when(body.startswith("#"), F.substring(body, 2, 8))).try_cast("int")
         # Without the semicolon only the old Latin-1 names and numbers count.
         named = F.when(ref.endswith(";") | body.isin(_BARE_NAMES), F.element_at(names, body))
-        char = F.when(body.startswith("#"), _char(number)).when(body != "", named)
-        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(char, F.substr(piece, F.length(ref) + 1)))
+        char = F.when(body.startswith("#"), let(number, _char)).when(body != "", named)
+        return let(char, lambda x: F.when(x.isNull(), F.concat(F.lit("&"), piece)).otherwise(
+            F.concat(x, F.substr(piece, F.length(ref) + 1))))
+
+    def pieces(whole: Column) -> Column:
+        cut = F.transform(F.split(whole, "&"), lambda p, i: F.when(i == 0, p).otherwise(
+            let(F.regexp_extract(p, _REFERENCE, 0), lambda ref: decode(p, ref))))
+        return F.when(whole.contains("&"), F.array_join(cut, "")).otherwise(whole)
 
-    pieces = F.split(c, "&")
-    decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decode(p)))
-    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
+    return let(c, pieces)
 
 
 # Rule: the names of Latin-1 characters also count without a semicolon.

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import strip_markdown, text
+from rolecast.functions.text import let, strip_markdown, text
 
 
 def has_role_signal(title: Column, body: Column | None = None,
@@ -31,11 +31,11 @@ def infer_level(title: Column) -> Column:
 
 def detect_work_mode(*fields: Column) -> Column:
     blob = F.lower(F.concat_ws(" ", *[F.nullif(f, F.lit("")) for f in fields]))
-    return (F.when(blob.rlike(V.REMOTE_STRONG), "remote")
-            .when(blob.contains("hybrid"), "hybrid")
-            .when(blob.rlike(V.ONSITE), "onsite")
-            .when(blob.rlike(V.REMOTE_WEAK), "remote")
-            .otherwise("unknown"))
+    return let(blob, lambda b: F.when(b.rlike(V.REMOTE_STRONG), "remote")
+               .when(b.contains("hybrid"), "hybrid")
+               .when(b.rlike(V.ONSITE), "onsite")
+               .when(b.rlike(V.REMOTE_WEAK), "remote")
+               .otherwise("unknown"))
 
 
 def is_closed_row(cells: Column) -> Column:

@@ -14,6 +14,12 @@ EDGE_CLASS = "a-z0-9+#"
 EDGE, GAP = "\x01", "\x02"
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c computed once; a plain expression repeats c wherever it is used
+    inside branches and lambdas."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """Null counts as the empty string."""
     return F.coalesce(c, F.lit(""))

@@ -3,16 +3,16 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import blank_to_null, text, url_path
+from rolecast.functions.text import blank_to_null, let, text, url_path
 from rolecast.operators.common import lookup_join
 from rolecast.sources.jsonld import open_flag
 
 
 def closure_phrase(body: Column, phrases=V.CLOSURE_PHRASES) -> Column:
     """First phrase of the list that stands in the page, null when none does."""
-    page = F.lower(text(body))
     listed = F.array(*[F.lit(p) for p in phrases])
-    return F.get(F.filter(listed, lambda p: page.contains(p)), F.lit(0))
+    return let(F.lower(text(body)), lambda page: F.get(
+        F.filter(listed, lambda p: page.contains(p)), F.lit(0)))
 
 
 def is_generic_landing(final_url: Column, requested_url: Column) -> Column:

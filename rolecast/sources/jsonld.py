@@ -6,7 +6,7 @@ from rolecast import values as V
 from rolecast.functions.dates import day, parse_date_loose
 from rolecast.functions.html import html_to_text
 from rolecast.functions.roles import detect_work_mode, has_role_signal, infer_level
-from rolecast.functions.text import blank_to_null, first_filled, strip, text
+from rolecast.functions.text import blank_to_null, first_filled, let, strip, text
 from rolecast.sources.listing import normalize
 
 _BLOCK = (r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>"""
@@ -79,14 +79,17 @@ def _title(o: Column) -> Column:
     return strip(text(get(o, "$.title")))
 
 
+def _employment(o: Column) -> Column:
+    return F.upper(text(F.coalesce(get(o, "$.employmentType"),
+                                   F.to_json(get(o, "$.employmentType", "variant")))))
+
+
 def _wanted(o: Column, title_filter: bool) -> Column:
     keep = is_posting(o) & (_title(o) != "")
-    if title_filter:
-        described = html_to_text(get(o, "$.description"))
-        employment = F.upper(text(F.coalesce(get(o, "$.employmentType"),
-                                             F.to_json(get(o, "$.employmentType", "variant")))))
-        keep = keep & (has_role_signal(_title(o), described) | employment.contains("INTERN"))
-    return keep
+    if not title_filter:
+        return keep
+    role = let(html_to_text(get(o, "$.description")), lambda d: has_role_signal(_title(o), d))
+    return keep & (_employment(o).contains("INTERN") | role)
 
 
 def posting_objects(html: Column, title_filter: bool = True) -> Column:
@@ -98,9 +101,10 @@ def open_flag(html: Column, as_of, title_filter: bool = True) -> Column:
     null. Read inside the row: no page is taken apart and gathered again."""
     ends = F.transform(posting_objects(html, title_filter),
                        lambda o: parse_date_loose(get(o, "$.validThrough")))
-    expired = F.exists(ends, lambda d: F.coalesce(d < day(as_of), F.lit(False)))
-    return F.when(text(html).contains("JobPosting"),
-                  F.when(expired, F.lit(False)).when(F.size(ends) > 0, F.lit(True)))
+    verdict = let(ends, lambda e: F.when(
+        F.exists(e, lambda d: F.coalesce(d < day(as_of), F.lit(False))), F.lit(False))
+        .when(F.size(e) > 0, F.lit(True)))
+    return F.when(text(html).contains("JobPosting"), verdict)
 
 
 def page_postings(pages: DataFrame, title_filter: bool = True) -> DataFrame:
@@ -112,10 +116,8 @@ def page_postings(pages: DataFrame, title_filter: bool = True) -> DataFrame:
             .withColumn("_text", html_to_text(get(o, "$.description")))
             .withColumn("_title", _title(o)).withColumn("_loc", _location(o)))
     if title_filter:
-        employment = F.upper(text(F.coalesce(get(o, "$.employmentType"),
-                                             F.to_json(get(o, "$.employmentType", "variant")))))
         rows = rows.where(has_role_signal(F.col("_title"), F.col("_text"))
-                          | employment.contains("INTERN"))
+                          | _employment(o).contains("INTERN"))
     org = F.coalesce(get(o, "$.hiringOrganization.name"), get(o, "$.hiringOrganization"))
     is_object = F.schema_of_variant(get(o, "$.hiringOrganization", "variant")).startswith("OBJECT")
     org = F.when(F.coalesce(is_object, F.lit(False)), get(o, "$.hiringOrganization.name")).otherwise(org)

@@ -1,16 +1,18 @@
 """The posting record all sources end in."""
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecast import values as V
 from rolecast.operators.common import checkpointed
 
-LISTING = T._parse_datatype_string(
-    "company string, title string, location string, apply_url string, source string, "
-    "company_description string, is_startup boolean, funding_stage string, level string, "
-    "work_mode string, description_text string, requirements array<string>, posted_date date, "
-    "deadline date, deadline_is_rolling boolean, date_confidence string, date_source string, "
-    "raw variant")
+LISTING = {
+    "company": "string", "title": "string", "location": "string", "apply_url": "string",
+    "source": "string", "company_description": "string", "is_startup": "boolean",
+    "funding_stage": "string", "level": "string", "work_mode": "string",
+    "description_text": "string", "requirements": "array<string>", "posted_date": "date",
+    "deadline": "date", "deadline_is_rolling": "boolean", "date_confidence": "string",
+    "date_source": "string", "raw": "variant",
+}
 
 _DEFAULTS = {
     "is_startup": None, "posted_date": None, "deadline": None, "raw": None,
@@ -24,13 +26,13 @@ def normalize(df: DataFrame, *keep: str, **fields: Column) -> DataFrame:
     Columns named in `keep` are carried along.
     """
     out = []
-    for f in LISTING.fields:
-        if f.name in fields:
-            c = fields[f.name]
-            c = F.coalesce(c, F.lit("")) if isinstance(f.dataType, T.StringType) else c
-        else:
-            c = F.lit(_DEFAULTS.get(f.name, ""))
-        out.append((c if f.name == "raw" and f.name in fields else c.cast(f.dataType)).alias(f.name))
+    for name, kind in LISTING.items():
+        c = fields.get(name, F.lit(_DEFAULTS.get(name, "")))
+        if kind == "string":
+            c = F.coalesce(c, F.lit(""))
+        if not (name == "raw" and name in fields):
+            c = c.cast(kind)
+        out.append(c.alias(name))
     return df.select(*keep, *out)
 
 

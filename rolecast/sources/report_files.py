@@ -18,9 +18,8 @@ def write_json(listings: DataFrame, path: str, generated) -> None:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Reads a written report; a date that is none becomes null."""
     dates = ("posted_date", "deadline")
-    fields = ", ".join(
-        f"{f.name} {'string' if f.name in dates else f.dataType.simpleString()}"
-        for f in LISTING.fields if f.name != "raw")
+    fields = ", ".join(f"{n} {'string' if n in dates else t}"
+                       for n, t in LISTING.items() if n != "raw")
     extra = ("key string, ingest_seq long, profile_id long, first_seen timestamp, "
              "live_status string, live_reason string, live_checked_at timestamp, "
              "eligible boolean, eligibility_reason string, match_score int, "
