@@ -25,15 +25,14 @@ def unescape(c: Column) -> Column:
     decoded; of the rest the text stays as it is. The text is cut at every '&', each
     piece decoded alone, so the work is linear.
     """
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items()
-                           for x in (name, chr(code))])
+    names = F.str_to_map(F.lit(",".join(f"{n}:{chr(c)}" for n, c in name2codepoint.items())))
 
     def decode(piece: Column, ref: Column) -> Column:
         body = F.rtrim(ref, F.lit(";"))
         number = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10))
                   .when(body.startswith("#"), F.substring(body, 2, 8))).try_cast("int")
         # Without the semicolon only the old Latin-1 names and numbers count.
-        named = F.when(ref.endswith(";") | body.isin(_BARE_NAMES), F.element_at(names, body))
+        named = F.when(ref.endswith(";") | F.contains(F.lit(_BARE_NAMES), F.concat(F.lit(","), body, F.lit(","))), F.element_at(names, body))
         char = F.when(body.startswith("#"), let(number, _char)).when(body != "", named)
         return let(char, lambda x: F.when(x.isNull(), F.concat(F.lit("&"), piece)).otherwise(
             F.concat(x, F.substr(piece, F.length(ref) + 1))))
@@ -47,7 +46,7 @@ def unescape(c: Column) -> Column:
 
 
 # Rule: the names of Latin-1 characters also count without a semicolon.
-_BARE_NAMES = [n for n, code in name2codepoint.items() if code < 256]
+_BARE_NAMES = "," + ",".join(n for n, code in name2codepoint.items() if code < 256) + ","
 
 
 def html_to_text(c: Column) -> Column:

@@ -11,7 +11,7 @@ TOKEN = r"[a-z][a-z+#.&/-]{1,29}"
 
 # Word characters of term matching: a term counts only where none of them adjoins it.
 EDGE_CLASS = "a-z0-9+#"
-EDGE, GAP = "\x01", "\x02"
+EDGE = "\x01"
 
 
 def let(c: Column, body) -> Column:
@@ -82,44 +82,75 @@ def lines(c: Column) -> Column:
 
 def term_tokens(line: Column, stopwords=V.STOPWORDS) -> Column:
     """Candidate term words of one line, in order, stop words left out."""
-    raw = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
-    words = F.transform(raw, lambda w: F.btrim(w, F.lit(".-/&")))
+    found = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
+    words = F.transform(found, lambda w: F.btrim(w, F.lit(".-/&")))
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(list(stopwords)))
 
 
 def mark(c: Column) -> Column:
-    """Mark every place between two characters so that a plain substring test on
-    marked text equals the boundary regex on the bare text.
+    """Lower-case text with an EDGE on both sides of every word.
 
-    EDGE stands between a word character and anything else (or an end), GAP between
-    two others. Any term works, also one that starts or ends with punctuation.
+    A term that starts and ends with a word character then stands in a text just where
+    its marked form is a plain substring, which is far cheaper than the boundary regex.
     """
-    low = F.lower(text(c))
-    gaps = F.regexp_replace(low, f"(?<![{EDGE_CLASS}])(?![{EDGE_CLASS}])", GAP)
-    return F.regexp_replace(
-        gaps, f"(?<![{EDGE_CLASS}])(?=[{EDGE_CLASS}])|(?<=[{EDGE_CLASS}])(?![{EDGE_CLASS}])", EDGE)
+    return F.regexp_replace(F.lower(text(c)), f"([{EDGE_CLASS}]+)", f"{EDGE}$1{EDGE}")
 
 
-def word_anchors(c: Column) -> Column:
-    """Distinct words and distinct other signs of a text: every term in the text has
-    its own anchor among them."""
-    low = F.lower(text(c))
-    words = F.regexp_extract_all(low, F.lit(f"[{EDGE_CLASS}]+"), F.lit(0))
-    signs = F.regexp_extract_all(low, F.lit(rf"[^{EDGE_CLASS}\s]"), F.lit(0))
-    return F.array_union(words, signs)
+def sign_pattern(term: Column) -> Column:
+    """Regex on marked text for a term that starts or ends with another sign, else null.
+
+    Next to such a sign an EDGE means that a word adjoins.
+    """
+    low = F.lower(term)
+    first, last = low.rlike(f"^[{EDGE_CLASS}]"), low.rlike(f"[{EDGE_CLASS}]$")
+    quoted = F.concat(F.lit(r"\Q"), F.replace(mark(term), F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                      F.lit(r"\E"))
+    return F.when(~(first & last), F.concat(
+        F.when(first, "").otherwise(f"(?<!{EDGE})"), quoted,
+        F.when(last, "").otherwise(f"(?!{EDGE})")))
+
+
+def stands_in(marked_text: Column, marked_term: Column, pattern: Column) -> Column:
+    """Does a term stand in a text? Both are marked; `pattern` is its `sign_pattern`."""
+    return F.when(pattern.isNull(), marked_text.contains(marked_term)).otherwise(
+        F.rlike(marked_text, pattern))
+
+
+_WORD = f"[{EDGE_CLASS}]+"
+# Two neighbouring words and what stands between them, caught at the start of the first.
+_PAIR = f"(?<![{EDGE_CLASS}])(?=({_WORD}[^{EDGE_CLASS}]{{1,64}}{_WORD}))"
+
+
+def anchors(c: Column) -> Column:
+    """Distinct words, neighbouring word pairs and other signs of a text.
+
+    Every term in the text has its own `term_anchor` among them.
+    """
+    def found(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+        pairs = F.regexp_extract_all(low, F.lit(_PAIR), F.lit(1))
+        signs = F.split(F.regexp_replace(low, rf"[{EDGE_CLASS}\s]+", ""), "")
+        return F.array_distinct(F.concat(words, pairs, F.filter(signs, lambda x: x != "")))
+
+    return let(F.lower(text(c)), found)
 
 
 def term_anchor(term: Column) -> Column:
-    """The longest word of a term, or its first sign when it has no word."""
-    words = F.regexp_extract_all(F.lower(term), F.lit(f"[{EDGE_CLASS}]+"), F.lit(0))
-    longest = F.reduce(words, F.lit(""),
-                       lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    sign = F.regexp_extract(F.lower(term), rf"[^{EDGE_CLASS}\s]", 0)
-    return F.when(longest != "", longest).otherwise(sign)
+    """The longest word pair of a term, else its longest word, else its first sign."""
+    low = F.lower(term)
+
+    def longest(found: Column) -> Column:
+        return F.reduce(found, F.lit(""),
+                        lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+
+    pair = longest(F.regexp_extract_all(low, F.lit(_PAIR), F.lit(1)))
+    word = longest(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)))
+    return first_filled(pair, word, F.regexp_extract(low, rf"[^{EDGE_CLASS}\s]", 0))
 
 
-def is_one_word(term: Column) -> Column:
-    return F.lower(term).rlike(f"^[{EDGE_CLASS}]+$")
+def is_anchor(term: Column) -> Column:
+    """Is the term one word or one pair, so that its anchor in a text proves it?"""
+    return F.lower(term).rlike(f"^{_WORD}([^{EDGE_CLASS}]{{1,64}}{_WORD})?$")
 
 
 def strip_markdown(c: Column) -> Column:

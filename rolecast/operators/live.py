@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecast import values as V
 from rolecast.functions.text import blank_to_null, let, text, url_path
-from rolecast.operators.common import lookup_join
+from rolecast.operators.common import checkpointed, lookup_join
 from rolecast.sources.jsonld import open_flag
 
 
@@ -70,14 +70,16 @@ def live_check(listings: DataFrame, http_results: DataFrame, as_of, checked_at=N
                phrases=V.CLOSURE_PHRASES) -> DataFrame:
     """Adds live_status, live_reason and live_checked_at by apply_url.
 
-    Pages are judged before the join, so bodies never travel. A page crawled twice
-    counts by its best verdict in the order dead, live, unknown.
+    Pages are judged before the join, so bodies never travel; the narrow verdicts are
+    written once (a job), so no body is read again. A page crawled twice counts by its
+    firmest verdict, in the order dead, live, unknown.
     """
     rank = (F.when(F.col("live_status") == V.DEAD, 0)
             .when(F.col("live_status") == V.LIVE, 1).otherwise(2))
     verdicts = (crawl_verdicts(http_results, as_of, phrases).groupBy("requested_url")
                 .agg(F.min(F.struct(rank.alias("r"), "live_status", "live_reason")).alias("_v"))
                 .select(F.col("requested_url").alias("apply_url"), "_v"))
+    verdicts = checkpointed(verdicts)
     kept = listings.drop("live_status", "live_reason", "live_checked_at")
     out = lookup_join(kept, verdicts, ["apply_url"], "left")
     checkable = text(F.col("apply_url")).startswith("http")

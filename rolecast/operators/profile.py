@@ -6,7 +6,7 @@ from rolecast import values as V
 from rolecast.functions.text import (first_filled, lines, normalize_term, squeeze, strip, text,
                                      title_case)
 from rolecast.operators import terms as T
-from rolecast.operators.common import lookup_join, union_all
+from rolecast.operators.common import is_small, lookup_join, union_all
 
 PREAMBLE = "_preamble"
 
@@ -108,8 +108,9 @@ def profile_terms(profiles: DataFrame, lexicon: DataFrame, synonyms: DataFrame,
     strong = p.select("profile_id", F.concat_ws("\n", "skills", "projects").alias("text"))
     active = p.select("profile_id",
                       F.concat_ws("\n", "skills", "projects", "experience").alias("text"))
-    found = T.known_terms(p, lexicon, "profile_id")
-    in_sections = T.known_terms(strong, lexicon, "profile_id")
+    lex_small, syn_small = is_small(lexicon), is_small(synonyms)
+    found = T.known_terms(p, lexicon, "profile_id", small=lex_small)
+    in_sections = T.known_terms(strong, lexicon, "profile_id", small=lex_small)
     # A document's words rank by first use; the layers below keep only their weights.
     generic_active = T.top_terms(active, "profile_id", "text", 40, stopwords)
     generic_all = T.top_terms(p, "profile_id", "text", 40, stopwords)
@@ -118,11 +119,12 @@ def profile_terms(profiles: DataFrame, lexicon: DataFrame, synonyms: DataFrame,
               .where("term <> ''"))
 
     def near(owned, weight):
-        return (lookup_join(owned.withColumnRenamed("term", "src"), synonyms, ["src"], "inner")
+        return (lookup_join(owned.withColumnRenamed("term", "src"), synonyms, ["src"], "inner",
+                            small=syn_small)
                 .select("profile_id", F.col("dst").alias("term"), F.lit(weight).alias("weight")))
 
     return T.merge_weights([
-        T.expand_synonyms(found, synonyms, lexicon),
+        T.expand_synonyms(found, synonyms, lexicon, small=lex_small and syn_small),
         in_sections.withColumn("weight", F.lit(V.WEIGHT_SECTION)),
         generic_active.withColumn("weight", F.round(F.lit(0.6) + F.lit(0.6) * F.col("weight"), 6)),
         generic_all,
@@ -143,12 +145,13 @@ def parse_profiles(profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
         person_name(F.col(PREAMBLE)).alias("name"), degree(scope).alias("degree"),
         major(scope).alias("major"),
         experience_titles(first_filled(F.col("experience"), F.col("text"))).alias("experience_titles"))
+    small = is_small(lexicon)
     parts = union_all([
-        T.known_terms(p, lexicon, "profile_id", body).withColumn("_part", F.lit(part))
+        T.known_terms(p, lexicon, "profile_id", body, small).withColumn("_part", F.lit(part))
         for part, body in [("skills", "text"), ("coursework", "coursework"),
                            ("projects", "projects")]])
     is_tool = lexicon.select(normalize_term(F.col("term")).alias("term"), "is_tool").distinct()
-    tagged = lookup_join(parts, is_tool, ["term"], "left")
+    tagged = lookup_join(parts, is_tool, ["term"], "left", small=small)
     # The lists are as long as the lexicon terms found in one profile.
     lists = tagged.groupBy("profile_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("_part") == "skills", F.col("term")))).alias("skills"),

@@ -1,12 +1,13 @@
 """Terms of texts: frequencies, dictionary hits, synonyms, weights, requirements."""
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import (is_one_word, lines, mark, normalize_term, term_anchor,
-                                     term_tokens, word_anchors)
+from rolecast.functions.text import (anchors, is_anchor, lines, mark, normalize_term,
+                                     sign_pattern, stands_in, term_anchor, term_tokens)
 from rolecast.operators.common import is_small, lookup_join, union_all
 
 _LINE, _PHRASE = 1 << 32, 1 << 31
@@ -85,50 +86,61 @@ def top_terms(docs: DataFrame, doc: str = "doc_id", body: str = "text", top_n: i
                     "term_rank"))
 
 
+def _anchor_rows(names: list[str]) -> Column:
+    """array<struct<_anchor, flag per field>> from the anchor lists `_a_<field>`: each
+    anchor of a document once, with the fields that have it."""
+    def flagged(having) -> Column:
+        lists = reduce(F.array_intersect, [F.col(f"_a_{n}") for n in having])
+        only = reduce(F.array_except, [F.col(f"_a_{n}") for n in names if n not in having], lists)
+        return F.transform(only, lambda a: F.struct(
+            a.alias("_anchor"), *[F.lit(n in having).alias(n) for n in names]))
+
+    return F.concat(*[flagged(having) for size in range(1, len(names) + 1)
+                      for having in combinations(names, size)])
+
+
 def term_hits(docs: DataFrame, terms: DataFrame, doc: str, fields: dict[str, Column],
               carry: dict[str, Column] | None = None, small: bool | None = None) -> DataFrame:
     """(doc, term, <one flag per field>, <carry>): terms that stand in any of the fields.
 
-    Each term is looked up by its longest word among the distinct words of the document,
-    then tested on marked text, which equals the boundary regex. With a small term table
-    no text is shuffled. With a large one only (document, word) pairs are, hot words
-    spread, and texts come back just for terms of several words. `carry` adds narrow
-    columns of the document.
+    Each term is looked up by its longest word pair, or word, among those of the
+    document. For terms of up to two words that decides; only the others are tested on
+    the text. With a small term table no text is shuffled. With a large one just
+    (document, anchor) rows are, hot anchors spread, and texts come back only for terms
+    of more words. `carry` adds narrow columns of the document.
     """
     carry = carry or {}
     terms = (terms.select("term").where("term <> ''").distinct()
              .select("term", term_anchor(F.col("term")).alias("_anchor"),
                      mark(F.col("term")).alias("_marked"),
-                     is_one_word(F.col("term")).alias("_one")))
+                     sign_pattern(F.col("term")).alias("_pattern"),
+                     is_anchor(F.col("term")).alias("_sure")))
     names, extra = list(fields), [c.alias(n) for n, c in carry.items()]
-    marked = [mark(c).alias(n) for n, c in fields.items()]
-    anchors = word_anchors(F.concat_ws("\n", *fields.values()))
+    marked = [mark(c).alias(f"_m_{n}") for n, c in fields.items()]
     any_field = reduce(lambda a, b: a | b, [F.col(n) for n in names])
     out = [doc, "term", *names, *carry]
 
     def tested(candidates: DataFrame) -> DataFrame:
-        return (candidates.withColumns({n: F.col(n).contains(F.col("_marked")) for n in names})
-                .where(any_field).select(*out))
+        hit = {n: F.when(F.col("_sure"), F.col(n)).otherwise(stands_in(
+            F.col(f"_m_{n}"), F.col("_marked"), F.col("_pattern"))) for n in names}
+        return candidates.withColumns(hit).where(any_field).select(*out)
 
+    listed = [anchors(c).alias(f"_a_{n}") for n, c in fields.items()]
     # explode_outer: a plain explode makes Spark read all words once more, just to
     # leave out documents without any; the join does that anyway.
+    rows = F.explode_outer(_anchor_rows(names)).alias("_r")
     if is_small(terms) if small is None else small:
-        words = docs.select(doc, *marked, *extra, anchors.alias("_anchors"))
-        words = words.select(doc, *names, *carry, F.explode_outer("_anchors").alias("_anchor"))
-        return tested(words.join(F.broadcast(terms), "_anchor"))
-    per_field = F.array(*[F.struct(F.lit(n).alias("f"), word_anchors(c).alias("w"))
-                          for n, c in fields.items()])
-    words = (docs.select(doc, *extra, F.explode(per_field).alias("_f"))
-             .select(doc, *carry, F.col("_f.f").alias("_field"),
-                     F.explode_outer("_f.w").alias("_anchor"))
-             .groupBy(doc, *carry, "_anchor")
-             .agg(*[F.max(F.col("_field") == n).alias(n) for n in names]))
-    found = lookup_join(words, terms, ["_anchor"], "inner", small=False)
-    # One-word terms need only the words of each field; no text travels.
-    single = found.where("_one").select(*out)
-    several = (found.where("not _one").select(doc, *carry, "term", "_marked")
-               .join(docs.select(doc, *marked), doc))
-    return single.unionByName(tested(several))
+        found = (docs.select(doc, *marked, *extra, *listed)
+                 .select(doc, *[f"_m_{n}" for n in names], *carry, rows)
+                 .select("*", "_r.*").drop("_r"))
+        return tested(found.join(F.broadcast(terms), "_anchor"))
+    rows = docs.select(doc, *extra, *listed).select(doc, *carry, rows).select(doc, *carry, "_r.*")
+    found = lookup_join(rows, terms, ["_anchor"], "inner", small=False)
+    sure = found.where("_sure").select(*out)
+    unsure = (found.where("not _sure")
+              .select(doc, *carry, "term", "_marked", "_pattern", "_sure", *names)
+              .join(docs.select(doc, *marked), doc))
+    return sure.unionByName(tested(unsure))
 
 
 def known_terms(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id",
@@ -138,15 +150,16 @@ def known_terms(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id",
 
 
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame, lexicon: DataFrame,
-                    owner: str = "profile_id") -> DataFrame:
+                    owner: str = "profile_id", small: bool | None = None) -> DataFrame:
     """(owner, term, weight): terms and their one-hop synonyms, tools weighing more."""
     tools = lexicon.where("is_tool").select(normalize_term(F.col("term")).alias("term")).distinct()
     exact = (terms.select(owner, normalize_term(F.col("term")).alias("term"))
              .where("term <> ''").withColumn("_base", F.lit(V.WEIGHT_EXACT)))
-    near = (lookup_join(exact.select(owner, F.col("term").alias("src")), synonyms, ["src"], "inner")
+    near = (lookup_join(exact.select(owner, F.col("term").alias("src")), synonyms, ["src"], "inner",
+                        small=small)
             .select(owner, F.col("dst").alias("term"), F.lit(V.WEIGHT_SYNONYM).alias("_base")))
     both = exact.unionByName(near).groupBy(owner, "term").agg(F.max("_base").alias("_base"))
-    tool = lookup_join(both, tools.withColumn("_tool", F.lit(True)), ["term"], "left")
+    tool = lookup_join(both, tools.withColumn("_tool", F.lit(True)), ["term"], "left", small=small)
     factor = F.when(F.col("_tool"), V.TOOL_FACTOR).otherwise(1.0)
     return tool.select(owner, "term", F.round(F.col("_base") * factor, 6).alias("weight"))
 
