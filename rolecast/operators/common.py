@@ -39,6 +39,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
+def computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are worked out once per row, also when a filter reads them.
+
+    Spark moves a filter below a plain projection and so repeats its expressions; it
+    cannot move one below a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 small: bool | None = None, hot_splits: int = HOT_SPLITS) -> DataFrame:
     """Join a large left side, skewed or not, to a right side of any size.

@@ -7,6 +7,7 @@ from rolecast.functions.dates import day, parse_date_loose
 from rolecast.functions.html import html_to_text
 from rolecast.functions.roles import detect_work_mode, has_role_signal, infer_level
 from rolecast.functions.text import blank_to_null, first_filled, let, strip, text
+from rolecast.operators.common import computed
 from rolecast.sources.listing import normalize
 
 _BLOCK = (r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>"""
@@ -112,9 +113,8 @@ def page_postings(pages: DataFrame, title_filter: bool = True) -> DataFrame:
     rows = (pages.where(F.col("html").contains("JobPosting"))
             .select("url", F.explode(json_objects(F.col("html"))).alias("_o")))
     o = F.col("_o")
-    rows = (rows.where(is_posting(o) & (_title(o) != ""))
-            .withColumn("_text", html_to_text(get(o, "$.description")))
-            .withColumn("_title", _title(o)).withColumn("_loc", _location(o)))
+    rows = computed(rows.where(is_posting(o)), _title=_title(o), _loc=_location(o),
+                    _text=html_to_text(get(o, "$.description"))).where("_title <> ''")
     if title_filter:
         rows = rows.where(has_role_signal(F.col("_title"), F.col("_text"))
                           | _employment(o).contains("INTERN"))

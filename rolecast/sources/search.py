@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from rolecast import values as V
 from rolecast.functions.dates import parse_relative_date
 from rolecast.functions.roles import detect_work_mode, has_role_signal, infer_level
-from rolecast.functions.text import first_filled, strip, text
+from rolecast.functions.text import first_filled, let, strip, text
+from rolecast.operators.common import computed
 from rolecast.sources.listing import normalize, raw_of
 
 SEARCH_SCHEMA = (
@@ -25,9 +26,8 @@ def search_postings(pages: DataFrame, as_of, max_results: int = 250,
     """
     jobs = (pages.where(F.col("page") <= max_pages)
             .select("query_pos", "query", F.col("location").alias("_asked"), "page",
-                    "startup_query", F.posexplode("jobs_results").alias("_pos", "j"))
-            .withColumn("_title", strip(text(F.col("j.title"))))
-            .withColumn("_text", text(F.col("j.description"))))
+                    "startup_query", F.posexplode("jobs_results").alias("_pos", "j")))
+    jobs = computed(jobs, _title=strip(text(F.col("j.title"))), _text=text(F.col("j.description")))
     jobs = jobs.where(has_role_signal(F.col("_title"), F.col("_text")))
     per_query = W.partitionBy("query_pos", "query", "_asked").orderBy("page", "_pos")
     jobs = (jobs.withColumn("_nth", F.row_number().over(per_query))
@@ -77,8 +77,10 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
     suffix_word = F.lit("")
     for k, v in V.WORK_MODE_SUFFIX.items():
         suffix_word = F.when(mode == k, v).otherwise(suffix_word)
-    focus = F.array_join(focus_terms(F.col("target_role"), F.col("priority_keywords")), " ")
-    term = strip(text(F.col("term")))
+    config = config.select("profile_id", "locations", F.struct(
+        F.array_join(focus_terms(F.col("target_role"), F.col("priority_keywords")), " ").alias("focus"),
+        strip(text(F.col("term"))).alias("term"), suffix_word.alias("mode")).alias("_p"))
+    focus, term, suffix_word = F.col("_p.focus"), F.col("_p.term"), F.col("_p.mode")
 
     def query(phrase):
         parts = [phrase, term, suffix_word]
@@ -90,12 +92,13 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
     rows = listed or [(V.QUERY_FALLBACK, False)]
     asked = F.array(*[F.struct(query(p).alias("query"), F.lit(s).alias("startup_query"))
                       for p, s in rows])
-    once = F.filter(asked, lambda a, i: ~F.exists(
-        F.slice(asked, F.lit(1), i), lambda b: F.lower(b["query"]) == F.lower(a["query"])))
+    once = let(asked, lambda all_: F.filter(all_, lambda a, i: ~F.exists(
+        F.slice(all_, F.lit(1), i), lambda b: F.lower(b["query"]) == F.lower(a["query"]))))
     places = F.slice(F.filter(F.transform(F.coalesce("locations", F.array().cast("array<string>")),
                                           strip), lambda p: p != ""), 1, max_locations)
-    places = F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(V.DEFAULT_LOCATION)))
-    return (config.select("profile_id", F.posexplode(once).alias("query_pos", "_q"),
-                          places.alias("_places"))
+    places = let(places, lambda p: F.when(F.size(p) > 0, p).otherwise(
+        F.array(F.lit(V.DEFAULT_LOCATION))))
+    rows = config.select("profile_id", once.alias("_once"), places.alias("_places"))
+    return (rows.select("profile_id", "_places", F.posexplode("_once").alias("query_pos", "_q"))
             .select("profile_id", "query_pos", "_q.query", "_q.startup_query",
                     F.posexplode("_places").alias("location_pos", "location")))

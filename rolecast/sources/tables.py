@@ -1,13 +1,15 @@
 """Curated markdown lists: find the tables, carry companies down, read the rows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecast import values as V
 from rolecast.functions.dates import list_date
 from rolecast.functions.roles import (best_apply_url, company_cell, detect_work_mode, infer_level,
                                       is_closed_row, is_continuation)
-from rolecast.functions.text import clean_location, first_filled, lines, strip, strip_markdown, text
-from rolecast.operators.common import CHUNK, forward_fill
+from rolecast.functions.text import clean_location, first_filled, let, lines, strip, strip_markdown, text
+from rolecast.operators.common import CHUNK, computed, forward_fill
 from rolecast.sources.listing import normalize
 
 _SEPARATOR = r"^\s*\|?[\s:|-]+\|[\s:|-]*$"
@@ -35,20 +37,16 @@ def _cells(line: Column) -> Column:
 def _column_map(header: Column) -> Column:
     """Struct of 0-based columns per role; every column serves the first free role
     whose words it contains."""
-    free = F.struct(*[F.lit(None).cast("int").alias(r) for r in V.TABLE_COLUMNS])
-
     def take(acc: Column, cell: Column) -> Column:
-        low, out, taken = F.lower(cell["name"]), {}, F.lit(False)
+        low, fits = F.lower(cell["name"]), None
         for role, words in V.TABLE_COLUMNS.items():
-            fits = F.lit(False)
-            for w in words:
-                fits = fits | low.contains(w)
-            fits = fits & acc[role].isNull() & ~taken
-            out[role] = F.when(fits, cell["at"]).otherwise(acc[role])
-            taken = taken | fits
-        return F.struct(*[c.alias(r) for r, c in out.items()])
+            hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & acc[role].isNull()
+            fits = F.when(hit, role) if fits is None else fits.when(hit, role)
+        return let(fits, lambda role: F.struct(*[
+            F.when(role == r, cell["at"]).otherwise(acc[r]).alias(r) for r in V.TABLE_COLUMNS]))
 
     cells = F.transform(header, lambda h, i: F.struct(h.alias("name"), i.alias("at")))
+    free = F.struct(*[F.lit(None).cast("int").alias(r) for r in V.TABLE_COLUMNS])
     return F.reduce(cells, free, take)
 
 
@@ -70,14 +68,11 @@ def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text",
     rows = ls.select(doc, at["no"].alias("line_no"), at["line"].alias("line"),
                      header.alias("_header"), under.alias("_under"), _is_row(at["line"]).alias("_row"))
     # Headers open a table, any other line that is no row closes it.
-    event = F.when(F.col("_header"), F.struct(F.lit(True).alias("open"),
-                                              _column_map(_cells(F.col("line"))).alias("cols"))) \
-        .when(~F.col("_row") & ~F.col("_under"), F.struct(
-            F.lit(False).alias("open"),
-            _column_map(F.array().cast("array<string>")).alias("cols")))
+    none = F.lit(None).cast("struct<" + ",".join(f"{r}:int" for r in V.TABLE_COLUMNS) + ">")
+    event = (F.when(F.col("_header"), F.struct(_column_map(_cells(F.col("line"))).alias("cols")))
+             .when(~F.col("_row") & ~F.col("_under"), F.struct(none.alias("cols"))))
     rows = forward_fill(rows, [doc], "line_no", event, "_table", chunk)
-    return (rows.where("_row and not _header and not _under and _table.open "
-                       "and _table.cols.role is not null")
+    return (rows.where("_row and not _header and not _under and _table.cols.role is not null")
             .select(doc, "line_no", _cells(F.col("line")).alias("cells"),
                     F.col("_table.cols").alias("cols")))
 
@@ -96,7 +91,7 @@ def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text
     named = company_cell(cell("company"))
     starts = (named["name"] != "") & ~is_continuation(cell("company"))
     rows = forward_fill(rows, [doc], "line_no", F.when(starts, named), "_company", chunk)
-    rows = rows.withColumn("_role", strip_markdown(cell("role")))
+    rows = computed(rows, _role=strip_markdown(cell("role")))
     rows = rows.where(F.col("_company").isNotNull() & (F.col("_role") != ""))
     place = clean_location(cell("location"))
     posted = list_date(cell("date"), as_of)
