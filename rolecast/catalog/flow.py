@@ -1 +1,56 @@
-"""Queries."""
+"""The whole flow over the given tables."""
+
+from pyspark.sql import functions as F
+
+from rolecast import values as V
+from rolecast.catalog.base import AS_OF, query, table, texts
+from rolecast.catalog.freshness import crawl
+from rolecast.catalog.match import profiles
+from rolecast.operators import profile as P, state as ST, terms as T
+from rolecast.operators.common import checkpointed
+from rolecast.plans.run import Settings, run
+
+RUN_AT = f"{AS_OF} 08:00:00"
+
+
+def listings(spark, d):
+    """Documents as landed postings that link to the crawled pages."""
+    n = F.col("doc_id")
+    day = F.date_add(F.lit(AS_OF).cast("date"), -(F.col("n_chars") % 120).cast("int"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("_p"),
+                                            F.col("url").alias("apply_url"))
+    rows = texts(spark, d, "documents").select(
+        n.alias("ingest_seq"), F.col("lang").alias("company"), F.col("text").alias("title"),
+        F.col("source").alias("location"), F.concat(F.lit("greenhouse:"), "source").alias("source"),
+        F.lit("").alias("company_description"), F.lit(None).cast("boolean").alias("is_startup"),
+        F.lit("").alias("funding_stage"), F.lit("intern").alias("level"),
+        F.lit("unknown").alias("work_mode"), F.lit("").alias("description_text"),
+        F.array().cast("array<string>").alias("requirements"),
+        F.when(n % 4 > 0, day).alias("posted_date"), F.lit(None).cast("date").alias("deadline"),
+        F.lit(False).alias("deadline_is_rolling"),
+        F.lit(V.VERIFIED).alias("date_confidence"), F.lit("landed").alias("date_source"),
+        (n % 211).alias("_p"))
+    return rows.join(pages, "_p", "left").drop("_p")
+
+
+def result(spark, d):
+    terms = checkpointed(P.profile_terms(profiles(spark, d), T.seed_lexicon(spark),
+                                         T.seed_synonyms(spark)))
+    crawled = crawl(spark, d).where("requested_url is not null")
+    empty = spark.createDataFrame([], ST.STATE_SCHEMA)
+    return run(listings(spark, d), terms, crawled, empty, AS_OF, RUN_AT,
+               Settings(top_pairs=10, min_score=1))
+
+
+@query("full_run")
+def full_run(spark, d):
+    """Observe, resolve, merge, window, check, match and rank in one go."""
+    return result(spark, d).reported.select(
+        "profile_id", "pair_rank", "key", "match_score", "live_status", "date_confidence",
+        F.col("posted_date").cast("string"), "eligibility_reason",
+        F.array_join("matched_keywords", "|").alias("matched"))
+
+
+@query("full_run_counters")
+def full_run_counters(spark, d):
+    return result(spark, d).counters

@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming queries: a file stream of the event table, drained to the end."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from rolecast.catalog.base import epoch_us, query
+from rolecast.catalog.state import OBSERVED
+from rolecast.operators import state as ST
+from rolecast.operators.common import shared_dir
+from rolecast.streaming.observe import dedupe_stream, observe_stream
+
+EVENTS = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+          "props string")
+
+
+def event_stream(spark, d):
+    return (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+            .select(F.col("event_id").alias("ingest_seq"),
+                    F.concat_ws("|", "user_id", "event_type").alias("key"),
+                    F.concat(F.lit("c"), "event_id").alias("company"),
+                    F.col("event_type").alias("title"), F.col("user_id").cast("string").alias("location"),
+                    F.concat(F.lit("u"), "event_id").alias("apply_url"), F.col("props").alias("source"),
+                    F.when(F.col("event_id") % 3 == 0, F.col("ts").cast("date")).alias("posted_date"),
+                    F.col("ts").cast("timestamp").alias("seen_at")))
+
+
+@query("stream_observe", f"""
+WITH {OBSERVED} SELECT key, company, url, source, posted::VARCHAR AS posted_date,
+  epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us FROM obs""")
+def stream_observe(spark, d):
+    root = f"{shared_dir(spark)}/observe-{uuid.uuid4()}"
+    job = observe_stream(event_stream(spark, d), root, f"{root}/offsets")
+    job.awaitTermination()
+    last = job.lastProgress["batchId"]
+    return ST.read_snapshot(spark, root, last).select(
+        "key", "company", "url", "source", F.col("posted_date").cast("string"),
+        epoch_us(F.col("first_seen")).alias("first_us"),
+        epoch_us(F.col("last_seen")).alias("last_us"))
+
+
+@query("stream_dedupe", """
+SELECT DISTINCT user_id || '|' || event_type AS key FROM events""")
+def stream_dedupe(spark, d):
+    """The horizon spans the month, so every key is kept once."""
+    root = f"{shared_dir(spark)}/dedupe-{uuid.uuid4()}"
+    kept = dedupe_stream(event_stream(spark, d).select("key", "seen_at"), ["key"], "seen_at", "60 days")
+    job = (kept.writeStream.format("parquet").option("checkpointLocation", f"{root}/offsets")
+           .option("path", f"{root}/rows").trigger(availableNow=True).start())
+    job.awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("key")
