@@ -86,14 +86,13 @@ def forward_fill(df: DataFrame, group: list[str], position: str, value: Column,
     inside = (W.partitionBy(*group, "_chunk").orderBy(position)
               .rowsBetween(W.unboundedPreceding, 0))
     filled = df.withColumn(name, F.last("_value", ignorenulls=True).over(inside))
-    heads = (df.where(F.col("_value").isNotNull()).groupBy(*group, "_chunk")
-             .agg(F.max_by("_value", position).alias("_tail")))
     # A chunk needs the tail of the nearest chunk before it that has one.
-    chunks = df.select(*group, "_chunk").distinct().join(heads, [*group, "_chunk"], "left")
+    tails = df.groupBy(*group, "_chunk").agg(F.max_by(
+        "_value", F.when(F.col("_value").isNotNull(), F.col(position))).alias("_tail"))
     before = (W.partitionBy(*group).orderBy("_chunk")
               .rowsBetween(W.unboundedPreceding, -1))
-    carry = chunks.select(*group, "_chunk",
-                          F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    carry = tails.select(*group, "_chunk",
+                         F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
     return (filled.join(carry, [*group, "_chunk"])
             .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
             .drop("_value", "_chunk", "_carry"))

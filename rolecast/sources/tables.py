@@ -12,6 +12,7 @@ from rolecast.functions.text import clean_location, first_filled, let, lines, st
 from rolecast.operators.common import CHUNK, computed, forward_fill
 from rolecast.sources.listing import normalize
 
+_CUT = "\x01"
 _SEPARATOR = r"^\s*\|?[\s:|-]+\|[\s:|-]*$"
 
 
@@ -50,31 +51,42 @@ def _column_map(header: Column) -> Column:
     return F.reduce(cells, free, take)
 
 
-def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text",
-               chunk: int = CHUNK) -> DataFrame:
+def _runs(body: Column) -> Column:
+    """array<string>: the stretches of table rows of a text, each line as
+    "number<tab>line". A separator under a row belongs to its stretch."""
+    def kept(all_lines: Column) -> Column:
+        def line(x: Column, i: Column) -> Column:
+            under = _is_separator(x) & F.coalesce(_is_row(F.get(all_lines, i - 1)), F.lit(False))
+            return F.when(_is_row(x) | under, F.concat(i.cast("string"), F.lit("\t"), x)).otherwise(_CUT)
+        return F.transform(all_lines, line)
+
+    joined = F.array_join(let(lines(text(body)), kept), "\n")
+    return F.filter(F.split(joined, _CUT), lambda r: r.contains("\t"))
+
+
+def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc, line_no, cells, cols): the body rows of every table with a role column.
 
-    A header is a row followed by a separator, seen by looking one line ahead inside the
-    document's own cell. A table ends at the first line that is no row, or at the next
-    header.
+    A table starts at the first row followed by a separator whose cells name a role,
+    and lasts to the end of its stretch of rows. All found inside the document's own
+    cell: nothing is shuffled.
     """
-    at = F.col("_line")
-    ls = docs.select(doc, lines(text(F.col(body))).alias("_all"))
-    ls = ls.select(doc, F.explode(F.transform("_all", lambda x, i: F.struct(
-        i.alias("no"), x.alias("line"), F.get(F.col("_all"), i + 1).alias("next"),
-        F.get(F.col("_all"), i - 1).alias("prev")))).alias("_line"))
-    header = _is_row(at["line"]) & F.coalesce(_is_separator(at["next"]), F.lit(False))
-    under = (_is_separator(at["line"]) & F.coalesce(_is_row(at["prev"]), F.lit(False)))
-    rows = ls.select(doc, at["no"].alias("line_no"), at["line"].alias("line"),
-                     header.alias("_header"), under.alias("_under"), _is_row(at["line"]).alias("_row"))
-    # Headers open a table, any other line that is no row closes it.
-    none = F.lit(None).cast("struct<" + ",".join(f"{r}:int" for r in V.TABLE_COLUMNS) + ">")
-    event = (F.when(F.col("_header"), F.struct(_column_map(_cells(F.col("line"))).alias("cols")))
-             .when(~F.col("_row") & ~F.col("_under"), F.struct(none.alias("cols"))))
-    rows = forward_fill(rows, [doc], "line_no", event, "_table", chunk)
-    return (rows.where("_row and not _header and not _under and _table.cols.role is not null")
-            .select(doc, "line_no", _cells(F.col("line")).alias("cells"),
-                    F.col("_table.cols").alias("cols")))
+    runs = docs.select(doc, F.explode(_runs(F.col(body))).alias("_run"))
+    runs = runs.select(doc, F.filter(F.split("_run", "\n"), lambda x: x != "").alias("_rows"))
+    bare = lambda x: F.regexp_replace(x, r"^[0-9]+\t", "")
+
+    def header(x: Column, i: Column) -> Column:
+        under = F.get(F.col("_rows"), i + 1)
+        cols = F.when(_is_row(bare(x)) & _is_separator(bare(under)), _column_map(_cells(bare(x))))
+        return F.struct(i.alias("at"), cols.alias("cols"))
+
+    found = F.get(F.filter(F.transform("_rows", header),
+                           lambda h: h["cols"]["role"].isNotNull()), F.lit(0))
+    tables = computed(runs, _head=found).where("_head is not null")
+    rows = tables.select(doc, "_head.cols", F.explode(F.slice(
+        "_rows", F.col("_head.at") + 3, F.size("_rows"))).alias("_row"))
+    return rows.select(doc, F.split_part("_row", F.lit("\t"), F.lit(1)).cast("int").alias("line_no"),
+                       _cells(bare(F.col("_row"))).alias("cells"), "cols")
 
 
 def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text",
@@ -87,7 +99,7 @@ def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text
     def cell(role):
         return text(F.get(F.col("cells"), F.col(f"cols.{role}")))
 
-    rows = table_rows(docs, doc, body, chunk).where(~is_closed_row(F.col("cells")))
+    rows = table_rows(docs, doc, body).where(~is_closed_row(F.col("cells")))
     named = company_cell(cell("company"))
     starts = (named["name"] != "") & ~is_continuation(cell("company"))
     rows = forward_fill(rows, [doc], "line_no", F.when(starts, named), "_company", chunk)
