@@ -238,8 +238,7 @@ SELECT doc_id, i + 3 AS line_no, 'Co ' || co AS company, md5(role) AS title_md5,
   'approximate' AS date_confidence, 'curated list age' AS date_source
 FROM c WHERE role <> '' AND co IS NOT NULL""")
 def list_postings(spark, d):
-    """Tiny chunks, so that tables and companies are carried over many of them."""
-    out = M.list_postings(list_docs(spark, d), AS_OF, chunk=4)
+    out = M.list_postings(list_docs(spark, d), AS_OF)
     return out.select("doc_id", F.col("line_no").cast("bigint"), "company",
                       F.md5("title").alias("title_md5"), "location", "apply_url", "source",
                       "work_mode", F.col("posted_date").cast("string"), "date_confidence", "date_source")

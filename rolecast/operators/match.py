@@ -61,12 +61,13 @@ def best_pairs(pairs: DataFrame, k: int, posting: str = "posting_id") -> DataFra
 
 
 def with_term_lists(pairs: DataFrame, profile_terms: DataFrame, matched: int = 20,
-                    missing: int = 6) -> DataFrame:
+                    missing: int = 6, small: bool | None = None) -> DataFrame:
     """Adds matched_keywords, missing_keywords and match_rationale, in weight order."""
     # One list per profile, as long as its terms.
     lists = profile_terms.groupBy("profile_id").agg(
         F.array_sort(F.collect_list(F.struct("term_rank", "term", "weight"))).alias("_terms"))
-    out = lookup_join(pairs, lists, ["profile_id"], "left")
+    small = is_small(profile_terms) if small is None else small
+    out = lookup_join(pairs, lists, ["profile_id"], "left", small=small)
     hit = F.filter("_terms", lambda t: F.array_contains(F.col("matched_ranks"), t["term_rank"]))
     gap = F.filter("_terms", lambda t: (t["weight"] >= V.TOP_WEIGHT)
                    & ~F.array_contains(F.col("matched_ranks"), t["term_rank"]))

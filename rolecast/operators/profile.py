@@ -6,7 +6,7 @@ from rolecast import values as V
 from rolecast.functions.text import (first_filled, lines, normalize_term, squeeze, strip, text,
                                      title_case)
 from rolecast.operators import terms as T
-from rolecast.operators.common import is_small, lookup_join, union_all
+from rolecast.operators.common import checkpointed, is_small, lookup_join
 
 PREAMBLE = "_preamble"
 
@@ -105,12 +105,15 @@ def profile_terms(profiles: DataFrame, lexicon: DataFrame, synonyms: DataFrame,
         p = p.withColumn("target_role", F.lit(""))
     if "priority_keywords" not in p.columns:
         p = p.withColumn("priority_keywords", F.array().cast("array<string>"))
-    strong = p.select("profile_id", F.concat_ws("\n", "skills", "projects").alias("text"))
+    p = checkpointed(p)  # taken apart once, read by every layer
+    strong = F.concat_ws("\n", "skills", "projects")
     active = p.select("profile_id",
                       F.concat_ws("\n", "skills", "projects", "experience").alias("text"))
     lex_small, syn_small = is_small(lexicon), is_small(synonyms)
-    found = T.known_terms(p, lexicon, "profile_id", small=lex_small)
-    in_sections = T.known_terms(strong, lexicon, "profile_id", small=lex_small)
+    hits = checkpointed(T.term_hits(p, lexicon, "profile_id", {
+        "in_text": F.col("text"), "in_strong": strong}, small=lex_small))
+    found = hits.where("in_text").select("profile_id", "term")
+    in_sections = hits.where("in_strong").select("profile_id", "term")
     # A document's words rank by first use; the layers below keep only their weights.
     generic_active = T.top_terms(active, "profile_id", "text", 40, stopwords)
     generic_all = T.top_terms(p, "profile_id", "text", 40, stopwords)
@@ -146,22 +149,24 @@ def parse_profiles(profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
         major(scope).alias("major"),
         experience_titles(first_filled(F.col("experience"), F.col("text"))).alias("experience_titles"))
     small = is_small(lexicon)
-    parts = union_all([
-        T.known_terms(p, lexicon, "profile_id", body, small).withColumn("_part", F.lit(part))
-        for part, body in [("skills", "text"), ("coursework", "coursework"),
-                           ("projects", "projects")]])
+    hits = T.term_hits(p, lexicon, "profile_id", {
+        "in_text": F.col("text"), "in_coursework": F.col("coursework"),
+        "in_projects": F.col("projects")}, small=small)
     is_tool = lexicon.select(normalize_term(F.col("term")).alias("term"), "is_tool").distinct()
-    tagged = lookup_join(parts, is_tool, ["term"], "left", small=small)
+    tagged = lookup_join(hits, is_tool, ["term"], "left", small=small)
+    longest_first = F.struct((-F.length("term")).alias("l"), "term")
+
+    def listed(flag, item=F.col("term")):
+        return F.array_sort(F.collect_list(F.when(flag, item)))
+
     # The lists are as long as the lexicon terms found in one profile.
     lists = tagged.groupBy("profile_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_part") == "skills", F.col("term")))).alias("skills"),
-        F.array_sort(F.collect_list(F.when((F.col("_part") == "skills") & F.col("is_tool"),
-                                           F.col("term")))).alias("tools_languages"),
-        *[F.transform(F.array_sort(F.collect_list(F.when(
-            F.col("_part") == part, F.struct((-F.length("term")).alias("l"), "term")))),
-            lambda x: x["term"]).alias(part) for part in ("coursework", "projects")])
-    empty = F.array().cast("array<string>")
+        listed(F.col("in_text")).alias("skills"),
+        listed(F.col("in_text") & F.col("is_tool")).alias("tools_languages"),
+        *[F.transform(listed(F.col(f"in_{part}"), longest_first), lambda x: x["term"]).alias(part)
+          for part in ("coursework", "projects")])
     out = facts.join(lists, "profile_id", "left")
+    empty = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(F.col(c), empty) for c in
                            ("skills", "tools_languages", "coursework", "projects")})
     return out.withColumn("summary", profile_summary())

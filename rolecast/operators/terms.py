@@ -13,15 +13,21 @@ from rolecast.operators.common import is_small, lookup_join, union_all
 _LINE, _PHRASE = 1 << 32, 1 << 31
 
 
+def _values(spark: SparkSession, columns: str, rows) -> DataFrame:
+    """A local table; unlike a parallelised list it needs no job to be read."""
+    body = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in row)
+                     + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def seed_lexicon(spark: SparkSession) -> DataFrame:
     """Own seed (term, is_tool); callers pass their own table."""
     known = V.TOOLS + V.LEXICON + [s for s, _ in V.SYNONYMS]
-    rows = [(t, t in V.TOOLS) for t in dict.fromkeys(known)]
-    return spark.createDataFrame(rows, "term string, is_tool boolean")
+    return _values(spark, "term, is_tool", [(t, t in V.TOOLS) for t in dict.fromkeys(known)])
 
 
 def seed_synonyms(spark: SparkSession) -> DataFrame:
-    return symmetric(spark.createDataFrame(V.SYNONYMS, "src string, dst string"))
+    return symmetric(_values(spark, "src, dst", V.SYNONYMS))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rolecast import values as V
 from rolecast.functions.dates import list_date
 from rolecast.functions.roles import (best_apply_url, company_cell, detect_work_mode, infer_level,
                                       is_closed_row, is_continuation)
 from rolecast.functions.text import clean_location, first_filled, let, lines, strip, strip_markdown, text
-from rolecast.operators.common import CHUNK, computed, forward_fill
+from rolecast.operators.common import computed
 from rolecast.sources.listing import normalize
 
 _CUT = "\x01"
@@ -23,11 +23,11 @@ def read_documents(spark: SparkSession, path) -> DataFrame:
 
 
 def _is_row(line: Column) -> Column:
-    return strip(line).rlike(r"(?s)^\|.*\|")
+    return line.rlike(r"^\s*\|[^|]*\|")
 
 
 def _is_separator(line: Column) -> Column:
-    return line.rlike(_SEPARATOR) & line.contains("-")
+    return line.contains("-") & line.rlike(_SEPARATOR)
 
 
 def _cells(line: Column) -> Column:
@@ -73,11 +73,11 @@ def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> Data
     """
     runs = docs.select(doc, F.explode(_runs(F.col(body))).alias("_run"))
     runs = runs.select(doc, F.filter(F.split("_run", "\n"), lambda x: x != "").alias("_rows"))
-    bare = lambda x: F.regexp_replace(x, r"^[0-9]+\t", "")
+    bare = lambda x: F.substr(x, F.instr(x, "\t") + 1)
 
     def header(x: Column, i: Column) -> Column:
         under = F.get(F.col("_rows"), i + 1)
-        cols = F.when(_is_row(bare(x)) & _is_separator(bare(under)), _column_map(_cells(bare(x))))
+        cols = F.when(_is_separator(bare(under)) & _is_row(bare(x)), _column_map(_cells(bare(x))))
         return F.struct(i.alias("at"), cols.alias("cols"))
 
     found = F.get(F.filter(F.transform("_rows", header),
@@ -89,8 +89,7 @@ def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> Data
                        _cells(bare(F.col("_row"))).alias("cells"), "cols")
 
 
-def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text",
-                  chunk: int = CHUNK) -> DataFrame:
+def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text") -> DataFrame:
     """Postings of curated lists; `doc` names the list.
 
     Closed rows go first, so they never set the company of the rows below. A company
@@ -100,17 +99,18 @@ def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text
         return text(F.get(F.col("cells"), F.col(f"cols.{role}")))
 
     rows = table_rows(docs, doc, body).where(~is_closed_row(F.col("cells")))
-    named = company_cell(cell("company"))
-    starts = (named["name"] != "") & ~is_continuation(cell("company"))
-    rows = forward_fill(rows, [doc], "line_no", F.when(starts, named), "_company", chunk)
-    rows = computed(rows, _role=strip_markdown(cell("role")))
+    rows = computed(rows, _named=company_cell(cell("company")))
+    starts = (F.col("_named.name") != "") & ~is_continuation(cell("company"))
+    # A document is one cell, which one task has read already; its rows fit one, too.
+    above = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_company", F.last(F.when(starts, F.col("_named")), True).over(above))
+    rows = computed(rows, _role=strip_markdown(cell("role")), _place=clean_location(cell("location")),
+                    _link=best_apply_url(cell("link")), _posted=list_date(cell("date"), as_of))
     rows = rows.where(F.col("_company").isNotNull() & (F.col("_role") != ""))
-    place = clean_location(cell("location"))
-    posted = list_date(cell("date"), as_of)
     return normalize(
         rows, doc, "line_no", company=F.col("_company.name"), title=F.col("_role"),
-        location=place, apply_url=first_filled(best_apply_url(cell("link")), F.col("_company.url")),
+        location=F.col("_place"), apply_url=first_filled(F.col("_link"), F.col("_company.url")),
         source=F.concat(F.lit("github:"), F.col(doc).cast("string")),
-        level=infer_level(F.col("_role")), work_mode=detect_work_mode(place),
-        posted_date=posted["posted_date"], date_confidence=posted["date_confidence"],
-        date_source=posted["date_source"])
+        level=infer_level(F.col("_role")), work_mode=detect_work_mode(F.col("_place")),
+        posted_date=F.col("_posted.posted_date"), date_confidence=F.col("_posted.date_confidence"),
+        date_source=F.col("_posted.date_source"))
