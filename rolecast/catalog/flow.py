@@ -39,14 +39,14 @@ def result(spark, d):
     crawled = crawl(spark, d).where("requested_url is not null")
     empty = spark.createDataFrame([], ST.STATE_SCHEMA)
     return run(listings(spark, d), terms, crawled, empty, AS_OF, RUN_AT,
-               Settings(top_pairs=10, min_score=1))
+               Settings(min_score=1))
 
 
 @query("full_run")
 def full_run(spark, d):
     """Observe, resolve, merge, window, check, match and rank in one go."""
     return result(spark, d).reported.select(
-        "profile_id", "pair_rank", "key", "match_score", "live_status", "date_confidence",
+        "profile_id", "ingest_seq", F.md5("key").alias("key_md5"), "match_score", "live_status", "date_confidence",
         F.col("posted_date").cast("string"), "eligibility_reason",
         F.array_join("matched_keywords", "|").alias("matched"))
 

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from rolecast import values as V
 from rolecast.catalog.base import AS_OF, NL, joined, query, table, texts
 from rolecast.functions.roles import is_closed_row
-from rolecast.operators import report as R
-from rolecast.operators.common import number_rows
 from rolecast.sources import boards as B, companies as C, jsonld as J, search as S, tables as M
 from rolecast.sources.union import union_sources, with_source_head
 
@@ -385,7 +383,7 @@ def profile_pages(spark, d):
     escaped = F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
     page = texts(spark, d, "pages").select(
         n, "url", F.concat(F.lit('<div data-page="'), escaped, F.lit('"></div>'), "html").alias("html"))
-    comp = texts(spark, d, "pages").where("true").select(
+    comp = texts(spark, d, "pages").select(
         n.cast("string").alias("company_key"), n.cast("string").alias("id"),
         F.concat(F.lit("c"), n).alias("slug"), F.lit("").alias("name"), "url",
         F.lit("").alias("batch"), F.lit("").alias("one_liner"), F.lit("").alias("long_description"),
@@ -428,7 +426,7 @@ def search_pages(spark, d):
     return parsed(docs(spark, d), page, S.SEARCH_SCHEMA)
 
 
-def _search_sql(per_query, total):
+def _search_sql(caps="", order=""):
     return f"""
 WITH {DOCS}, hit AS (SELECT *, replace(source, 'src', '')::INT AS qp FROM docs
   WHERE {role_sql("title", "text")}),
@@ -440,21 +438,21 @@ SELECT lang AS company, title, CASE WHEN doc_id % 2 = 0 THEN 'Austin' ELSE 'Unit
   CASE WHEN doc_id % 3 > 0 THEN (DATE '{AS_OF}' - (doc_id % 20)::INT)::VARCHAR END AS posted_date,
   CASE WHEN doc_id % 3 > 0 THEN 'approximate' ELSE 'unverified' END AS date_confidence,
   CASE WHEN doc_id % 3 > 0 THEN 'google jobs ''' || (doc_id % 20) || ' days ago''' ELSE '' END AS date_source
-FROM nth WHERE nth <= {per_query} ORDER BY qp, doc_id LIMIT {total}"""
+FROM nth {caps} {order}"""
 
 
 def _search(spark, d, per_query, total):
-    out = S.search_postings(search_pages(spark, d), AS_OF, total, per_query, max_pages=2**31 - 1)
+    out = S.search_postings(search_pages(spark, d), AS_OF, total, per_query, None)
     return out.select("company", "title", "location", "apply_url", "source", "is_startup",
                       F.col("posted_date").cast("string"), "date_confidence", "date_source")
 
 
-@query("search_postings", _search_sql(2**31 - 1, 2**31 - 1))
+@query("search_postings", _search_sql())
 def search_postings(spark, d):
-    return _search(spark, d, 2**31 - 1, 2**31 - 1)
+    return _search(spark, d, None, None)
 
 
-@query("search_caps", _search_sql(5, 60))
+@query("search_caps", _search_sql("WHERE nth <= 5", "ORDER BY qp, doc_id LIMIT 60"))
 def search_caps(spark, d):
     """The caps of a search: five rows per query, sixty in all."""
     return _search(spark, d, 5, 60)
@@ -496,7 +494,7 @@ def union_of_sources(spark, d):
     item = F.struct("lang", F.when(n % 9 == 0, "  ").otherwise(F.col("title")).alias("title"),
                     F.col("text").alias("description"))
     export = B.user_export(parsed(docs(spark, d), item, B.EXPORT_SCHEMA))
-    search = S.search_postings(search_pages(spark, d), AS_OF, 2**31 - 1, 2**31 - 1, 2**31 - 1)
+    search = S.search_postings(search_pages(spark, d), AS_OF, None, None, None)
     out = union_sources({"search": search, "export": export,
                          "pages": J.page_postings(ld_pages(spark, d))}, allow=["search", "export"])
     return (with_source_head(out).groupBy("source_label", "source_head")

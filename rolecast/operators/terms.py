@@ -172,8 +172,9 @@ def expand_synonyms(terms: DataFrame, synonyms: DataFrame, lexicon: DataFrame,
 
 def merge_weights(layers: list[DataFrame], owner: str = "profile_id") -> DataFrame:
     """(owner, term, weight, term_rank): the largest weight of each term over the layers."""
+    # One exchange by owner serves the grouping and the ranking.
     best = (union_all([x.select(owner, "term", "weight") for x in layers])
-            .groupBy(owner, "term").agg(F.max("weight").alias("weight")))
+            .repartition(F.col(owner)).groupBy(owner, "term").agg(F.max("weight").alias("weight")))
     order = W.partitionBy(owner).orderBy(F.desc("weight"), "term")
     return best.withColumn("term_rank", F.row_number().over(order))
 
@@ -182,12 +183,12 @@ def requirements(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", body:
                  limit: int = 18, stopwords=V.STOPWORDS, small: bool | None = None) -> DataFrame:
     """(doc, requirements): known terms, longest first, then salient terms, `limit` in all."""
     known = (known_terms(docs, lexicon, doc, body, small)
-             .select(doc, "term", F.lit(0).alias("_class"),
-                     (-F.length("term")).alias("_rank")))
+             .select(doc, "term", (F.lit(_PHRASE) - F.length("term")).alias("_at")))
     salient = (top_terms(docs, doc, body, limit * 2, stopwords)
-               .select(doc, "term", F.lit(1).alias("_class"), F.col("term_rank").alias("_rank")))
-    once = (known.unionByName(salient).groupBy(doc, "term")
-            .agg(F.min(F.struct("_class", "_rank")).alias("_at")))
+               .select(doc, "term", (F.lit(_PHRASE) + F.col("term_rank")).alias("_at")))
+    # One exchange by document serves both groupings and the ranking.
+    once = (known.unionByName(salient).repartition(F.col(doc))
+            .groupBy(doc, "term").agg(F.min("_at").alias("_at")))
     order = W.partitionBy(doc).orderBy("_at", "term")
     kept = once.withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= limit)
     # At most `limit` rows per document reach this list.

@@ -16,12 +16,12 @@ class Settings:
     lookahead_days: int = 90
     include_unverified: bool = True
     min_score: int = 0
-    top_pairs: int = 60
+    top_pairs: int | None = None
 
 
 @dataclass(frozen=True)
 class Result:
-    """Tables of a run; all lazy but `merged`, which is written once."""
+    """Tables of a run. `merged`, `state` and `reported` are written once, the rest lazy."""
     merged: DataFrame
     checked: DataFrame
     pairs: DataFrame
@@ -38,7 +38,7 @@ def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFram
     after, when each key is one row and no key is hot.
     """
     batch = fr.with_key(listings).withColumn("seen_at", F.lit(run_at).cast("timestamp"))
-    state = st.observe(state, batch)
+    state = checkpointed(st.observe(state, batch))
     undated = F.col("posted_date").isNull()
     ranked = batch.withColumn("_label", F.col("date_confidence")).withColumn(
         "date_confidence", F.when(undated, V.APPROXIMATE).when(
@@ -52,8 +52,12 @@ def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFram
 
 def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame | None,
         state: DataFrame, as_of, run_at, settings: Settings = Settings()) -> Result:
-    """All steps of a run. The merged postings are read by three later steps, so they are
-    written once to the shared folder."""
+    """All steps of a run. What later steps read several times is written once to the
+    shared folder.
+
+    Every pair that shares a term and has the least score is reported; `top_pairs` keeps
+    just the best of each profile.
+    """
     merged, state = merge_fresh(listings, state, run_at)
     merged = checkpointed(merged)
     marked = fr.mark_eligibility(merged, as_of, settings.recency_days, settings.lookahead_days,
@@ -68,9 +72,10 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
         state = st.record_verdicts(state, checked.select("key", "live_status", "live_checked_at"))
     retained = live.drop_dead(checked)
     pairs = match.match_pairs(retained, profile_terms, "key")
-    best = match.best_pairs(match.at_least(pairs, settings.min_score), settings.top_pairs, "key")
-    named = match.with_term_lists(best, profile_terms)
-    reported = named.join(retained, "key")
+    shown = match.at_least(pairs, settings.min_score)
+    if settings.top_pairs is not None:
+        shown = match.best_pairs(shown, settings.top_pairs, "key")
+    reported = checkpointed(match.with_term_lists(shown, profile_terms).join(retained, "key"))
     counters = st.run_counters(listings, merged, checked, reported.select("key").distinct())
     return Result(merged, checked, pairs, reported, state, counters)
 

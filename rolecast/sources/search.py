@@ -16,23 +16,26 @@ SEARCH_SCHEMA = (
     "detected_extensions:struct<posted_at:string>,apply_options:array<struct<link:string>>>>")
 
 
-def search_postings(pages: DataFrame, as_of, max_results: int = 250,
-                    max_per_query: int = 20, max_pages: int = 2) -> DataFrame:
+def search_postings(pages: DataFrame, as_of, max_results: int | None = 250,
+                    max_per_query: int | None = 20, max_pages: int | None = 2) -> DataFrame:
     """Postings of landed result pages, capped per query and in all.
 
     `pages` has query_pos, query, location, page (from 1), startup_query, jobs_results.
     The caps belong to the search: a crawl keeps so many rows per query and in all, in
-    the order it asked.
+    the order it asked. None lifts a cap.
     """
-    jobs = (pages.where(F.col("page") <= max_pages)
-            .select("query_pos", "query", F.col("location").alias("_asked"), "page",
+    if max_pages is not None:
+        pages = pages.where(F.col("page") <= max_pages)
+    jobs = (pages.select("query_pos", "query", F.col("location").alias("_asked"), "page",
                     "startup_query", F.posexplode("jobs_results").alias("_pos", "j")))
     jobs = computed(jobs, _title=strip(text(F.col("j.title"))), _text=text(F.col("j.description")))
     jobs = jobs.where(has_role_signal(F.col("_title"), F.col("_text")))
-    per_query = W.partitionBy("query_pos", "query", "_asked").orderBy("page", "_pos")
-    jobs = (jobs.withColumn("_nth", F.row_number().over(per_query))
-            .where(F.col("_nth") <= max_per_query)
-            .orderBy("query_pos", "_asked", "query", "page", "_pos").limit(max_results))
+    if max_per_query is not None:
+        per_query = W.partitionBy("query_pos", "query", "_asked").orderBy("page", "_pos")
+        jobs = (jobs.withColumn("_nth", F.row_number().over(per_query))
+                .where(F.col("_nth") <= max_per_query))
+    if max_results is not None:
+        jobs = jobs.orderBy("query_pos", "_asked", "query", "page", "_pos").limit(max_results)
     startup = F.coalesce("startup_query", F.lit(False))
     phrase = text(F.col("j.detected_extensions.posted_at"))
     posted = parse_relative_date(phrase, as_of)
