@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from rolecast import values as V
-from rolecast.catalog.base import AS_OF, query, table, texts
-from rolecast.catalog.freshness import crawl
+from rolecast.catalog.base import AS_OF, key_sql, profile_terms_ctes, query, table, texts
+from rolecast.catalog.freshness import LIVE, PHRASE_SQL, crawl
 from rolecast.catalog.match import profiles
 from rolecast.operators import profile as P, state as ST, terms as T
 from rolecast.operators.common import checkpointed
@@ -42,15 +42,51 @@ def result(spark, d):
                Settings(min_score=1))
 
 
-@query("full_run")
+FLOW = f"""{LIVE.replace(PHRASE_SQL, "NULL::VARCHAR")},
+verdicts AS (SELECT requested, min(CASE split_part(v, '#', 1) WHEN 'dead' THEN '0' WHEN 'live' THEN '1'
+  ELSE '2' END || '#' || v) AS v FROM verdict GROUP BY requested),
+landed_docs AS (SELECT doc_id AS seq, text, {key_sql("lang", "text", "source")} AS key, doc_id % 4 > 0 AS dated,
+  DATE '{AS_OF}' - CASE WHEN doc_id % 4 > 0 THEN n_chars % 120 ELSE 0 END::INT AS posted, url
+  FROM documents LEFT JOIN pages ON page_id = doc_id % 211),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY NOT dated, seq) AS r
+  FROM landed_docs) WHERE r = 1),
+eligible AS (SELECT *, DATE '{AS_OF}' - posted AS age,
+  CASE WHEN url IS NULL THEN 'unknown' ELSE split_part(v, '#', 2) END AS live_status
+  FROM merged LEFT JOIN verdicts ON requested = url WHERE DATE '{AS_OF}' - posted <= 60),
+retained AS (SELECT * FROM eligible WHERE live_status <> 'dead'),
+prof AS (SELECT item_id AS profile_id, text FROM benchmark),
+{profile_terms_ctes("pt", "prof", "profile_id", "text")},
+vocab AS (SELECT DISTINCT term FROM pt),
+near AS MATERIALIZED (SELECT key, term, lower(text) AS body FROM retained
+  JOIN vocab ON contains(lower(text), term)),
+hit AS (SELECT key, term FROM near WHERE regexp_matches(body,
+  '(^|[^a-z0-9+#])' || regexp_escape(term) || '($|[^a-z0-9+#])')),
+pair AS (SELECT profile_id, key, sum(round(weight * 1000000)::BIGINT * 8) / 5000000.0 AS s,
+  list(term ORDER BY term_rank) AS terms FROM hit JOIN pt USING (term) GROUP BY profile_id, key),
+reported AS (SELECT *, round_even(least(100 * (1 - exp(-s / 7)), 70), 0)::BIGINT AS match_score FROM pair
+  WHERE round_even(least(100 * (1 - exp(-s / 7)), 70), 0) >= 1)"""
+
+
+@query("full_run", f"""
+WITH {FLOW}
+SELECT profile_id, seq AS ingest_seq, md5(key) AS key_md5, match_score, live_status,
+  CASE WHEN dated THEN 'verified' ELSE 'approximate' END AS date_confidence,
+  posted::VARCHAR AS posted_date, 'posted ' || age || 'd ago (≤60d)' AS eligibility_reason,
+  array_to_string(terms[1:20], '|') AS matched FROM reported JOIN retained USING (key)""")
 def full_run(spark, d):
     """Observe, resolve, merge, window, check, match and rank in one go."""
     return result(spark, d).reported.select(
-        "profile_id", "ingest_seq", F.md5("key").alias("key_md5"), "match_score", "live_status", "date_confidence",
+        "profile_id", "ingest_seq", F.md5("key").alias("key_md5"),
+        F.col("match_score").cast("bigint"), "live_status", "date_confidence",
         F.col("posted_date").cast("string"), "eligibility_reason",
         F.array_join("matched_keywords", "|").alias("matched"))
 
 
-@query("full_run_counters")
+@query("full_run_counters", f"""
+WITH {FLOW}
+SELECT (SELECT count(*) FROM documents) AS n_fetched, (SELECT count(*) FROM merged) AS n_listings,
+  (SELECT count(*) FROM eligible) AS n_eligible, (SELECT count(*) FROM retained) AS n_retained,
+  (SELECT count(*) FROM eligible WHERE live_status = 'dead') AS n_dead,
+  (SELECT count(DISTINCT key) FROM reported) AS n_reported""")
 def full_run_counters(spark, d):
     return result(spark, d).counters

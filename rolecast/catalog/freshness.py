@@ -257,17 +257,17 @@ def landing_test(spark, d):
         F.col("final_url"), F.col("requested_url")).alias("is_landing"))
 
 
-_PHRASE = "CASE " + " ".join(f"WHEN contains(lower(html), '{p}') THEN '{p}'" for p in PHRASES) + " END"
+PHRASE_SQL = "CASE " + " ".join(f"WHEN contains(lower(html), '{p}') THEN '{p}'" for p in PHRASES) + " END"
 
 
-@query("closure_phrase", f"SELECT page_id, {_PHRASE} AS phrase FROM pages")
+@query("closure_phrase", f"SELECT page_id, {PHRASE_SQL} AS phrase FROM pages")
 def closure_phrase(spark, d):
     return texts(spark, d, "pages").select(
         "page_id", L.closure_phrase(F.col("html"), PHRASES).alias("phrase"))
 
 
 LIVE = f"""{CRAWL}, {LANDING},
-said AS (SELECT *, {_PHRASE} AS phrase FROM landed),
+said AS (SELECT *, {PHRASE_SQL} AS phrase FROM landed),
 verdict AS (SELECT page_id, requested, CASE
   WHEN status = 404 THEN 'dead#HTTP 404 (removed)'
   WHEN status = 0 OR error <> '' THEN 'unknown#unreachable ('

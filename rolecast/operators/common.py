@@ -104,13 +104,15 @@ def number_rows(df: DataFrame, group: list[str], keys: list[Column], tie: str, n
 
     Counts per distinct key give every key its offset, counts per chunk of the tie
     column every chunk its own, and only rows of one key and chunk are sorted together.
-    No group, nor the whole table, passes one task.
+    No group, nor the whole table, passes one task; just the counts per key do. Runs a
+    job for the counts.
     """
     parts = [f"_k{i}" for i in range(len(keys))]
     df = df.withColumns(dict(zip(parts, keys))).withColumn(
         "_chunk", F.floor(F.col(tie) / chunk))
     # Null keys are equal here, as in a sort; the joins below need null-safe equality.
-    per_chunk = df.groupBy(*group, *parts, "_chunk").agg(F.count("*").alias("_n"))
+    # The counts are read twice and far smaller than the rows, so they are written once.
+    per_chunk = checkpointed(df.groupBy(*group, *parts, "_chunk").agg(F.count("*").alias("_n")))
     per_key = per_chunk.groupBy(*group, *parts).agg(F.sum("_n").alias("_n"))
 
     def running(frame, partition, order):
