@@ -62,9 +62,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     counts = left.groupBy(*on).count()
     bound = counts.agg(F.sum("count") / HOT_SHARE).scalar()
     hot = F.broadcast(counts.where(F.col("count") > bound).select(*on, F.lit(True).alias("_hot")))
-    # The rows of one hot key go round the splits by their own content, so a retried
-    # task sends every row to the same place again.
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(hot_splits))
+    # The rows of one hot key go round the splits by their content and partition: a
+    # retried task sends every row to the same place again, and copies of one row that
+    # come from different tasks go to different places.
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id())
+    spread = F.pmod(content, F.lit(hot_splits))
     left = (left.join(hot, on, "left")
             .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int"))
             .drop("_hot"))

@@ -71,11 +71,12 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
         checked = live.live_check(eligible, http_results, as_of, run_at)
         state = st.record_verdicts(state, checked.select("key", "live_status", "live_checked_at"))
     retained = live.drop_dead(checked)
-    pairs = match.match_pairs(retained, profile_terms, "key")
+    # Merged rows have a unique ingest_seq, far narrower in a shuffle than their key.
+    pairs = match.match_pairs(retained, profile_terms, "ingest_seq")
     shown = match.at_least(pairs, settings.min_score)
     if settings.top_pairs is not None:
-        shown = match.best_pairs(shown, settings.top_pairs, "key")
-    reported = checkpointed(match.with_term_lists(shown, profile_terms).join(retained, "key"))
+        shown = match.best_pairs(shown, settings.top_pairs, "ingest_seq")
+    reported = checkpointed(match.with_term_lists(shown, profile_terms).join(retained, "ingest_seq"))
     counters = st.run_counters(listings, merged, checked, reported.select("key").distinct())
     return Result(merged, checked, pairs, reported, state, counters)
 

@@ -30,6 +30,13 @@ def test_hot_keys_are_spread(spark):
     assert "_salt" in plan
 
 
+def test_equal_rows_of_a_hot_key(spark):
+    left = spark.range(0, 3000, numPartitions=8).select(F.lit("hot").alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
+    got = K.lookup_join(left, right, ["k"], "inner", small=False)
+    assert (got.count(), got.agg(F.sum("x")).first()[0]) == (3000, 3000)
+
+
 def test_size_check(spark):
     df = hot(spark)
     assert K.is_small(df) and not K.is_small(df, rows=100) and not K.is_small(df, size=1000)
