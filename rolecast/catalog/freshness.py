@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rolecast import values as V
-from rolecast.catalog.base import (AS_OF, SEEN_AS_OF, key_sql, norm_sql, query, quoted, table, texts)
+from rolecast.catalog.base import (AS_OF, SEEN_AS_OF, key_sql, query, quoted, table, texts)
 from rolecast.functions import dates as D
 from rolecast.functions.html import html_to_text
 from rolecast.functions.roles import detect_work_mode, has_role_signal, infer_level

@@ -72,7 +72,7 @@ _UNTAGGED = "regexp_replace(text, '[<>&]', ' ', 'g')"
 WITH {DOCS}, b AS (SELECT *, {_PLACE} AS place, regexp_replace(regexp_replace(
     replace({_UNTAGGED}, chr(10), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'),
     '^\\s+|\\s+$', '', 'g') AS body FROM docs)
-SELECT CASE WHEN source = 'src1' THEN 'First & Co' ELSE upper(source[1]) || substr(source, 2) END
+SELECT CASE WHEN length(source) > 4 THEN 'Board & ' || source ELSE upper(source[1]) || substr(source, 2) END
     AS company, title, coalesce(place, '') AS location, 'https://b/' || doc_id AS apply_url,
   'greenhouse:' || source AS source, {level_sql("title")} AS level,
   {mode_sql("place", "body")} AS work_mode, md5(body) AS text_md5, day::VARCHAR AS posted_date,
@@ -88,8 +88,9 @@ def board_nested(spark, d):
         F.concat(F.col("day").cast("string"), F.lit("T08:30:00-04:00")).alias("updated_at"))
     rows = docs(spark, d)
     payload = F.struct(F.col("source").alias("slug"), F.array(job).alias("jobs"))
-    meta = rows.where("source = 'src1'").select(F.col("source").alias("slug"),
-                                                F.lit("First & Co").alias("name")).distinct()
+    # Longer source names have a stated name, the others go by their slug.
+    meta = rows.select(F.col("source").alias("slug"), F.when(
+        F.length("source") > 4, F.concat(F.lit("Board & "), "source")).otherwise("").alias("name"))
     out = B.nested_board(parsed(rows, payload, B.NESTED_SCHEMA), meta)
     return shown(out, F.expr("try_variant_get(raw, '$.id', 'bigint')").alias("id"))
 
@@ -333,33 +334,34 @@ def slug_candidates(spark, d):
 
 
 def board_rows(spark, d):
-    """Two board families: documents of odd and of even sources."""
-    rows = docs(spark, d).withColumn("_n", F.regexp_replace("source", "src", "").cast("int"))
+    """Every document on the boards of two families, in the second one ten slugs on."""
+    rows = docs(spark, d)
+    later = F.concat(F.lit("src"), F.regexp_replace("source", "src", "").cast("int") + 10)
 
-    def board(df):
+    def board(slug):
         job = F.struct(F.col("doc_id").alias("id"), F.lit("Data Intern").alias("title"),
                        F.col("text").alias("content"), F.struct(F.col("lang").alias("name")).alias("location"),
                        F.concat(F.lit("https://b/"), "doc_id").alias("absolute_url"),
                        F.col("day").cast("string").alias("updated_at"))
-        return B.nested_board(parsed(df, F.struct(F.col("source").alias("slug"),
-                                                  F.array(job).alias("jobs")), B.NESTED_SCHEMA))
+        return B.nested_board(parsed(rows, F.struct(slug.alias("slug"), F.array(job).alias("jobs")),
+                                     B.NESTED_SCHEMA))
 
-    return {"greenhouse": board(rows.where("_n % 2 = 1")), "lever": board(rows.where("_n % 3 > 0"))}
+    return {"greenhouse": board(F.col("source")), "lever": board(later)}
 
 
 @query("company_postings", f"""
 WITH {COMPANIES}, cand AS (SELECT company_key, name, one_liner, team, year,
     unnest([slug, site]) AS s, unnest([1, 5]) AS p FROM comp),
-src AS (SELECT source, doc_id, replace(source, 'src', '')::INT AS k FROM documents),
-place AS (SELECT DISTINCT source, 'greenhouse' AS fam, 0 AS fp FROM src WHERE k % 2 = 1
-  UNION ALL SELECT DISTINCT source, 'lever', 1 FROM src WHERE k % 3 > 0),
+src AS (SELECT source AS slug, doc_id, 'greenhouse' AS fam, 0 AS fp FROM documents
+  UNION ALL SELECT 'src' || (replace(source, 'src', '')::INT + 10), doc_id, 'lever', 1 FROM documents),
+place AS (SELECT DISTINCT slug AS source, fam, fp FROM src),
 pick AS (SELECT * FROM (SELECT c.*, source, fam, row_number() OVER (PARTITION BY company_key
   ORDER BY p, fp) AS r FROM cand c JOIN place ON source = s) WHERE r = 1)
-SELECT company_key, name AS company, 'yc:' || fam || ':' || pick.source AS source,
+SELECT company_key, name AS company, 'yc:' || pick.fam || ':' || pick.source AS source,
   'https://b/' || doc_id AS apply_url, one_liner AS company_description,
   concat_ws(' · ', 'YC Winter ' || year, CASE WHEN team <> 0 THEN team || '-person team' END)
     AS funding_stage
-FROM pick JOIN src ON src.source = pick.source""")
+FROM pick JOIN src ON src.slug = pick.source AND src.fam = pick.fam""")
 def company_postings(spark, d):
     out = C.company_postings(companies(spark, d), board_rows(spark, d))
     return out.select("company_key", "company", "source", "apply_url", "company_description",

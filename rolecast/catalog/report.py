@@ -1,5 +1,7 @@
 """Queries on ordering, facets, metrics and cards of results."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rolecast.catalog.base import AS_OF, query, table
@@ -177,7 +179,7 @@ WITH {RESULTS} SELECT seq, company, title, posted::VARCHAR AS posted_date, deadl
   conf AS date_confidence, score AS match_score FROM res""")
 def json_report(spark, d):
     """Written as JSON to the shared folder and read back."""
-    path = f"{shared_dir(spark)}/json_report"
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4()}"
     write_json(results(spark, d), path, f"{AS_OF}T12:00:00Z")
     return read_json(spark, path).select(
         F.col("ingest_seq").alias("seq"), "company", "title", F.col("posted_date").cast("string"),

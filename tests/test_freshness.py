@@ -3,7 +3,6 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rolecast import values as V
 from rolecast.operators import freshness as FR, live as L, state as ST
 from rolecast.plans import run as R
 from rolecast.operators import profile as P, report as RP, terms as T

@@ -2,7 +2,6 @@ import html
 import json
 from datetime import date
 
-import pytest
 from pyspark.sql import functions as F
 
 from rolecast.operators import terms as T

@@ -2,7 +2,6 @@ import math
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from rolecast import values as V
 from rolecast.operators import match as M, profile as P, terms as T
