@@ -32,7 +32,8 @@ def unescape(c: Column) -> Column:
         number = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10))
                   .when(body.startswith("#"), F.substring(body, 2, 8))).try_cast("int")
         # Without the semicolon only the old Latin-1 names and numbers count.
-        named = F.when(ref.endswith(";") | F.contains(F.lit(_BARE_NAMES), F.concat(F.lit(","), body, F.lit(","))), F.element_at(names, body))
+        bare = F.contains(F.lit(_BARE_NAMES), F.concat(F.lit(","), body, F.lit(",")))
+        named = F.when(ref.endswith(";") | bare, F.element_at(names, body))
         char = F.when(body.startswith("#"), let(number, _char)).when(body != "", named)
         return let(char, lambda x: F.when(x.isNull(), F.concat(F.lit("&"), piece)).otherwise(
             F.concat(x, F.substr(piece, F.length(ref) + 1))))

@@ -55,7 +55,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
 
     A right side under the size bound is broadcast. Beyond it the hot keys of the left
     side (more than 1/256 of its rows each, so a bounded list) are spread over
-    `hot_splits` tasks and the right rows of just those keys are repeated.
+    `hot_splits` tasks and the right rows of just those keys are repeated. Finding them
+    reads the left keys once more.
     """
     if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), on, how)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from rolecast import values as V
 from rolecast.functions.text import (anchors, is_anchor, lines, mark, normalize_term,
                                      sign_pattern, stands_in, term_anchor, term_tokens)
-from rolecast.operators.common import is_small, lookup_join, union_all
+from rolecast.operators.common import checkpointed, is_small, lookup_join, union_all
 
 _LINE, _PHRASE = 1 << 32, 1 << 31
 
@@ -113,7 +113,7 @@ def term_hits(docs: DataFrame, terms: DataFrame, doc: str, fields: dict[str, Col
     document. For terms of up to two words that decides; only the others are tested on
     the text. With a small term table no text is shuffled. With a large one just
     (document, anchor) rows are, hot anchors spread, and texts come back only for terms
-    of more words. `carry` adds narrow columns of the document.
+    of more words (this way runs a job). `carry` adds narrow columns of the document.
     """
     carry = carry or {}
     terms = (terms.select("term").where("term <> ''").distinct()
@@ -141,7 +141,8 @@ def term_hits(docs: DataFrame, terms: DataFrame, doc: str, fields: dict[str, Col
                  .select("*", "_r.*").drop("_r"))
         return tested(found.join(F.broadcast(terms), "_anchor"))
     rows = docs.select(doc, *extra, *listed).select(doc, *carry, rows).select(doc, *carry, "_r.*")
-    found = lookup_join(rows, terms, ["_anchor"], "inner", small=False)
+    # Read by both branches below; written once, no text is taken apart again.
+    found = checkpointed(lookup_join(rows, terms, ["_anchor"], "inner", small=False))
     sure = found.where("_sure").select(*out)
     unsure = (found.where("not _sure")
               .select(doc, *carry, "term", "_marked", "_pattern", "_sure", *names)
