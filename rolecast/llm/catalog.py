@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from rolecast.llm import packing, passages, warc
+from rolecast.llm import packing, passages, suffixes, warc
 
-QUERIES = {"op2_substring": passages.op2_substring, "op8_packing": packing.op8_packing,
+QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op8_packing": packing.op8_packing,
            "op10_warc": warc.op10_warc}
 ORACLE = {"op10_warc": warc.SQL}
