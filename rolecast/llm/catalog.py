@@ -1,7 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from rolecast.llm import packing, passages, suffixes, warc
+from rolecast.llm import packing, passages, ppm, shingles, suffixes, warc
 
-QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op8_packing": packing.op8_packing,
-           "op10_warc": warc.op10_warc}
+QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op4_ppm": ppm.op4_ppm,
+           "op8_packing": packing.op8_packing,
+           "op9_jaccard": shingles.op9_jaccard, "op10_warc": warc.op10_warc}
 ORACLE = {"op10_warc": warc.SQL}

@@ -168,3 +168,38 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
     hit[maybe] = keys[at] == values[maybe]
     return hit
+
+
+class Lookup:
+    """Values of many 64-bit keys: a few hash tables, each holding the keys that found a free
+    slot; a key absent from all gives `missing`."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing):
+        self.missing, self.values, self.tables = missing, values, []
+        todo, seed = np.arange(len(keys)), 0
+        while len(todo):
+            bits = max(4, int(2 * len(todo)).bit_length())
+            slot = self._slot(keys[todo], seed, bits)
+            table = np.full(1 << bits, -1, np.int64)
+            table[slot] = todo
+            self.tables.append((seed, bits, table))
+            todo, seed = todo[table[slot] != todo], seed + 1
+        self.keys = keys
+
+    @staticmethod
+    def _slot(keys, seed, bits):
+        return ((keys ^ (keys >> U(29))) * U(_BASE + 2 * seed) >> U(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.missing, self.values.dtype)
+        todo = None
+        for seed, bits, table in self.tables:
+            asked = keys if todo is None else keys[todo]
+            at = table[self._slot(asked, seed, bits)]
+            hit = (at >= 0) & (self.keys[at] == asked)
+            where = np.flatnonzero(hit) if todo is None else todo[hit]
+            out[where] = self.values[at[hit]]
+            todo = np.flatnonzero(~hit) if todo is None else todo[~hit]
+            if not len(todo):
+                break
+        return out
