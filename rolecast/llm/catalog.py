@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from rolecast.llm import packing, passages, ppm, shingles, suffixes, warc
+from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity, warc
 
 QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op4_ppm": ppm.op4_ppm,
-           "op8_packing": packing.op8_packing,
+           "op5_toxicity": toxicity.op5_toxicity,
+           "op6_leaks": leaks.op6_leaks, "op8_packing": packing.op8_packing,
            "op9_jaccard": shingles.op9_jaccard, "op10_warc": warc.op10_warc}
-ORACLE = {"op10_warc": warc.SQL}
+ORACLE = {"op6_leaks": leaks.SQL, "op10_warc": warc.SQL}
