@@ -11,8 +11,9 @@ An empty or null text is its end token alone. Repeated rows are packed as often
 """
 
 import heapq
+import unicodedata
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ from rolecast.llm.common import parts_of, stored, table
 SIZE = 4096
 END = 2
 PART_ROWS = 50_000
-WORDS_KEPT = 300_000   # tokenised words a worker remembers; no effect on results
+WORDS_KEPT = 800_000   # tokenised words a worker remembers; no effect on results
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
+#: How byte-level tokenizers write bytes: printable Latin-1 as it is, the others from U+0100 on.
+_BYTE_UNITS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 _SEEN: dict[int, dict] = {}  # by tokenizer
 
 
@@ -35,39 +39,68 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
-def _ids_of(words: list[bytes], tokenizer, seen: dict[bytes, bytes]) -> list[bytes]:
-    """The ids of each word as bytes. White space only separates words for this tokenizer, so
-    a word's ids do not depend on its neighbours, and a word met again costs a look-up."""
-    new = [w for w in set(words) if w not in seen]
-    if new:
-        if len(seen) + len(new) > WORDS_KEPT:
-            seen.clear()
-            new = list(set(words))
-        codes = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, c in zip(new, codes):
-            seen[w] = np.array(c.ids, "<u4").tobytes()
-    return [seen[w] for w in words]
+def _words(text: bytes | None) -> list[bytes]:
+    """White space only separates words for this tokenizer, and it composes and lower-cases
+    letter by letter; done here for a whole text, words are fewer. Special tokens are matched before
+    that, and a final sigma is lower-cased by its place, so such texts are left as they are."""
+    text = text or b""
+    if b"<|" in text or b"\xce\xa3" in text:
+        return text.split()
+    if text.isascii():
+        return text.lower().split()
+    return unicodedata.normalize("NFC", text.decode("utf-8", "replace")).lower().encode().split()
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """Letters and the marks after them are separate units; an apostrophe may begin a unit of letters."""
+    letters = word.rstrip(_MARKS)
+    return (letters, word[len(letters):]) if letters.isalpha() else (word, "")
+
+
+def _learn(words: set[bytes], tokenizer, seen: dict[bytes, bytes]) -> None:
+    """Puts the ids of words into `seen`. A word's ids do not depend on its neighbours, so a
+    word met again costs a look-up."""
+    new = [w for w in words if w not in seen]
+    if len(seen) + len(new) > WORDS_KEPT:
+        seen.clear()
+        new = list(words)
+    cut = [(w, *_parts(w.decode("utf-8", "replace"))) for w in new]
+    ids, others, model = {}, [], tokenizer.model
+    for p in {p for _, a, b in cut for p in (a, b)}:
+        if p.isalpha() and p == p.lower() and (p.isascii() or unicodedata.is_normalized("NFC", p)):
+            # One unit for the tokenizer already: nothing to normalise or split.
+            units = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_UNITS)
+            ids[p] = array("I", [t.id for t in model.tokenize(units)]).tobytes()
+        else:
+            others.append(p)
+    for p, c in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+        ids[p] = array("I", c.ids).tobytes()
+    for w, a, b in cut:
+        seen[w] = ids[a] + ids[b] if b else ids[a]
 
 
 def _pieces(model, name: int, size: int, end: int):
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        gc.disable()  # many small objects, no cycles
+
         tokenizer, seen = Tokenizer.from_str(model.value), _SEEN.setdefault(name, {})
         step = 4 * size
         for batch in batches:
             rows = []
             texts = batch.column(1)
             for at in range(0, len(texts), 256):
-                words = [(t or b"").split() for t in texts.slice(at, 256).to_pylist()]
-                ids = iter(_ids_of(list(chain.from_iterable(words)), tokenizer, seen))
+                words = [_words(t) for t in texts.slice(at, 256).to_pylist()]
+                _learn(set().union(*words), tokenizer, seen)
                 for doc, w in zip(batch.column(0).slice(at, 256).to_pylist(), words):
-                    data = b"".join([next(ids) for _ in w]) + last
+                    data = b"".join(map(seen.__getitem__, w)) + last
                     n = len(data) // 4
                     rows += [(doc, s // 4, min(step, len(data) - s) // 4, zlib.crc32(data[s:s + step]), n)
                              for s in range(0, len(data), step)]
