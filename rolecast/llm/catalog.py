@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity, warc
+from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity, vectors, warc
 
-QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op4_ppm": ppm.op4_ppm,
+QUERIES = {"op1_suffix_array": suffixes.op1_suffix_array, "op2_substring": passages.op2_substring, "op3_vectors": vectors.op3_vectors, "op4_ppm": ppm.op4_ppm,
            "op5_toxicity": toxicity.op5_toxicity,
            "op6_leaks": leaks.op6_leaks, "op8_packing": packing.op8_packing,
            "op9_jaccard": shingles.op9_jaccard, "op10_warc": warc.op10_warc}
