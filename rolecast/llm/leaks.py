@@ -47,10 +47,16 @@ def item_signatures(items: DataFrame, words: int = WORDS, per_cent: int = PER_CE
     return every, rows.select("item", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("shingle"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """(doc_id, item_id, shared, n_shingles, containment): documents that hold an item."""
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, per_cent: int = PER_CENT,
+          rows_only: bool = False) -> DataFrame:
+    """(doc_id, item_id, shared, n_shingles, containment): documents that hold an item; or only
+    the distinct (row), the `row_key` of each such document."""
     every, signatures = item_signatures(items, words, per_cent)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
     probes = rows.select("row", F.explode(shingles(F.col("text"), words)).alias("shingle"))
     values = stored(signatures.select("shingle").distinct(), "signatures")
     hits = lookup_join(probes, values, ["shingle"], "inner").distinct()
@@ -64,6 +70,8 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, per_cent: int =
     shared = (held.join(asked, ["row", "shingle"]).groupBy("row", "item", "item_id", "copies", "n")
               .agg(F.count("*").alias("shared")).where(100 * F.col("shared") >= per_cent * F.col("n")))
     out = shared.join(owners.select("row", "doc_id", "times"), "row")
+    if rows_only:
+        return out.select("row").distinct()
     times = F.explode(F.array_repeat(F.lit(0), (F.col("times") * F.col("copies")).cast("int")))
     return out.select("doc_id", "item_id", "shared", F.col("n").cast("long").alias("n_shingles"),
                       (F.col("shared") / F.col("n")).alias("containment"), times.alias("_")).drop("_")
@@ -81,5 +89,11 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(n_shingles) AS n_shingles,
 FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_shingles)"""
 
 
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    found = stored(leaks(docs, items, rows_only=True).withColumnRenamed("row", "_row"), "leaks")
+    return lookup_join(docs.withColumn("_row", row_key()), found, ["_row"], "left_anti").drop("_row")
+
+
 def op6_leaks(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -162,7 +162,8 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, with_text: bool):
                 words = list(compress(words, left.tolist()))
             kept = b" ".join(words)
             rows.append((n, gone, [{"start": s, "end": e} for s, e in found],
-                         kept.decode("utf-8", "replace") if with_text and gone else None, hashlib.sha256(kept).hexdigest()))
+                         (kept if gone else text).decode("utf-8", "replace") if with_text else None,
+                         hashlib.sha256(kept).hexdigest()))
         columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5,
                    [pa.int64(), pa.int64(), pa.list_(_SPAN), pa.string(), pa.string()])]
         return pa.table([*[docs.column(f"keep_{i}") for i in range(len(keep))], *columns], schema=schema)
@@ -172,7 +173,7 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, with_text: bool):
 
 def without_passages(docs: DataFrame, keep: list[str], window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """The `keep` columns of each document, then n_words, n_removed, spans (removed runs of
-    words), kept_text (null unless asked for and something was removed) and kept_sha256."""
+    words), kept_text (if asked for; the text as it is where nothing was removed) and kept_sha256."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

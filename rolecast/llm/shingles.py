@@ -246,5 +246,21 @@ def _verified(pairs: DataFrame, bodies: DataFrame, homes: DataFrame, per_cent: i
     return rows.where(100 * shared >= per_cent * (F.col("n") + F.col("m") - shared)).select("a", "b")
 
 
+def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """One document of each group of similar ones, with all its columns: that of the smallest id;
+    rows with a null or repeated id come after all others."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    odd = stored(odd.select(F.col("doc_id").alias("_odd")), "odd")
+    numbered = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    if not odd.isEmpty():
+        # Written once, so that the numbers hold.
+        same = F.col("doc_id").eqNullSafe(F.col("_odd"))
+        late = stored(docs.join(odd, same, "left_semi").withColumn("_id", F.lit(1 << 62) + F.monotonically_increasing_id()), "late")
+        numbered = docs.join(odd, same, "left_anti").withColumn("_id", F.col("doc_id").cast("long")).union(late)
+    found = similar_documents(numbered.select(F.col("_id").alias("doc_id"), "text"), words, per_cent)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
+    return lookup_join(numbered, gone, ["_id"], "left_anti").select(*docs.columns)
+
+
 def op9_jaccard(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"))
