@@ -51,7 +51,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"),
                                                 F.least("a", "b").alias("v")).distinct(), "links")
-    while True:
+    before = None
+    # Stars are steady: the links no longer change.
+    while (now := _digest(links)) != before:
+        before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above u go to the smallest neighbour.
@@ -61,12 +64,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # Small star: u and its neighbours below it go to the smallest of them.
         small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        new = stored(small, "links")
-        # Stars are steady: the links no longer change.
-        old, now = _digest(links), _digest(new)
-        links = new
-        if old == now:
-            break
+        links = stored(small, "links")
     root = links.groupBy("u").agg(F.min("v").alias("component"))
     return (nodes.join(root, nodes["node"] == root["u"], "left")
             .select("node", F.coalesce("component", "node").alias("component")))

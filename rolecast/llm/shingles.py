@@ -35,7 +35,7 @@ from rolecast.llm.kernels import (LOWER, Rolling, U, blocks, bucket_slices, defl
 from rolecast.operators.common import lookup_join
 
 WORDS, THRESHOLD = 4, 85   # per cent
-STARS = 3
+STARS = 2
 FREQUENT = 6               # classes are powers of two of the document frequency
 ROUTED = "bucket int, chunk int, n int, tokens binary, counts binary"
 CLASSES = "chunk int, n int, tokens binary, classes binary"
@@ -204,7 +204,9 @@ def _links(sets: DataFrame, per_cent: int) -> DataFrame:
             lookup_join(member, comp, ["set"], "left").withColumn("comp", F.coalesce("comp", "set")))
         center = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("rank"), "set", "n", "comp"))
         groups = now.groupBy("token").agg(center.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        groups = groups.where("lo <> hi").select("token", "c")
+        groups = stored(groups.where("lo <> hi").select("token", "c"), "groups")
+        if groups.isEmpty():
+            break
         if turn < STARS:
             pairs = (now.join(groups, "token").where(F.col("comp") != F.col("c.comp"))
                      .where(_sizes(F.col("n"), F.col("c.n"), per_cent))
