@@ -29,13 +29,13 @@ def listings(spark, d):
         F.when(n % 4 > 0, day).alias("posted_date"), F.lit(None).cast("date").alias("deadline"),
         F.lit(False).alias("deadline_is_rolling"),
         F.lit(V.VERIFIED).alias("date_confidence"), F.lit("landed").alias("date_source"),
-        (n % 211).alias("_p"))
+        n.alias("_p"))
     return rows.join(pages, "_p", "left").drop("_p")
 
 
 def result(spark, d):
     terms = checkpointed(P.profile_terms(profiles(spark, d), T.seed_lexicon(spark),
-                                         T.seed_synonyms(spark)))
+                                         T.seed_synonyms(spark), top_n=V.TOP_TERMS))
     crawled = crawl(spark, d).where("requested_url is not null")
     empty = spark.createDataFrame([], ST.STATE_SCHEMA)
     return run(listings(spark, d), terms, crawled, empty, AS_OF, RUN_AT,
@@ -47,7 +47,7 @@ verdicts AS (SELECT requested, min(CASE split_part(v, '#', 1) WHEN 'dead' THEN '
   ELSE '2' END || '#' || v) AS v FROM verdict GROUP BY requested),
 landed_docs AS (SELECT doc_id AS seq, text, {key_sql("lang", "text", "source")} AS key, doc_id % 4 > 0 AS dated,
   DATE '{AS_OF}' - CASE WHEN doc_id % 4 > 0 THEN n_chars % 120 ELSE 0 END::INT AS posted, url
-  FROM documents LEFT JOIN pages ON page_id = doc_id % 211),
+  FROM documents LEFT JOIN pages ON page_id = doc_id),
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY NOT dated, seq) AS r
   FROM landed_docs) WHERE r = 1),
 eligible AS (SELECT *, DATE '{AS_OF}' - posted AS age,
@@ -72,7 +72,7 @@ WITH {FLOW}
 SELECT profile_id, seq AS ingest_seq, md5(key) AS key_md5, match_score, live_status,
   CASE WHEN dated THEN 'verified' ELSE 'approximate' END AS date_confidence,
   posted::VARCHAR AS posted_date, 'posted ' || age || 'd ago (≤60d)' AS eligibility_reason,
-  array_to_string(terms[1:20], '|') AS matched FROM reported JOIN retained USING (key)""")
+  array_to_string(terms, '|') AS matched FROM reported JOIN retained USING (key)""")
 def full_run(spark, d):
     """Observe, resolve, merge, window, check, match and rank in one go."""
     return result(spark, d).reported.select(

@@ -296,12 +296,12 @@ def linked(spark, d):
     docs = texts(spark, d, "documents")
     pages = table(spark, d, "pages").select("page_id", F.col("url").alias("apply_url"))
     page = F.when(F.col("doc_id") % 3 == 0, 2).when(F.col("doc_id") % 17 == 1, -1).otherwise(
-        F.col("doc_id") % 997)
+        F.col("doc_id"))
     return docs.select("doc_id", page.alias("page_id")).join(pages, "page_id", "left")
 
 
 LINKED = """link AS (SELECT doc_id, url FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2
-  WHEN doc_id % 17 = 1 THEN -1 ELSE doc_id % 997 END AS p FROM documents)
+  WHEN doc_id % 17 = 1 THEN -1 ELSE doc_id END AS p FROM documents)
   LEFT JOIN pages ON page_id = p),
 best AS (SELECT requested, min(CASE split_part(v, '#', 1) WHEN 'dead' THEN '0' WHEN 'live' THEN '1'
   ELSE '2' END || '#' || v) AS v FROM verdict GROUP BY requested)"""

@@ -41,7 +41,7 @@ STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 def role_sql(title, body):
     return (f"CASE WHEN regexp_matches({title}, '(?i)\\binternal\\b') THEN "
             f"regexp_matches({body}, '{V.ROLE_SIGNAL}') ELSE regexp_matches({title} || chr(10) || "
-            f"substr({body}, 1, {V.ROLE_LEAD_CHARS}), '{V.ROLE_SIGNAL}') END")
+            f"{body}, '{V.ROLE_SIGNAL}') END")
 
 
 def level_sql(title):
@@ -310,6 +310,16 @@ WITH {COMPANIES} SELECT company_key, row_number() OVER (ORDER BY
 FROM comp WHERE {FILTERED} ORDER BY company_rank LIMIT 40""")
 def company_rank(spark, d):
     """The 40 companies worth probing; the cap is the feature."""
+    out = C.rank_companies(C.filter_companies(companies(spark, d)), V.MAX_COMPANIES)
+    return out.select("company_key", F.col("company_rank").cast("bigint"))
+
+
+@query("company_rank_all", f"""
+WITH {COMPANIES} SELECT company_key, row_number() OVER (ORDER BY
+  NOT coalesce(team <= 50, false), NOT coalesce(year >= 2020, false), -coalesce(year, 0),
+  coalesce(team, 1000000), lower(name), company_key) AS company_rank
+FROM comp WHERE {FILTERED}""")
+def company_rank_all(spark, d):
     out = C.rank_companies(C.filter_companies(companies(spark, d)))
     return out.select("company_key", F.col("company_rank").cast("bigint"))
 
@@ -470,7 +480,7 @@ q AS (SELECT p_partkey, pos, trim(regexp_replace(concat_ws(' ', focus, phrase, t
   AS phrase, unnest(range({sum(map(len, V.QUERY_PHRASES.values()))})) AS pos,
   unnest(range({sum(map(len, V.QUERY_PHRASES.values()))})) >= {len(V.QUERY_PHRASES["general"] + V.QUERY_PHRASES["board"])} AS st))
 SELECT p_partkey AS profile_id, pos AS query_pos, query, st AS startup_query, l.location_pos, l.location
-FROM q, (VALUES (0, 'Boston'), (1, 'Remote')) l(location_pos, location)""")
+FROM q, (VALUES (0, 'Boston'), (1, 'Remote'), (2, 'Paris')) l(location_pos, location)""")
 def query_grid(spark, d):
     n = F.col("p_partkey")
     config = table(spark, d, "part").select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rolecast import values as V
 from rolecast.catalog.base import (NL, body_of, body_sql, joined, present_sql,
                                    profile_terms_ctes, query, texts, title_of, title_sql)
 from rolecast.operators import match as M, profile as P, terms as T
@@ -22,7 +23,7 @@ def profiles(spark, d):
 def terms(spark, d):
     """Terms are read several times by a match, so they are written once."""
     return checkpointed(P.profile_terms(profiles(spark, d), T.seed_lexicon(spark),
-                                        T.seed_synonyms(spark)))
+                                        T.seed_synonyms(spark), top_n=V.TOP_TERMS))
 
 
 PAIRS = f"""
@@ -79,7 +80,7 @@ FROM named""")
 def match_topk(spark, d):
     pt = terms(spark, d)
     best = M.best_pairs(M.match_pairs(postings(spark, d), pt), 10)
-    return M.with_term_lists(best, pt).select(
+    return M.with_term_lists(best, pt, V.MATCHED_SHOWN, V.MISSING_SHOWN, named=V.RATIONALE_SHOWN).select(
         "profile_id", "posting_id", F.col("match_score").cast("bigint"),
         F.col("pair_rank").cast("bigint"), joined("matched_keywords").alias("matched"),
         joined("missing_keywords").alias("missing"), "match_rationale")
@@ -124,7 +125,7 @@ WITH {PAIRS} SELECT profile_id, posting_id, md5('CANDIDATE PROFILE:' || {NL} ||
   || {NL} || {NL} || 'INTERNSHIP:' || {NL} || 'Company: ' || company || {NL} || 'Title: ' || title
   || {NL} || 'Location: ' || location || {NL} || 'Description:' || {NL}
   || CASE WHEN description_text = '' THEN '(no description available; score from the title)'
-     ELSE substr(description_text, 1, 4000) END || {NL} || {NL} || 'Score the fit.') AS prompt_md5
+     ELSE description_text END || {NL} || {NL} || 'Score the fit.') AS prompt_md5
 FROM pairs JOIN post USING (posting_id)""")
 def score_prompts(spark, d):
     people = profiles(spark, d).select(

@@ -33,7 +33,7 @@ def stream_observe(spark, d):
     job = observe_stream(event_stream(spark, d), root, f"{root}/offsets")
     job.awaitTermination()
     last = job.lastProgress["batchId"]
-    return ST.read_snapshot(spark, root, last).select(
+    return ST.read_snapshot(spark, root, last, ST.BATCHES).select(
         "key", "company", "url", "source", F.col("posted_date").cast("string"),
         epoch_us(F.col("first_seen")).alias("first_us"),
         epoch_us(F.col("last_seen")).alias("last_us"))

@@ -12,7 +12,7 @@ from rolecast.operators.common import checkpointed
 def bench_lexicon(spark, d):
     """The salient terms of the benchmark items, as a lexicon."""
     items = texts(spark, d, "benchmark")
-    terms = T.top_terms(items, "item_id").select("term").distinct()
+    terms = T.top_terms(items, "item_id", top_n=V.TOP_TERMS).select("term").distinct()
     return checkpointed(terms.withColumn("is_tool", F.length("term") > 8))
 
 
@@ -35,7 +35,7 @@ def term_counts(spark, d):
 WITH {top_ctes("t", "documents", "doc_id", "text", 40)}
 SELECT doc_id, term, n, weight, term_rank FROM t""")
 def top_terms(spark, d):
-    return T.top_terms(texts(spark, d, "documents")).select(
+    return T.top_terms(texts(spark, d, "documents"), top_n=V.TOP_TERMS).select(
         "doc_id", "term", "n", "weight", F.col("term_rank").cast("bigint").alias("term_rank"))
 
 
@@ -64,7 +64,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pl, term) AS pos
 SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS requirements
 FROM p WHERE pos <= 18 GROUP BY doc_id""")
 def requirements(spark, d):
-    out = T.requirements(texts(spark, d, "documents"), bench_lexicon(spark, d))
+    out = T.requirements(texts(spark, d, "documents"), bench_lexicon(spark, d), limit=V.REQUIREMENTS)
     return out.select("doc_id", joined("requirements").alias("requirements"))
 
 
@@ -172,7 +172,7 @@ SELECT profile_id, term, weight, term_rank FROM pt""")
 def profile_terms(spark, d):
     docs = texts(spark, d, "documents").select(F.col("doc_id").alias("profile_id"),
                                                with_headers(F.col("text")).alias("text"))
-    out = P.profile_terms(docs, T.seed_lexicon(spark), T.seed_synonyms(spark))
+    out = P.profile_terms(docs, T.seed_lexicon(spark), T.seed_synonyms(spark), top_n=V.TOP_TERMS)
     return out.withColumn("term_rank", F.col("term_rank").cast("bigint"))
 
 
@@ -199,7 +199,7 @@ f AS (SELECT profile_id, text,
 g AS (SELECT profile_id, t, row_number() OVER (PARTITION BY profile_id ORDER BY min(i)) AS r FROM (
   SELECT profile_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM f) GROUP BY profile_id, t)
 SELECT f.profile_id, degree, major, coalesce(titles, '') AS titles FROM f LEFT JOIN (
-  SELECT profile_id, string_agg(t, '|' ORDER BY r) AS titles FROM g WHERE r <= 12
+  SELECT profile_id, string_agg(t, '|' ORDER BY r) AS titles FROM g
   GROUP BY profile_id) USING (profile_id)""")
 def profile_facts(spark, d):
     body = F.col("text")

@@ -13,6 +13,9 @@ _DAY = r"([0-9]{1,2})(?:st|nd|rd|th)?"
 _MONTH_DAY = rf"(?i)\b{_MONTH}\.?\s+{_DAY}\b(?:,?\s+([0-9]{{4}}))?"
 _DAY_MONTH = rf"(?i)\b{_DAY}\s+{_MONTH}\b\.?,?(?:\s+([0-9]{{4}}))?"
 _ISO = r"\b([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?![0-9])"
+_SHORT = r"\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2})\b(?![/.-]?[0-9])"
+_YEAR_MONTH = r"\b([0-9]{4})[-/]([0-9]{1,2})\b(?![-/.0-9])"
+_MONTH_YEAR = rf"(?i)\b{_MONTH}\.?,?\s+([0-9]{{4}})\b"
 _SLASH = r"\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})\b"
 
 _RELATIVE = (r"(?i)\b(?:posted|updated)?\s*"
@@ -20,6 +23,7 @@ _RELATIVE = (r"(?i)\b(?:posted|updated)?\s*"
 _LOOSE_AGE = r"([0-9]+|a|an)\s+(day|week|month|year)s?"
 _COMPACT_AGE = (r"(?i)^([0-9]+)\s*(h|hr|hrs|d|day|days|w|wk|wks|mo|mos|month|months|y|yr)$")
 _LAST_SECOND = 253402300799  # end of the year 9999
+_MOST_DAYS = 719162 + 1000 * 365   # back to before the year 1, where dates end
 
 
 def day(c) -> Column:
@@ -43,8 +47,10 @@ def _month_number(name: Column) -> Column:
 
 def free_text_date(c: Column, as_of=None) -> Column:
     """First date written in a text, in these forms: 2026-06-01 (also / and .),
-    06/01/2026 (month first, day first when the first part is over 12), June 1 2026 and
-    1 June 2026. Without a year the year of `as_of` counts, or none without `as_of`.
+    06/01/2026 and 06/01/26 (month first, day first when the first part is over 12), June 1
+    2026, 1 June 2026, June 2026 and 2026-06. Without a year the year of `as_of` counts, or
+    none without `as_of`; without a day its day, or the first. Two digits of a year mean the
+    one less than 50 years ahead.
     """
     this_year = F.lit(None).cast("string") if as_of is None else F.year(day(as_of)).cast("string")
 
@@ -58,8 +64,24 @@ def free_text_date(c: Column, as_of=None) -> Column:
     slash = F.when(a.try_cast("int") > 12, _ymd(_group(c, _SLASH, 3), b, a)).otherwise(
         _ymd(_group(c, _SLASH, 3), a, b))
     iso = _ymd(_group(c, _ISO, 1), _group(c, _ISO, 2), _group(c, _ISO, 3))
-    return F.coalesce(F.when(c.rlike(_ISO), iso), F.when(a.isNotNull(), slash),
-                      named(_MONTH_DAY, 1, 2), named(_DAY_MONTH, 2, 1))
+    a, b, y = (_group(c, _SHORT, i) for i in (1, 2, 3))
+    full = F.lit(2000) + y.try_cast("int")
+    ahead = F.coalesce(this_year.cast("int"), F.lit(2000)) + 49
+    full = F.when(full > ahead, full - 100).otherwise(full).cast("string")
+    first_over = a.try_cast("int") > 12
+    short = _ymd(full, F.when(first_over, b).otherwise(a), F.when(first_over, a).otherwise(b))
+
+    def month_of(year, month):
+        first = _ymd(year, month, F.lit("1"))
+        if as_of is None:
+            return first
+        return F.least(F.date_add(first, F.dayofmonth(day(as_of)) - 1), F.last_day(first))
+
+    return F.coalesce(
+        F.when(c.rlike(_ISO), iso), F.when(_group(c, _SLASH, 1).isNotNull(), slash), F.when(a.isNotNull(), short),
+        named(_MONTH_DAY, 1, 2), named(_DAY_MONTH, 2, 1),
+        month_of(_group(c, _MONTH_YEAR, 2), _month_number(_group(c, _MONTH_YEAR, 1))),
+        month_of(_group(c, _YEAR_MONTH, 1), _group(c, _YEAR_MONTH, 2)))
 
 
 def epoch_date(c: Column) -> Column:
@@ -69,18 +91,21 @@ def epoch_date(c: Column) -> Column:
 
 
 def parse_date_loose(c: Column, as_of=None) -> Column:
-    """Date of a string: yyyyMMdd, an epoch, or free text; null when none is found."""
+    """Date of a string: yyyyMMdd, also before a time, an epoch with or without fraction, or
+    free text; null when none is found."""
     def parse(s: Column) -> Column:
-        compact = F.when(s.rlike("^(19|20)[0-9]{6}$"), F.try_to_date(s, "yyyyMMdd"))
-        return (F.when(s.rlike("^[0-9]+$"), F.coalesce(compact, epoch_date(s.try_cast("bigint"))))
-                .otherwise(free_text_date(s, as_of)))
+        compact = F.when(s.rlike("^(19|20)[0-9]{6}([T ][0-9]{2}:?[0-9]{2}.*)?$"),
+                         F.try_to_date(F.substring(s, 1, 8), "yyyyMMdd"))
+        whole = F.split_part(s, F.lit("."), F.lit(1))
+        return (F.when(s.rlike(r"^[0-9]+$|^[0-9]{7,}\.[0-9]+$"), F.coalesce(compact, epoch_date(whole.try_cast("bigint"))))
+                .otherwise(F.coalesce(compact, free_text_date(s, as_of))))
 
     return let(strip(text(c.cast("string"))), parse)
 
 
 def _days_back(as_of, n: Column, unit_days: Column) -> Column:
     n = n.try_cast("int")
-    return F.when(n.between(0, 200000), F.date_sub(day(as_of), (n * unit_days).cast("int")))
+    return F.when(n.cast("bigint") * unit_days <= _MOST_DAYS, F.date_sub(day(as_of), (n * unit_days).cast("int")))
 
 
 def relative_phrase(c: Column) -> Column:

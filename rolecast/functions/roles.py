@@ -7,12 +7,12 @@ from rolecast.functions.text import let, strip_markdown, text
 
 
 def has_role_signal(title: Column, body: Column | None = None,
-                    lead_chars: int | None = V.ROLE_LEAD_CHARS) -> Column:
+                    lead_chars: int | None = None) -> Column:
     """Is it a student role, by its title and the lead of its text?
 
-    A title with "internal" needs the signal in the text itself, all of it. The lead is
-    part of the meaning: far down, a full-time posting may mention interns.
-    `lead_chars=None` reads the whole text.
+    A title with "internal" needs the signal in the text itself. The whole text counts;
+    `lead_chars` (usually `V.ROLE_LEAD_CHARS`) takes only its lead, since far down a
+    full-time posting may mention interns.
     """
     body = text(body) if body is not None else F.lit("")
     lead = body if lead_chars is None else F.substring(body, 1, lead_chars)

@@ -175,3 +175,13 @@ def safe_int(c: Column) -> Column:
 
 def batch_year(c: Column) -> Column:
     return F.regexp_extract(text(c), r"(20[0-9]{2})", 1).try_cast("int")
+
+
+def first_n(items: Column, n: int | None) -> Column:
+    """The first n of a list; all without n."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def shortened(c: Column, chars: int | None) -> Column:
+    """The first characters of a text; all without a number."""
+    return c if chars is None else F.substring(c, 1, chars)

@@ -1,6 +1,7 @@
 """Building blocks that stay balanced when one key holds a large share of the rows."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -24,11 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so lost executors cost no recompute."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut the lineage through the shared folder, so lost executors cost no recompute.
+
+    Written as Parquet, so later readers take only the columns they use. Every call has a
+    folder of its own below `steps`, which is the caller's to remove after the run.
+    """
+    path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -56,11 +60,14 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     A right side under the size bound is broadcast. Beyond it the hot keys of the left
     side (more than 1/256 of its rows each, so a bounded list) are spread over
     `hot_splits` tasks and the right rows of just those keys are repeated. Finding them
-    reads the left keys once more.
+    reads the left keys once more. Rows with a null key match nothing and go everywhere.
     """
     if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), on, how)
-    counts = left.groupBy(*on).count()
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    counts = left.where(~missing).groupBy(*on).count()
     bound = counts.agg(F.sum("count") / HOT_SHARE).scalar()
     hot = F.broadcast(counts.where(F.col("count") > bound).select(*on, F.lit(True).alias("_hot")))
     # The rows of one hot key go round the splits by their content and partition: a
@@ -69,7 +76,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     content = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id())
     spread = F.pmod(content, F.lit(hot_splits))
     left = (left.join(hot, on, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int"))
+            .withColumn("_salt", F.when(F.col("_hot"), spread)
+                        .when(missing, F.pmod(content, F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
             .drop("_hot"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(hot_splits - 1))).otherwise(
         F.array(F.lit(0)))
@@ -82,7 +90,8 @@ def forward_fill(df: DataFrame, group: list[str], position: str, value: Column,
     """Carry the last non-null `value` down each group, in order of an integer position.
 
     Runs per chunk of positions, then carries one value per chunk over the chunk
-    heads, so a group of any size is spread over many tasks.
+    heads, so a group of any size is spread over many tasks. A null group is a group like any
+    other; rows with a null position come before all others of their group.
     """
     df = (df.withColumn("_value", value)
           .withColumn("_chunk", F.floor(F.col(position) / chunk)))
@@ -90,13 +99,14 @@ def forward_fill(df: DataFrame, group: list[str], position: str, value: Column,
               .rowsBetween(W.unboundedPreceding, 0))
     filled = df.withColumn(name, F.last("_value", ignorenulls=True).over(inside))
     # A chunk needs the tail of the nearest chunk before it that has one.
+    place = F.coalesce(F.col(position), F.lit(-(1 << 62)))
     tails = df.groupBy(*group, "_chunk").agg(F.max_by(
-        "_value", F.when(F.col("_value").isNotNull(), F.col(position))).alias("_tail"))
+        "_value", F.when(F.col("_value").isNotNull(), place)).alias("_tail"))
     before = (W.partitionBy(*group).orderBy("_chunk")
               .rowsBetween(W.unboundedPreceding, -1))
     carry = tails.select(*group, "_chunk",
                          F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-    return (filled.join(carry, [*group, "_chunk"])
+    return (_null_safe_join(filled, carry, [*group, "_chunk"])
             .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
             .drop("_value", "_chunk", "_carry"))
 
@@ -135,6 +145,22 @@ def number_rows(df: DataFrame, group: list[str], keys: list[Column], tie: str, n
             .drop(*parts, "_chunk", "_key_start", "_chunk_start", "_row"))
 
 
+def number_all(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in an order that ends in a unique column.
+
+    The rows are dealt out by ranges of the order and written; each range is numbered alone
+    and starts after the counts of those before it, one count per range.
+    """
+    parts = {f"_o{i}": c for i, c in enumerate(order)}
+    dealt = checkpointed(df.withColumns(parts).repartitionByRange(*parts).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*parts))
+    return (dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + inside)
+            .drop("_range", "_before", *parts))
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import text
+from rolecast.functions.text import first_n, shortened, text
 from rolecast.operators.common import is_small, lookup_join
 from rolecast.operators.terms import term_hits
 
@@ -60,9 +60,14 @@ def best_pairs(pairs: DataFrame, k: int, posting: str = "posting_id") -> DataFra
             .where(F.col("pair_rank") <= k))
 
 
-def with_term_lists(pairs: DataFrame, profile_terms: DataFrame, matched: int = 20,
-                    missing: int = 6, small: bool | None = None) -> DataFrame:
-    """Adds matched_keywords, missing_keywords and match_rationale, in weight order."""
+def with_term_lists(pairs: DataFrame, profile_terms: DataFrame, matched: int | None = None,
+                    missing: int | None = None, small: bool | None = None,
+                    named: int | None = None) -> DataFrame:
+    """Adds matched_keywords, missing_keywords and match_rationale, in weight order.
+
+    Lists are as long as a profile's terms; `matched`, `missing` and `named` (in the
+    rationale) shorten them, usually to `V.MATCHED_SHOWN`, `V.MISSING_SHOWN` and
+    `V.RATIONALE_SHOWN`."""
     # One list per profile, as long as its terms.
     lists = profile_terms.groupBy("profile_id").agg(
         F.array_sort(F.collect_list(F.struct("term_rank", "term", "weight"))).alias("_terms"))
@@ -72,24 +77,24 @@ def with_term_lists(pairs: DataFrame, profile_terms: DataFrame, matched: int = 2
     gap = F.filter("_terms", lambda t: (t["weight"] >= V.TOP_WEIGHT)
                    & ~F.array_contains(F.col("matched_ranks"), t["term_rank"]))
     names = lambda a: F.transform(a, lambda t: t["term"])
-    out = (out.withColumn("matched_keywords", F.slice(names(hit), 1, matched))
-           .withColumn("missing_keywords", F.slice(names(gap), 1, missing)))
-    return out.withColumn("match_rationale", rationale(F.col("matched_keywords"))).drop("_terms")
+    out = (out.withColumn("matched_keywords", first_n(names(hit), matched))
+           .withColumn("missing_keywords", first_n(names(gap), missing)))
+    return out.withColumn("match_rationale", rationale(names(hit), named)).drop("_terms")
 
 
 def missing_terms(pairs: DataFrame, profile_terms: DataFrame, posting: str = "posting_id",
-                  limit: int = 6) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """(profile_id, posting, term, missing_rank): heavy terms a posting does not mention."""
     lists = with_term_lists(pairs, profile_terms, missing=limit)
     return lists.select("profile_id", posting,
                         F.posexplode("missing_keywords").alias("missing_rank", "term"))
 
 
-def rationale(matched: Column) -> Column:
+def rationale(matched: Column, named: int | None = None) -> Column:
+    more = F.lit("") if named is None else F.when(F.size(matched) > named, " ...").otherwise("")
     return (F.when(F.size(matched) == 0, "Keyword match: no strong overlap with resume skills.")
             .otherwise(F.concat(F.lit("Keyword match on: "),
-                                F.array_join(F.slice(matched, 1, 8), ", "),
-                                F.when(F.size(matched) > 8, " ...").otherwise(""))))
+                                F.array_join(first_n(matched, named), ", "), more)))
 
 
 def score_all_for(postings: DataFrame, pairs: DataFrame, profile_id,
@@ -108,10 +113,10 @@ def at_least(scored: DataFrame, min_score: int) -> DataFrame:
 
 
 def score_prompts(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
-                  posting: str = "posting_id", text_chars: int = 4000) -> DataFrame:
+                  posting: str = "posting_id", text_chars: int | None = None) -> DataFrame:
     """(profile_id, posting, prompt): the outbox for an external scorer.
 
-    `text_chars` is the size of a prompt, not a saving here.
+    `text_chars` (usually `V.PROMPT_CHARS`) bounds the posting's text in a prompt.
     """
     p = lookup_join(pairs.select("profile_id", posting),
                     profiles.select("profile_id", "summary", "target_role"), ["profile_id"], "left")
@@ -128,26 +133,45 @@ def score_prompts(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
         F.lit("\n\nINTERNSHIP:\nCompany: "), text(F.col("company")),
         F.lit("\nTitle: "), text(F.col("title")), F.lit("\nLocation: "), text(F.col("location")),
         F.lit("\nDescription:\n"),
-        filled(F.substring(F.col("description_text"), 1, text_chars),
+        filled(shortened(F.col("description_text"), text_chars),
                "(no description available; score from the title)"),
         F.lit("\n\nScore the fit."))
     return full.select("profile_id", posting, prompt.alias("prompt"))
 
 
-SCORE_SCHEMA = ("score int, rationale string, matched_skills array<string>, "
+SCORE_SCHEMA = ("score string, rationale string, matched_skills array<string>, "
                 "missing_skills array<string>")
 
 
+def _score_body(answer: str) -> Column:
+    return F.regexp_extract(text(F.col(answer)), r"(?s)\{.*\}", 0)
+
+
 def parse_scores(raw: DataFrame, answer: str = "answer") -> DataFrame:
-    """Reads external answers: JSON, bare, in a code fence, or inside other words."""
-    body = F.regexp_extract(text(F.col(answer)), r"(?s)\{.*\}", 0)
-    return (raw.withColumn("_s", F.from_json(body, SCORE_SCHEMA))
-            .where(F.col("_s").isNotNull() & (body != ""))
-            .select(*[c for c in raw.columns if c != answer], "_s.*"))
+    """Reads external answers: JSON, bare, in a code fence, or inside other words.
+
+    A score may be any number, also in quotes; its whole part counts. Answers that hold no
+    valid JSON object have no row here but one in `unread_scores`.
+    """
+    body = _score_body(answer)
+    score = F.col("_s.score").try_cast("double")
+    whole = F.when(F.abs(score) <= 2147483647, F.when(score < 0, F.ceil(score)).otherwise(F.floor(score)))
+    rest = [F.col(f"_s.{c}") for c in ("rationale", "matched_skills", "missing_skills")]
+    return (raw.where(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull())
+            .withColumn("_s", F.from_json(body, SCORE_SCHEMA))
+            .select(*[c for c in raw.columns if c != answer], whole.cast("int").alias("score"), *rest))
+
+
+def unread_scores(raw: DataFrame, answer: str = "answer") -> DataFrame:
+    """The answers without a valid JSON object."""
+    return raw.where(F.try_parse_json(F.nullif(_score_body(answer), F.lit(""))).isNull())
+
 
+def override_scores(pairs: DataFrame, rescored: DataFrame, on: list[str], matched: int | None = None,
+                    missing: int | None = None) -> DataFrame:
+    """Replaces scores and lists where an external score exists; gaps keep our values.
 
-def override_scores(pairs: DataFrame, rescored: DataFrame, on: list[str]) -> DataFrame:
-    """Replaces scores and lists where an external score exists; gaps keep our values."""
+    `matched` and `missing` shorten the new lists, usually to `V.RESCORED_SHOWN`."""
     new = rescored.select(
         *on, F.col("score").alias("_score"), F.col("rationale").alias("_why"),
         F.col("matched_skills").alias("_hit"), F.col("missing_skills").alias("_gap"))
@@ -156,13 +180,13 @@ def override_scores(pairs: DataFrame, rescored: DataFrame, on: list[str]) -> Dat
 
     def listed(new_list, old, n):
         return F.when(F.size(F.coalesce(new_list, F.array().cast("array<string>"))) > 0,
-                      F.slice(new_list, 1, n)).otherwise(F.col(old))
+                      first_n(new_list, n)).otherwise(F.col(old))
 
     return (out.withColumn("match_score", score.cast("int"))
             .withColumn("match_rationale", F.trim(F.coalesce(F.nullif("_why", F.lit("")),
                                                              F.col("match_rationale"))))
-            .withColumn("matched_keywords", listed(F.col("_hit"), "matched_keywords", 20))
-            .withColumn("missing_keywords", listed(F.col("_gap"), "missing_keywords", 10))
+            .withColumn("matched_keywords", listed(F.col("_hit"), "matched_keywords", matched))
+            .withColumn("missing_keywords", listed(F.col("_gap"), "missing_keywords", missing))
             .drop("_score", "_why", "_hit", "_gap"))
 
 

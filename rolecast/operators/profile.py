@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import (first_filled, lines, normalize_term, squeeze, strip, text,
+from rolecast.functions.text import (first_filled, first_n, lines, normalize_term, squeeze, strip, text,
                                      title_case)
 from rolecast.operators import terms as T
 from rolecast.operators.common import checkpointed, is_small, lookup_join
@@ -67,13 +67,12 @@ def major(scope: Column) -> Column:
     return squeeze(F.regexp_extract(scope, pattern, 1))
 
 
-def experience_titles(scope: Column, limit: int = 12) -> Column:
-    """Job titles of a text, title case, each once, first `limit`."""
+def experience_titles(scope: Column, limit: int | None = None) -> Column:
+    """Job titles of a text, title case, each once; the first `limit` if given."""
     pattern = (r"(?i)\b((?:" + "|".join(V.TITLE_QUALIFIERS) + r")\s+(?:"
                + "|".join(V.TITLE_NOUNS) + r")|" + "|".join(V.TITLE_SHORT) + r")\b")
     found = F.regexp_extract_all(scope, F.lit(pattern), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(found, lambda t: title_case(F.lower(squeeze(t))))),
-                   1, limit)
+    return first_n(F.array_distinct(F.transform(found, lambda t: title_case(F.lower(squeeze(t))))), limit)
 
 
 def person_name(preamble: Column) -> Column:
@@ -95,9 +94,10 @@ def _owned(frame: DataFrame, terms: Column) -> DataFrame:
 
 
 def profile_terms(profiles: DataFrame, lexicon: DataFrame, synonyms: DataFrame,
-                  stopwords=V.STOPWORDS) -> DataFrame:
+                  stopwords=V.STOPWORDS, top_n: int | None = None) -> DataFrame:
     """(profile_id, term, weight, term_rank): all weighted terms of each profile.
 
+    `top_n` (usually `V.TOP_TERMS`) bounds the generic terms of a text, if given.
     `profiles` has profile_id, text and, when known, target_role and priority_keywords.
     """
     p = split_sections(profiles)
@@ -115,8 +115,8 @@ def profile_terms(profiles: DataFrame, lexicon: DataFrame, synonyms: DataFrame,
     found = hits.where("in_text").select("profile_id", "term")
     in_sections = hits.where("in_strong").select("profile_id", "term")
     # A document's words rank by first use; the layers below keep only their weights.
-    generic_active = T.top_terms(active, "profile_id", "text", 40, stopwords)
-    generic_all = T.top_terms(p, "profile_id", "text", 40, stopwords)
+    generic_active = T.top_terms(active, "profile_id", "text", top_n, stopwords)
+    generic_all = T.top_terms(p, "profile_id", "text", top_n, stopwords)
     roles = _owned(p, role_terms(F.col("target_role")))
     pinned = (_owned(p, F.transform("priority_keywords", lambda k: F.lower(strip(k))))
               .where("term <> ''"))
@@ -172,11 +172,14 @@ def parse_profiles(profiles: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.withColumn("summary", profile_summary())
 
 
-def profile_summary() -> Column:
-    """Summary text over the columns of `parse_profiles`."""
-    def listed(label, c, n):
-        return F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "),
-                                              F.array_join(F.slice(c, 1, n), ", "), F.lit(".")))
+def profile_summary(shown: dict[str, int] | None = None) -> Column:
+    """Summary text over the columns of `parse_profiles`; `shown` (usually `V.SUMMARY_SHOWN`)
+    bounds its lists."""
+    shown = shown or {}
+
+    def listed(label, c, part):
+        return F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(
+            first_n(c, shown.get(part)), ", "), F.lit(".")))
 
     who = strip(F.concat_ws(" ", F.nullif("degree", F.lit("")), F.nullif("major", F.lit(""))))
     other = F.array_except("skills", "tools_languages")
@@ -185,7 +188,7 @@ def profile_summary() -> Column:
         F.when(who != "", F.concat(F.lit("Candidate pursuing "), who, F.lit("."))),
         F.when(F.col("target_role") != "",
                F.concat(F.lit("Target roles: "), F.col("target_role"), F.lit("."))),
-        listed("Tools/languages", F.col("tools_languages"), 18),
-        listed("Skills/concepts", other, 25),
-        listed("Coursework", F.col("coursework"), 12),
-        listed("Prior roles", F.col("experience_titles"), 8))
+        listed("Tools/languages", F.col("tools_languages"), "tools"),
+        listed("Skills/concepts", other, "skills"),
+        listed("Coursework", F.col("coursework"), "coursework"),
+        listed("Prior roles", F.col("experience_titles"), "titles"))

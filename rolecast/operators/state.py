@@ -119,15 +119,30 @@ def run_counters(fetched: DataFrame, merged: DataFrame, checked: DataFrame,
 
 # ---- snapshots -------------------------------------------------------------
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> None:
+RUNS, BATCHES = "state", "stream_state"   # snapshots by run and by micro-batch
+
+
+def write_snapshot(df: DataFrame, root: str, version: int, kind: str = RUNS) -> None:
     """Writes a snapshot; writing the same version again replaces it."""
-    df.write.mode("overwrite").parquet(f"{root}/state/version={version}")
+    df.write.mode("overwrite").parquet(f"{root}/{kind}/version={version}")
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int | None) -> DataFrame:
+def read_snapshot(spark: SparkSession, root: str, version: int | None, kind: str = RUNS) -> DataFrame:
     if version is None:
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/state/version={version}")
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/{kind}/version={version}")
+
+
+def newest_snapshot(spark: SparkSession, root: str, kind: str = RUNS) -> int | None:
+    """The highest version with rows under `root`, or None. A snapshot that is being written
+    has no files yet, so only complete ones count."""
+    try:
+        found = spark.read.schema(f"{STATE_SCHEMA}, version int").option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}")
+    except Exception as e:  # none yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found.agg(F.max("version")).first()[0]
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

@@ -80,14 +80,17 @@ def term_weight(n: Column, is_phrase: Column) -> Column:
     return F.round(F.least(w, F.lit(0.95)), 3)
 
 
-def top_terms(docs: DataFrame, doc: str = "doc_id", body: str = "text", top_n: int = 40,
+def top_terms(docs: DataFrame, doc: str = "doc_id", body: str = "text", top_n: int | None = None,
               stopwords=V.STOPWORDS) -> DataFrame:
-    """(doc, term, n, weight, term_rank): the most salient terms of each document."""
+    """(doc, term, n, weight, term_rank): the terms of each document, most salient first;
+    `top_n` of them (usually `V.TOP_TERMS`) if given."""
     counts = term_counts(docs, doc, body, stopwords)
     order = W.partitionBy(doc).orderBy(
         (F.col("n") * 2 + F.col("is_phrase").cast("int")).desc(), "first_pos")
-    return (counts.withColumn("term_rank", F.row_number().over(order))
-            .where(F.col("term_rank") <= top_n)
+    ranked = counts.withColumn("term_rank", F.row_number().over(order))
+    if top_n is not None:
+        ranked = ranked.where(F.col("term_rank") <= top_n)
+    return (ranked
             .select(doc, "term", "n", term_weight(F.col("n"), F.col("is_phrase")).alias("weight"),
                     "term_rank"))
 
@@ -181,18 +184,21 @@ def merge_weights(layers: list[DataFrame], owner: str = "profile_id") -> DataFra
 
 
 def requirements(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", body: str = "text",
-                 limit: int = 18, stopwords=V.STOPWORDS, small: bool | None = None) -> DataFrame:
-    """(doc, requirements): known terms, longest first, then salient terms, `limit` in all."""
+                 limit: int | None = None, stopwords=V.STOPWORDS, small: bool | None = None) -> DataFrame:
+    """(doc, requirements): known terms, longest first, then salient terms; `limit` in all
+    (usually `V.REQUIREMENTS`) if given, else as many as the text has."""
     known = (known_terms(docs, lexicon, doc, body, small)
              .select(doc, "term", (F.lit(_PHRASE) - F.length("term")).alias("_at")))
-    salient = (top_terms(docs, doc, body, limit * 2, stopwords)
+    salient = (top_terms(docs, doc, body, None if limit is None else limit * 2, stopwords)
                .select(doc, "term", (F.lit(_PHRASE) + F.col("term_rank")).alias("_at")))
     # One exchange by document serves both groupings and the ranking.
     once = (known.unionByName(salient).repartition(F.col(doc))
             .groupBy(doc, "term").agg(F.min("_at").alias("_at")))
     order = W.partitionBy(doc).orderBy("_at", "term")
-    kept = once.withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= limit)
-    # At most `limit` rows per document reach this list.
+    kept = once.withColumn("_pos", F.row_number().over(order))
+    if limit is not None:
+        kept = kept.where(F.col("_pos") <= limit)
+    # A list is as long as the terms of one document, at most.
     return (kept.groupBy(doc)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "term"))).alias("_l"))
             .select(doc, F.transform("_l", lambda x: x["term"]).alias("requirements")))

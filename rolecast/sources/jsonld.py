@@ -13,47 +13,50 @@ from rolecast.sources.listing import normalize
 _BLOCK = (r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>"""
           r"""(.*?)</script\s*>""")
 _CDATA = r"^//<!\[CDATA\[|//\]\]>$"
-DEPTH = 4
+DEPTH = 12   # lists and graphs inside each other; a number only because a row has no loop
 
 
 def get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _items(v: Column) -> Column:
-    """The members of an array value, else the value itself, as a list."""
-    listed = get(v, "$", "array<variant>")
-    return F.when(listed.isNotNull(), listed).when(v.isNotNull(), F.array(v)).otherwise(
-        F.array().cast("array<variant>"))
+def _opened(e: Column) -> Column:
+    """One step of the walk: a list gives its members, an object with a @graph the members of
+    that and itself, any other value itself. `done` marks what needs no further step."""
+    def waiting(items: Column) -> Column:
+        return F.transform(items, lambda x: F.struct(x.alias("v"), F.lit(False).alias("done")))
 
+    v = e["v"]
+    itself = F.array(F.struct(v.alias("v"), F.lit(True).alias("done")))
+    listed, graph = get(v, "$", "array<variant>"), get(v, "$['@graph']", "array<variant>")
+    return (F.when(e["done"], F.array(e)).when(listed.isNotNull(), waiting(listed))
+            .when(graph.isNotNull(), F.concat(waiting(graph), itself)).otherwise(itself))
 
-def _graph(v: Column) -> Column:
-    """The members of @graph before the object itself."""
-    inner = get(v, "$['@graph']", "array<variant>")
-    return F.when(inner.isNotNull(), F.concat(inner, F.array(v))).otherwise(F.array(v))
+
+def _walked(html: Column, depth: int) -> Column:
+    blocks = F.regexp_extract_all(text(html), F.lit(_BLOCK), F.lit(1))
+    blocks = F.filter(blocks, lambda b: b.contains("JobPosting"))
+    found = F.transform(blocks, lambda b: F.struct(
+        F.try_parse_json(strip(F.regexp_replace(strip(b), _CDATA, ""))).alias("v"), F.lit(False).alias("done")))
+    found = F.filter(found, lambda e: e["v"].isNotNull())
+    for _ in range(depth):
+        found = F.flatten(F.transform(found, _opened))
+    return found
 
 
 def json_objects(html: Column, depth: int = DEPTH) -> Column:
-    """array<variant>: the objects of all JSON-LD blocks that name a posting.
+    """array<variant>: the values of all JSON-LD blocks that name a posting.
 
-    Nested lists and @graph members are opened `depth` levels down; `unopened` counts
-    what lies deeper.
+    Lists and @graph members are opened wherever they stand, nested up to `depth` times;
+    `unopened` counts what lies deeper.
     """
-    blocks = F.regexp_extract_all(text(html), F.lit(_BLOCK), F.lit(1))
-    blocks = F.filter(blocks, lambda b: b.contains("JobPosting"))
-    clean = F.transform(blocks, lambda b: strip(F.regexp_replace(strip(b), _CDATA, "")))
-    found = F.flatten(F.transform(clean, lambda b: _items(F.try_parse_json(b))))
-    for _ in range(depth - 1):
-        found = F.flatten(F.transform(found, _items))
-    found = F.flatten(F.transform(found, _graph))
-    return F.flatten(F.transform(found, _items))
+    done = F.filter(_walked(html, depth), lambda e: e["done"])
+    return F.transform(done, lambda e: e["v"])
 
 
 def unopened(html: Column, depth: int = DEPTH) -> Column:
-    """How many values below a page's JSON-LD lie deeper than `json_objects` opens."""
-    deeper = F.filter(json_objects(html, depth), lambda v: F.coalesce(
-        get(v, "$", "array<variant>").isNotNull(), F.lit(False)))
-    return F.size(deeper)
+    """How many values of a page's JSON-LD lie deeper than `json_objects` opens."""
+    return F.size(F.filter(_walked(html, depth), lambda e: ~e["done"]))
 
 
 def is_posting(o: Column) -> Column:
@@ -101,14 +104,14 @@ def open_flag(html: Column, as_of, title_filter: bool = True) -> Column:
     """False when any posting of the page has expired, true when it has postings, else
     null. Read inside the row: no page is taken apart and gathered again."""
     ends = F.transform(posting_objects(html, title_filter),
-                       lambda o: parse_date_loose(get(o, "$.validThrough")))
+                       lambda o: parse_date_loose(get(o, "$.validThrough"), as_of))
     verdict = let(ends, lambda e: F.when(
         F.exists(e, lambda d: F.coalesce(d < day(as_of), F.lit(False))), F.lit(False))
         .when(F.size(e) > 0, F.lit(True)))
     return F.when(text(html).contains("JobPosting"), verdict)
 
 
-def page_postings(pages: DataFrame, title_filter: bool = True) -> DataFrame:
+def page_postings(pages: DataFrame, title_filter: bool = True, as_of=None) -> DataFrame:
     """Postings of pages (url, html)."""
     rows = (pages.where(F.col("html").contains("JobPosting"))
             .select("url", F.explode(json_objects(F.col("html"))).alias("_o")))
@@ -129,7 +132,7 @@ def page_postings(pages: DataFrame, title_filter: bool = True) -> DataFrame:
         location=F.col("_loc"), apply_url=link, source=F.lit("schemaorg"),
         description_text=F.col("_text"), level=infer_level(F.col("_title")),
         work_mode=detect_work_mode(F.col("_loc"), F.col("_text")),
-        posted_date=parse_date_loose(get(o, "$.datePosted")),
-        deadline=parse_date_loose(get(o, "$.validThrough")),
+        posted_date=parse_date_loose(get(o, "$.datePosted"), as_of),
+        deadline=parse_date_loose(get(o, "$.validThrough"), as_of),
         date_confidence=F.lit(V.VERIFIED), date_source=F.lit("schema.org datePosted"),
         raw=o)

@@ -42,8 +42,9 @@ def raw_of(**fields: Column) -> Column:
 
 
 def with_requirements(listings: DataFrame, lexicon: DataFrame, seq: str = "ingest_seq",
-                      limit: int = 18) -> DataFrame:
-    """Fills empty requirement lists from the description text, by a unique row id."""
+                      limit: int | None = None) -> DataFrame:
+    """Fills empty requirement lists from the description text, by a unique row id; `limit`
+    (usually `V.REQUIREMENTS`) bounds a list, if given."""
     from rolecast.operators.terms import requirements
 
     bare = F.coalesce(F.array_size("requirements"), F.lit(0)) == 0

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from rolecast import values as V
 from rolecast.functions.dates import parse_relative_date
 from rolecast.functions.roles import detect_work_mode, has_role_signal, infer_level
-from rolecast.functions.text import first_filled, let, strip, text
+from rolecast.functions.text import first_filled, first_n, let, shortened, strip, text
 from rolecast.operators.common import computed
 from rolecast.sources.listing import normalize, raw_of
 
@@ -16,13 +16,17 @@ SEARCH_SCHEMA = (
     "detected_extensions:struct<posted_at:string>,apply_options:array<struct<link:string>>>>")
 
 
-def search_postings(pages: DataFrame, as_of, max_results: int | None = 250,
-                    max_per_query: int | None = 20, max_pages: int | None = 2) -> DataFrame:
-    """Postings of landed result pages, capped per query and in all.
+USUAL_CAPS, USUAL_GRID = V.SEARCH_CAPS, V.GRID_CAPS
+
+
+def search_postings(pages: DataFrame, as_of, max_results: int | None = None,
+                    max_per_query: int | None = None, max_pages: int | None = None,
+                    about_chars: int | None = None) -> DataFrame:
+    """Postings of landed result pages.
 
     `pages` has query_pos, query, location, page (from 1), startup_query, jobs_results.
-    The caps belong to the search: a crawl keeps so many rows per query and in all, in
-    the order it asked. None lifts a cap.
+    A crawl may keep so many rows per query and in all, in the order it asked: pass caps,
+    usually `USUAL_CAPS`. Without, every row stays.
     """
     if max_pages is not None:
         pages = pages.where(F.col("page") <= max_pages)
@@ -46,7 +50,7 @@ def search_postings(pages: DataFrame, as_of, max_results: int | None = 250,
         jobs, company=F.coalesce("j.company_name", F.lit("(unknown)")), title=F.col("_title"),
         location=place, apply_url=first_filled(F.get(links, F.lit(0)), F.col("j.share_link")),
         source=F.concat(F.lit("serpapi:"), F.when(startup, "startup:").otherwise(""), via),
-        description_text=F.col("_text"), company_description=F.substring("_text", 1, 240),
+        description_text=F.col("_text"), company_description=shortened(F.col("_text"), about_chars),
         is_startup=F.when(startup, F.lit(True)), level=infer_level(F.col("_title")),
         work_mode=detect_work_mode(place, F.col("_text")), posted_date=posted,
         date_confidence=F.when(posted.isNotNull(), V.APPROXIMATE).otherwise(V.UNVERIFIED),
@@ -56,22 +60,25 @@ def search_postings(pages: DataFrame, as_of, max_results: int | None = 250,
                    startup_query=startup))
 
 
-def focus_terms(target_role: Column, priority_keywords: Column) -> Column:
-    """Up to three parts of the stated role, else up to four priority keywords."""
+def focus_terms(target_role: Column, priority_keywords: Column, max_role_parts: int | None = None,
+                max_keywords: int | None = None) -> Column:
+    """The parts of the stated role, else the priority keywords; so many of them at most."""
     clean = lambda a: F.filter(F.transform(a, strip), lambda t: t != "")
-    role = F.slice(clean(F.split(text(target_role), "[,/]")), 1, 3)
-    words = clean(F.slice(F.coalesce(priority_keywords, F.array().cast("array<string>")), 1, 4))
+    role = first_n(clean(F.split(text(target_role), "[,/]")), max_role_parts)
+    words = clean(first_n(F.coalesce(priority_keywords, F.array().cast("array<string>")), max_keywords))
     return F.when(strip(text(target_role)) != "", role).otherwise(words)
 
 
 def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
                board_breadth: bool = True, startup_breadth: bool = False,
-               max_locations: int = 2) -> DataFrame:
+               max_locations: int | None = None, max_role_parts: int | None = None,
+               max_keywords: int | None = None) -> DataFrame:
     """(profile_id, query_pos, query, startup_query, location_pos, location).
 
     `config` has profile_id, target_role, priority_keywords, term, remote_preference and
     locations. Each profile yields each query text once, ignoring case, at its first
-    place. The phrase lists are constants, so all is made inside the row.
+    place. The phrase lists are constants, so all is made inside the row. The limits are
+    usually `USUAL_GRID`; without, all parts, keywords and locations are used.
     """
     phrases = phrases or V.QUERY_PHRASES
     classes = ["general"] + ["board"] * board_breadth + ["startup"] * startup_breadth
@@ -81,7 +88,8 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
     for k, v in V.WORK_MODE_SUFFIX.items():
         suffix_word = F.when(mode == k, v).otherwise(suffix_word)
     config = config.select("profile_id", "locations", F.struct(
-        F.array_join(focus_terms(F.col("target_role"), F.col("priority_keywords")), " ").alias("focus"),
+        F.array_join(focus_terms(
+            F.col("target_role"), F.col("priority_keywords"), max_role_parts, max_keywords), " ").alias("focus"),
         strip(text(F.col("term"))).alias("term"), suffix_word.alias("mode")).alias("_p"))
     focus, term, suffix_word = F.col("_p.focus"), F.col("_p.term"), F.col("_p.mode")
 
@@ -97,8 +105,8 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
                       for p, s in rows])
     once = let(asked, lambda all_: F.filter(all_, lambda a, i: ~F.exists(
         F.slice(all_, F.lit(1), i), lambda b: F.lower(b["query"]) == F.lower(a["query"]))))
-    places = F.slice(F.filter(F.transform(F.coalesce("locations", F.array().cast("array<string>")),
-                                          strip), lambda p: p != ""), 1, max_locations)
+    places = first_n(F.filter(F.transform(F.coalesce("locations", F.array().cast("array<string>")),
+                                          strip), lambda p: p != ""), max_locations)
     places = let(places, lambda p: F.when(F.size(p) > 0, p).otherwise(
         F.array(F.lit(V.DEFAULT_LOCATION))))
     rows = config.select("profile_id", once.alias("_once"), places.alias("_places"))

@@ -12,15 +12,20 @@ def seen_times(rows: DataFrame, key: str = "key", ts: str = "ts", url: str = "ur
 
 
 def observe_stream(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
-    """Folds each micro-batch into the next state snapshot under `root`.
+    """Folds each micro-batch into the next state snapshot under `root`/stream_state.
 
     The stream has the posting fields, key, seen_at and ingest_seq. Batch n reads
-    snapshot n-1 and writes snapshot n, so a batch run twice leaves the same state.
+    snapshot n-1 and writes snapshot n, so a batch run twice leaves the same state. The first
+    batch of a new stream starts from the newest snapshot of the runs under `root`.
     """
     def fold(batch: DataFrame, n: int) -> None:
         # The batch has its own session, which carries the settings of the stream.
-        prev = st.read_snapshot(batch.sparkSession, root, n - 1 if n else None)
-        st.write_snapshot(st.observe(prev, batch), root, n)
+        spark = batch.sparkSession
+        if n:
+            prev = st.read_snapshot(spark, root, n - 1, st.BATCHES)
+        else:
+            prev = st.read_snapshot(spark, root, st.newest_snapshot(spark, root))
+        st.write_snapshot(st.observe(prev, batch), root, n, st.BATCHES)
 
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

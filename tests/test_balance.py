@@ -30,6 +30,30 @@ def test_hot_keys_are_spread(spark):
     assert "_salt" in plan
 
 
+def test_null_keys_are_spread(spark):
+    left = spark.range(0, 8000, numPartitions=4).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    right = spark.range(0, 8000, 7).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = K.lookup_join(left, right, ["k"], "left", small=False)
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 8000 and max(sizes) < 2 * 8000 / 4
+    assert got.where("x = 1").count() == left.join(right, "k").count()
+
+
+def test_ranges_are_numbered(spark):
+    df = hot(spark).where("k is not null")
+    order = [F.col("k").desc(), F.col("i")]
+    plain = df.withColumn("r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+    assert sorted(K.number_all(df, [F.col("v"), F.col("i")], "r").select("r").collect()) == sorted(plain.select("r").collect())
+    got = K.number_all(df, [F.col("v"), F.col("i")], "r").orderBy("r").select("v", "i").collect()
+    assert got == sorted(got)
+
+
 def test_equal_rows_of_a_hot_key(spark):
     left = spark.range(0, 3000, numPartitions=8).select(F.lit("hot").alias("k"))
     right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
@@ -43,7 +67,8 @@ def test_size_check(spark):
 
 
 def test_forward_fill_over_chunks(spark):
-    df = hot(spark).where("k is not null")
+    df = hot(spark)
+    assert df.where("k is null").count() > 0
     value = F.when(F.col("v") == 3, F.col("i"))
     plain = df.withColumn("f", F.last(value, True).over(W.partitionBy("k").orderBy("i").rowsBetween(
         W.unboundedPreceding, 0)))

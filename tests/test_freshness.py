@@ -160,16 +160,16 @@ def test_run_log_and_difference(spark, tmp_path):
 
 def test_two_whole_runs(spark, table, tmp_path):
     lex, syn = T.seed_lexicon(spark), T.seed_synonyms(spark)
-    people = spark.createDataFrame([(7, "SKILLS: Verilog, FPGA")], "profile_id long, text string")
+    people = spark.createDataFrame([(7, "SKILLS: Violin, Viola")], "profile_id long, text string")
     terms = P.profile_terms(people, lex, syn)
-    rows = [posting(0, company="Chip", title="FPGA Intern", source="greenhouse:chip", apply_url="http://chip/1",
-                    posted_date=days(-3), date_confidence="verified", description_text="Verilog work"),
-            posting(1, company="Chip", title="FPGA intern", source="serpapi:x"),
-            posting(2, company="Old", title="FPGA Intern", posted_date=days(-200), date_confidence="verified"),
-            posting(3, company="Gone", title="Verilog Intern", apply_url="http://gone/1"),
-            posting(4, company="Mystery", title="RTL Intern", description_text="hdl")]
-    crawled = spark.createDataFrame([("http://chip/1", "http://chip/1", 200, False, "", "open"),
-                                     ("http://gone/1", "", 410, False, "", "")], CRAWL)
+    rows = [posting(0, company="Shut Stage", title="Violin Intern", apply_url="http://shut/4"),
+            posting(1, company="Loft Quartet", title="Viola  intern", source="serpapi:x"),
+            posting(2, company="Loft Quartet", title="Viola Intern", source="lever:loft", apply_url="http://loft/2",
+                    posted_date=days(-12), date_confidence="verified", description_text="Violin parts"),
+            posting(3, company="Long Ago", title="Viola Intern", posted_date=days(-61), date_confidence="verified"),
+            posting(4, company="Quiet Hall", title="Strings Intern", description_text="fiddle")]
+    crawled = spark.createDataFrame([("http://loft/2", "http://loft/2", 200, False, "", "open"),
+                                     ("http://shut/4", "", 410, False, "", "")], CRAWL)
 
     def go(listings, state, at):
         return R.run(table(*listings).drop("first_seen"), terms, crawled, state, AS_OF, at)
@@ -178,26 +178,26 @@ def test_two_whole_runs(spark, table, tmp_path):
     one = ST.start_run(spark, root, datetime(2026, 7, 1))
     first = go(rows, ST.read_snapshot(spark, root, None), "2026-07-01 08:00:00")
     shown = {r["company"]: r for r in first.reported.collect()}
-    assert set(shown) == {"Chip", "Mystery"} and shown["Chip"]["match_score"] > 30
-    assert shown["Chip"]["n_merged"] == 2 and shown["Mystery"]["date_confidence"] == "approximate"
+    assert set(shown) == {"Loft Quartet", "Quiet Hall"} and shown["Loft Quartet"]["match_score"] > 30
+    assert shown["Loft Quartet"]["n_merged"] == 2 and shown["Quiet Hall"]["date_confidence"] == "approximate"
     counts = first.counters.first().asDict()
     assert counts == {"n_fetched": 5, "n_listings": 4, "n_eligible": 3, "n_dead": 1,
                       "n_retained": 2, "n_reported": 2}
     assert {r["change"] for r in R.record(first, root, one, datetime(2026, 7, 1)).collect()} == {"new"}
     two = ST.start_run(spark, root, datetime(2026, 7, 2))
-    second = go([rows[4], posting(9, company="New", title="FPGA Intern")],
+    second = go([rows[4], posting(9, company="Fresh Reed", title="Viola Intern")],
                 ST.read_snapshot(spark, root, one), "2026-07-02 08:00:00")
     change = {r["key"]: r["change"] for r in R.record(second, root, two, datetime(2026, 7, 2)).collect()}
-    assert change == {"new|fpga intern|": "new", "chip|fpga intern|": "closed"}
+    assert change == {"fresh reed|viola intern|": "new", "loft quartet|viola intern|": "closed"}
     state = ST.read_snapshot(spark, root, two)
-    assert {r["key"]: r["first_seen"].day for r in state.collect()}["mystery|rtl intern|"] == 1
+    assert {r["key"]: r["first_seen"].day for r in state.collect()}["quiet hall|strings intern|"] == 1
 
     cards = RP.cards(first.reported, AS_OF).collect()
-    assert any("### 1. Chip — FPGA Intern" in c["markdown"] for c in cards)
+    assert any("### 1. Loft Quartet — Viola Intern" in c["markdown"] for c in cards)
     RF.write_cards(RP.cards(first.reported, AS_OF), f"{root}/cards")
     assert spark.read.text(f"{root}/cards").where("value like '### 1.%'").count() == 1
     RF.write_json(first.reported, f"{root}/json", "now")
-    assert {r["posted_date"] for r in RF.read_json(spark, f"{root}/json").collect()} == {days(-3), AS_OF}
+    assert {r["posted_date"] for r in RF.read_json(spark, f"{root}/json").collect()} == {days(-12), AS_OF}
 
 
 def test_tie_order_and_sections(table):

@@ -22,13 +22,13 @@ def landed(spark, tmp_path, schema, *records, multi_line=False):
 
 def test_nested_board_and_corrupt_records(spark, tmp_path):
     good, bad = landed(spark, tmp_path, B.NESTED_SCHEMA, {"slug": "acme-co", "jobs": [
-        {"id": 1, "title": " Data Intern ", "content": "&lt;p&gt;Use SQL&lt;/p&gt;",
+        {"id": 1, "title": " Data Intern ", "content": "&lt;p&gt;Use Oboe&lt;/p&gt;",
          "location": {"name": "Remote"}, "absolute_url": "u", "updated_at": "2026-06-01T10:00:00-04:00"},
         {"id": 2, "title": "Engineer", "content": "full time"}]}, "{broken")
     r = B.nested_board(good, spark.createDataFrame([("zed", "Zed")], "slug string, name string")).collect()
     assert len(r) == 1 and bad.count() == 1
     r = r[0]
-    assert (r["company"], r["title"], r["description_text"]) == ("Acme Co", "Data Intern", "Use SQL")
+    assert (r["company"], r["title"], r["description_text"]) == ("Acme Co", "Data Intern", "Use Oboe")
     assert (r["posted_date"], r["work_mode"], r["source"]) == (date(2026, 6, 1), "remote", "greenhouse:acme-co")
 
 
@@ -60,29 +60,50 @@ def test_user_export(spark, tmp_path):
     assert len(r) == 1 and r[0]["is_startup"] and r[0]["posted_date"] == date(2026, 6, 1)
 
 
+def test_nested_json_ld(spark):
+    def one(title, **more):
+        return {"@type": "JobPosting", "title": title, **more}
+
+    deep = one("Deep Intern")
+    for _ in range(9):
+        deep = [deep]
+    rows = [("graph in graph", {"@graph": [{"@graph": [one("A Intern"), {"@graph": [one("B Intern")]}]}]}),
+            ("list in graph", {"@graph": [[one("C Intern")], [[one("D Intern")]]]}), ("nine lists", deep),
+            ("posting with graph", one("E Intern", **{"@graph": [one("F Intern", validThrough="2026-01-01")]})),
+            ("graph of no list", one("G Intern", **{"@graph": {"x": 1}}))]
+    pages = spark.createDataFrame([(u, ld(json.dumps(b))) for u, b in rows], "url string, html string")
+    got = sorted((r["apply_url"], r["title"][0]) for r in J.page_postings(pages).collect())
+    assert got == [("graph in graph", "A"), ("graph in graph", "B"), ("graph of no list", "G"), ("list in graph", "C"),
+                   ("list in graph", "D"), ("nine lists", "D"), ("posting with graph", "E"), ("posting with graph", "F")]
+    flags = dict(pages.select("url", J.open_flag(F.col("html"), AS_OF)).collect())
+    assert flags["posting with graph"] is False and flags["graph in graph"] is True
+    assert pages.select(F.sum(J.unopened(F.col("html")))).first()[0] == 0
+    assert pages.select(F.sum(J.unopened(F.col("html"), 3))).first()[0] > 0
+
+
 def ld(body):
     return f'<html><script type="application/ld+json">{body}</script></html>'
 
 
 def test_json_ld(spark):
-    one = {"@type": "JobPosting", "title": "Firmware Intern", "datePosted": "2026-06-10",
-           "validThrough": "2026-12-31", "hiringOrganization": {"name": "ChipCo"},
-           "jobLocation": [{"address": {"addressLocality": "Austin", "addressCountry": {"name": "US"}}}],
-           "description": "Work on &lt;b&gt;RTOS&lt;/b&gt;"}
+    one = {"@type": "JobPosting", "title": "Gallery Intern", "datePosted": "2026-05-04",
+           "validThrough": "2026-11-20", "hiringOrganization": {"name": "Museo Lago", "url": "https://lago.example"},
+           "jobLocation": {"address": {"addressLocality": "Lugano", "addressRegion": "TI", "addressCountry": "CH"}},
+           "description": "Hang &lt;em&gt;prints&lt;/em&gt;"}
     rows = [("a", ld(json.dumps(one))), ("b", ld(json.dumps([[one]]))),
             ("c", ld(json.dumps({"@graph": [dict(one, **{"@type": ["X", "JobPosting"]}), {"@type": "Org"}]}))),
             ("d", ld('{"@type":"JobPosting", bad')), ("e", "no data"),
-            ("f", ld(json.dumps({"@type": "JobPosting", "title": "Engineer", "employmentType": ["INTERN"],
-                                 "hiringOrganization": "Plain", "jobLocationType": "TELECOMMUTE"}))),
-            ("g", ld(json.dumps(dict(one, validThrough="2000-01-01")))),
-            ("h", ld(json.dumps({"@type": "JobPosting", "title": "Engineer"})))]
+            ("f", ld(json.dumps({"@type": "JobPosting", "title": "Restorer", "employmentType": ["INTERN"],
+                                 "hiringOrganization": "Atelier Nord", "jobLocationType": "TELECOMMUTE"}))),
+            ("g", ld(json.dumps(dict(one, validThrough="2025-02-03")))),
+            ("h", ld(json.dumps({"@type": "JobPosting", "title": "Registrar"})))]
     pages = spark.createDataFrame(rows, "url string, html string")
     got = {r["apply_url"]: r for r in J.page_postings(pages).collect()}
     assert set(got) == set("abcfg")
     a = got["a"]
-    assert (a["company"], a["location"], a["deadline"]) == ("ChipCo", "Austin, US", date(2026, 12, 31))
-    assert a["description_text"] == "Work on \nRTOS"
-    assert (got["f"]["company"], got["f"]["location"]) == ("Plain", "Remote")
+    assert (a["company"], a["location"], a["deadline"]) == ("Museo Lago", "Lugano, TI, CH", date(2026, 11, 20))
+    assert a["description_text"] == "Hang \nprints"
+    assert (got["f"]["company"], got["f"]["location"]) == ("Atelier Nord", "Remote")
     flags = {r["url"]: r["x"] for r in pages.select(
         "url", J.open_flag(F.col("html"), AS_OF).alias("x")).collect()}
     assert flags == {"a": True, "b": True, "c": True, "d": None, "e": None, "f": True, "g": False, "h": None}
@@ -93,19 +114,19 @@ def test_json_ld(spark):
 MD = """# List
 | Company | Role | Location | Application/Link | Date Posted |
 | ------- | ---- | -------- | ---------------- | ----------- |
-| **[Volt](https://volt.co)** | RTL Intern | Austin<br>NYC | <a href="https://job/1"><img src="x.png"></a> <a href="https://simplify.jobs/p">s</a> | Jun 18 |
-| ↳ | Test Intern | Remote | none | 3d |
-| **[Dead](https://x.co)** | Intern | NYC | 🔒 | Jun 10 |
-|  | After that | Remote | [Apply](https://job/3) | |
-text
-| Name | Value |
+| [Fjord Ovens](https://fjord.example) | Glaze Intern | Bergen<br>Turku | <a href="https://simplify.jobs/q">q</a> <a href="https://kiln/7"><img src="k.svg"></a> | Jun 18 |
+|  | Kiln Intern | Turku | soon | 3d |
+| [Shut Kiln](https://shut.example) | Clay Intern | Bergen | ❌ | Jun 2 |
+| ⤷ | Wheel Intern | Remote | [Go](https://kiln/9) | |
+a line between
+| Name | Colour |
 |---|---|
-| Volt | 1 |
+| Fjord Ovens | blue |
 
 | Company | Position |
 |:--|--:|
-| ↳ | Second table |
-| Bare Co | Third role |
+| ↳ | Night firing |
+| Lone Potter | Shop help |
 """
 
 
@@ -114,17 +135,18 @@ def test_markdown_tables(spark, tmp_path):
     docs = M.read_documents(spark, str(tmp_path / "*.md")).withColumn("doc_id", F.lit("d/r"))
     got = M.list_postings(docs, AS_OF).orderBy("line_no").collect()
     assert [(r["company"], r["title"], r["apply_url"]) for r in got] == [
-        ("Volt", "RTL Intern", "https://job/1"), ("Volt", "Test Intern", "https://volt.co"),
-        ("Volt", "After that", "https://job/3"), ("Volt", "Second table", "https://volt.co"),
-        ("Bare Co", "Third role", "")]
-    assert got[0]["location"] == "Austin; NYC" and got[0]["source"] == "github:d/r"
+        ("Fjord Ovens", "Glaze Intern", "https://kiln/7"), ("Fjord Ovens", "Kiln Intern", "https://fjord.example"),
+        ("Fjord Ovens", "Wheel Intern", "https://kiln/9"), ("Fjord Ovens", "Night firing", "https://fjord.example"),
+        ("Lone Potter", "Shop help", "")]
+    assert got[0]["location"] == "Bergen; Turku" and got[0]["source"] == "github:d/r"
     assert [r["posted_date"] for r in got][:3] == [date(2026, 6, 18), date(2026, 6, 28), None]
 
 
-COMPANIES = [("OldTiny", "Active", None, "5", "Winter 2018"), ("Big", "Active", True, "200", "Winter 2024"),
-             ("Gone", "Inactive", True, "4", "Summer 2024"), ("Idle", "Active", False, "6", "Summer 2024"),
-             ("Tiny", "Active", True, "8", "Winter 2024"), ("TinyB", "Active", True, "22", "Summer 2023"),
-             ("NoSize", "Active", True, None, "Summer 2024"), ("NoYear", "Active", True, "3", "")]
+COMPANIES = [("Quill", "Acquired", True, "11", "Fall 2025"), ("Lumen", "Active", None, "17", "Fall 2025"),
+             ("Harbor", "Active", True, "51", "Spring 2026"), ("Reed", "Active", True, "19", "Spring 2019"),
+             ("Petal", "Active", True, "31", "Spring 2026"), ("Orchid", "Active", True, "50", "Fall 2025"),
+             ("Moss", "Active", True, "many", "Fall 2021"), ("Fern", "Active", True, "2", None),
+             ("Aspen", "Active", True, "31", "Spring 2026")]
 
 
 def company_table(spark, rows):
@@ -137,36 +159,36 @@ def company_table(spark, rows):
 
 def test_company_rank_and_slugs(spark):
     comp = C.distinct_companies(company_table(spark, COMPANIES + COMPANIES[4:5]))
-    assert comp.count() == 8
+    assert comp.count() == 9
     ranked = C.rank_companies(C.filter_companies(comp), 40).orderBy("company_rank").collect()
-    assert [r["name"] for r in ranked] == ["Tiny", "TinyB", "NoYear", "NoSize"]
-    row = spark.createDataFrame([("acme-labs", "Acme Labs Inc.", "https://jobs.acme.ai/x")],
+    assert [r["name"] for r in ranked] == ["Aspen", "Petal", "Orchid", "Fern", "Moss"]
+    row = spark.createDataFrame([("north_kiln", "North Kiln Technologies", "http://www.northkiln.example/jobs")],
                                 "s string, n string, w string")
     got = row.select(C.slug_candidates(F.col("s"), F.col("n"), F.col("w"))).first()[0]
-    assert got == ["acme-labs", "acmelabsinc", "acme-labs-inc", "acmelabs", "acme"]
+    assert got == ["northkiln", "northkilntechnologies", "north-kiln-technologies"]
 
 
 def test_profiles_and_boards(spark):
     comp = C.distinct_companies(company_table(spark, [COMPANIES[4], COMPANIES[5], COMPANIES[6]])).withColumn(
         "url", F.concat(F.lit("https://p/"), "slug"))
     payload = lambda *jobs: '<div data-page="%s"></div>' % html.escape(json.dumps(
-        {"props": {"company": {"name": "Tiny Co", "batch": "W26", "team_size": 9}, "jobPostings": list(jobs)}}))
+        {"props": {"company": {"name": "Petal Press", "batch": "S25", "team_size": 31}, "jobPostings": list(jobs)}}))
     job = {"title": "Eng Intern", "url": "/j/1", "createdAt": "5 days", "skills": ["Go"], "location": "Remote"}
     pages = spark.createDataFrame([
-        ("https://p/tiny", payload(job, dict(job, isIncomplete=True))),
-        ("https://p/tinyb", payload({"title": "Engineer"})), ("https://p/nosize", "<p>none</p>")],
+        ("https://p/petal", payload(job, dict(job, isIncomplete=True))),
+        ("https://p/orchid", payload({"title": "Engineer"})), ("https://p/moss", "<p>none</p>")],
         "url string, html string")
     profiles = C.profile_jobs(comp, pages, AS_OF)
     r = profiles[0].first()
-    assert (r["company"], r["funding_stage"]) == ("Tiny Co", "YC W26 · 9-person team")
+    assert (r["company"], r["funding_stage"]) == ("Petal Press", "YC S25 · 31-person team")
     assert (r["apply_url"], r["posted_date"]) == ("https://www.ycombinator.com/j/1", date(2026, 6, 26))
     board = B.nested_board(spark.createDataFrame(
-        [(s, [(1, "Data Intern", "", None, "u", None)]) for s in ("tiny", "tinyb", "nosize")], B.NESTED_SCHEMA))
+        [(s, [(1, "Data Intern", "", None, "u", None)]) for s in ("petal", "orchid", "moss")], B.NESTED_SCHEMA))
     ask = lambda **k: {(x["company"], x["source"]) for x in C.company_postings(
         comp, {"greenhouse": board}, profiles, **k).collect()}
-    assert ask() == {("Tiny Co", "yc:profile:tiny"), ("NoSize", "yc:greenhouse:nosize")}
-    assert ("TinyB", "yc:greenhouse:tinyb") in ask(skip_boards_when_profile_has_jobs=False)
-    assert ask(profile_first=False) == {(n, f"yc:greenhouse:{n.lower()}") for n in ("Tiny", "TinyB", "NoSize")}
+    assert ask() == {("Petal Press", "yc:profile:petal"), ("Moss", "yc:greenhouse:moss")}
+    assert ("Orchid", "yc:greenhouse:orchid") in ask(skip_boards_when_profile_has_jobs=False)
+    assert ask(profile_first=False) == {(n, f"yc:greenhouse:{n.lower()}") for n in ("Petal", "Orchid", "Moss")}
 
 
 def test_search_pages(spark):
@@ -178,19 +200,21 @@ def test_search_pages(spark):
     pages.append(dict(pages[0], query_pos=1, query="q2", startup_query=True, jobs_results=[hit("E")]))
     df = spark.read.schema(S.SEARCH_SCHEMA).json(spark.sparkContext.parallelize(map(json.dumps, pages)))
     got = {r["title"]: r for r in S.search_postings(df, AS_OF).collect()}
-    assert set(got) == set("ABCE") and got["A"]["apply_url"] == "l" and got["C"]["apply_url"] == "s"
+    assert set(got) == set("ABCDE") and got["A"]["apply_url"] == "l" and got["C"]["apply_url"] == "s"
     assert got["C"]["posted_date"] == date(2026, 6, 28) and got["A"]["date_confidence"] == "unverified"
     assert got["A"]["is_startup"] is None and got["E"]["is_startup"]
     assert got["E"]["source"] == "serpapi:startup:google_jobs"
     assert {r["title"] for r in S.search_postings(df, AS_OF, 250, 2).collect()} == set("ABE")
     assert S.search_postings(df, AS_OF, 3).count() == 3
+    assert {r["title"] for r in S.search_postings(df, AS_OF, **S.USUAL_CAPS).collect()} == set("ABCE")
 
 
 def test_query_grid(spark):
     cfg = spark.createDataFrame([(1, "", [], "", "any", None), (2, "finance/ops", ["x"], "Fall", "Remote", ["A", "B", "C"])],
                                 "profile_id long, target_role string, priority_keywords array<string>, "
                                 "term string, remote_preference string, locations array<string>")
-    grid = S.query_grid(cfg).collect()
+    assert {r["location"] for r in S.query_grid(cfg).collect() if r["profile_id"] == 2} == {"A", "B", "C"}
+    grid = S.query_grid(cfg, **S.USUAL_GRID).collect()
     one = [r["query"] for r in sorted(grid, key=lambda r: r["query_pos"]) if r["profile_id"] == 1]
     assert one[0] == "internship" and "linkedin internship" in one and "startup internship" not in one
     assert {r["location"] for r in grid if r["profile_id"] == 2} == {"A", "B"}
@@ -202,12 +226,12 @@ def test_query_grid(spark):
 
 def test_union_sequence_and_requirements(spark):
     board = B.nested_board(spark.createDataFrame(
-        [("a", [(1, "Data Intern", "Use SQL and Python", None, "u", None)])], B.NESTED_SCHEMA)).drop("slug")
+        [("a", [(1, "Data Intern", "Use Oboe and Piano", None, "u", None)])], B.NESTED_SCHEMA)).drop("slug")
     both = union_sources({"one": board, "two": board, "three": board}, allow=["one", "two"])
     rows = with_sequence(both)
     assert rows.select("ingest_seq").distinct().count() == 2
     got = with_requirements(rows, T.seed_lexicon(spark)).first()
-    assert got["requirements"][:2] == ["python", "sql"]
+    assert got["requirements"][:2] == ["piano", "oboe"]
 
 
 def test_stream_dedupe(spark, tmp_path):
