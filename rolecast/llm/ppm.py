@@ -1,13 +1,13 @@
 """Prediction by partial matching over byte contexts, and the add-half word model beside it.
 
 The byte model is a trie of contexts of up to `order` bytes, counted over all training
-documents. A symbol not seen in a context escapes to the next shorter one with probability
-d / (n + d) (n symbols, d distinct); symbols of the longer context are excluded there. Since
-counts of a shorter context are sums over longer ones, exclusion needs three numbers per
-context, n, d and x (how often its symbols follow the next shorter context), and the code
-length of a byte depends on the last `order` bytes alone. So each distinct gram of order + 1
-bytes is scored once, by joins, and each chunk of documents gets the scores of its own grams;
-the trie is never broadcast or held by one task.
+documents. Of n symbols with d distinct ones after a context, one seen c times has probability
+(c - 1/2) / n, and any other escapes with d / 2n to the next shorter context, where the symbols
+of the longer one are excluded. Since counts of a shorter context are sums over longer ones,
+exclusion needs three numbers per context, n, d and x (how often its symbols follow the next
+shorter context), and the code length of a byte depends on the last `order` bytes alone. So
+each distinct gram of order + 1 bytes is scored once, by joins, and each chunk of documents gets
+the scores of its own grams; the trie is never broadcast or held by one task.
 
 The text that is scored: words [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased, joined by one space, with an
 end symbol (byte 255) after them; the contexts of the first bytes start with bytes 254. Neither
@@ -24,13 +24,22 @@ from rolecast.llm.common import BUCKET_BYTES, MB, chunk_of, fold_of, parts_of, s
 from rolecast.llm.kernels import (Lookup, U, blocks, bucket_slices, deflated, inflated, joined, mixed,
                                   packed, word_hashes)
 
-ORDER = 4
+ORDER = 5
 CHUNK = 16 * MB
 ASKED = "words boolean, bucket int, chunk int, n int, tokens long, keys binary, counts binary"
 GIVEN = "chunk int, words boolean, n int, distinct long, keys binary, found binary"
 _END, _PAD = b"\xff", b"\xfe"
 
 
+def share(c, n, d):
+    """The probability of a symbol seen c times, of n symbols with d distinct ones."""
+    return (c - 0.5) / n
+
+
+def escape(n, d):
+    return d / (2 * n)
+
+
 def _plain(text: bytes | None) -> bytes:
     return b" ".join((text or b"").lower().split())
 
@@ -165,10 +174,9 @@ def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
     score = -F.log10(256 - zero("d0"))
     for k in range(order + 1):
         gone, known = (zero(f"x{k + 1}"), zero(f"d{k + 1}")) if k < order else (F.lit(0), F.lit(0))
-        escape = zero(f"d{k}") - known
-        total = zero(f"n{k}") - gone + escape
-        score = F.when(zero(f"c{k}") > 0, F.log10(F.col(f"c{k}") / total)).otherwise(
-            F.when(escape > 0, F.log10(escape / total)).otherwise(0.0) + score)
+        n, d = zero(f"n{k}") - gone, zero(f"d{k}") - known
+        score = F.when(zero(f"c{k}") > 0, F.log10(share(F.col(f"c{k}"), n, d))).otherwise(
+            F.when(d > 0, F.log10(escape(n, d))).otherwise(0.0) + score)
     return rows.select("bucket", "gram", score.alias("score"))
 
 
