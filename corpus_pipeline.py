@@ -37,13 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
-    out = passages.without_passages(docs.withColumn("_none", F.col("text").isNull()), [*others, "_none"], with_text=True)
-    text = F.when(~(F.col("_none") & (F.col("n_removed") == 0)), F.col("kept_text"))
-    out = out.withColumn("text", text)
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("null_text"), *others).alias("rest"))
+    out = passages.without_passages(rows, ["rest"], with_text=True)
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut | ~F.col("rest.null_text"), F.col("kept_text"))}
     if "n_chars" in others:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.char_length("kept_text").cast(kind)).otherwise(F.col("rest.n_chars"))
+    return out.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVIN
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = stored(leaks(docs, items, rows_only=True).withColumnRenamed("row", "_row"), "leaks")
-    return lookup_join(docs.withColumn("_row", row_key()), found, ["_row"], "left_anti").drop("_row")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), row_key().alias("_row"))
+    return lookup_join(rows, found, ["_row"], "left_anti").select("_doc.*")
 
 
 def op6_leaks(spark, sf_dir):
