@@ -27,7 +27,8 @@ ROLES = ["system", "user", "assistant"]
 NAMES = {"system": 0, "system prompt": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1,
          "question": 1, "q": 1, "prompter": 1, "assistant": 2, "ai": 2, "bot": 2, "model": 2, "answer": 2, "a": 2}
 STATES = 2 * len(ROLES)          # 2 * role: a turn's first line, 2 * role + 1: a later one
-SYMBOLS = (len(ROLES) + 1) * 2 * 2 * 4
+_SEEN = (len(ROLES) + 1, 2, 2, 4)  # marker, blank line before, question mark, length
+SYMBOLS = int(np.prod(_SEEN))
 SEGMENT_BLOCKS, BUCKET_BLOCKS = 500, 20_000
 _NAME = "|".join(sorted(NAMES, key=len, reverse=True))
 #: "User: x", "[user] x", "### User", "**User:** x", "<user> x", "<|user|>".
@@ -61,7 +62,7 @@ class Model:
 
     @classmethod
     def counted(cls, start: dict, move: dict, emit: dict) -> "Model":
-        s, m, e = np.ones(STATES), np.ones((STATES, STATES)), np.ones((STATES, SYMBOLS))
+        s, m, e = np.ones(STATES), np.ones((STATES, STATES)), np.zeros((STATES, SYMBOLS))
         s[1::2] = 1e-9  # nothing starts with a later line
         for r in range(len(ROLES)):
             m[:, 2 * r + 1] = 1e-9  # a later line has the role of the line before it
@@ -70,7 +71,12 @@ class Model:
             for k, n in counts.items():
                 a[k] += n
         log = lambda a: np.log(a / a.sum(-1, keepdims=True))
-        return cls(log(s), log(m), log(e))
+        # What is seen of a line counts on its own, so that a new combination is no surprise.
+        e, emission = e.reshape(STATES, *_SEEN), 0.0
+        for axis, size in enumerate(_SEEN, 1):
+            part = log(1 + e.sum(tuple(i for i in range(1, 5) if i != axis)))
+            emission = emission + part.reshape(STATES, *[size if i == axis else 1 for i in range(1, 5)])
+        return cls(log(s), log(m), emission.reshape(STATES, SYMBOLS))
 
     def matrix(self, symbols: np.ndarray, first: bool) -> np.ndarray:
         """The best score from each state before the lines to each state of the last one; before
@@ -224,7 +230,7 @@ def counted(blocks: DataFrame) -> Model:
     between = pairs.where("was is not null").select(
         F.lit(1).alias("kind"), (2 * F.col("was") + F.col("e")).cast("int").alias("a"), (2 * F.col("now")).cast("int").alias("b"),
         F.lit(1).cast("long").alias("n"))
-    first = pairs.where("was is null and block < 1").select(
+    first = pairs.where(F.col("was").isNull() & (F.col("block") < SEGMENT_BLOCKS)).select(
         F.lit(0).alias("kind"), (2 * F.col("now")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(1).cast("long").alias("n"))
     total = inside.union(between).union(first).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     start, move, emit = ({(r["a"], r["b"]): r["n"] for r in total if r["kind"] == k} for k in range(3))
