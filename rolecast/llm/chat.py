@@ -30,6 +30,7 @@ STATES = 2 * len(ROLES)          # 2 * role: a turn's first line, 2 * role + 1:
 _SEEN = (len(ROLES) + 1, 2, 2, 4)  # marker, blank line before, question mark, length
 SYMBOLS = int(np.prod(_SEEN))
 SEGMENT_BLOCKS, BUCKET_BLOCKS = 500, 20_000
+MARKED = 20   # lines that the prior on markers counts as
 _NAME = "|".join(sorted(NAMES, key=len, reverse=True))
 #: "User: x", "[user] x", "### User", "**User:** x", "<user> x", "<|user|>".
 _MARKER = re.compile(rf"\s*(?:#+ *({_NAME})\b *:?$|[*]{{2}}({_NAME}) *:?[*]{{2}} *:?|\[({_NAME})\] *:?|<[|]?({_NAME})[|]?>"
@@ -74,7 +75,13 @@ class Model:
         # What is seen of a line counts on its own, so that a new combination is no surprise.
         e, emission = e.reshape(STATES, *_SEEN), 0.0
         for axis, size in enumerate(_SEEN, 1):
-            part = log(1 + e.sum(tuple(i for i in range(1, 5) if i != axis)))
+            counts = 1 + e.sum(tuple(i for i in range(1, 5) if i != axis))
+            if axis == 1:
+                # Known beforehand: a marker names the role of a turn and stands on its first line.
+                for r in range(len(ROLES)):
+                    counts[2 * r, r + 1] += MARKED
+                    counts[2 * r + 1, 0] += 20 * MARKED
+            part = log(counts)
             emission = emission + part.reshape(STATES, *[size if i == axis else 1 for i in range(1, 5)])
         return cls(log(s), log(m), emission.reshape(STATES, SYMBOLS))
 

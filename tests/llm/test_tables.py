@@ -124,7 +124,8 @@ def test_roles_are_recovered(spark):
     assert second.n_lines == 2
     # Nulls, blank texts, markers in the text, one cell with a whole transcript.
     odd = spark.createDataFrame([(None, None, "User: Where is the <|end|> of the road?"), (None, 1, "System: Keep to the point."), (8, 0, None), (9, 0, " \n\n"),
-                                 (10, 0, "User: Where is it?\nAssistant: There.\n\nHuman: Thanks, and where is that?")],
+                                 (10, 0, "User: Where is the old mill by the water?\nAssistant: It stands below the bridge, an hour on foot."
+                                  "\n\nHuman: Where is the bridge by the water?")],
                                 "conv_id long, block long, text string")
     out = {(r.conv, r.turn): (r.role, r.rendered) for r in chat.turns(odd, model).collect()}
     assert out["", 1] == ("user", "<|user|>\nWhere is the < |end|> of the road?\n<|end|>") and out["", 0][0] == "system"
