@@ -7,7 +7,7 @@ from rolecast import values as V
 from rolecast.catalog.base import AS_OF, NL, joined, query, table, texts
 from rolecast.functions.roles import is_closed_row
 from rolecast.sources import boards as B, companies as C, jsonld as J, search as S, tables as M
-from rolecast.sources.union import union_sources, with_source_head
+from rolecast.sources.union import union_softly, union_sources, with_source_head
 
 # Titles of the derived postings: two of five carry a role signal.
 TITLE = ("concat(' ', lang, CASE doc_id % 5 WHEN 0 THEN ' Intern ' WHEN 1 THEN ' Co-op' "
@@ -511,3 +511,21 @@ def union_of_sources(spark, d):
                          "pages": J.page_postings(ld_pages(spark, d))}, allow=["search", "export"])
     return (with_source_head(out).groupBy("source_label", "source_head")
             .agg(F.count("*").alias("n")))
+
+
+@query("source_status", f"""
+WITH {DOCS}, hit AS (SELECT * FROM docs WHERE {role_sql("title", "text")})
+SELECT 'search' AS source_label, count(*) AS n, true AS ok FROM hit
+UNION ALL SELECT 'missing', -1, false
+UNION ALL SELECT 'export', count(*), true FROM hit WHERE doc_id % 9 <> 0
+UNION ALL SELECT 'all', (SELECT count(*) FROM hit) + (SELECT count(*) FROM hit WHERE doc_id % 9 <> 0), true""")
+def source_status(spark, d):
+    """Three sources of which one cannot be read; the last row counts what is left."""
+    item = F.struct("lang", F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("title")).alias("title"),
+                    F.col("text").alias("description"))
+    rows, status = union_softly({
+        "search": lambda: S.search_postings(search_pages(spark, d), AS_OF),
+        "missing": lambda: B.user_export(B.split_corrupt(B.read_payloads(spark, f"{d}/no_such_file", B.EXPORT_SCHEMA))[0]),
+        "export": lambda: B.user_export(parsed(docs(spark, d), item, B.EXPORT_SCHEMA))})
+    status.append(("all", rows.count(), ""))
+    return spark.createDataFrame([(s, n, not e) for s, n, e in status], "source_label string, n long, ok boolean")

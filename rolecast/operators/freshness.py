@@ -118,6 +118,20 @@ def also_seen(listings: DataFrame, merged: DataFrame, key: str = "key",
         F.count("*").alias("n"), F.min(quality(tie)).alias("best"))
 
 
+def with_also_seen(merged: DataFrame, listings: DataFrame, key: str = "key",
+                   tie: str = "ingest_seq") -> DataFrame:
+    """Adds also_seen: the other sources of a posting's copies, best first, as a text.
+
+    Only keys with several copies are looked up; a text is as long as the sources of one key.
+    """
+    several = merged.where("n_merged > 1").select(key, tie, F.col("source").alias("_own"))
+    others = (also_seen(listings.join(several.select(key), key, "left_semi"), several, key, tie)
+              .join(several.select(key, "_own"), key).where("source <> _own"))
+    listed = others.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("best", "source"))).alias("_l"))
+    listed = listed.select(key, F.array_join(F.transform("_l", lambda x: x["source"]), ", ").alias("also_seen"))
+    return merged.join(listed, key, "left").withColumn("also_seen", F.coalesce("also_seen", F.lit("")))
+
+
 def mark_eligibility(listings: DataFrame, as_of, recency_days: int = 60,
                      lookahead_days: int = 90, include_unverified: bool = True) -> DataFrame:
     """Adds eligible and eligibility_reason: posted lately, or due soon, or undated."""

@@ -4,7 +4,9 @@ State is kept as immutable Parquet snapshots, one folder per run or batch. A ret
 writes its own folder again, readers take the newest complete one.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecast.operators.common import lookup_join
 
@@ -104,17 +106,17 @@ def closed_keys(current: DataFrame, previous: DataFrame) -> DataFrame:
 def run_counters(fetched: DataFrame, merged: DataFrame, checked: DataFrame,
                  reported: DataFrame) -> DataFrame:
     """One row: rows before and after merging, eligible, dead, retained, reported."""
-    counts = [("n_fetched", fetched, F.lit(True)), ("n_listings", merged, F.lit(True)),
-              ("n_eligible", checked, F.lit(True)),
-              ("n_dead", checked, F.col("live_status") == "dead"),
-              ("n_retained", checked, F.coalesce(F.col("live_status") != "dead", F.lit(True))),
-              ("n_reported", reported, F.lit(True))]
-    parts = [df.agg(F.count_if(cond).alias("n")).select(F.lit(name).alias("name"), "n")
-             for name, df, cond in counts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy().pivot("name", [n for n, _, _ in counts]).agg(F.first("n"))
+    def count(df: DataFrame, **more: Column) -> DataFrame:
+        return df.agg(*[F.count_if(c).alias(n) for n, c in more.items()])
+
+    dead = F.col("live_status") == "dead"
+    rows = [count(fetched, n_fetched=F.lit(True)), count(merged, n_listings=F.lit(True)),
+            count(checked, n_eligible=F.lit(True), n_dead=dead, n_retained=~F.coalesce(dead, F.lit(False))),
+            count(reported, n_reported=F.lit(True))]
+    # Each table is read once and gives one row.
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    names = ["n_fetched", "n_listings", "n_eligible", "n_dead", "n_retained", "n_reported"]
+    return parts.agg(*[F.max(n).alias(n) for n in names])
 
 
 # ---- snapshots -------------------------------------------------------------

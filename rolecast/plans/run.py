@@ -45,15 +45,18 @@ def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFram
             F.col("date_confidence").isin(V.VERIFIED, V.APPROXIMATE), F.col("date_confidence"))
         .otherwise(V.APPROXIMATE))
     merged = fr.dedupe_merge(ranked.drop("seen_at"))
+    merged = fr.with_also_seen(checkpointed(merged), ranked)
     merged = merged.drop("date_confidence").withColumnRenamed("_label", "date_confidence")
     merged = merged.join(state.select("key", "first_seen"), "key", "left")
     return fr.resolve_dates(merged), state
 
 
 def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame | None,
-        state: DataFrame, as_of, run_at, settings: Settings = Settings()) -> Result:
+        state: DataFrame, as_of, run_at, settings: Settings = Settings(),
+        rescored: DataFrame | None = None) -> Result:
     """All steps of a run. What later steps read several times is written once to the
-    shared folder.
+    shared folder. `rescored` (profile_id, key, score, rationale, matched_skills,
+    missing_skills) are external scores, as `match.parse_scores` reads them.
 
     Every pair that shares a term and has the least score is reported; `top_pairs` keeps
     just the best of each profile.
@@ -69,14 +72,18 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
                    .withColumn("live_checked_at", F.lit(None).cast("timestamp")))
     else:
         checked = live.live_check(eligible, http_results, as_of, run_at)
-        state = st.record_verdicts(state, checked.select("key", "live_status", "live_checked_at"))
+        checked = checkpointed(checked)
+        state = checkpointed(st.record_verdicts(state, checked.select("key", "live_status", "live_checked_at")))
     retained = live.drop_dead(checked)
     # Merged rows have a unique ingest_seq, far narrower in a shuffle than their key.
     pairs = match.match_pairs(retained, profile_terms, "ingest_seq")
     shown = match.at_least(pairs, settings.min_score)
     if settings.top_pairs is not None:
         shown = match.best_pairs(shown, settings.top_pairs, "ingest_seq")
-    reported = checkpointed(match.with_term_lists(shown, profile_terms).join(retained, "ingest_seq"))
+    reported = match.with_term_lists(shown, profile_terms).join(retained, "ingest_seq")
+    if rescored is not None:
+        reported = match.override_scores(reported, rescored, ["profile_id", "key"])
+    reported = checkpointed(reported)
     counters = st.run_counters(listings, merged, checked, reported.select("key").distinct())
     return Result(merged, checked, pairs, reported, state, counters)
 
