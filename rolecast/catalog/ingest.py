@@ -1,11 +1,14 @@
 """Queries on sources. Payloads are derived row by row from the given tables: every
 document is a board record, every page carries a JSON-LD block, and so on."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rolecast import values as V
 from rolecast.catalog.base import AS_OF, NL, joined, query, table, texts
 from rolecast.functions.roles import is_closed_row
+from rolecast.operators.common import shared_dir
 from rolecast.sources import boards as B, companies as C, jsonld as J, search as S, tables as M
 from rolecast.sources.union import union_softly, union_sources, with_source_head
 
@@ -529,3 +532,20 @@ def source_status(spark, d):
         "export": lambda: B.user_export(parsed(docs(spark, d), item, B.EXPORT_SCHEMA))})
     status.append(("all", rows.count(), ""))
     return spark.createDataFrame([(s, n, not e) for s, n, e in status], "source_label string, n long, ok boolean")
+
+
+@query("landed_exports", f"""
+WITH {DOCS} SELECT doc_id % 7 = 3 AS corrupt, count(*) AS n,
+  count(*) FILTER (doc_id % 7 <> 3 AND {role_sql("title", "text")}) AS postings FROM docs GROUP BY 1""")
+def landed_exports(spark, d):
+    """Documents landed as JSON lines, one in seven of them broken off, and read as files are."""
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4()}"
+    item = F.to_json(F.struct("lang", F.col("title").alias("title"), F.col("text").alias("description")))
+    broken = F.substring(item, 1, F.length(item) - 1)
+    docs(spark, d).select(F.when(F.col("doc_id") % 7 == 3, broken).otherwise(item).alias("value")).write.text(path)
+    good, bad = B.split_corrupt(B.read_payloads(spark, path, B.EXPORT_SCHEMA))
+    counted = [(good, False, 0), (bad, True, 0), (B.user_export(good), False, 1)]
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(c).alias("corrupt"), F.col("n") * (1 - p), F.col("n") * p)
+            for df, c, p in counted]
+    return rows[0].union(rows[1]).union(rows[2]).toDF("corrupt", "n", "postings").groupBy("corrupt").agg(
+        F.sum("n").alias("n"), F.sum("postings").alias("postings"))

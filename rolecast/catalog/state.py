@@ -1,9 +1,13 @@
 """Queries on keyed state, run log and run difference, over the event table."""
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from rolecast.catalog.base import epoch_us, query, table
 from rolecast.operators import state as ST
+from rolecast.operators.common import shared_dir
 from rolecast.streaming.observe import seen_times
 
 SPLIT = "2024-01-16"
@@ -145,3 +149,26 @@ def seen_by_key(spark, d):
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("url"))
     return seen_times(rows).select("key", epoch_us(F.col("first_seen")).alias("first_us"),
                                    epoch_us(F.col("last_seen")).alias("last_us"), "url")
+
+
+@query("run_log", f"""
+WITH {EV}, half AS (SELECT DISTINCT key, ts < TIMESTAMP '{SPLIT}' AS early FROM ev)
+SELECT 1::BIGINT AS run_id, true AS finished, count(*) FILTER (early) AS n_listings,
+  count(*) FILTER (early AND key LIKE '%|click') AS n_reported FROM half
+UNION ALL SELECT 2, true, count(*) FILTER (NOT early), count(*) FILTER (NOT early AND key LIKE '%|click') FROM half
+UNION ALL SELECT 3, false, NULL, NULL""")
+def run_log(spark, d):
+    """Two finished runs over the halves of the month, the second one twice, and one broken off."""
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4()}"
+    for early in (True, False):
+        run = ST.start_run(spark, root, datetime(2024, 1, 1))
+        rows = events(spark, d).where((F.col("seen_at") < F.lit(SPLIT).cast("timestamp")) == F.lit(early))
+        rows = rows.select("key", F.col("key").endswith("|click").alias("reported"), F.lit("live").alias("live_status"))
+        for _ in range(1 if early else 2):
+            ST.record_run_listings(rows, root, run)
+            kept = ST.read_run_listings(spark, root).where(F.col("run_id") == run)
+            n = kept.agg(F.count("*").alias("n"), F.count_if("reported").alias("r")).first()
+            ST.finish_run(spark, root, run, datetime(2024, 1, 2), n["n"], n["r"])
+    ST.start_run(spark, root, datetime(2024, 1, 3))
+    return ST.read_runs(spark, root).select(
+        F.col("run_id").cast("bigint"), F.col("finished_at").isNotNull().alias("finished"), "n_listings", "n_reported")
