@@ -8,7 +8,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 QUICK = ["top_terms", "known_terms", "weight_merge", "dedupe_merge", "eligibility", "urgency_order",
          "live_classify", "html_text", "observe", "run_diff", "board_nested", "page_postings",
-         "list_postings", "company_postings", "facet_counts", "markdown_cards", "stream_observe"]
+         "list_postings", "company_postings", "facet_counts", "markdown_cards", "stream_observe", "full_run",
+         "run_log", "landed_exports", "source_status", "open_flag", "parse_scores", "company_rank_all"]
 
 
 def test_names():
