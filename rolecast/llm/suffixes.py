@@ -1,13 +1,14 @@
 """Byte strings that start earlier elsewhere, by sparse suffix arrays in a logarithmic index.
 
 Suffixes are indexed at sampled places only: every window of `width` bytes chooses its
-smallest 16-byte gram, and neighbouring windows with one choice form a run. Equal windows
+smallest 32-byte gram, and neighbouring windows with one choice form a run. Equal windows
 choose equal grams, so a window can only be repeated inside runs of the same gram.
 
 1. Runs travel to buckets by gram as fixed-size entries (gram, hash of the run's whole text,
    place). A run whose whole text starts earlier is removed at once. Copies inside one block
    are settled there, so a hot run costs one entry per block.
-2. What is left are first runs of a gram with several surroundings, the edges of matches.
+2. What is left are first runs of a gram with several surroundings that agree on one side, the
+   edges of matches.
    Their text goes to shards by gram. A shard takes them in document order, batch by batch:
    each batch gets a suffix array of its windows (sorted, cut at `width` bytes), which is
    merge-scanned against the existing levels for matches of full length; then it becomes a
@@ -32,10 +33,10 @@ from rolecast.llm.kernels import (BLOCK_BYTES, Rolling, U, blocks, byte_values,
                                   packed, ranges, window_minima)
 
 WIDTH = 100
-GRAM_DOUBLINGS = 4
+GRAM_DOUBLINGS = 5
 BATCH_WINDOWS = 1 << 16
 _PLACE = {"chunk": np.int32, "row": np.int64, "doc": np.int64, "pos": np.uint32, "n": np.uint8, "off": np.uint8}
-_ENTRY = {"key": np.uint32, "whole": U, "known": np.uint8, **_PLACE}
+_ENTRY = {"key": np.uint32, "whole": U, "left": np.uint16, "right": np.uint16, "known": np.uint8, **_PLACE}
 _BACK = {"row": np.int64, "pos": np.uint32, "n": np.uint8, "off": np.uint8, "kind": np.uint8}
 _SUFFIX = {"row": np.int64, "doc": np.int64, "pos": np.uint32, "n": np.uint8}
 REPEATED, EDGE = 1, 2
@@ -83,7 +84,7 @@ def _runs(width: int, buckets: int):
         for batch in batches:
             chunk, doc, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cut, owner, base = _segments([t or b"" for t in batch.column(3).to_pylist()], width)
-            for a, b in blocks(cut):
+            for a, b in blocks(cut, MB):
                 buffer, starts, ends = joined(cut[a:b])
                 counts = np.maximum(0, ends - starts - width + 1)
                 windows = ranges(starts, counts)
@@ -95,10 +96,16 @@ def _runs(width: int, buckets: int):
                 first, at = windows[new], chosen[new]
                 n = np.diff(np.append(new, len(windows)))
                 segment = np.repeat(np.arange(b - a), counts)[new]
-                key = grams[at]
-                whole = Rolling(byte_values(buffer)).of(first, first + n + width - 1) ^ mixed((at - first).astype(U))
+                key = mixed(grams[at] + U(1))  # chosen ones are small, which would crowd a few buckets
+                rolling = Rolling(byte_values(buffer))
+                whole = rolling.of(first, first + n + width - 1) ^ mixed((at - first).astype(U))
                 who = owner[a:b][segment]
-                e = {"key": (key & U(0xFFFFFFFF)).astype(np.uint32), "whole": whole, "chunk": chunk[who], "row": row[who],
+                # The bytes beside the gram; a window has all of them on one side at least.
+                beside = (width - size) // 2
+                left = rolling.of(np.maximum(at - beside, starts[segment]), at)
+                right = rolling.of(at + size, np.minimum(at + size + beside, ends[segment]))
+                e = {"key": (key & U(0xFFFFFFFF)).astype(np.uint32), "whole": whole, "left": left >> U(48),
+                     "right": right >> U(48), "chunk": chunk[who], "row": row[who],
                      "doc": doc[who], "pos": (first - starts[segment] + base[a:b][segment]).astype(np.uint32),
                      "n": n.astype(np.uint8), "off": (at - first).astype(np.uint8)}
                 bucket = ((key >> U(32)) * U(buckets)) >> U(32)
@@ -130,11 +137,21 @@ def _judge(t: pa.Table) -> pa.Table:
     later = (e["doc"] != e["doc"][head]) | (e["pos"] != e["pos"][head])
     group = np.cumsum(key_new) - 1
     several = (np.bincount(group, weights=whole_new) > 1)[group] if n else np.zeros(0, bool)
+    several &= _shared(group, e["left"], ~later) | _shared(group, e["right"], ~later)
     kind = np.where((e["known"] == 1) | later, REPEATED, np.where(several, EDGE, 0)).astype(np.uint8)
     some = kind > 0
     return _rows(e["chunk"][some].astype(np.int64), {**{c: e[c][some] for c in _BACK if c != "kind"}, "kind": kind[some]}, "chunk")
 
 
+def _shared(group: np.ndarray, side: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether some other entry of the group has the same bytes on this side."""
+    out = np.zeros(len(group), bool)
+    key = (group[some].astype(np.int64) << 16) | side[some]
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    out[some] = count[back] > 1
+    return out
+
+
 def _result(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
     starts, ends = merged(starts, ends)
     gone = int((ends - starts).sum())
@@ -337,10 +354,10 @@ def _finish(batches):
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    if not 32 <= width <= 255:
-        raise ValueError("a window has 32 to 255 bytes")
+    if not 48 <= width <= 255:
+        raise ValueError("a window has 48 to 255 bytes")
     size = text_bytes(docs)
-    chunks, buckets = parts_of(size, CHUNK_BYTES), parts_of(size, BUCKET_BYTES // 2)
+    chunks, buckets = parts_of(size, CHUNK_BYTES), parts_of(size, BUCKET_BYTES // 4)
     shards = parts_of(size, 2 * MB)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64("doc_id", "text")
