@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rolecast.llm.common import BUCKET_BYTES, CHUNK_BYTES, chunk_of, parts_of, table, text_bytes
-from rolecast.llm.kernels import Rolling, U, among, blocks, joined, merged, ranges, window_minima, word_hashes
+from rolecast.llm.kernels import Rolling, U, among, blocks, joined, mixed, ranges, window_minima, word_hashes
 from rolecast.llm.routing import ROUTED, ROUTED_ARROW, even, recurring, returned, route
 
 WINDOW = 35
@@ -47,8 +47,10 @@ class _Block:
 
     def choose(self):
         i = np.arange(max(0, len(self.words) - self.gram + 1))
-        self.grams = even(self.rolling.of(i, i + self.gram))
-        self.chosen = window_minima(self.grams, self.window - self.gram + 1)[self.windows]
+        grams = self.rolling.of(i, i + self.gram)
+        self.chosen = window_minima(grams, self.window - self.gram + 1)[self.windows]
+        # Chosen hashes are small, which would crowd a few buckets.
+        self.grams = even(mixed(grams + U(1)))
         new = np.ones(len(self.chosen), bool)
         new[1:] = self.chosen[1:] != self.chosen[:-1]
         return self.chosen[new], self.owner[new]
