@@ -145,27 +145,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     return Machine(1 << bits).fit(terms, found["toxic"].to_numpy(float))
 
 
-def _score(machine, bits: int, width: int):
+def _score(machine, bits: int, width: int, text: int):
+    """`width` columns are kept; the text stands at column `text`."""
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [t or b"" for t in batch.column(width).to_pylist()]
-            score = machine.value.score(*_terms(texts, bits), len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                names=[*batch.schema.names[:width], "score", "predicted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+                score = machine.value.score(*_terms(texts, bits), len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:width], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                    names=[*batch.schema.names[:width], "score", "predicted"])
 
     return run
 
 
 def scored(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text", bits: int = BITS) -> DataFrame:
     """The `keep` columns of every document, score and predicted (1 for a score of 0.5 or more)."""
-    rows = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).cast("binary").alias("text"))
+    # A text that is kept goes through Python once.
+    at = keep.index(text) if text in keep else len(keep)
+    rows = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
+                       *[F.col(text).cast("binary").alias("text")] * (at == len(keep)))
     schema = ", ".join([*(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)),
                         "score double, predicted int"])
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    out = rows.mapInArrow(_score(sent, bits, len(keep)), schema)
+    out = rows.mapInArrow(_score(sent, bits, len(keep), at), schema)
     return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
