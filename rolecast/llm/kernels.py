@@ -180,7 +180,7 @@ class Lookup:
         while len(todo):
             bits = max(4, int(2 * len(todo)).bit_length())
             slot = self._slot(keys[todo], seed, bits)
-            table = np.full(1 << bits, -1, np.int64)
+            table = np.full(1 << bits, -1, np.int32)
             table[slot] = todo
             self.tables.append((seed, bits, table))
             todo, seed = todo[table[slot] != todo], seed + 1

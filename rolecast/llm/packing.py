@@ -24,7 +24,7 @@ from rolecast.llm.common import parts_of, stored, table
 SIZE = 4096
 END = 2
 PART_ROWS = 50_000
-WORDS_KEPT = 800_000   # tokenised words a worker remembers; no effect on results
+WORDS_KEPT = 400_000   # tokenised words a worker remembers; no effect on results
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 #: How byte-level tokenizers write bytes: printable Latin-1 as it is, the others from U+0100 on.

@@ -25,7 +25,7 @@ from rolecast.llm.kernels import (Lookup, U, blocks, bucket_slices, deflated, in
                                   packed, word_hashes)
 
 ORDER = 5
-CHUNK = 16 * MB
+CHUNK = 12 * MB
 ASKED = "words boolean, bucket int, chunk int, n int, tokens long, keys binary, counts binary"
 GIVEN = "chunk int, words boolean, n int, distinct long, keys binary, found binary"
 _END, _PAD = b"\xff", b"\xfe"
