@@ -49,8 +49,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     with the logarithm of the longest one. Each round is a grouped minimum and a join; the
     links are written after each round and never meet the driver.
     """
-    links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"),
-                                                F.least("a", "b").alias("v")).distinct(), "links")
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     # Stars are steady: the links no longer change.
     while (now := _digest(links)) != before:
@@ -58,8 +57,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above u go to the smallest neighbour.
-        large = (both.where("v > u").join(low, "u").where("v > m")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.where("v > u").join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star: u and its neighbours below it go to the smallest of them.
         small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -10,11 +10,12 @@ sets over the threshold t share a token in the prefixes under every order. So:
    one document come first and are shared with nobody, so most sets have no prefix to send.
 2. Sets with a recurring prefix token are stored once per chunk with both prefixes.
 3. Sets that share a token of the first order are a group. Links are sought where they still
-   can join two components: in a few rounds every set is tested against one member of its
-   groups, the smallest under the round's hash, of another component; then all pairs of a
-   group that are still in different components are tested. The pair must pass the size filter and share a
-   prefix token of the second order before the sets themselves are compared. Copies of one
-   text, near or exact, are so joined by about one test each, whatever the size of the group.
+   can join two components. While groups are large, every set is tested against one member of
+   its groups, the smallest under the round's hash, of another component; once few are left, all
+   pairs of a group in different components are. A pair must pass the filters by size and by the
+   place of the common token, and share a prefix token of the second order, before the sets
+   themselves are compared. Copies of one text, near or exact, are so joined by about one test
+   each, whatever the size of the group.
 4. Components over the found links give each document the smallest doc_id it can reach.
 
 All links between components are found, so components are those of the full join. Words are
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame, functions as F
 from rolecast.llm.common import BUCKET_BYTES, CHUNK_BYTES, chunk_of, components, parts_of, stored, table, text_bytes
 from rolecast.llm.kernels import (LOWER, Rolling, U, blocks, bucket_slices, deflated, inflated, joined, mixed, ranges,
                                   word_hashes)
-from rolecast.operators.common import lookup_join
+from rolecast.operators.common import lookup_join, union_all
 
 WORDS, THRESHOLD = 4, 85   # per cent
-STARS = 2
+STARS = 3                  # rounds of one test for each set, at most
+PAIRS_PER_ROW = 16         # pairs left per row of a group, up to which all of them are looked at
 FREQUENT = 6               # classes are powers of two of the document frequency
 ROUTED = "bucket int, chunk int, n int, tokens binary, counts binary"
 CLASSES = "chunk int, n int, tokens binary, classes binary"
-STEP = ("kind int, doc_id long, n long, set long, chunk int, prefix array<long>, second array<int>, "
+STEP = ("kind int, doc_id long, n long, set long, rare int, prefix array<long>, second array<int>, "
         "tokens array<long>")
 
 
@@ -67,8 +69,9 @@ def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _send(words: int, bits: int, buckets: int):
     def run(batches):
-        for batch in batches:
-            chunks, texts = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).to_pylist()]
+        for chunks, texts in ((batch.column(0).to_numpy()[a:b], texts[a:b]) for batch in batches
+                              for texts in [[t or b"" for t in batch.column(1).to_pylist()]]
+                              for a, b in blocks(texts, CHUNK_BYTES)):
             owner, h = _sets(texts, words)
             chunk, h = chunks[owner].astype(np.int64), h >> U(64 - bits)
             order = np.lexsort((h, chunk))
@@ -125,7 +128,7 @@ def _prefixes(words: int, per_cent: int, bits: int):
                                or [np.zeros(0, np.uint8)])
         order = np.argsort(keys, kind="stable")
         keys, kinds = keys[order], kinds[order]
-        chunk, ids = docs.column("chunk")[0].as_py(), docs.column("doc_id").to_pylist()
+        ids = docs.column("doc_id").to_pylist()
         owner, h = _sets([t or b"" for t in docs.column("text").to_pylist()], words)
         n = np.bincount(owner, minlength=len(ids))
         ends = np.cumsum(n)
@@ -145,7 +148,7 @@ def _prefixes(words: int, per_cent: int, bits: int):
             first = np.lexsort((tokens, k))[:p]
             second = mixed(tokens ^ U(0xA5A5A5A5A5A5A5A5))
             by_hash = np.lexsort((second, k >= FREQUENT))[:p]
-            sets.append((1, None, int(n[d]), int(whole[d]), chunk, tokens[first[k[first] > 0]].astype(np.int64),
+            sets.append((1, None, int(n[d]), int(whole[d]), int(rare[d]), tokens[first[k[first] > 0]].astype(np.int64),
                          (second[by_hash[k[by_hash] > 0]] >> U(32)).astype(np.uint32).astype(np.int32),
                          tokens.astype(np.int64)))
         rows = [(0, i, int(m), int(w) if m else None, None, None, None, None) for i, m, w in zip(ids, n, whole)] + sets
@@ -189,63 +192,73 @@ def similar_documents(docs: DataFrame, words: int = WORDS, per_cent: int = THRES
 
 def _links(sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b): verified links that join all sets of a component."""
-    member = sets.select("set", "n", "chunk", F.explode("prefix").alias("token"))
-    sizes = member.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi")
-    member = stored(member.join(sizes.select("token"), "token"), "members")
-    # Each set is stored once per chunk of its copies; the smallest chunk's copy is used.
-    home = member.groupBy("set").agg(F.min("chunk").alias("chunk"))
-    member = member.join(home, ["set", "chunk"]).select("token", "set", "n").distinct()
-    member = stored(member, "members")
-    bodies = sets.select("set", "chunk", "n", "second", "tokens")
-    own = stored(home, "homes")
-    found, comp = None, None
-    for turn in range(STARS + 1):
+    # The tokens of one document alone come first, so they count into a token's position.
+    member = sets.select("set", "n", "rare", F.posexplode("prefix").alias("at", "token")).select(
+        "set", "n", "token", (F.col("rare") + F.col("at")).alias("at"))
+    # Of two similar sets the shorter has a common token in its first n - ceil(2t / (1 + t) n) + 1.
+    member = member.withColumn("early", (100 + per_cent) * (F.col("n") - F.col("at")) >= 2 * per_cent * F.col("n"))
+    shared = member.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi"),
+                                         F.max("early").alias("any")).where("lo <> hi and any")
+    # A set comes once per chunk that holds copies of it.
+    member = stored(member.join(shared.select("token"), "token").distinct(), "members")
+    bodies = sets.select("set", "second", "tokens").join(member.select("set").distinct(), "set", "left_semi")
+    bodies = stored(bodies.dropDuplicates(["set"]), "bodies")
+    found, comp, turn, fresh = [], None, 0, True
+    while True:
         now = member.withColumn("comp", F.col("set")) if comp is None else (
             lookup_join(member, comp, ["set"], "left").withColumn("comp", F.coalesce("comp", "set")))
-        center = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("rank"), "set", "n", "comp"))
-        groups = now.groupBy("token").agg(center.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        groups = stored(groups.where("lo <> hi").select("token", "c"), "groups")
-        if groups.isEmpty():
+        each = now.groupBy("token", "comp").agg(F.count("*").alias("all"), F.sum(F.col("early").cast("int")).alias("early"))
+        each = each.groupBy("token").agg(
+            F.sum("all").cast("double").alias("all"), F.sum("early").cast("double").alias("early"), F.count("*").alias("comps"),
+            F.sum(F.col("all").cast("double") * F.col("early")).alias("within"))
+        # First the set with the fewest tokens of its own, most like an original; then any other.
+        own = F.col("at") if turn == 0 else F.lit(0).cast("long")
+        rank = [own.alias("own"), F.xxhash64("set", F.lit(turn)).alias("rank")]
+        center = F.min(F.when(F.col("early"), F.struct(*rank, "set", "n", "at", "comp")))
+        groups = stored(each.where("comps > 1 and early > 0").join(now.groupBy("token").agg(center.alias("c")), "token"), "groups")
+        left = groups.agg(F.sum("all"), F.sum(F.expr("all * early - within"))).first()
+        if not left[0]:
             break
-        if turn < STARS:
-            pairs = (now.join(groups, "token").where(F.col("comp") != F.col("c.comp"))
-                     .where(_sizes(F.col("n"), F.col("c.n"), per_cent))
-                     .groupBy("set").agg(F.min("c").alias("c")).select(F.col("c.set").alias("a"), F.col("set").alias("b")))
+        # Stars while they join sets and many pairs are left; the last round looks at all of them.
+        last = turn >= STARS or turn > 0 and (not fresh or left[1] <= PAIRS_PER_ROW * left[0])
+        mine = now.join(groups.select("token", "c"), "token")
+        if last:
+            early = mine.where("early").select(F.col("token").alias("t"), F.col("set").alias("b"), F.col("n").alias("m"),
+                                               F.col("at").alias("bt"), F.col("comp").alias("other"))
+            pairs = mine.select("token", F.col("set").alias("a"), "n", "at", "comp").join(
+                early, (F.col("token") == F.col("t")) & (F.col("comp") != F.col("other")) & (F.col("n") >= F.col("m"))
+                & _hopeful(F.col("n"), F.col("at"), F.col("m"), F.col("bt"), per_cent)).select("a", "b").distinct()
         else:
-            left = now.join(groups.select("token"), "token")
-            right = left.select("token", F.col("set").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = (left.withColumnRenamed("set", "a").join(right, "token")
-                     .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("other"))
-                            & _sizes(F.col("n"), F.col("m"), per_cent)).select("a", "b").distinct())
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < STARS:
-                continue
+            hope = _hopeful(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), per_cent)
+            pairs = (mine.where((F.col("comp") != F.col("c.comp")) & hope).groupBy("set").agg(F.min("c").alias("c"))
+                     .select(F.col("c.set").alias("a"), F.col("set").alias("b")))
+        links = stored(_verified(stored(pairs, "pairs"), bodies, per_cent), "verified")
+        fresh = not links.isEmpty()
+        if fresh:
+            found.append(links)
+        if last:
             break
-        links = stored(_verified(pairs, bodies, own, per_cent), "verified")
-        found = links if found is None else found.union(links)
-        if turn < STARS:
-            nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-            comp = stored(components(nodes, found).select(F.col("node").alias("set"), F.col("component").alias("comp")), "comp")
-    return found if found is not None else member.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
+        if fresh:
+            links = union_all(found)
+            nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+            comp = stored(components(nodes, links).select(F.col("node").alias("set"), F.col("component").alias("comp")), "comp")
+        turn += 1
+    return union_all(found) if found else member.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
 
 
-def _sizes(a, b, per_cent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * per_cent
+def _hopeful(n, at, m, bt, per_cent: int):
+    """Whether sets of n and m tokens that first meet at these places can be similar: all later
+    tokens may be shared, and that many must be."""
+    return (100 + per_cent) * F.least(n - at, m - bt) >= per_cent * (n + m)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, homes: DataFrame, per_cent: int) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, per_cent: int) -> DataFrame:
     """The pairs that share a prefix token of the second order, and whose sets are similar."""
-    def body(side: str, names: tuple) -> DataFrame:
-        need = pairs.select(F.col(side).alias("set")).distinct()
-        need = lookup_join(need, homes, ["set"], "inner")
-        mine = bodies.join(need, ["set", "chunk"])
-        return mine.select(F.col("set").alias(side), *[F.col(c).alias(x) for c, x in zip(("n", "second", "tokens"), names)])
-
-    rows = pairs.join(body("b", ("m", "q", "y")), "b").join(body("a", ("n", "p", "x")), "a")
-    rows = rows.where(F.arrays_overlap("p", "q"))
+    b = bodies.select(F.col("set").alias("b"), F.col("second").alias("q"), F.col("tokens").alias("y"))
+    a = bodies.select(F.col("set").alias("a"), F.col("second").alias("p"), F.col("tokens").alias("x"))
+    rows = pairs.join(b, "b").join(a, "a").where(F.arrays_overlap("p", "q"))
     shared = F.size(F.array_intersect("x", "y"))
-    return rows.where(100 * shared >= per_cent * (F.col("n") + F.col("m") - shared)).select("a", "b")
+    return rows.where(100 * shared >= per_cent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -253,15 +266,15 @@ def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFram
     rows with a null or repeated id come after all others."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     odd = stored(odd.select(F.col("doc_id").alias("_odd")), "odd")
-    numbered = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"))
     if not odd.isEmpty():
         # Written once, so that the numbers hold.
-        same = F.col("doc_id").eqNullSafe(F.col("_odd"))
-        late = stored(docs.join(odd, same, "left_semi").withColumn("_id", F.lit(1 << 62) + F.monotonically_increasing_id()), "late")
-        numbered = docs.join(odd, same, "left_anti").withColumn("_id", F.col("doc_id").cast("long")).union(late)
-    found = similar_documents(numbered.select(F.col("_id").alias("doc_id"), "text"), words, per_cent)
+        same = F.col("_id").eqNullSafe(F.col("_odd"))
+        late = rows.join(odd, same, "left_semi").select("_doc", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("_id"))
+        rows = rows.join(odd, same, "left_anti").union(stored(late, "late"))
+    found = similar_documents(rows.select(F.col("_id").alias("doc_id"), F.col("_doc.text").alias("text")), words, per_cent)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
-    return lookup_join(numbered, gone, ["_id"], "left_anti").select(*docs.columns)
+    return lookup_join(rows, gone, ["_id"], "left_anti").select("_doc.*")
 
 
 def op9_jaccard(spark, sf_dir):
