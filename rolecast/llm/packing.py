@@ -129,7 +129,8 @@ def shortest_pack_first(counts: dict[int, int], size: int = SIZE) -> list[tuple[
                 room, _, times, pattern = heapq.heappop(packs)
                 room = -room
             else:
-                room, times, pattern = size, n, None
+                # As few as hold the rest of this length; the loop fills them up.
+                room, times, pattern = size, -(-n // (size // length)), None
             used = min(n, times)
             if used < times:
                 heapq.heappush(packs, (-room, number, times - used, pattern))

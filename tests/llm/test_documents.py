@@ -201,6 +201,23 @@ def test_shortest_pack_first():
     assert packing.shortest_pack_first({}, 8) == []
 
 
+@pytest.mark.parametrize("hot", [1, 300, 400, 800])
+def test_a_hot_length_fills_packs(hot):
+    counts = Counter({n: 1 + n % 3 for n in range(1, 3000, 7)})
+    counts[hot] += counts.total() // 2
+    packs = packing.shortest_pack_first(counts, 4096)
+    placed = Counter()
+    for times, lengths in packs:
+        assert sum(lengths) <= 4096
+        for n in lengths:
+            placed[n] += times
+    assert placed == counts
+    tokens = sum(n * k for n, k in counts.items())
+    assert tokens >= 0.95 * 4096 * sum(times for times, _ in packs)
+    # One length alone: every pack but the last is full.
+    assert sum(times for times, _ in packing.shortest_pack_first({hot: 10_000}, 4096)) == -(-10_000 // (4096 // hot))
+
+
 @pytest.mark.parametrize("order", [2, 5])
 def test_code_lengths(docs, nothing, order):
     low = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
