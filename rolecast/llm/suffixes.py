@@ -9,7 +9,10 @@ choose equal grams, so a window can only be repeated inside runs of the same gra
    are settled there, so a hot run costs one entry per block.
 2. What is left are first runs of a gram with several surroundings that agree on one side, the
    edges of matches.
-   Their text goes to shards by gram. A shard takes them in document order, batch by batch:
+   Their text goes to shards by gram. A gram with many edges is dealt by the bytes beside it
+   too, which a window holds on one side at least, and where many edges agree on that side, window
+   by window, by the whole window; equal windows meet all the same.
+   A shard takes them in document order, batch by batch:
    each batch gets a suffix array of its windows (sorted, cut at `width` bytes), which is
    merge-scanned against the existing levels for matches of full length; then it becomes a
    level, and levels of equal size merge, so each suffix is merged a logarithmic number of times.
@@ -35,11 +38,15 @@ from rolecast.llm.kernels import (BLOCK_BYTES, Rolling, U, blocks, byte_values,
 WIDTH = 100
 GRAM_DOUBLINGS = 5
 BATCH_WINDOWS = 1 << 16
+#: Edges of a gram, or of a gram and one side, that go to one shard; no effect on results.
+HOT_EDGES = 2048
 _PLACE = {"chunk": np.int32, "row": np.int64, "doc": np.int64, "pos": np.uint32, "n": np.uint8, "off": np.uint8}
 _ENTRY = {"key": np.uint32, "whole": U, "left": np.uint16, "right": np.uint16, "known": np.uint8, **_PLACE}
 _BACK = {"row": np.int64, "pos": np.uint32, "n": np.uint8, "off": np.uint8, "kind": np.uint8}
 _SUFFIX = {"row": np.int64, "doc": np.int64, "pos": np.uint32, "n": np.uint8}
 REPEATED, EDGE = 1, 2
+#: Added to EDGE: the gram has many edges; many have the same left side, the same right side.
+HOT, HOT_LEFT, HOT_RIGHT = 4, 8, 16
 
 
 def _ddl(fields, *first):
@@ -125,7 +132,11 @@ def _runs(width: int, buckets: int):
     return run
 
 
-def _judge(t: pa.Table) -> pa.Table:
+def _judge(hot: int):
+    return lambda t: _judged(t, hot)
+
+
+def _judged(t: pa.Table, hot: int) -> pa.Table:
     e = _read(t, _ENTRY)
     order = np.lexsort((e["pos"], e["doc"], e["whole"], e["key"], e["known"]))
     e = {c: a[order] for c, a in e.items()}
@@ -139,16 +150,25 @@ def _judge(t: pa.Table) -> pa.Table:
     several = (np.bincount(group, weights=whole_new) > 1)[group] if n else np.zeros(0, bool)
     several &= _shared(group, e["left"], ~later) | _shared(group, e["right"], ~later)
     kind = np.where((e["known"] == 1) | later, REPEATED, np.where(several, EDGE, 0)).astype(np.uint8)
+    edge = kind == EDGE
+    many = (np.bincount(group, weights=edge) > hot)[group] & edge if n else edge
+    kind += (HOT * many + HOT_LEFT * (_sharing(group, e["left"], many) > hot)
+             + HOT_RIGHT * (_sharing(group, e["right"], many) > hot)).astype(np.uint8)
     some = kind > 0
     return _rows(e["chunk"][some].astype(np.int64), {**{c: e[c][some] for c in _BACK if c != "kind"}, "kind": kind[some]}, "chunk")
 
 
 def _shared(group: np.ndarray, side: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Whether some other entry of the group has the same bytes on this side."""
-    out = np.zeros(len(group), bool)
+    return _sharing(group, side, some) > 1
+
+
+def _sharing(group: np.ndarray, side: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """How many entries of the group have the same bytes on this side, among `some`."""
+    out = np.zeros(len(group), np.int64)
     key = (group[some].astype(np.int64) << 16) | side[some]
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    out[some] = count[back] > 1
+    out[some] = count[back]
     return out
 
 
@@ -189,8 +209,8 @@ def _settle(width: int, shards: int):
             pos, n, kind = b["pos"][s].astype(np.int64), b["n"][s].astype(np.int64), b["kind"][s]
             flat = kind == REPEATED
             starts, ends = merged(pos[flat], (pos + n + width - 1)[flat])
-            if (edge := np.flatnonzero(kind == EDGE)).size:
-                edges.append((t, rows[i], docs_at[i], pos[edge], n[edge], b["off"][s][edge].astype(np.int64)))
+            if (edge := np.flatnonzero(kind & EDGE)).size:
+                edges.append((t, rows[i], docs_at[i], pos[edge], n[edge], b["off"][s][edge].astype(np.int64), kind[edge]))
                 out.append({"kind": 1, "doc_id": ids[i], "row": int(rows[i]), "text": t,
                             "spans": packed(np.stack([starts, ends], 1).astype(np.int64))})
             else:
@@ -209,12 +229,25 @@ def _edges(found: list, width: int, shards: int) -> list[dict]:
     buffer, starts, _ = joined([x[0] for x in found])
     each = [len(x[3]) for x in found]
     row, doc = (np.repeat(np.array([x[k] for x in found], np.int64), each) for k in (1, 2))
-    pos, n, off = (np.concatenate([x[k] for x in found]) for k in (3, 4, 5))
+    pos, n, off, kind = (np.concatenate([x[k] for x in found]) for k in (3, 4, 5, 6))
     at = pos + np.repeat(starts, each)
     rolling = Rolling(byte_values(buffer))
-    gram = rolling.of(at + off, at + off + (1 << GRAM_DOUBLINGS))
+    size = 1 << GRAM_DOUBLINGS
+    beside = (width - size) // 2
+    gram = rolling.of(at + off, at + off + size)
     windows, run = ranges(at, n), np.repeat(np.arange(len(at)), n)
     place = windows - at[run] + pos[run]
+    # What equal windows have in common, and what goes to one shard together.
+    on_left = (at + off)[run] - windows >= beside
+    deal = gram[run]
+    if (kind & HOT).any():
+        hot, begin = (kind & HOT)[run] > 0, (at + off)[run]
+        for side, lo, hi, one in ((on_left, begin - beside, begin + size, HOT_LEFT),
+                                  (~on_left, begin, begin + size + beside, HOT_RIGHT)):
+            i = np.flatnonzero(hot & side)
+            single = (kind[run[i]] & one) > 0
+            a, b = np.where(single, windows[i], lo[i]), np.where(single, windows[i] + width, hi[i])
+            deal[i] = mixed(rolling.of(a, b) + U(one))
     order = np.lexsort((place, doc[run], rolling.of(windows, windows + width)))
     h = rolling.of(windows[order], windows[order] + width)
     new = np.ones(len(order), bool)
@@ -232,17 +265,19 @@ def _edges(found: list, width: int, shards: int) -> list[dict]:
     left = np.ones(len(order), bool)
     left[gone] = False
     kept = np.flatnonzero(left)
-    lead = np.full(len(at), np.iinfo(np.int64).max)
-    tail = np.full(len(at), -1)
-    np.minimum.at(lead, run[kept], place[kept])
-    np.maximum.at(tail, run[kept], place[kept])
-    use = np.flatnonzero(tail >= 0)
-    shard = (gram[use] >> U(32)) * U(shards) >> U(32)
-    for s in np.unique(shard):
-        who = use[shard == s]
-        b0, size = at[who] + lead[who] - pos[who], tail[who] - lead[who] + width
-        e = {"row": row[who], "doc": doc[who], "pos": lead[who], "n": tail[who] - lead[who] + 1}
-        out.append({"kind": 2, "shard": int(s), "s_text": packed(buffer[ranges(b0, size)]),
+    # Windows of one run that go together, as one text.
+    first = np.ones(len(kept), bool)
+    first[1:] = (run[kept][1:] != run[kept][:-1]) | (deal[kept][1:] != deal[kept][:-1])
+    lead = kept[first]
+    tail = kept[np.append(np.flatnonzero(first)[1:], len(kept)) - 1] if len(kept) else lead
+    n = windows[tail] - windows[lead] + 1
+    shard = (deal[lead] >> U(32)) * U(shards) >> U(32)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for who in np.split(order, cuts) if len(order) else []:
+        e = {"row": row[run[lead[who]]], "doc": doc[run[lead[who]]], "pos": place[lead[who]], "n": n[who]}
+        out.append({"kind": 2, "shard": int(shard[who[0]]),
+                    "s_text": packed(buffer[ranges(windows[lead[who]], n[who] + width - 1)]),
                     **{f"s_{c}": packed(e[c].astype(k)) for c, k in _SUFFIX.items()}})
     return out
 
@@ -352,7 +387,7 @@ def _finish(batches):
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT_EDGES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     if not 48 <= width <= 255:
         raise ValueError("a window has 48 to 255 bytes")
@@ -364,7 +399,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text = F.col("text").cast("binary").alias("text")
     rows = docs.select(chunk_of(row, chunks).alias("chunk"), doc.alias("doc"), row.alias("row"), text)
     judged = (rows.mapInArrow(_runs(width, buckets), _ddl(_ENTRY, "bucket int"))
-              .groupBy("bucket").applyInArrow(_judge, _ddl(_BACK, "chunk int")))
+              .groupBy("bucket").applyInArrow(_judge(hot), _ddl(_BACK, "chunk int")))
     full = docs.select(chunk_of(row, chunks).alias("chunk"), doc.alias("doc"), row.alias("row"),
                        F.col("doc_id").cast("long").alias("doc_id"), text)
     step = stored(full.groupBy("chunk").cogroup(judged.groupBy("chunk"))

@@ -84,6 +84,41 @@ def test_bytes_that_start_earlier(docs, nothing):
     assert suffixes.without_repeats(nothing).collect() == []
 
 
+def test_a_hot_passage_is_dealt_over_shards(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    own = lambda n: bytes(rng.choice(letters, n)).decode()
+    passage, turns = own(400), [own(60) for _ in range(5)]
+    texts = [own(120 + i % 7) + passage + turns[i % 5] + own(90) if i % 3 == 0 else own(300) for i in range(900)]
+    first, want = {}, []
+    for d, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if first.setdefault(b[i:i + 100], (d, i)) != (d, i):
+                gone[i:i + 100] = b"\1" * 100
+        want.append((d, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))),
+                     hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(suffixes.without_repeats(frame, hot=20).collect(), want)
+
+    ids = pa.array(range(len(texts)), pa.int64())
+    docs = pa.table({"chunk": pa.array([0] * len(texts), pa.int32()), "doc": ids, "row": ids, "doc_id": ids,
+                     "text": pa.array([t.encode() for t in texts])})
+    runs = pa.Table.from_batches(suffixes._runs(100, 1)(docs.select(["chunk", "doc", "row", "text"]).to_batches()))
+    largest = {}
+    for hot in (20, 10**9):
+        shards = Counter()
+        for r in suffixes._settle(100, 64)(docs, suffixes._judge(hot)(runs)).to_pylist():
+            if r["kind"] == 2:
+                shards[r["shard"]] += sum(r["s_n"])
+        largest[hot] = max(shards.values()) / shards.total()
+    assert largest[20] < 0.1 < largest[10**9]
+
+
 def test_levels_find_what_a_dictionary_finds():
     import numpy as np
 
