@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rolecast.llm.common import fold_of, parts_of, stored, table
+from rolecast.operators.common import lookup_join, number_all
 
 ROLES = ["system", "user", "assistant"]
 NAMES = {"system": 0, "system prompt": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1,
@@ -179,11 +180,28 @@ def rendered(role, text):
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>"))
 
 
+def _cut(blocks: DataFrame) -> DataFrame:
+    """Adds conv, the id as text, and the segment of each row: conversations of more rows than a segment
+    has are cut by the number of the row, so no null or repeated id or block makes a larger one."""
+    rows = blocks.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn(
+        "block", F.coalesce(F.col("block").cast("long"), F.lit(1 << 62)))
+    many = stored(rows.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENT_BLOCKS)
+                  .select("conv", F.lit(True).alias("many")), "many")
+    whole = F.lit(0).cast("long").alias("segment")
+    if not many.head(1):
+        return rows.select("*", whole)
+    marked = lookup_join(rows, many, ["conv"], "left")
+    inside = marked.where("many").select(*rows.columns, F.monotonically_increasing_id().alias("tie"))
+    numbered = number_all(inside, [F.col("conv"), F.col("block"), F.coalesce("text", F.lit("")), F.col("tie")], "row")
+    first = numbered.groupBy("conv").agg(F.min("row").alias("low"))
+    numbered = lookup_join(numbered, first, ["conv"], "inner").withColumn(
+        "segment", F.floor((F.col("row") - F.col("low")) / SEGMENT_BLOCKS)).select(*rows.columns, "segment")
+    return marked.where("many is null").select(*rows.columns, whole).union(numbered)
+
+
 def _keyed(blocks: DataFrame) -> DataFrame:
-    block = F.coalesce(F.col("block").cast("long"), F.lit((1 << 62)))
-    rows = blocks.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), block.alias("block"),
-                         F.floor(block / SEGMENT_BLOCKS).alias("segment"), "text")
-    buckets = parts_of(rows.count(), BUCKET_BLOCKS)
+    rows = _cut(blocks.select("conv_id", "block", "text")).drop("conv_id")
+    buckets = parts_of(blocks.count(), BUCKET_BLOCKS)
     return rows.withColumn("bucket", F.pmod(F.xxhash64("conv", "segment"), F.lit(buckets)).cast("int"))
 
 
@@ -231,13 +249,13 @@ def counted(blocks: DataFrame) -> Model:
     inside = rows.mapInArrow(seen, "kind int, a int, b int, n long")
     number = F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, i)])
     line = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    order = W.partitionBy("conv_id", F.floor(F.col("block") / SEGMENT_BLOCKS)).orderBy("block", "text")
-    spoken = rows.where(line > 0).withColumn("now", number[F.col("role")]).withColumn("ends", (line > 1).cast("int"))
-    pairs = spoken.select("now", F.lag("now").over(order).alias("was"), F.lag("ends").over(order).alias("e"), "block")
+    order = W.partitionBy("conv", "segment").orderBy("block", F.coalesce("text", F.lit("")))
+    spoken = _cut(rows).where(line > 0).withColumn("now", number[F.col("role")]).withColumn("ends", (line > 1).cast("int"))
+    pairs = spoken.select("now", F.lag("now").over(order).alias("was"), F.lag("ends").over(order).alias("e"), "segment")
     between = pairs.where("was is not null").select(
         F.lit(1).alias("kind"), (2 * F.col("was") + F.col("e")).cast("int").alias("a"), (2 * F.col("now")).cast("int").alias("b"),
         F.lit(1).cast("long").alias("n"))
-    first = pairs.where(F.col("was").isNull() & (F.col("block") < SEGMENT_BLOCKS)).select(
+    first = pairs.where(F.col("was").isNull() & (F.col("segment") == 0)).select(
         F.lit(0).alias("kind"), (2 * F.col("now")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(1).cast("long").alias("n"))
     total = inside.union(between).union(first).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     start, move, emit = ({(r["a"], r["b"]): r["n"] for r in total if r["kind"] == k} for k in range(3))
@@ -263,4 +281,4 @@ def op7_chat(spark, sf_dir):
     counted over those whose crc32(conv_id) mod 5 is not 0."""
     raw = transcripts(table(spark, sf_dir, "conversations"))
     model = counted(raw.where(fold_of(F.col("conv_id")) != 0))
-    return turns(raw.drop("role"), model).select(F.col("conv").cast("long").alias("conv_id"), "turn", "role", "n_lines", "rendered")
+    return turns(raw.drop("role"), model).select(F.expr("try_cast(conv as bigint)").alias("conv_id"), "turn", "role", "n_lines", "rendered")

@@ -144,6 +144,20 @@ def test_segments_decode_as_one(spark, monkeypatch):
     assert sorted(map(tuple, chat.turns(table, model).collect())) == whole
 
 
+def test_null_ids_and_blocks_are_cut_into_segments(spark, tmp_path):
+    rows = [(None, None if i % 2 else i % 3, "user" if i % 3 else "assistant", f"User: is it {i:04}?" if i % 3 else f"It is {i:04}.")
+            for i in range(1700)]
+    table = spark.createDataFrame(rows, "conv_id long, block long, role string, text string")
+    sizes = chat._keyed(table.drop("role")).groupBy("conv", "segment").count().collect()
+    assert sum(r["count"] for r in sizes) == 1700 and max(r["count"] for r in sizes) <= chat.SEGMENT_BLOCKS
+    known = [(c, t, role, text) for c in range(40) for t, (role, text) in enumerate(
+        [("user", "Where is the old mill?"), ("assistant", "It stands below the bridge."), ("user", "And the inn?")])]
+    known += [(None, t, role, text) for t, (role, text) in enumerate([("user", "Is it late?"), ("assistant", "It is.")])]
+    spark.createDataFrame(known, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op7_chat(spark, str(tmp_path)).collect()
+    assert {r.conv_id for r in got} == {None, *range(40)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
