@@ -13,7 +13,7 @@ from rolecast.sources.listing import normalize
 _BLOCK = (r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>"""
           r"""(.*?)</script\s*>""")
 _CDATA = r"^//<!\[CDATA\[|//\]\]>$"
-DEPTH = 12   # lists and graphs inside each other; a number only because a row has no loop
+DEPTH = 12   # steps that every row takes; only deeper lists and graphs go on in a loop
 
 
 def get(v: Column, path: str, kind: str = "string") -> Column:
@@ -47,15 +47,21 @@ def _walked(html: Column, depth: int) -> Column:
 def json_objects(html: Column, depth: int = DEPTH) -> Column:
     """array<variant>: the values of all JSON-LD blocks that name a posting.
 
-    Lists and @graph members are opened wherever they stand, nested up to `depth` times;
-    `unopened` counts what lies deeper.
+    Lists and @graph members are opened wherever they stand, nested as deep as they are:
+    what is left after `depth` steps is opened as often as the page has opening brackets.
     """
-    done = F.filter(_walked(html, depth), lambda e: e["done"])
-    return F.transform(done, lambda e: e["v"])
+    brackets = F.length(text(html)) - F.length(F.replace(text(html), F.lit("["), F.lit("")))
+
+    def rest(found: Column) -> Column:
+        left = F.exists(found, lambda e: ~e["done"])
+        steps = F.when(left, F.sequence(F.lit(0), brackets)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, found, lambda all_, _: F.flatten(F.transform(all_, _opened)))
+
+    return F.transform(let(_walked(html, depth), rest), lambda e: e["v"])
 
 
 def unopened(html: Column, depth: int = DEPTH) -> Column:
-    """How many values of a page's JSON-LD lie deeper than `json_objects` opens."""
+    """How many values of a page's JSON-LD `json_objects` leaves to its loop."""
     return F.size(F.filter(_walked(html, depth), lambda e: ~e["done"]))
 
 

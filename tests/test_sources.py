@@ -81,6 +81,15 @@ def test_nested_json_ld(spark):
     assert pages.select(F.sum(J.unopened(F.col("html"), 3))).first()[0] > 0
 
 
+def test_json_ld_nested_deeper_than_the_usual_steps(spark):
+    lists, graphs = ({"@type": "JobPosting", "title": f"{x} Intern", "validThrough": "2026-01-01"} for x in "AB")
+    for _ in range(40):
+        lists, graphs = [lists], {"@graph": [graphs]}
+    pages = spark.createDataFrame([("lists", ld(json.dumps(lists))), ("graphs", ld(json.dumps(graphs)))], "url string, html string")
+    assert sorted((r["apply_url"], r["title"]) for r in J.page_postings(pages).collect()) == [("graphs", "B Intern"), ("lists", "A Intern")]
+    assert [r[0] for r in pages.select(J.open_flag(F.col("html"), AS_OF)).collect()] == [False, False]
+
+
 def ld(body):
     return f'<html><script type="application/ld+json">{body}</script></html>'
 
