@@ -205,6 +205,9 @@ def op13_personal(spark, sf_dir):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    def of_kinds(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of_kinds(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = of_kinds(*BASE)
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
