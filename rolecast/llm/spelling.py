@@ -10,7 +10,7 @@ one edit spent, is a pair of neighbours.
 An edit lies in the second half of a word or, read backwards, in the second half of the reversed
 word. So the trie also holds all words reversed, and in both directions a state starts at the
 last node of its word's first half, where few words are left below a node. Every node knows the
-lengths of the words below it, and states that can reach none of them end.
+lengths of the words below it and the characters that follow it; states that can go nowhere end.
 
 The frontier is a DataFrame: each level is written to the shared folder before the next one,
 nodes with many states are spread over tasks (`lookup_join`), and nothing meets the driver.
@@ -30,6 +30,7 @@ from rolecast.operators.common import is_small, lookup_join
 LEAST_LENGTH, LEAST_COUNT, RATIO, ALTERED = 6, 5, 5, 199
 _PREFIXES = pa.schema([("word", pa.string()), ("back", pa.bool_()), ("depth", pa.int32()), ("size", pa.int32()),
                        ("node", pa.int64()), ("next", pa.int32())])
+BELOW = ("least", "most", "heads")
 PREFIXES = "word string, back boolean, depth int, size int, node long, next int"
 
 
@@ -40,8 +41,9 @@ def words_of(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     runs = F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-zÀ-ÿ]{{{least_length},}}"), F.lit(0)))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), runs.alias("run"))
     # Java's lower-casing is faster, and the same where no letter above Z is a capital.
-    plain = F.when(F.col("run").rlike("[À-Þ]"), F.translate(
-        "run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower("run"))
+    ascii_only = F.octet_length("run") == F.char_length("run")
+    plain = F.when(ascii_only | ~F.col("run").rlike("[À-Þ]"), F.lower("run")).otherwise(F.translate(
+        "run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     rows = rows.select("id", plain.alias("run"))
     word = F.col("run")
     if altered:
@@ -72,23 +74,29 @@ def _prefixes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PREFIXES.types)], schema=_PREFIXES)
 
 
+def _bit(code: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)).cast("int"))
+
+
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The paths (word, back, nodes array of (depth, node, ends)) of all words through the nodes at
-    which words part or end, and the edges (node, head, label, child, ends, least, most): `ends` is
-    the word that ends at the child or null, `least` and `most` the lengths of the words below it."""
+    """The paths (word, back, nodes array of (depth, node, ends, ...)) of all words through the nodes
+    at which words part or end, and the edges (node, head, label, child, depth, ends, least, most,
+    heads): `ends` is the word that ends at the child or null, `least` and `most` the lengths of the
+    words below it, `heads` a bit set of the characters that follow it."""
     prefixes = stored(words.select("word").mapInArrow(_prefixes, PREFIXES), "prefixes")
     nodes = prefixes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"),
-                                         F.min("size").alias("least"), F.max("size").alias("most"))
-    nodes = stored(nodes.where("low = 0 OR low <> high").select("node", (F.col("low") == 0).alias("ends"), "least", "most"), "nodes")
+                                         F.min("size").alias("least"), F.max("size").alias("most"),
+                                         F.bit_or(_bit(F.col("next"))).alias("heads"))
+    nodes = stored(nodes.where("low = 0 OR low <> high").select("node", (F.col("low") == 0).alias("ends"), *BELOW), "nodes")
     kept = lookup_join(prefixes.select("word", "back", "depth", "node"), nodes, ["node"], "inner")
-    steps = F.sort_array(F.collect_list(F.struct("depth", "node", "ends", "least", "most")))
+    steps = F.sort_array(F.collect_list(F.struct("depth", "node", "ends", *BELOW)))
     paths = stored(kept.groupBy("word", "back").agg(steps.alias("nodes")), "paths")
     # A root at which no words part is no node of the first edge; its words start at their first node.
     pairs = paths.select("word", F.explode(F.expr("transform(slice(nodes, 2, size(nodes)), (x, i) -> struct(nodes[i] AS a, x AS b))")).alias("p"))
     label = F.substring("word", F.col("p.a.depth") + 1, F.col("p.b.depth") - F.col("p.a.depth"))
     ends = F.when(F.col("p.b.ends"), F.substring("word", F.lit(1), F.col("p.b.depth")))
     edges = pairs.select(F.col("p.a.node").alias("node"), F.col("p.b.node").alias("child"), label.alias("label"),
-                         ends.alias("ends"), F.col("p.b.least").alias("least"), F.col("p.b.most").alias("most"))
+                         ends.alias("ends"), *[F.col(f"p.b.{c}").alias(c) for c in ("depth", *BELOW)])
     return paths, stored(edges.distinct().withColumn("head", F.substring("label", 1, 1)), "edges")
 
 
@@ -114,12 +122,17 @@ def _walked(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     # A character of the word left over after an equal label is the next edge's to skip.
     moves = F.array_compact(F.array(F.when(exact, _moved(0, 0)), F.when(off(0), _moved(0, 1)),
                                     F.when(~exact & off(1), _moved(1, 1)), F.when(off(-1), _moved(-1, 1))))
-    free = free.select("word", "back", F.inline(moves), "child", "ends", "least", "most")
+    free = free.select("word", "back", F.inline(moves), "child", "depth", "ends", *BELOW)
     spent = states.where("edits = 1").withColumn("head", F.substring("word", F.col("at") + 1, F.lit(1)))
     spent = lookup_join(spent, edges, ["node", "head"], "inner", small).withColumn("n", n).where(exact)
-    spent = spent.select("word", "back", (F.col("at") + F.col("n")).cast("int").alias("at"), "edits", "child", "ends", "least", "most")
-    return free.unionByName(spent).select("word", "back", "at", F.col("child").alias("node"), "edits", "ends", "least", "most",
-                                          size.alias("size"))
+    spent = spent.select("word", "back", (F.col("at") + F.col("n")).cast("int").alias("at"), "edits", "child", "depth", "ends", *BELOW)
+    # With the edit spent, what is left must be equal, so the length of the word met is known.
+    met = F.col("depth") + size - F.col("at")
+    follows = _bit(F.ascii(F.substring("word", F.col("at") + 1, F.lit(1)))).bitwiseAND(F.col("heads")) != 0
+    alive = (F.when(F.col("edits") == 0, (F.col("least") <= size + 1) & (F.col("most") >= size - 1))
+             .when(F.col("at") == size, F.col("ends").isNotNull())
+             .otherwise((F.col("least") <= met) & (F.col("most") >= met) & follows))
+    return free.unionByName(spent).where(alive).select("word", "back", "at", F.col("child").alias("node"), "edits", "ends")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -139,9 +152,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         over = (F.col("edits") == 0) & (F.col("at") == F.char_length("word") - 1)
         met.append(level.where(F.col("ends").isNotNull() & (done | over)).select("word", "back", "ends"))
         walked = _walked(level.select("word", "back", "at", "node", "edits"), edges, small)
-        # The word met is as long as this one, or one longer or shorter.
-        level = stored(walked.where((F.col("least") <= F.col("size") + 1) & (F.col("most") >= F.col("size") - 1))
-                       .drop("least", "most", "size"), "states")
+        level = stored(walked, "states")
         if level.isEmpty():
             break
     out = met[0]
