@@ -117,7 +117,9 @@ def _walked(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     exact = F.coalesce(F.col("label") == _next(F.col("n")), F.lit(False))
 
     def off(shift):
-        return F.levenshtein("label", _next(F.col("n") + shift), 1) == 1
+        # The length of the word met settles most edges before any characters are compared.
+        fits = (F.col("least") <= size - shift) & (F.col("most") >= size - shift)
+        return fits & (F.levenshtein("label", _next(F.col("n") + shift), 1) == 1)
 
     # A character of the word left over after an equal label is the next edge's to skip.
     moves = F.array_compact(F.array(F.when(exact, _moved(0, 0)), F.when(off(0), _moved(0, 1)),
