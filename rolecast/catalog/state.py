@@ -172,3 +172,25 @@ def run_log(spark, d):
     ST.start_run(spark, root, datetime(2024, 1, 3))
     return ST.read_runs(spark, root).select(
         F.col("run_id").cast("bigint"), F.col("finished_at").isNotNull().alias("finished"), "n_listings", "n_reported")
+
+
+LOG_DAYS, LOG_RUNS = 3, 10
+
+
+@query("state_log", f"""
+WITH {OBSERVED} SELECT key, company, url, source, posted::VARCHAR AS posted_date,
+  epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us,
+  CASE WHEN key LIKE '%|error' THEN 'dead' END AS last_status,
+  CASE WHEN key LIKE '%|error' THEN epoch_us(last_seen) END AS verified_us FROM obs""")
+def state_log(spark, d):
+    """The month as ten runs of three days, the third one twice; every run writes only its own keys,
+    errors as verdicts, and tiers of four runs are merged. The view reads what is left."""
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4()}"
+    ev = events(spark, d).withColumn("_run", F.least(F.lit(LOG_RUNS), F.floor((F.dayofmonth("seen_at") - 1) / LOG_DAYS) + 1))
+    for run in [1, 2, 3, *range(3, LOG_RUNS + 1)]:
+        rows = ev.where(F.col("_run") == run)
+        verdicts = rows.where("title = 'error'").select("key", F.lit("dead").alias("live_status"), F.col("seen_at").alias("live_checked_at"))
+        ST.write_delta(spark, root, run, ST.delta(ST.fold_batch(rows), verdicts, run))
+    return ST.state_view(spark, root).select(
+        "key", "company", "url", "source", F.col("posted_date").cast("string"), epoch_us(F.col("first_seen")).alias("first_us"),
+        epoch_us(F.col("last_seen")).alias("last_us"), "last_status", epoch_us(F.col("last_verified")).alias("verified_us"))

@@ -4,11 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rolecast.catalog.base import epoch_us, query
+from rolecast.catalog.base import epoch_us, query, table
 from rolecast.catalog.state import OBSERVED
 from rolecast.operators import state as ST
 from rolecast.operators.common import shared_dir
-from rolecast.streaming.observe import dedupe_stream, observe_stream
+from rolecast.streaming import sessions as SE
+from rolecast.streaming.observe import STREAM, dedupe_stream, observe_stream
 
 EVENTS = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
           "props string")
@@ -32,8 +33,7 @@ def stream_observe(spark, d):
     root = f"{shared_dir(spark)}/observe-{uuid.uuid4()}"
     job = observe_stream(event_stream(spark, d), root, f"{root}/offsets")
     job.awaitTermination()
-    last = job.lastProgress["batchId"]
-    return ST.read_snapshot(spark, root, last, ST.BATCHES).select(
+    return ST.state_view(spark, f"{root}/{STREAM}").select(
         "key", "company", "url", "source", F.col("posted_date").cast("string"),
         epoch_us(F.col("first_seen")).alias("first_us"),
         epoch_us(F.col("last_seen")).alias("last_us"))
@@ -49,3 +49,52 @@ def stream_dedupe(spark, d):
            .option("path", f"{root}/rows").trigger(availableNow=True).start())
     job.awaitTermination()
     return spark.read.parquet(f"{root}/rows").select("key")
+
+
+DROPS, DROP_DAYS, LATE_BY, EVERY, HORIZON, DELAY = 4, 8, 2, 13, "3 days", "12 hours"
+DROP_SQL = f"least({DROPS - 1}, (day(ts) - 1) // {DROP_DAYS})"
+SESSIONS = f"""
+kept AS (SELECT user_id || '|' || event_type AS key, ts FROM events
+  WHERE NOT (event_id % {EVERY} = 0 AND {DROP_SQL} + {LATE_BY} < {DROPS})),
+marked AS (SELECT key, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '{HORIZON}' THEN 0 ELSE 1 END AS starts
+  FROM kept WINDOW w AS (PARTITION BY key ORDER BY ts)),
+numbered AS (SELECT key, ts, sum(starts) OVER (PARTITION BY key ORDER BY ts, starts ROWS UNBOUNDED PRECEDING) AS s FROM marked),
+sess AS (SELECT key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_rows FROM numbered GROUP BY key, s)"""
+
+
+def dropped_off(spark, d, make):
+    """The events land in drops by time; of the early ones every 13th row comes two drops later, when
+    the watermark has passed it. The stream is run after each drop, from its checkpoint."""
+    root = f"{shared_dir(spark)}/drops-{uuid.uuid4()}"
+    slot = F.least(F.lit(DROPS - 1), F.floor((F.dayofmonth("ts") - 1) / DROP_DAYS))
+    held = (F.col("event_id") % EVERY == 0) & (slot + LATE_BY < DROPS)
+    rows = table(spark, d, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"),
+                                            F.col("ts").cast("timestamp").alias("ts"),
+                                            F.when(held, slot + LATE_BY).otherwise(slot).alias("_drop"))
+    late = 0
+    for i in range(DROPS):
+        rows.where(F.col("_drop") == i).drop("_drop").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("key string, ts timestamp").parquet(f"{root}/in")
+        late += SE.late_rows(SE.drain(make(stream), root))
+    return spark.read.parquet(f"{root}/rows"), late
+
+
+@query("expired_keys", f"""
+WITH {SESSIONS} SELECT key, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, n_rows,
+  (SELECT count(*) FROM events) - (SELECT count(*) FROM kept) AS n_late
+FROM (SELECT *, lead(first_seen) OVER (PARTITION BY key ORDER BY first_seen) AS again FROM sess)
+WHERE again IS NOT NULL OR last_seen + INTERVAL '{HORIZON}' < (SELECT max(ts) FROM events) - INTERVAL '{DELAY}'""")
+def expired_keys(spark, d):
+    """Sessions of keys that were not seen for three days, closed by timers or by a later row of the
+    key, and the number of late rows."""
+    out, late = dropped_off(spark, d, lambda stream: SE.closed_keys(stream, HORIZON, DELAY))
+    return out.select("key", epoch_us(F.col("first_seen")).alias("first_us"),
+                      epoch_us(F.col("last_seen")).alias("last_us"), "n_rows", F.lit(late).cast("long").alias("n_late"))
+
+
+@query("stream_dedupe_expiring", f"""
+WITH {SESSIONS} SELECT key, epoch_us(first_seen) AS first_us FROM sess""")
+def stream_dedupe_expiring(spark, d):
+    """Each key once per session: a horizon far shorter than the data, state removed on the way."""
+    out, _ = dropped_off(spark, d, lambda stream: SE.first_rows(stream, HORIZON, DELAY))
+    return out.select("key", epoch_us(F.col("first_seen")).alias("first_us"))

@@ -1,13 +1,15 @@
 """What was seen when: keyed state, run log and run-over-run difference.
 
-State is kept as immutable Parquet snapshots, one folder per run or batch. A retry
-writes its own folder again, readers take the newest complete one.
+State is a log of deltas in a ledger (`operators/ledger.py`): a run writes one row for each key it
+saw or judged, numbered by the run, and never reads or rewrites the others. Readers merge the rows
+of a key; the sets are merged by size tiers, so a row is rewritten a logarithmic number of times.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rolecast.operators import ledger
 from rolecast.operators.common import lookup_join
 
 STATE_SCHEMA = (
@@ -35,8 +37,12 @@ def fold_batch(batch: DataFrame, seq: str = "ingest_seq") -> DataFrame:
 
 
 def observe(state: DataFrame, batch: DataFrame, seq: str = "ingest_seq") -> DataFrame:
-    """The next snapshot: state after a batch. first_seen never moves, last_seen does."""
-    new = fold_batch(batch, seq)
+    """The state after a batch. first_seen never moves, last_seen does."""
+    return observe_folded(state, fold_batch(batch, seq))
+
+
+def observe_folded(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state after the folded rows of a batch."""
     new = new.withColumnsRenamed({c: f"n_{c}" for c in new.columns if c != "key"})
     both = state.join(new, "key", "full_outer")
     known, again = F.col("first_seen").isNotNull(), F.col("n_first_seen").isNotNull()
@@ -119,42 +125,87 @@ def run_counters(fetched: DataFrame, merged: DataFrame, checked: DataFrame,
     return parts.agg(*[F.max(n).alias(n) for n in names])
 
 
-# ---- snapshots -------------------------------------------------------------
-
-RUNS, BATCHES = "state", "stream_state"   # snapshots by run and by micro-batch
-
-
-def write_snapshot(df: DataFrame, root: str, version: int, kind: str = RUNS) -> None:
-    """Writes a snapshot; writing the same version again replaces it."""
-    df.write.mode("overwrite").parquet(f"{root}/{kind}/version={version}")
-
-
-def read_snapshot(spark: SparkSession, root: str, version: int | None, kind: str = RUNS) -> DataFrame:
-    if version is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/{kind}/version={version}")
-
-
-def newest_snapshot(spark: SparkSession, root: str, kind: str = RUNS) -> int | None:
-    """The highest version with rows under `root`, or None. A snapshot that is being written
-    has no files yet, so only complete ones count."""
-    try:
-        found = spark.read.schema(f"{STATE_SCHEMA}, version int").option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}")
-    except Exception as e:  # none yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return found.agg(F.max("version")).first()[0]
-
+# ---- the state as a log of deltas -------------------------------------------
+
+STATE, LISTED, ENDED = "state", "listed", "ended"   # tables of the ledger
+DELTA_SCHEMA = f"{STATE_SCHEMA}, since long, until long, dated_in long, judged_in long, bucket int"
+BUCKETS = 1024
+ORDER = ["bucket", "key"]
+
+
+def delta(folded: DataFrame | None, verdicts: DataFrame | None, run: int) -> DataFrame:
+    """The rows a run adds to the log: of keys seen (as `fold_batch` gives them) and of keys judged
+    (key, live_status, live_checked_at). `since`, `until`, `dated_in` and `judged_in` are the runs that
+    saw the key first and last, gave its date and judged it."""
+    now = F.lit(run).cast("long")
+    parts = []
+    if folded is not None:
+        parts.append(folded.withColumns({
+            "since": now, "until": now, "dated_in": F.when(F.col("posted_date").isNotNull(), now)}))
+    if verdicts is not None:
+        newest = F.max(F.struct("live_checked_at", "live_status")).alias("v")
+        parts.append(verdicts.groupBy("key").agg(newest).select(
+            "key", F.col("v.live_status").alias("last_status"), F.col("v.live_checked_at").alias("last_verified"),
+            now.alias("judged_in")))
+    empty = next(p.sparkSession for p in parts).createDataFrame([], DELTA_SCHEMA)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [empty.drop("bucket"), *parts])
+    return merge_deltas(rows) if len(parts) > 1 else _bucketed(rows)
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+
+def merge_deltas(rows: DataFrame) -> DataFrame:
+    """One row per key of rows of the log, in any order and grouping."""
+    merged = rows.groupBy("key").agg(
+        F.min_by(F.struct("company", "title", "location", "first_seen"), "since").alias("_first"),
+        F.max_by(F.struct("url", "source"), "until").alias("_last"),
+        F.max_by("posted_date", "dated_in").alias("posted_date"),
+        F.max("last_seen").alias("last_seen"),
+        F.max_by(F.struct("last_status", "last_verified"), "judged_in").alias("_verdict"),
+        F.min("since").alias("since"), F.max("until").alias("until"),
+        F.max("dated_in").alias("dated_in"), F.max("judged_in").alias("judged_in"))
+    return _bucketed(merged.select("key", "_first.*", "_last.*", "posted_date", "last_seen", "_verdict.*",
+                                   "since", "until", "dated_in", "judged_in"))
+
+
+def state_view(spark: SparkSession, root: str, commit: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The state as of a commit, or the rows of some keys of it.
+
+    A key that was judged but never seen has no row. Files are sorted by buckets of the key, so
+    a few keys (their buckets are counted) read just the row groups of their buckets."""
+    sets = ledger.live_sets(spark, root, STATE, commit)
+    rows = ledger._rows(spark, root, sets, DELTA_SCHEMA)
+    if keys is not None:
+        wanted = [r[0] for r in _bucketed(keys.select("key")).select("bucket").distinct().collect()]  # at most BUCKETS
+        rows = rows.where(F.col("bucket").isin(wanted)).join(keys.select("key").distinct(), "key", "left_semi")
+    if len(sets) > 1:
+        rows = merge_deltas(rows)
+    judged = F.col("judged_in") >= F.col("since")   # not before the key was seen
+    verdict = {c: F.when(judged, F.col(c)) for c in ("last_status", "last_verified")}
+    return rows.where("since IS NOT NULL").withColumns(verdict).select(*[f.split()[0] for f in STATE_SCHEMA.split(", ")])
+
+
+def write_delta(spark: SparkSession, root: str, run: int, rows: DataFrame, **tables: DataFrame) -> None:
+    """Shows the rows of a run together, replacing those of an earlier try, and merges full tiers."""
+    order, runs = {STATE: ORDER, LISTED: ["key"]}, {LISTED: "run_id", ENDED: "run_id"}
+    ledger.replace_run(spark, root, run, {STATE: rows, **tables}, order, runs)
+    ledger.compact(spark, root, STATE, DELTA_SCHEMA, merge_deltas, ORDER)
+    for name, schema in ((LISTED, RUN_LISTING_SCHEMA), (ENDED, RUN_SCHEMA)):
+        if name in tables:
+            ledger.compact(spark, root, name, schema, lambda df: df, order.get(name))
+
+
+# ---- run log ----------------------------------------------------------------
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run log, one row per run; a run without an end is unfinished."""
-    try:
-        events = spark.read.schema(RUN_SCHEMA).parquet(f"{root}/runs")
-    except Exception as e:  # no run yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], RUN_SCHEMA)
+    """Run log, one row per run; a run without an end is unfinished. Ends are either logged by
+    `finish_run` or committed with the rows of their run."""
+    events = ledger.read(spark, root, ENDED, RUN_SCHEMA)
+    started = ledger._read(spark, f"{root}/runs", RUN_SCHEMA)
+    if started is not None:
+        events = events.unionByName(started.select(*events.columns))
     return events.groupBy("run_id").agg(
         *[F.max(c).alias(c) for c in ("started_at", "finished_at", "n_listings", "n_reported")])
 
@@ -188,10 +239,7 @@ def record_run_listings(listings: DataFrame, root: str, run_id: int) -> None:
 
 
 def read_run_listings(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return (spark.read.schema(RUN_LISTING_SCHEMA).option("basePath", f"{root}/run_listings")
-                .parquet(f"{root}/run_listings"))
-    except Exception as e:  # no run yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], RUN_LISTING_SCHEMA)
+    """Rows of all runs, written by themselves or committed with their run."""
+    rows = ledger.read(spark, root, LISTED, RUN_LISTING_SCHEMA)
+    alone = ledger._read(spark, f"{root}/run_listings", RUN_LISTING_SCHEMA, basePath=f"{root}/run_listings")
+    return rows if alone is None else rows.unionByName(alone.select(*rows.columns))

@@ -21,24 +21,27 @@ class Settings:
 
 @dataclass(frozen=True)
 class Result:
-    """Tables of a run. `merged`, `state` and `reported` are written once, the rest lazy."""
+    """Tables of a run. `merged`, `seen` and `reported` are written once, the rest lazy: `state`, the
+    state after the run, is only worked out if it is read, since a run records its delta."""
     merged: DataFrame
     checked: DataFrame
     pairs: DataFrame
     reported: DataFrame
     state: DataFrame
     counters: DataFrame
+    seen: DataFrame
+    verdicts: DataFrame | None
 
 
 def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFrame, DataFrame]:
-    """(merged postings, next state) of keyed postings with ingest_seq.
+    """(merged postings, folded rows of the keys seen) of postings with ingest_seq.
 
     Every posting of a run is observed before its date is resolved, so an undated copy
     always ranks as approximate. Copies can then be merged first and first_seen joined
     after, when each key is one row and no key is hot.
     """
     batch = fr.with_key(listings).withColumn("seen_at", F.lit(run_at).cast("timestamp"))
-    state = checkpointed(st.observe(state, batch))
+    seen = checkpointed(st.fold_batch(batch))
     undated = F.col("posted_date").isNull()
     ranked = batch.withColumn("_label", F.col("date_confidence")).withColumn(
         "date_confidence", F.when(undated, V.APPROXIMATE).when(
@@ -47,8 +50,12 @@ def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFram
     merged = fr.dedupe_merge(ranked.drop("seen_at"))
     merged = fr.with_also_seen(checkpointed(merged), ranked)
     merged = merged.drop("date_confidence").withColumnRenamed("_label", "date_confidence")
-    merged = merged.join(state.select("key", "first_seen"), "key", "left")
-    return fr.resolve_dates(merged), state
+    # One row per key on each side; of the state only two columns are read.
+    known = state.select("key", F.col("first_seen").alias("_known"))
+    first = seen.select("key", "first_seen").join(known, "key", "left").select(
+        "key", F.coalesce("_known", "first_seen").alias("first_seen"))
+    merged = merged.join(first, "key", "left")
+    return fr.resolve_dates(merged), seen
 
 
 def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame | None,
@@ -61,7 +68,8 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
     Every pair that shares a term and has the least score is reported; `top_pairs` keeps
     just the best of each profile.
     """
-    merged, state = merge_fresh(listings, state, run_at)
+    merged, seen = merge_fresh(listings, state, run_at)
+    state, verdicts = st.observe_folded(state, seen), None
     merged = checkpointed(merged)
     marked = fr.mark_eligibility(merged, as_of, settings.recency_days, settings.lookahead_days,
                                  settings.include_unverified)
@@ -73,7 +81,8 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
     else:
         checked = live.live_check(eligible, http_results, as_of, run_at)
         checked = checkpointed(checked)
-        state = checkpointed(st.record_verdicts(state, checked.select("key", "live_status", "live_checked_at")))
+        verdicts = checked.select("key", "live_status", "live_checked_at")
+        state = st.record_verdicts(state, verdicts)
     retained = live.drop_dead(checked)
     # Merged rows have a unique ingest_seq, far narrower in a shuffle than their key.
     pairs = match.match_pairs(retained, profile_terms, "ingest_seq")
@@ -85,25 +94,24 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
         reported = match.override_scores(reported, rescored, ["profile_id", "key"])
     reported = checkpointed(reported)
     counters = st.run_counters(listings, merged, checked, reported.select("key").distinct())
-    return Result(merged, checked, pairs, reported, state, counters)
+    return Result(merged, checked, pairs, reported, state, counters, seen, verdicts)
 
 
 def record(result: Result, root: str, run_id: int, finished_at) -> DataFrame:
     """Writes state, run log and keys of a run; returns (key, change) since the last one.
 
-    The state is written first and the end of the run last: a run that breaks off stays
-    unfinished, and running it again replaces its folders.
+    All three become visible in one commit: a run that breaks off before it leaves everything
+    as it was, and running it again replaces what it wrote.
     """
     spark = result.merged.sparkSession
-    st.write_snapshot(result.state, root, run_id)
     shown = result.reported.select("key").distinct().withColumn("reported", F.lit(True))
     kept = (live.drop_dead(result.checked).select("key", "live_status")
             .join(shown, "key", "left").withColumn("reported", F.coalesce("reported", F.lit(False))))
-    st.record_run_listings(kept, root, run_id)
-    listed = st.read_run_listings(spark, root)
-    n = listed.where(F.col("run_id") == run_id).agg(
-        F.count_if("reported").alias("r")).first()["r"]
-    current = listed.where((F.col("run_id") == run_id) & F.col("reported")).select("key")
-    before = st.previous_reported(st.read_runs(spark, root), listed, run_id)
-    st.finish_run(spark, root, run_id, finished_at, result.merged.count(), n)
-    return st.diff_keys(current, before)
+    kept = checkpointed(kept.groupBy("key").agg(F.max("reported").alias("reported"), F.max("live_status").alias("live_status")))
+    n = kept.agg(F.count_if("reported").alias("r")).first()["r"]
+    ended = spark.createDataFrame([(run_id, None, finished_at, result.merged.count(), n)], st.RUN_SCHEMA).coalesce(1)
+    st.write_delta(spark, root, run_id, st.delta(result.seen, result.verdicts, run_id), **{
+        st.LISTED: kept.select(F.lit(run_id).cast("long").alias("run_id"), "key", "reported", "live_status"),
+        st.ENDED: ended})
+    before = st.previous_reported(st.read_runs(spark, root), st.read_run_listings(spark, root), run_id)
+    return st.diff_keys(kept.where("reported").select("key"), before)

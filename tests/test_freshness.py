@@ -176,7 +176,7 @@ def test_two_whole_runs(spark, table, tmp_path):
 
     root = str(tmp_path)
     one = ST.start_run(spark, root, datetime(2026, 7, 1))
-    first = go(rows, ST.read_snapshot(spark, root, None), "2026-07-01 08:00:00")
+    first = go(rows, ST.state_view(spark, root), "2026-07-01 08:00:00")
     shown = {r["company"]: r for r in first.reported.collect()}
     assert set(shown) == {"Loft Quartet", "Quiet Hall"} and shown["Loft Quartet"]["match_score"] > 30
     assert shown["Loft Quartet"]["n_merged"] == 2 and shown["Quiet Hall"]["date_confidence"] == "approximate"
@@ -186,10 +186,10 @@ def test_two_whole_runs(spark, table, tmp_path):
     assert {r["change"] for r in R.record(first, root, one, datetime(2026, 7, 1)).collect()} == {"new"}
     two = ST.start_run(spark, root, datetime(2026, 7, 2))
     second = go([rows[4], posting(9, company="Fresh Reed", title="Viola Intern")],
-                ST.read_snapshot(spark, root, one), "2026-07-02 08:00:00")
+                ST.state_view(spark, root), "2026-07-02 08:00:00")
     change = {r["key"]: r["change"] for r in R.record(second, root, two, datetime(2026, 7, 2)).collect()}
     assert change == {"fresh reed|viola intern|": "new", "loft quartet|viola intern|": "closed"}
-    state = ST.read_snapshot(spark, root, two)
+    state = ST.state_view(spark, root)
     assert {r["key"]: r["first_seen"].day for r in state.collect()}["quiet hall|strings intern|"] == 1
 
     cards = RP.cards(first.reported, AS_OF).collect()
