@@ -79,7 +79,7 @@ WITH {BEST} SELECT profile_id, posting_id, match_score, pair_rank,
 FROM named""")
 def match_topk(spark, d):
     pt = terms(spark, d)
-    best = M.best_pairs(M.match_pairs(postings(spark, d), pt), 10)
+    best = M.top_pairs(postings(spark, d), pt, 10)
     return M.with_term_lists(best, pt, V.MATCHED_SHOWN, V.MISSING_SHOWN, named=V.RATIONALE_SHOWN).select(
         "profile_id", "posting_id", F.col("match_score").cast("bigint"),
         F.col("pair_rank").cast("bigint"), joined("matched_keywords").alias("matched"),

@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rolecast import values as V
-from rolecast.functions.text import (anchors, is_anchor, lines, mark, normalize_term,
+from rolecast.functions.text import (anchors, first_n, is_anchor, let, lines, mark, normalize_term,
                                      sign_pattern, stands_in, term_anchor, term_tokens)
 from rolecast.operators.common import checkpointed, is_small, lookup_join, union_all
 
@@ -50,28 +50,37 @@ def vocabulary(lexicon: DataFrame, synonyms: DataFrame,
             .agg(F.max(F.coalesce("is_tool", F.lit(False))).alias("is_tool")))
 
 
-def term_counts(docs: DataFrame, doc: str = "doc_id", body: str = "text",
-                stopwords=V.STOPWORDS) -> DataFrame:
-    """(doc, term, n, is_phrase, first_pos): words and neighbouring pairs per line.
+def counted_terms(body: Column, stopwords=V.STOPWORDS) -> Column:
+    """array<struct<term, n, first_pos>>: words and neighbouring pairs per line of a text.
 
-    The text is shuffled by document once, before it is taken apart: counting and any
-    ranking per document then need no further exchange, and the far larger exploded
-    rows never travel.
+    Counted inside the cell: terms with their places are sorted, and each run of equal terms is
+    one entry. Nothing is exploded before it is counted, so nothing is shuffled.
     """
-    per_line = (docs.select(doc, body).repartition(F.col(doc))
-                .select(doc, F.posexplode(lines(F.col(body))).alias("_line", "_text"))
-                .select(doc, "_line", term_tokens(F.col("_text"), stopwords).alias("_w")))
-    n = F.size("_w")
-    words = F.transform("_w", lambda w, i: F.struct(
-        w.alias("term"), (F.col("_line") * F.lit(_LINE) + i).alias("at")))
-    pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))),
-                       F.slice("_w", F.lit(2), F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    phrases = F.transform(pairs, lambda p, i: F.struct(
-        p.alias("term"), (F.col("_line") * F.lit(_LINE) + F.lit(_PHRASE) + i).alias("at")))
-    return (per_line.select(doc, F.explode(F.concat(words, phrases)).alias("_t"))
-            .groupBy(doc, F.col("_t.term").alias("term"))
-            .agg(F.count("*").alias("n"), F.min("_t.at").alias("first_pos"))
+    def placed(w: Column, line: Column) -> Column:
+        at, n = line.cast("bigint") * F.lit(_LINE), F.size(w)
+        words = F.transform(w, lambda x, i: F.struct(x.alias("term"), (at + i).alias("at")))
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))),
+                           F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))),
+                           lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(words, F.transform(pairs, lambda x, i: F.struct(
+            x.alias("term"), (at + F.lit(_PHRASE) + i).alias("at"))))
+
+    def folded(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
+            F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return let(first, lambda f: F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(n)), lambda a, b: F.struct(
+            F.get(s, a)["term"].alias("term"), (b - a).cast("bigint").alias("n"), F.get(s, a)["at"].alias("first_pos"))))
+
+    cells = F.flatten(F.transform(lines(body), lambda line, i: let(term_tokens(line, stopwords), lambda w: placed(w, i))))
+    return let(F.array_sort(cells), lambda s: F.when(F.size(s) > 0, folded(s)))
+
+
+def term_counts(docs: DataFrame, doc: str = "doc_id", body: str = "text",
+                stopwords=V.STOPWORDS) -> DataFrame:
+    """(doc, term, n, is_phrase, first_pos): words and neighbouring pairs per line of each
+    document, which is one row. Needs no shuffle."""
+    return (docs.select(doc, F.inline(counted_terms(F.col(body), stopwords)))
             .withColumn("is_phrase", F.col("term").contains(" ")))
 
 
@@ -84,15 +93,43 @@ def top_terms(docs: DataFrame, doc: str = "doc_id", body: str = "text", top_n: i
               stopwords=V.STOPWORDS) -> DataFrame:
     """(doc, term, n, weight, term_rank): the terms of each document, most salient first;
     `top_n` of them (usually `V.TOP_TERMS`) if given."""
-    counts = term_counts(docs, doc, body, stopwords)
-    order = W.partitionBy(doc).orderBy(
-        (F.col("n") * 2 + F.col("is_phrase").cast("int")).desc(), "first_pos")
-    ranked = counts.withColumn("term_rank", F.row_number().over(order))
-    if top_n is not None:
-        ranked = ranked.where(F.col("term_rank") <= top_n)
-    return (ranked
-            .select(doc, "term", "n", term_weight(F.col("n"), F.col("is_phrase")).alias("weight"),
-                    "term_rank"))
+    # A pair counts half a use more than a word. Ranked inside the cell, as they were counted.
+    ranked = F.transform(counted_terms(F.col(body), stopwords), lambda t: F.struct(
+        (-(t["n"] * 2 + t["term"].contains(" ").cast("int"))).alias("_use"), t["first_pos"].alias("_at"),
+        t["term"].alias("term"), t["n"].alias("n")))
+    kept = first_n(F.array_sort(ranked), top_n)
+    return (docs.select(doc, F.posexplode(kept).alias("_i", "_t"))
+            .select(doc, "_t.term", "_t.n", (F.col("_i") + 1).alias("term_rank"))
+            .select(doc, "term", "n", term_weight(F.col("n"), F.col("term").contains(" ")).alias("weight"), "term_rank"))
+
+
+SKETCH_BITS_PER_VALUE, SKETCH_LEAST, SKETCH_MOST = 16, 1 << 10, 1 << 24
+
+
+def may_hold(values: DataFrame, c: Column) -> Column:
+    """Can a column's value be among the values of a one-column table of any size? False means no.
+
+    A bit per hash of each value, in a list of at most `SKETCH_MOST` bits (2 MB) that every task
+    gets with its plan; a value that is not there passes with a chance of one in
+    `SKETCH_BITS_PER_VALUE` or, in a table too large for the list, more. Runs a job that counts.
+    """
+    spark, (name,) = values.sparkSession, values.columns
+    n = values.agg(F.approx_count_distinct(name)).first()[0]
+    bits = SKETCH_LEAST
+    while bits < min(SKETCH_BITS_PER_VALUE * n, SKETCH_MOST):
+        bits *= 2
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(bits))
+
+    def bit(x: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(x) % 64).cast("int"))
+
+    filled = values.where(F.col(name).isNotNull()).groupBy(F.floor(place(F.col(name)) / 64).alias("id")).agg(F.bit_or(bit(F.col(name))).alias("_b"))
+    words = spark.range(bits // 64).join(filled, "id", "left").select("id", F.coalesce("_b", F.lit(0).cast("bigint")).alias("_b"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "_b")))
+    sketch = checkpointed(words.agg(F.transform(ordered, lambda w: w["_b"]).alias("sketch"))).scalar()
+    return F.get(sketch, F.floor(place(c) / 64).cast("int")).bitwiseAND(bit(c)) != 0
 
 
 def _anchor_rows(names: list[str]) -> Column:
@@ -144,6 +181,8 @@ def term_hits(docs: DataFrame, terms: DataFrame, doc: str, fields: dict[str, Col
                  .select("*", "_r.*").drop("_r"))
         return tested(found.join(F.broadcast(terms), "_anchor"))
     rows = docs.select(doc, *extra, *listed).select(doc, *carry, rows).select(doc, *carry, "_r.*")
+    # Most anchors of a text belong to no term; they are left out where they are found.
+    rows = rows.where(may_hold(terms.select("_anchor"), F.col("_anchor")))
     # Read by both branches below; written once, no text is taken apart again.
     found = checkpointed(lookup_join(rows, terms, ["_anchor"], "inner", small=False))
     sure = found.where("_sure").select(*out)
