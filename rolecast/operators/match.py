@@ -69,56 +69,26 @@ def best_pairs(pairs: DataFrame, k: int, posting: str = "posting_id") -> DataFra
             .where(F.col("pair_rank") <= k))
 
 
-SEEDS = 20   # postings first scored for a floor, in multiples of k
-
-
 def top_pairs(postings: DataFrame, profile_terms: DataFrame, k: int, posting: str = "posting_id",
               small: bool | None = None) -> DataFrame:
     """(profile_id, posting, match_score, matched_ranks, pair_rank): what `best_pairs` gives of
-    `match_pairs`, without building all pairs.
-
-    1. The postings of a profile's rarest terms are scored whole; the k-th best is a floor.
-    2. Of each profile the most frequent terms are set aside as long as all of them together, in
-       the title, score under the floor. A posting with none but those is not among the best.
-    3. The rest of the terms are joined; a pair whose sum so far and what was set aside cannot
-       reach the floor goes. Only pairs that are left are scored whole and get their ranks.
-
-    A profile without k postings in step 1 has no floor, and all its pairs are scored.
-    """
+    `match_pairs`. Before the cut a pair is two numbers and two ids, summed by hash in both halves
+    of the exchange; only the k pairs that stay get their ranks, from the rows of their posting."""
     small = is_small(profile_terms) if small is None else small
     hits = checkpointed(_hits(postings, profile_terms, posting, small).select(posting, "term", "in_title", "_has_text"))
-    counts = hits.groupBy("term").agg(F.count("*").alias("_n"))
-    weights = lookup_join(_weights(profile_terms), counts, ["term"], "inner", small=small)
-    # Windows over the terms of one profile each.
-    rare, often = (W.partitionBy("profile_id").orderBy(*o).rowsBetween(W.unboundedPreceding, 0)
-                   for o in (("_n", "term"), (F.desc("_n"), "term")))
-    weights = checkpointed(weights.withColumns({
-        "_reached": F.sum("_n").over(rare), "_aside": F.sum(_in_title(F.col("_w"))).over(often)}))
-    seeds = _partial(hits, weights.where(F.col("_reached") <= SEEDS * k), posting, small)
-    seeds = checkpointed(best_pairs(seeds.withColumn("match_score", F.col("_sum")), k, posting).select("profile_id", posting))
-    floors = (_whole(seeds, hits, weights, posting).groupBy("profile_id")
-              .agg(F.count("*").alias("_k"), F.min("match_score").alias("_floor")).where(F.col("_k") >= k))
-    bounds = weights.join(floors.select("profile_id", "_floor"), "profile_id", "left").withColumn(
-        "_over", score_of(F.col("_aside") / F.lit(float(_MICRO)), F.lit(True)) < F.coalesce("_floor", F.lit(0)))
-    aside = F.coalesce(F.max(F.when(F.col("_over"), F.col("_aside"))).over(W.partitionBy("profile_id")), F.lit(0))
-    left = checkpointed(bounds.withColumn("_bound", aside).where("not _over"))
-    near = _partial(hits, left, posting, small, F.max("_bound").alias("_bound"), F.max("_floor").alias("_floor"))
-    reach = score_of((F.col("_sum") + F.col("_bound")) / F.lit(float(_MICRO)), F.col("_has_text"))
-    near = checkpointed(near.where(reach >= F.coalesce("_floor", F.lit(0))).select("profile_id", posting))
-    return best_pairs(_whole(near, hits, weights, posting), k, posting)
-
-
-def _partial(hits: DataFrame, weights: DataFrame, posting: str, small: bool, *more: Column) -> DataFrame:
-    """(profile_id, posting, _sum, _has_text): weights summed over some terms of each profile."""
-    pairs = lookup_join(hits, weights.drop("term_rank", "_n"), ["term"], "inner", small=small)
-    return pairs.groupBy("profile_id", posting).agg(
+    weights = _weights(profile_terms)
+    pairs = lookup_join(hits, weights.drop("term_rank"), ["term"], "inner", small=small)
+    summed = pairs.groupBy("profile_id", posting).agg(
         F.sum(F.when(F.col("in_title"), _in_title(F.col("_w"))).otherwise(F.col("_w"))).alias("_sum"),
-        F.max("_has_text").alias("_has_text"), *more)
+        F.max("_has_text").alias("_has_text"))
+    scored = summed.select("profile_id", posting, score_of(F.col("_sum") / F.lit(float(_MICRO)), F.col("_has_text")).alias("match_score"))
+    best = checkpointed(best_pairs(scored, k, posting).select("profile_id", posting, "pair_rank"))
+    return _whole(best, hits, weights, posting)
 
 
 def _whole(pairs: DataFrame, hits: DataFrame, weights: DataFrame, posting: str) -> DataFrame:
-    """(profile_id, posting, match_score, matched_ranks) of given pairs, worked out in their rows:
-    the lists are those of one posting and of one profile."""
+    """The given pairs (with pair_rank) and their match_score and matched_ranks, worked out in their
+    rows: the lists are those of one posting and of one profile."""
     held = (lookup_join(hits, pairs.select(posting).distinct(), [posting], "left_semi").groupBy(posting)
             .agg(F.collect_list("term").alias("_held"), F.collect_list(F.when(F.col("in_title"), F.col("term"))).alias("_titled"),
                  F.max("_has_text").alias("_has_text")))
@@ -128,7 +98,7 @@ def _whole(pairs: DataFrame, hits: DataFrame, weights: DataFrame, posting: str)
     rows = computed(rows, _matched=matched)
     summed = F.aggregate("_matched", F.lit(0).cast("bigint"), lambda a, t: a + F.when(
         F.array_contains(F.col("_titled"), t["term"]), _in_title(t["_w"])).otherwise(t["_w"]))
-    return rows.select("profile_id", posting, score_of(summed / F.lit(float(_MICRO)), F.col("_has_text")).alias("match_score"),
+    return rows.select("profile_id", posting, "pair_rank", score_of(summed / F.lit(float(_MICRO)), F.col("_has_text")).alias("match_score"),
                        F.transform("_matched", lambda t: t["term_rank"]).alias("matched_ranks"))
 
 

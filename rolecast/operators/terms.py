@@ -73,7 +73,8 @@ def counted_terms(body: Column, stopwords=V.STOPWORDS) -> Column:
             F.get(s, a)["term"].alias("term"), (b - a).cast("bigint").alias("n"), F.get(s, a)["at"].alias("first_pos"))))
 
     cells = F.flatten(F.transform(lines(body), lambda line, i: let(term_tokens(line, stopwords), lambda w: placed(w, i))))
-    return let(F.array_sort(cells), lambda s: F.when(F.size(s) > 0, folded(s)))
+    # sort_array compares values; array_sort would run an expression for every comparison.
+    return let(F.sort_array(cells), lambda s: F.when(F.size(s) > 0, folded(s)))
 
 
 def term_counts(docs: DataFrame, doc: str = "doc_id", body: str = "text",
@@ -97,7 +98,7 @@ def top_terms(docs: DataFrame, doc: str = "doc_id", body: str = "text", top_n: i
     ranked = F.transform(counted_terms(F.col(body), stopwords), lambda t: F.struct(
         (-(t["n"] * 2 + t["term"].contains(" ").cast("int"))).alias("_use"), t["first_pos"].alias("_at"),
         t["term"].alias("term"), t["n"].alias("n")))
-    kept = first_n(F.array_sort(ranked), top_n)
+    kept = first_n(F.sort_array(ranked), top_n)
     return (docs.select(doc, F.posexplode(kept).alias("_i", "_t"))
             .select(doc, "_t.term", "_t.n", (F.col("_i") + 1).alias("term_rank"))
             .select(doc, "term", "n", term_weight(F.col("n"), F.col("term").contains(" ")).alias("weight"), "term_rank"))
