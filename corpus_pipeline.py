@@ -13,9 +13,12 @@ read again as the next one's docs. All but the last return the columns of docume
 5. packing: the pieces of all documents in sequences of 4096 tokens.
 
 Empty tables pass through all stages; null ids and texts, repeated rows and further columns are
-handled as each operator states.
+handled as each operator states. Inside a stage all columns but doc_id, text and n_chars have
+names of its own (`apart`), so that no name of a column, with dots or without, can clash.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecast.llm import leaks, packing, passages, shingles, toxicity
@@ -25,6 +28,18 @@ from rolecast.llm.common import fold_of, stored, table
 ORACLE_SQL = None
 
 
+USED = ("doc_id", "text", "n_chars")
+
+
+def apart(stage: Callable) -> Callable:
+    """The stage over columns renamed by their place, and renamed back after it."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = docs.toDF(*[c if c in USED else f"c{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, inside, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     machine = toxicity.fit(docs.select("doc_id", "text"), labels, fold_of(F.col("doc_id")) != 0)
@@ -55,8 +70,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs)
 
 
-STAGES = [("toxicity", clean), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
-          ("decontamination", decontamination), ("packing", packed)]
+STAGES = [("toxicity", apart(clean)), ("near_duplicates", apart(near_duplicates)),
+          ("repeated_passages", apart(repeated_passages)), ("decontamination", apart(decontamination)), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
