@@ -12,9 +12,9 @@ The quantisers are fitted on a bounded sample (at most `sample` vectors, those w
 every vector is indexed. Equal vectors of a label are one entry, so copies are linked without
 their pairs. A list goes to as many tasks as it has blocks of members times blocks of queries.
 
-A vector that is null, zero, of another length than most, or holds null or non-finite components
-links with nothing, nor does one without a label: such a row is its own component with no
-links. Repeated ids with different vectors are separate entries with the same component id rules.
+A vector that is null, zero, or holds null or non-finite components links with nothing, nor does
+one without a label: such a row is its own component with no links. Vectors of different lengths
+are not compared; lengths within a factor of two share a quantiser, filled with zeros. Repeated ids with different vectors are separate entries with the same component id rules.
 """
 
 import numpy as np
@@ -140,20 +140,22 @@ def _search(sent, threshold: float):
     return run
 
 
-def _normal(batches):
-    """Unit vectors as 64-bit floats."""
-    for batch in batches:
-        rows = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
-        unit = [v / np.abs(v).max() for v in rows]  # no overflow in the squares
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([(v / np.sqrt((v * v).sum())).tobytes() for v in unit], pa.binary())],
-            names=["part", "id", "vector"])
+def _normal(dim: int):
+    """Unit vectors as 64-bit floats, filled with zeros up to `dim`."""
+    def run(batches):
+        for batch in batches:
+            rows = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
+            unit = [v / np.abs(v).max() for v in rows]  # no overflow in the squares
+            data = [np.pad(v / np.sqrt((v * v).sum()), (0, dim - len(v))).tobytes() for v in unit]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())],
+                                             names=["part", "id", "vector"])
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
                  margin: float = MARGIN) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
-    spark = vectors.sparkSession
     v = F.col("embedding")
     number = lambda x: x.cast("double")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(number(x)) & (F.abs(number(x)) < float("inf")), F.lit(False)))
@@ -161,17 +163,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v)
     rows = rows.withColumn("usable", usable).withColumn("k1", F.xxhash64("label", v)).withColumn(
         "k2", F.xxhash64(F.lit(1), "label", v))
-    lengths = rows.where("usable").groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
     alone = ["vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if lengths is None:
-        return rows.select(*alone)
-    dim = lengths["n"]
-    fit = F.col("usable") & (F.size(v) == dim)
+    out = rows.where(~F.col("usable")).select(*alone)
+    # Lengths within a factor of two share a quantiser; there are at most 32 such classes.
+    band = F.ceil(F.log2(F.size(v)))
+    rows = rows.where("usable").withColumn("band", band)
+    for r in rows.groupBy("band").agg(F.max(F.size(v)).alias("dim")).orderBy("band").collect():
+        out = out.union(_linked(rows.where(F.col("band") == r["band"]), r["dim"], threshold, sample, margin))
+    return out
+
+
+def _linked(rows: DataFrame, dim: int, threshold: float, sample: int, margin: float) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of usable vectors of up to `dim` numbers. Only those of
+    one label and one length are compared: both are in the key of a list."""
+    spark, v = rows.sparkSession, F.col("embedding")
     # Ids may repeat, so an entry has a number of its own; equal vectors share it.
-    entries = rows.where(fit).groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("part"), F.first(v).alias("v"))
+    part = F.concat_ws("/", F.size(v), "label")
+    entries = rows.groupBy("k1", "k2").agg(
+        F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first(part).alias("part"), F.first(v).alias("v"))
     entries = stored(entries.withColumn("id", F.monotonically_increasing_id()), "entries")
-    unit = stored(entries.select("part", "id", "v").mapInArrow(_normal, "part string, id long, vector binary"), "units")
+    unit = stored(entries.select("part", "id", "v").mapInArrow(_normal(dim), "part string, id long, vector binary"), "units")
     # At most `sample` vectors come to the driver.
     some = unit.orderBy(F.xxhash64("vector"), "id").limit(sample).select("vector").toPandas()
     data = np.frombuffer(b"".join(some["vector"]), np.float64).reshape(-1, dim)
@@ -202,9 +213,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     per = stored(per, "per")
     lows = per.groupBy("component").agg(F.min("low").alias("component_id"))
     per = stored(lookup_join(per, lows, ["component"], "inner").select("k1", "k2", "n_links", "component_id"), "per")
-    good = lookup_join(rows.where(fit).select("vec_id", "k1", "k2"), per, ["k1", "k2"], "inner").select(
+    return lookup_join(rows.select("vec_id", "k1", "k2"), per, ["k1", "k2"], "inner").select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return good.union(rows.where(~fit).select(*alone))
 
 
 def op3_vectors(spark, sf_dir):
