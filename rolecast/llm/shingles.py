@@ -266,7 +266,7 @@ def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFram
     rows with a null or repeated id come after all others."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     odd = stored(odd.select(F.col("doc_id").alias("_odd")), "odd")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"))
     if not odd.isEmpty():
         # Written once, so that the numbers hold.
         same = F.col("_id").eqNullSafe(F.col("_odd"))
