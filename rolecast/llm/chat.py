@@ -39,20 +39,21 @@ _MARKER = re.compile(rf"\s*(?:#+ *({_NAME})\b *:?$|[*]{{2}}({_NAME}) *:?[*]{{2}}
 
 
 def parsed(text: str | None) -> list[tuple[int, int, str]]:
-    """(symbol, role of the marker or -1, text without it) of each line that is not blank."""
-    out, gap = [], 0
+    """(symbol, role of the marker or -1, text without it) of each line that is not blank; the text
+    starts with the blank lines before it."""
+    out, blank = [], 0
     for line in (text or "").split("\n"):
         line = line.rstrip("\r")
         if not line.strip():
-            gap = 1
+            blank += 1
             continue
         m = _MARKER.match(line)
         role = NAMES[next(g for g in m.groups() if g).lower()] if m else -1
         rest = line[m.end():] if m else line
         size = min(3, len(rest).bit_length() // 3)
-        symbol = (((role + 1) * 2 + gap) * 2 + rest.rstrip().endswith("?")) * 4 + size
-        out.append((symbol, role, rest))
-        gap = 0
+        symbol = (((role + 1) * 2 + (blank > 0)) * 2 + rest.rstrip().endswith("?")) * 4 + size
+        out.append((symbol, role, "\n" * blank + rest))
+        blank = 0
     return out
 
 
@@ -166,8 +167,11 @@ def _decode(model: Model):
             states = model.states(np.array([x[0] for x in lines]), *known.get((conv, segment), (-1, -1)))
             starts = [i for i, s in enumerate(states) if s % 2 == 0 or i == 0]
             for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(lines)])):
-                text = "\n".join(x[2] for x in lines[a:b]).strip("\n")
-                out.append((conv, segment, n, bool(states[a] % 2 == 0), int(states[a] // 2), b - a, text))
+                opens = states[a] % 2 == 0
+                text = "\n".join(x[2] for x in lines[a:b]).rstrip("\n")
+                # Blank lines before a turn are not its own; inside it they are text.
+                text = text.lstrip("\n") if opens or (segment, a) == (0, 0) else text
+                out.append((conv, segment, n, bool(opens), int(states[a] // 2), b - a, text))
         types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, types)],
                         names=[x.split()[0] for x in PIECE.split(", ")])
