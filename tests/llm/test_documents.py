@@ -300,21 +300,28 @@ def test_items_in_documents(spark, docs, nothing):
     base = next(t for _, t, *_ in ROWS if t and len(t.split()) == 200)
     some = base.split()
     items = [(1, " ".join(some[20:60])), (2, " ".join(some[20:60]) + " other words that are not there " * 2), (3, "TWO words!"),
-             (4, None), (5, ""), (6, "zz never seen at all in here"), (7, " ".join(some[:30]).upper()), (1, " ".join(some[20:60]))]
+             (4, None), (5, ""), (6, "zz never seen at all in here"), (7, " ".join(some[:30]).upper()), (1, " ".join(some[20:60])),
+             (8, " ".join(some[100:103])), (9, some[7]), (10, some[8] + " " + some[7] + " never")]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, row string")
 
     def cut(t):
         w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
         return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
-    want = [(d, i, len(cut(t) & cut(x)), len(cut(x)), len(cut(t) & cut(x)) / len(cut(x))) for d, t, *_ in ROWS for i, x in items
-            if cut(x) and 100 * len(cut(t) & cut(x)) >= 80 * len(cut(x))]
+    def every(t):
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return {tuple(w[i:i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
+
+    held, asked = [every(t) for _, t, *_ in ROWS], [cut(x) for _, x in items]
+    want = [(r[0], i, len(h & a), len(a), len(h & a) / len(a)) for r, h in zip(ROWS, held) for (i, _), a in zip(items, asked)
+            if a and 100 * len(h & a) >= 80 * len(a)]
     same(leaks.leaks(docs, table).collect(), want)
-    assert {r[1] for r in want} >= {1, 3, 7}
+    assert {r[1] for r in want} >= {1, 3, 7, 8, 9} and 10 not in {r[1] for r in want}
+    assert any(r[1] == 8 and len(every(t)) > 20 for r in want for d, t, *_ in ROWS if d == r[0])
     assert leaks.leaks(nothing, table).collect() == [] and leaks.leaks(docs, table.limit(0)).collect() == []
     clean = leaks.without_leaks(docs, table)
     assert clean.columns == docs.columns
-    same(clean.collect(), [r for r in ROWS if not any(cut(x) and 100 * len(cut(r[1]) & cut(x)) >= 80 * len(cut(x)) for _, x in items)])
+    same(clean.collect(), [r for r, h in zip(ROWS, held) if not any(a and 100 * len(h & a) >= 80 * len(a) for a in asked)])
 
 
 def test_toxicity_learns_pairs_of_terms(spark, nothing):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rolecast.llm import chat, vectors, warc
 from rolecast.llm.catalog import ORACLE, QUERIES
@@ -24,17 +25,20 @@ def _vectors() -> list[tuple]:
     rows += [(1000 + i, rows[0][1], 0) for i in range(40)] + [(1100, (2 * np.array(rows[0][1])).tolist(), 0)]
     rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [None] * 16, 0), (2004, [1.0], 0),
              (2005, rows[0][1], None), (2006, [], 0), (2007, [float("inf")] + [1.0] * 15, 0), (0, rows[0][1], 0), (None, rows[0][1], 0)]
+    # Other lengths, in the band of the most common one and in others: compared among themselves.
+    rows += [(3000, [1.0, 2.0, 3.0], 0), (3001, [2.0, 4.0, 6.0], 0), (3002, [1.0, 2.0, 3.0], 1), (3003, rows[0][1][:12], 0),
+             (3004, rows[0][1][:12], 0), (3005, [1.0, 2.0], 0), (3006, [1.0], 0)]
     return rows
 
 
 def test_near_vectors(spark):
     rows = _vectors()
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, part string, id int")
-    good = [i for i, (_, e, l) in enumerate(rows) if l is not None and e and len(e) == 16 and None not in e
+    good = [i for i, (_, e, l) in enumerate(rows) if l is not None and e and None not in e
             and np.isfinite(e).all() and np.any(e)]
-    x = np.array([rows[i][1] for i in good])
+    x = np.array([rows[i][1] + [0.0] * (16 - len(rows[i][1])) for i in good])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    labels = np.array([rows[i][2] for i in good])
+    labels = np.array([rows[i][2] * 100 + len(rows[i][1]) for i in good])
     near = (x @ x.T >= vectors.THRESHOLD) & (labels[:, None] == labels[None]) & ~np.eye(len(good), dtype=bool)
     group = {i: i for i in range(len(good))}
 
@@ -131,6 +135,12 @@ def test_roles_are_recovered(spark):
     assert out["", 1] == ("user", "<|user|>\nWhere is the < |end|> of the road?\n<|end|>") and out["", 0][0] == "system"
     assert [out["10", t][0] for t in range(3)] == ["user", "assistant", "user"]
     assert {k[0] for k in out} == {"", "10"}
+    # Blank lines inside a turn are text; those around it are not.
+    gaps = spark.createDataFrame([(1, 0, "\n\nUser: Where is the mill by the water?\n\n\nAssistant: It stands below the bridge.\n\n"
+                                   "  if x:\n\n\n  y\nMind the gate.\n\n")], "conv_id long, block long, text string")
+    spaced = chat.counted(table.withColumn("text", F.replace("text", F.lit("\nMind"), F.lit("\n\nand\n\nso\nMind"))))
+    out = {r.turn: r.text for r in chat.turns(gaps, spaced).collect()}
+    assert out == {0: "Where is the mill by the water?", 1: "It stands below the bridge.\n\n  if x:\n\n\n  y\nMind the gate."}
     assert chat.turns(odd.limit(0), model).collect() == []
 
 
@@ -162,10 +172,17 @@ def test_pipeline_stages(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = docs
+    # Names that the operators use themselves, and names that need quotes.
+    for c in ("predicted", "score", "null_text", "_row", "c3", "a.b", "rest", "doc id", "component_id"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), "doc_id"))
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
         assert docs.columns == columns
+        assert docs.where("`a.b` <> concat('a.b of ', doc_id) OR score <> concat('score of ', doc_id)").isEmpty()
+        plain = corpus_pipeline.stored(stage(spark, plain, SF), name)
+        assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, docs.select(plain.columns).collect()))
         after = docs.count()
         assert 0 < after <= before
         before = after
