@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from rolecast.catalog.base import epoch_us, query, table
 from rolecast.catalog.state import OBSERVED
+from rolecast.catalog.ingest import DOCS, docs, role_sql
 from rolecast.operators import state as ST
 from rolecast.operators.common import shared_dir
-from rolecast.streaming import sessions as SE
+from rolecast.sources import boards as B
+from rolecast.streaming import landing as LA, sessions as SE
 from rolecast.streaming.observe import STREAM, dedupe_stream, observe_stream
 
 EVENTS = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
@@ -98,3 +100,29 @@ def stream_dedupe_expiring(spark, d):
     """Each key once per session: a horizon far shorter than the data, state removed on the way."""
     out, _ = dropped_off(spark, d, lambda stream: SE.first_rows(stream, HORIZON, DELAY))
     return out.select("key", epoch_us(F.col("first_seen")).alias("first_us"))
+
+
+@query("landed_stream", f"""
+WITH {DOCS}, l AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'export' ELSE 'board' END AS label, doc_id % 7 = 3 AS broken FROM docs)
+SELECT label AS source_label, broken AS rejected, md5(CASE WHEN broken THEN doc_id::VARCHAR ELSE title END) AS what, count(*) AS n
+FROM l WHERE broken OR {role_sql("title", "text")} GROUP BY ALL""")
+def landed_stream(spark, d):
+    """Documents land as the files of two sources in two drops, one record in seven broken off. The
+    stream stops after the first drop and goes on from its checkpoint after the second."""
+    root = f"{shared_dir(spark)}/landing-{uuid.uuid4()}"
+    n, title, body = F.col("doc_id"), F.col("title"), F.col("text")
+    export = F.to_json(F.struct(n.cast("string").alias("company"), title.alias("title"), body.alias("description")))
+    board = F.to_json(F.struct(F.lit("b").alias("slug"), n.cast("string").alias("id"), title.alias("text"), body.alias("descriptionPlain")))
+    item = F.when(n % 2 == 0, export).otherwise(board)
+    # The end of a record with its number in front: no JSON.
+    rows = docs(spark, d).select(n, F.when(n % 7 == 3, F.concat(n.cast("string"), F.lit(" {"))).otherwise(item).alias("value"))
+    sources = {"export": LA.Landed(f"{root}/export", B.EXPORT_SCHEMA, B.user_export),
+               "board": LA.Landed(f"{root}/board", B.EPOCH_SCHEMA, B.epoch_board)}
+    for drop in range(2):
+        for i, source in enumerate(sources.values()):
+            some = rows.where((n % 2 == i) & (F.floor(n / 2) % 2 == drop)).select("value")
+            some.write.mode("append").text(source.path)
+        LA.land(spark, sources, f"{root}/log", f"{root}/offsets").awaitTermination()
+    good = LA.postings(spark, f"{root}/log").select("source_label", F.lit(False).alias("rejected"), F.md5("title").alias("what"))
+    bad = LA.rejected(spark, f"{root}/log").select("source_label", F.lit(True).alias("rejected"), F.md5(F.split("record", " ")[0]).alias("what"))
+    return good.unionByName(bad).groupBy("source_label", "rejected", "what").agg(F.count("*").alias("n"))

@@ -24,7 +24,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
              "live_status string, live_reason string, live_checked_at timestamp, "
              "eligible boolean, eligibility_reason string, match_score int, "
              "matched_keywords array<string>, missing_keywords array<string>, "
-             "match_rationale string, generated string")
+             "match_rationale string, also_seen string, n_merged long, generated string")
     rows = spark.read.schema(f"{fields}, {extra}").json(path)
     return rows.withColumns({d: iso_prefix_date(F.col(d)) for d in dates})
 
