@@ -4,12 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rolecast import values as V
 from rolecast.catalog.base import AS_OF, query, table
 from rolecast.catalog.freshness import ORDERS, orders
 from rolecast.functions import dates as D
 from rolecast.operators import report as R
 from rolecast.operators.common import number_rows, shared_dir
-from rolecast.sources.report_files import read_json, write_json
+from rolecast.sources.report_files import read_json, read_report, write_json, write_report
 
 
 def results(spark, d):
@@ -119,15 +120,18 @@ rk AS (SELECT *, CASE WHEN conf = 'unverified' THEN 'unverified' ELSE 'verified'
   FROM res)"""
 
 
-@query("markdown_cards", f"""
-WITH {CARD} SELECT o_custkey AS profile_id, bucket, rank, md5(concat_ws(chr(10),
+CARD_TEXT = """concat_ws(chr(10),
   '### ' || rank || '. ' || company || ' — ' || title || '  ·  Match ' || score || '/100', '',
   CASE WHEN seq % 2 = 0 THEN '> R&D' || chr(10) END, '- **Startup:** ' || st,
   '- **Level / mode:** intern · ' || work_mode, '- **Location:** —', '- **Posted:** ' || pt,
   '- **Deadline:** ' || due, '- **Live check:** ' || lv, '- **Source:** ' || source,
   '- **Apply:** https://o/' || seq, '- **Tech stack / requirements:** sql, a<b',
   '- **Eligibility:** in time', '- **Match ' || score || '/100** — Keyword match on: sql',
-  '  - Matched: sql', CASE WHEN seq % 5 = 0 THEN '  - Missing: etl' END, '')) AS card_md5 FROM rk""")
+  '  - Matched: sql', CASE WHEN seq % 5 = 0 THEN '  - Missing: etl' END, '')"""
+
+
+@query("markdown_cards", f"""
+WITH {CARD} SELECT o_custkey AS profile_id, bucket, rank, md5({CARD_TEXT}) AS card_md5 FROM rk""")
 def markdown_cards(spark, d):
     out = R.cards(card_input(spark, d), AS_OF)
     return out.select("profile_id", "bucket", "rank", F.md5("markdown").alias("card_md5"))
@@ -184,3 +188,53 @@ def json_report(spark, d):
     return read_json(spark, path).select(
         F.col("ingest_seq").alias("seq"), "company", "title", F.col("posted_date").cast("string"),
         F.col("deadline").cast("string"), "date_confidence", F.col("match_score").cast("bigint"))
+
+
+RECENT, AHEAD = 60, 90
+HEAD_SQL = f"""concat_ws(chr(10), '# Results', '', '_Generated {AS_OF} 12:00 UTC_', '',
+  '**Windows:** posted ≤ {RECENT}d  ·  deadline ≤ {AHEAD}d  ·  live-check ON', '',
+  '**Totals:** ' || (n - u) || ' verified-date  ·  ' || u || ' unverified-date  ·  ' || n
+    || ' retained (all live-checked this run)', '',
+  '**Since last run:** ' || n_new || ' new  ·  ' || n_closed || ' no longer listed', '',
+  '<details><summary>Candidate profile used for matching</summary>', '',
+  CASE WHEN degree <> '' OR major <> '' THEN '- **Background:** ' ||
+    concat_ws(' ', nullif(degree, ''), nullif(major, '')) END,
+  CASE WHEN len(tools) > 0 THEN '- **Tools/languages:** ' || array_to_string(tools[1:14], ', ') END,
+  '</details>', '')"""
+
+
+def report_profiles(spark, d):
+    """Customers as profiles; some without degree, major or tools, some without any posting."""
+    n = F.col("c_custkey")
+    tools = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.concat(F.lit("tool"), i))
+    return table(spark, d, "customer").select(
+        n.alias("profile_id"), F.when(n % 3 > 0, F.lower("c_mktsegment")).alias("degree"),
+        F.when(n % 4 > 0, F.concat(F.lit("area "), "c_nationkey")).otherwise("").alias("major"),
+        F.when(n % 5 > 0, F.slice(tools, 1, (n % 16 + 1).cast("int"))).alias("tools_languages"))
+
+
+@query("report_parts", f"""
+WITH {CARD},
+own AS (SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 3 > 0 THEN lower(c_mktsegment) ELSE '' END AS degree,
+  CASE WHEN c_custkey % 4 > 0 THEN 'area ' || c_nationkey ELSE '' END AS major,
+  CASE WHEN c_custkey % 5 > 0 THEN ['tool' || i FOR i IN range(1, c_custkey % 16 + 2)] ELSE [] END AS tools,
+  count(seq) AS n, count(seq) FILTER (conf = 'unverified') AS u
+  FROM customer LEFT JOIN res ON o_custkey = c_custkey GROUP BY ALL),
+ch AS (SELECT count(*) FILTER (seq % 7 = 0) AS n_new, count(*) FILTER (seq % 7 = 1) AS n_closed FROM res),
+parts AS (SELECT profile_id, 0 AS part, 0 AS rank, {HEAD_SQL} AS text FROM own, ch
+  UNION ALL SELECT profile_id, 1, 0, concat_ws(chr(10), '---', '', '{V.DATED_HEADING}', '',
+    CASE WHEN n = u THEN '_None this run._' || chr(10) END) FROM own
+  UNION ALL SELECT profile_id, 2, 0, concat_ws(chr(10), '---', '', '{V.UNDATED_HEADING}', '', '{V.UNDATED_NOTE}', '',
+    CASE WHEN u = 0 THEN '_None this run._' || chr(10) END) FROM own
+  UNION ALL SELECT o_custkey, CASE bucket WHEN 'verified' THEN 1 ELSE 2 END, rank, {CARD_TEXT} FROM rk)
+SELECT profile_id, part, rank, md5(text) AS text_md5 FROM parts""")
+def report_parts(spark, d):
+    """Whole reports of all profiles, written in ordered files and read back."""
+    rows = card_input(spark, d)
+    changes = rows.select(F.when(F.col("ingest_seq") % 7 == 0, "new").when(F.col("ingest_seq") % 7 == 1, "closed")
+                          .alias("change"))
+    parts = R.report_parts(rows, report_profiles(spark, d), AS_OF, f"{AS_OF} 12:00 UTC", RECENT, AHEAD, True,
+                           changes, tools=V.TOOLS_IN_HEAD)
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4()}"
+    write_report(parts, path)
+    return read_report(spark, path).select("profile_id", "part", "rank", F.md5("markdown").alias("text_md5"))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rolecast import values as V
 from rolecast.functions.dates import day, deadline_display, posted_display
 from rolecast.functions.html import escape
-from rolecast.functions.text import blank_to_null, source_head, text
+from rolecast.functions.text import blank_to_null, first_n, source_head, text
 from rolecast.operators.common import number_rows
 
 NO_DEADLINE = 10**6
@@ -237,3 +237,76 @@ def report_totals(df: DataFrame, changes: DataFrame | None = None) -> DataFrame:
         out = out.unionByName(c.select(F.lit("diff").alias("section"), F.format_string(
             "**Since last run:** %d new  ·  %d no longer listed", "n", "c").alias("text")))
     return out
+
+
+# ---- the parts of a report ---------------------------------------------------
+
+HEAD, DATED, UNDATED = 0, 1, 2
+
+
+def _blocks(*lines) -> Column:
+    return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+
+def report_head(owners: DataFrame, generated: str, recency_days: int, lookahead_days: int, live_checked: bool,
+                changes: DataFrame | None = None, title: str = "Results", tools: int | None = None) -> Column:
+    """The head of a report: title, time, windows, totals, changes and the profile it was made for.
+
+    `owners` has dated and undated (counts) and may have degree, major and tools_languages, whose
+    list `tools` (usually `V.TOOLS_IN_HEAD`) shortens. Of `changes` only two counts are fetched."""
+    empty = F.array().cast("array<string>")
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in owners.columns else other
+    who = F.concat_ws(" ", F.nullif(has("degree", F.lit("")), F.lit("")), F.nullif(has("major", F.lit("")), F.lit("")))
+    listed = F.array_join(first_n(has("tools_languages", empty), tools), ", ")
+    since = []
+    if changes is not None:
+        c = changes.agg(F.count_if(F.col("change") == "new").alias("n"),
+                        F.count_if(F.col("change") == "closed").alias("c")).first()
+        since = [f"**Since last run:** {c['n']} new  ·  {c['c']} no longer listed", ""]
+    profile = [] if "degree" not in owners.columns else [
+        "<details><summary>Candidate profile used for matching</summary>", "",
+        F.when(who != "", F.concat(F.lit("- **Background:** "), who)),
+        F.when(listed != "", F.concat(F.lit("- **Tools/languages:** "), listed)), "</details>", ""]
+    checked = " (all live-checked this run)" if live_checked else ""
+    return _blocks(
+        f"# {title}", "", f"_Generated {generated}_", "",
+        f"**Windows:** posted ≤ {recency_days}d  ·  deadline ≤ {lookahead_days}d  ·  "
+        f"live-check {'ON' if live_checked else 'OFF'}", "",
+        F.format_string(f"**Totals:** %d verified-date  ·  %d unverified-date  ·  %d retained{checked}",
+                        "dated", "undated", F.col("dated") + F.col("undated")), "", *since, *profile)
+
+
+def report_parts(df: DataFrame, profiles: DataFrame, as_of, generated: str, recency_days: int = 60,
+                 lookahead_days: int = 90, live_checked: bool = True, changes: DataFrame | None = None,
+                 title: str = "Results", tools: int | None = None, tie: str = "ingest_seq",
+                 owner: str = "profile_id") -> DataFrame:
+    """(owner, part, rank, markdown): whole reports as rows, to be read in that order.
+
+    Part 0 is the head, parts 1 and 2 are the sections of dated and of undated postings; rank 0 of
+    a section is its heading, the others are cards. A report is never put together in one row or
+    task, so it may have any number of cards. Every profile has a report, also one without postings;
+    rows of profiles that are not in `profiles` have one without the profile's lines. Rows without
+    an owner are left out.
+    """
+    df, profiles = df.where(F.col(owner).isNotNull()), profiles.where(F.col(owner).isNotNull())
+    late = F.col("date_confidence") == V.UNVERIFIED
+    counted = df.groupBy(owner).agg(F.count_if(late).alias("undated"), F.count("*").alias("_n"))
+    owners = profiles.join(counted, owner, "full").withColumns({
+        "undated": F.coalesce("undated", F.lit(0)), "_n": F.coalesce("_n", F.lit(0))})
+    owners = owners.withColumn("dated", F.col("_n") - F.col("undated"))
+
+    def section(part, heading, n, *note):
+        return F.struct(F.lit(part).alias("part"), _blocks(
+            "---", "", heading, "", *note,
+            F.when(F.col(n) == 0, F.lit(V.NONE_THIS_RUN + "\n"))).alias("markdown"))
+
+    frame = owners.select(owner, F.inline(F.array(
+        F.struct(F.lit(HEAD).alias("part"), report_head(
+            owners, generated, recency_days, lookahead_days, live_checked, changes, title, tools).alias("markdown")),
+        section(DATED, V.DATED_HEADING, "dated"),
+        section(UNDATED, V.UNDATED_HEADING, "undated", V.UNDATED_NOTE, ""))))
+    frame = frame.withColumn("rank", F.lit(0).cast("long"))
+    ranked = section_rank(df, as_of, tie, (owner,))
+    body = ranked.select(owner, F.when(F.col("bucket") == "verified", DATED).otherwise(UNDATED).alias("part"),
+                         F.col("rank").cast("long").alias("rank"), markdown_card(ranked).alias("markdown"))
+    return frame.unionByName(body)

@@ -29,9 +29,41 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({d: iso_prefix_date(F.col(d)) for d in dates})
 
 
-def write_cards(cards: DataFrame, path: str, form: str = "markdown") -> None:
-    """Cards as text files per profile and section, in rank order within a file."""
-    (cards.select("profile_id", "bucket", "rank", F.col(form).alias("value"))
-     .repartitionByRange(F.col("profile_id"), F.col("bucket"), F.col("rank"))
-     .sortWithinPartitions("profile_id", "bucket", "rank").drop("rank")
-     .write.mode("overwrite").partitionBy("profile_id", "bucket").text(path))
+ORDER = ("profile_id", "part", "rank")
+
+
+def write_report(parts: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """The rows of `report.report_parts` as Parquet files in report order, with an index of files.
+
+    A file holds a range of (profile_id, part, rank) and at most `rows_per_file` rows, however many
+    profiles there are and however long one report is. The index has one row per file.
+    """
+    (parts.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/parts"))
+    rows = parts.sparkSession.read.schema(parts.schema).parquet(f"{path}/parts")
+    (rows.groupBy(F.col("_metadata.file_name").alias("file"))
+     .agg(F.min("profile_id").alias("first"), F.max("profile_id").alias("last"), F.count("*").alias("n"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/index"))
+
+
+def read_report(spark: SparkSession, path: str, profile_id: int | None = None) -> DataFrame:
+    """The rows of a written report. For one profile only the files that hold its range are opened."""
+    if profile_id is None:
+        return spark.read.parquet(f"{path}/parts")
+    held = spark.read.parquet(f"{path}/index").where(F.lit(profile_id).between(F.col("first"), F.col("last")))
+    files = [f"{path}/parts/{r['file']}" for r in held.select("file").collect()]
+    rows = spark.read.parquet(*files) if files else spark.read.parquet(f"{path}/parts").limit(0)
+    return rows.where(F.col("profile_id") == profile_id)
+
+
+def write_text(parts: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """All reports as plain text, one after the other, in files that follow each other by name."""
+    (parts.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(F.col("markdown").alias("value"))
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path))
+
+
+def write_cards(cards: DataFrame, path: str, form: str = "markdown", rows_per_file: int = 50_000) -> None:
+    """Cards as text files, in order of profile, section and rank."""
+    order = ("profile_id", "bucket", "rank")
+    (cards.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(form).alias("value"))
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path))
