@@ -8,7 +8,7 @@ from importlib import import_module
 
 from rolecast.catalog.base import ORACLE, QUERIES
 
-for _theme in ("terms", "match", "freshness", "state", "ingest", "report", "streams", "flow"):
+for _theme in ("terms", "match", "freshness", "state", "ingest", "report", "streams", "flow", "landed"):
     import_module(f"rolecast.catalog.{_theme}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1,12 +1,15 @@
 """The whole flow: landed postings to ranked, explained matches, as one plan."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from rolecast import values as V
 from rolecast.operators import freshness as fr, live, match, state as st
-from rolecast.operators.common import checkpointed
+from rolecast.operators.common import checkpointed, lookup_join
+from rolecast.sources.listing import with_requirements, with_sequence
+from rolecast.sources.union import union_softly
 
 
 @dataclass(frozen=True)
@@ -21,8 +24,10 @@ class Settings:
 
 @dataclass(frozen=True)
 class Result:
-    """Tables of a run. `merged`, `seen` and `reported` are written once, the rest lazy: `state`, the
-    state after the run, is only worked out if it is read, since a run records its delta."""
+    """Tables of a run. `merged`, `seen` and `pairs` (profile, posting, score and ranks of what is
+    reported) are written once, the rest lazy: `reported` joins a pair's posting and terms when a report
+    is written, and `state`, the state after the run, is only worked out if it is read, since a run
+    records its delta."""
     merged: DataFrame
     checked: DataFrame
     pairs: DataFrame
@@ -33,6 +38,18 @@ class Result:
     verdicts: DataFrame | None
 
 
+def land(sources: dict[str, Callable[[], DataFrame]], lexicon: DataFrame, requirements: int | None = None,
+         allow: list[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, int, str]]]:
+    """The postings of all sources that can be read, numbered, with their requirements, and the status
+    of every source. Empty requirement lists are filled from the description; `requirements` (usually
+    `V.REQUIREMENTS`) bounds them, if given. Without any readable source the postings are None.
+    """
+    rows, status = union_softly(sources, allow)
+    if rows is None:
+        return None, status
+    return checkpointed(with_requirements(with_sequence(rows), lexicon, limit=requirements)), status
+
+
 def merge_fresh(listings: DataFrame, state: DataFrame, run_at) -> tuple[DataFrame, DataFrame]:
     """(merged postings, folded rows of the keys seen) of postings with ingest_seq.
 
@@ -84,16 +101,17 @@ def run(listings: DataFrame, profile_terms: DataFrame, http_results: DataFrame |
         verdicts = checked.select("key", "live_status", "live_checked_at")
         state = st.record_verdicts(state, verdicts)
     retained = live.drop_dead(checked)
-    # Merged rows have a unique ingest_seq, far narrower in a shuffle than their key.
-    pairs = match.match_pairs(retained, profile_terms, "ingest_seq")
-    shown = match.at_least(pairs, settings.min_score)
+    # Merged rows have a unique ingest_seq, far narrower in a shuffle than their key. A pair stays
+    # two ids, a score and ranks; postings never travel with the pairs before a report is written.
+    pairs = match.at_least(match.match_pairs(retained, profile_terms, "ingest_seq"), settings.min_score)
     if settings.top_pairs is not None:
-        shown = match.best_pairs(shown, settings.top_pairs, "ingest_seq")
-    reported = match.with_term_lists(shown, profile_terms).join(retained, "ingest_seq")
+        pairs = match.best_pairs(pairs, settings.top_pairs, "ingest_seq")
+    pairs = checkpointed(pairs)
+    reported = lookup_join(match.with_term_lists(pairs, profile_terms), retained, ["ingest_seq"], "inner")
     if rescored is not None:
         reported = match.override_scores(reported, rescored, ["profile_id", "key"])
-    reported = checkpointed(reported)
-    counters = st.run_counters(listings, merged, checked, reported.select("key").distinct())
+    shown = pairs.select("ingest_seq").distinct()
+    counters = st.run_counters(listings, merged, checked, shown)
     return Result(merged, checked, pairs, reported, state, counters, seen, verdicts)
 
 
@@ -104,9 +122,9 @@ def record(result: Result, root: str, run_id: int, finished_at) -> DataFrame:
     as it was, and running it again replaces what it wrote.
     """
     spark = result.merged.sparkSession
-    shown = result.reported.select("key").distinct().withColumn("reported", F.lit(True))
-    kept = (live.drop_dead(result.checked).select("key", "live_status")
-            .join(shown, "key", "left").withColumn("reported", F.coalesce("reported", F.lit(False))))
+    shown = result.pairs.select("ingest_seq").distinct().withColumn("reported", F.lit(True))
+    kept = (live.drop_dead(result.checked).select("key", "ingest_seq", "live_status")
+            .join(shown, "ingest_seq", "left").withColumn("reported", F.coalesce("reported", F.lit(False))))
     kept = checkpointed(kept.groupBy("key").agg(F.max("reported").alias("reported"), F.max("live_status").alias("live_status")))
     n = kept.agg(F.count_if("reported").alias("r")).first()["r"]
     ended = spark.createDataFrame([(run_id, None, finished_at, result.merged.count(), n)], st.RUN_SCHEMA).coalesce(1)
