@@ -298,6 +298,25 @@ def distinct_companies(spark, d):
     return companies(spark, d).select("company_key", "name", "slug", "one_liner")
 
 
+@query("company_files", """
+WITH sup AS (SELECT s_suppkey // 40 AS selector_pos, -s_suppkey AS file_pos, 'src' || (s_suppkey % 25) AS slug, s_name AS name FROM supplier
+  UNION ALL SELECT 1 + s_suppkey // 40, -s_suppkey, 'src' || (s_suppkey % 25), s_name || ' again' FROM supplier)
+SELECT slug AS company_key, name, selector_pos FROM (SELECT *, row_number() OVER (PARTITION BY slug
+  ORDER BY selector_pos, file_pos, name) AS r FROM sup) WHERE r = 1""")
+def company_files(spark, d):
+    """Suppliers in selector files of forty, the last ones first: the first of a file wins, not the first by name."""
+    n = F.col("s_suppkey")
+    sup = table(spark, d, "supplier").select(
+        n, F.explode(F.array(F.lit(""), F.lit(" again"))).alias("more"), "s_name")
+    rows = sup.select(
+        (F.floor(n / 40) + F.when(F.col("more") == "", 0).otherwise(1)).alias("selector_pos"), F.struct(
+            (-n).alias("at"), F.concat("s_name", "more").alias("name"), F.lit("").alias("id"),
+            F.concat(F.lit("src"), n % 25).alias("slug")).alias("c"))
+    files = rows.groupBy("selector_pos").agg(F.to_json(F.sort_array(F.collect_list("c"))).alias("body"))
+    found = C.distinct_companies(C.company_rows(files, "id string, slug string, name string"))
+    return found.select("company_key", "name", F.col("selector_pos").cast("bigint"))
+
+
 FILTERED = "active AND hiring AND coalesce(team <= 50, true) AND coalesce(year >= 2020, true)"
 
 

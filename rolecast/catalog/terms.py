@@ -1,12 +1,15 @@
 """Queries on terms and profiles."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rolecast import values as V
-from rolecast.catalog.base import (counts_ctes, joined, profile_terms_ctes, query, sections_cte, table, texts,
+from rolecast.catalog.base import (NL, counts_ctes, joined, present_sql, profile_terms_ctes, query, sections_cte, table, texts,
                                    top_ctes, with_headers, with_headers_sql)
 from rolecast.operators import profile as P, terms as T
-from rolecast.operators.common import checkpointed
+from rolecast.operators.common import checkpointed, shared_dir
+from rolecast.sources.profiles import read_profiles
 
 
 def bench_lexicon(spark, d):
@@ -212,7 +215,35 @@ def profile_facts(spark, d):
                        F.lower(joined(P.experience_titles(F.col("text")))).alias("titles"))
 
 
-@query("profile_summary")
+@query("profile_summary", f"""
+WITH src0 AS (SELECT doc_id AS profile_id, {with_headers_sql("text")} AS text FROM documents),
+{LEX_CTE.replace("SELECT doc_id, lower(text) AS body FROM documents", "SELECT profile_id AS doc_id, lower(text) AS body FROM src0")},
+{sections_cte("sec", "src0", "profile_id", "text")},
+part AS (SELECT profile_id, any_value(text) FILTER (section = '_preamble') AS pre,
+  any_value(text) FILTER (section = 'education') AS edu, any_value(text) FILTER (section = 'experience') AS exp,
+  any_value(text) FILTER (section = 'coursework') AS cw FROM sec GROUP BY profile_id),
+src AS (SELECT profile_id, coalesce(pre, '') AS pre, coalesce(cw, '') AS cw, coalesce(nullif(edu, ''), text) AS edu,
+  coalesce(nullif(exp, ''), text) AS exp FROM src0 LEFT JOIN part USING (profile_id)),
+facts AS (SELECT profile_id, coalesce(list_filter([trim(x, E' \\t\\r') FOR x IN string_split(pre, {NL})], lambda x: NOT contains(x, '@')
+    AND NOT regexp_matches(x, '\\p{{Nd}}') AND regexp_full_match(x, '\\p{{Lu}}\\S*(?:\\s+\\p{{Lu}}\\S*){{1,3}}'))[1], '') AS name,
+  upper(replace(regexp_extract(edu, '{V.DEGREE.replace("'", "''")}', 1), '.', '')) AS degree,
+  trim(regexp_replace(regexp_extract(edu, '{_MAJOR}', 1), '\\s+', ' ', 'g')) AS major,
+  [array_to_string([upper(w[1]) || lower(substr(w, 2)) FOR w IN string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')], ' ')
+    FOR t IN regexp_extract_all(exp, '{_TITLES}')] AS ts FROM src),
+titled AS (SELECT profile_id, string_agg(t, ', ' ORDER BY i) AS titles FROM (SELECT profile_id, t, min(i) AS i FROM (
+  SELECT profile_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM facts) GROUP BY ALL) GROUP BY profile_id),
+found AS (SELECT doc_id AS profile_id, term, is_tool, {present_sql("term", "lower(cw)")} AS in_cw
+  FROM known JOIN lex USING (term) JOIN src ON profile_id = doc_id),
+lists AS (SELECT profile_id, string_agg(term, '|' ORDER BY term) AS skills,
+  string_agg(term, '|' ORDER BY term) FILTER (is_tool) AS tools, string_agg(term, ', ' ORDER BY term) FILTER (is_tool) AS tools_said,
+  string_agg(term, ', ' ORDER BY term) FILTER (NOT is_tool) AS others,
+  string_agg(term, ', ' ORDER BY -length(term), term) FILTER (in_cw) AS course FROM found GROUP BY profile_id)
+SELECT profile_id, name, degree, major, coalesce(skills, '') AS skills, coalesce(tools, '') AS tools_languages,
+  concat_ws(' ', CASE WHEN degree <> '' OR major <> '' THEN 'Candidate pursuing '
+      || concat_ws(' ', nullif(degree, ''), nullif(major, '')) || '.' END,
+    'Tools/languages: ' || tools_said || '.', 'Skills/concepts: ' || others || '.', 'Coursework: ' || course || '.',
+    'Prior roles: ' || titles || '.') AS summary
+FROM facts LEFT JOIN lists USING (profile_id) LEFT JOIN titled USING (profile_id)""")
 def profile_summary(spark, d):
     """Whole parse of every document as a profile, with its summary text."""
     docs = texts(spark, d, "documents").select(F.col("doc_id").alias("profile_id"),
@@ -220,3 +251,17 @@ def profile_summary(spark, d):
     return P.parse_profiles(docs, bench_lexicon(spark, d)).select(
         "profile_id", "name", "degree", "major", joined("skills").alias("skills"),
         joined("tools_languages").alias("tools_languages"), "summary")
+
+
+@query("profile_files", f"""
+WITH src AS (SELECT item_id AS profile_id, coalesce(text, '') || {NL} AS text FROM benchmark)
+SELECT profile_id, md5(text) AS text_md5,
+  upper(replace(regexp_extract(text, '{V.DEGREE.replace("'", "''")}', 1), '.', '')) AS degree FROM src""")
+def profile_files(spark, d):
+    """Benchmark items written as one file each, then read as profile files are."""
+    path = f"{shared_dir(spark)}/profiles-{uuid.uuid4()}"
+    items = texts(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("value"))
+    items.write.partitionBy("item_id").text(path)
+    rows = read_profiles(spark, path)
+    return rows.select(F.regexp_extract("file", r"item_id=(\d+)", 1).cast("bigint").alias("profile_id"),
+                       F.md5("text").alias("text_md5"), P.degree(F.col("text")).alias("degree"))

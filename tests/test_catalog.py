@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["top_terms", "known_terms", "weight_merge", "dedupe_merge", "eligibility", "urgency_order",
          "live_classify", "html_text", "observe", "run_diff", "board_nested", "page_postings",
          "list_postings", "company_postings", "facet_counts", "markdown_cards", "stream_observe", "full_run",
+         "report_parts", "landed_run", "profile_summary", "company_files",
          "run_log", "landed_exports", "source_status", "open_flag", "parse_scores", "company_rank_all"]
 
 

@@ -256,3 +256,30 @@ def test_stream_dedupe(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_first_in_the_file_wins(spark):
+    files = spark.createDataFrame([
+        (0, '[{"id": "", "slug": "a", "name": "Zither"}, {"slug": "a", "name": "Alto"}, {"name": ""}]'),
+        (1, '[{"slug": "a", "name": "Aaa"}, {"slug": "b", "name": "Bass"}]'), (2, "{broken"), (3, None)],
+        "selector_pos long, body string")
+    rows = C.company_rows(files, "id string, slug string, name string")
+    got = {r["company_key"]: r["name"] for r in C.distinct_companies(rows).collect()}
+    assert got == {"a": "Zither", "b": "Bass"}
+    assert {r["name"] for r in C.distinct_companies(rows.drop("file_pos")).where("slug = 'a'").collect()} == {"Alto"}
+
+
+def test_land_keeps_what_can_be_read(spark):
+    from rolecast.plans.run import land
+
+    board = B.nested_board(spark.createDataFrame(
+        [("a", [(1, "Data Intern", "Use Oboe and Piano", None, "u", None)])], B.NESTED_SCHEMA)).drop("slug")
+
+    def broken():
+        raise OSError("gone")
+
+    rows, status = land({"one": lambda: board, "two": broken}, T.seed_lexicon(spark), 3)
+    assert status == [("one", 1, ""), ("two", -1, "gone")]
+    assert [r["requirements"][:2] for r in rows.collect()] == [["piano", "oboe"]]
+    assert land({"two": broken}, T.seed_lexicon(spark))[0] is None
+    assert land({"one": lambda: board.limit(0)}, T.seed_lexicon(spark))[0].count() == 0
