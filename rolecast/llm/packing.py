@@ -14,6 +14,7 @@ import heapq
 import unicodedata
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,13 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+@lru_cache(1 << 16)
+def _young(c: str) -> bool:
+    """A code point that is unknown here, or a mark that came after Unicode 3.2."""
+    return unicodedata.category(c) == "Cn" or (
+        unicodedata.combining(c) > 0 and unicodedata.ucd_3_2_0.category(c) == "Cn")
+
+
 def _words(text: bytes | None) -> list[bytes]:
     """White space only separates words for this tokenizer, and it composes and lower-cases
     letter by letter; done here for a whole text, words are fewer. Special tokens are matched before
@@ -48,7 +56,13 @@ def _words(text: bytes | None) -> list[bytes]:
         return text.split()
     if text.isascii():
         return text.lower().split()
-    return unicodedata.normalize("NFC", text.decode("utf-8", "replace")).lower().encode().split()
+    said = text.decode("utf-8", "replace")
+    low = unicodedata.normalize("NFC", said).lower()
+    # Where lower-casing takes a letter apart beside further marks, composing again would change it, and
+    # marks younger than the tokenizer's tables are ordered otherwise. Both are its own to read.
+    if not unicodedata.is_normalized("NFC", low) or any(map(_young, set(said))):
+        return text.split()
+    return low.encode().split()
 
 
 def _parts(word: str) -> tuple[str, str]:
