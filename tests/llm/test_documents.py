@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity
@@ -351,3 +352,38 @@ def test_toxicity_learns_pairs_of_terms(spark, nothing):
     untaught = toxicity.fit(nothing.select("doc_id", "text"), known.limit(0), fold_of(known["doc_id"]) != 0)
     assert [r.predicted for r in toxicity.scored(docs.limit(3), untaught, ["doc_id"]).collect()] == [0, 0, 0]
     assert toxicity.scored(nothing, machine, ["doc_id"]).collect() == []
+
+
+def _machine_of(texts, labels):
+    owner, place = toxicity._terms(texts, 18)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return toxicity.Machine(1 << 18).fit([place[i:j].astype(np.int32) for i, j in zip(cuts[:-1], cuts[1:])], labels)
+
+
+def test_toxicity_of_exactly_one_of_two_words():
+    """Neither word says anything alone, so only the pairwise part can learn it; chance labels keep nothing."""
+    rng = np.random.default_rng(3)
+    has = rng.random((4000, 2)) < 0.5
+    texts = [" ".join([*rng.permutation([*(f"w{i}" for i in rng.integers(0, 400, 30)), *np.array(["alpha", "beta"])[h]])]).encode()
+             for h in has]
+    labels = (has[:, 0] != has[:, 1]).astype(float)
+    machine = _machine_of(texts[:3000], labels[:3000])
+    got = machine.score(*toxicity._terms(texts[3000:], 18), 1000) >= 0.5
+    assert len(machine.w) < 10 and (got == (labels[3000:] > 0)).mean() > 0.98
+    assert len(_machine_of(texts, (rng.random(4000) < 0.2).astype(float)).w) == 0
+
+
+def test_ids_of_all_code_points():
+    """Ids by words are those of the tokenizer for every code point, beside marks and punctuation."""
+    from tokenizers import Tokenizer
+
+    tokenizer, seen = Tokenizer.from_str(packing.tokenizer_json()), {}
+    points = [chr(c) for c in range(32, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f.format(c) for f in ("a{}\u0327\u0301", "{}.", "x{}\u0323\u0301 y") for c in points]
+    for at in range(0, len(texts), 5000):
+        some = texts[at:at + 5000]
+        words = [packing._words(t.encode()) for t in some]
+        packing._learn(set().union(*words), tokenizer, seen)
+        want = tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        wrong = [t for t, w, e in zip(some, words, want) if b"".join(seen[x] for x in w) != np.array(e.ids, "<u4").tobytes()]
+        assert not wrong, [[hex(ord(c)) for c in t] for t in wrong[:5]]
