@@ -26,6 +26,7 @@ BITS, RANK, SAMPLE, LEAST = 18, 8, 20_000, 5
 EPOCHS, BATCH, RATE, RIDGE = 150, 128, 0.3, 1e-5
 EVIDENCE = 20.0           # a likelihood ratio that chance terms do not reach
 PAIR_TERMS, PAIR_EVIDENCE = 4096, 100.0  # and one that chance does not reach among their 8 million pairs
+PAIR_SHARE = 0.03         # what a pair must explain of the deviance of all labels
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -87,13 +88,15 @@ def _telling_together(terms: list[np.ndarray], toxic: np.ndarray, df: np.ndarray
         bad += x.T @ x
     d, h, alone = df[some], hits[some], _evidence(df[some], hits[some], share)
     kept = np.zeros(n, bool)
+    whole = -2 * docs * (share * np.log(share) + (1 - share) * np.log(1 - share))
+    least_told = max(PAIR_EVIDENCE, PAIR_SHARE * whole)
     for i in range(n):
         j = i + 1 + np.flatnonzero(both[i, i + 1:] >= least)
         n11, h11 = both[i, j].astype(float), bad[i, j].astype(float)
         cells = ((n11, h11), (d[i] - n11, h[i] - h11), (d[j] - n11, h[j] - h11),
                  (docs - d[i] - d[j] + n11, toxic.sum() - h[i] - h[j] + h11))
         told = sum(_evidence(a, b, share) for a, b in cells) - alone[i] - alone[j]
-        good = j[told >= PAIR_EVIDENCE]
+        good = j[told >= least_told]
         kept[good] = True
         kept[i] |= len(good) > 0
     return some[kept]
