@@ -30,7 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecast.llm.common import BUCKET_BYTES, CHUNK_BYTES, chunk_of, components, parts_of, stored, table, text_bytes
+from rolecast.llm.common import (BUCKET_BYTES, CHUNK_BYTES, chunk_of, components, dealt_join, key_counts, parts_of, stored, table,
+                                 text_bytes)
 from rolecast.llm.kernels import (LOWER, Rolling, U, blocks, bucket_slices, deflated, inflated, joined, mixed, ranges,
                                   word_hashes)
 from rolecast.operators.common import lookup_join, union_all
@@ -38,6 +39,8 @@ from rolecast.operators.common import lookup_join, union_all
 WORDS, THRESHOLD = 4, 85   # per cent
 STARS = 3                  # rounds of one test for each set, at most
 PAIRS_PER_ROW = 16         # pairs left per row of a group, up to which all of them are looked at
+GROUP_ROWS = 5000          # sets of a group on each side of a task that looks at pairs
+BODY_ROWS = 10_000         # pairs of one set that one task compares
 FREQUENT = 6               # classes are powers of two of the document frequency
 ROUTED = "bucket int, chunk int, n int, tokens binary, counts binary"
 CLASSES = "chunk int, n int, tokens binary, classes binary"
@@ -200,7 +203,7 @@ def _links(sets: DataFrame, per_cent: int) -> DataFrame:
     shared = member.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi"),
                                          F.max("early").alias("any")).where("lo <> hi and any")
     # A set comes once per chunk that holds copies of it.
-    member = stored(member.join(shared.select("token"), "token").distinct(), "members")
+    member = stored(dealt_join(member, shared.select("token"), "token", "set", key_counts(member, "token")).distinct(), "members")
     bodies = sets.select("set", "second", "tokens").join(member.select("set").distinct(), "set", "left_semi")
     bodies = stored(bodies.dropDuplicates(["set"]), "bodies")
     found, comp, turn, fresh = [], None, 0, True
@@ -221,12 +224,20 @@ def _links(sets: DataFrame, per_cent: int) -> DataFrame:
             break
         # Stars while they join sets and many pairs are left; the last round looks at all of them.
         last = turn >= STARS or turn > 0 and (not fresh or left[1] <= PAIRS_PER_ROW * left[0])
-        mine = now.join(groups.select("token", "c"), "token")
+        sizes = groups.select("token", "c", F.col("all").alias("n_all"), F.col("early").alias("n_early"))
+        mine = dealt_join(now, sizes, "token", "set", groups.select("token", F.col("all").alias("n")))
         if last:
-            early = mine.where("early").select(F.col("token").alias("t"), F.col("set").alias("b"), F.col("n").alias("m"),
-                                               F.col("at").alias("bt"), F.col("comp").alias("other"))
-            pairs = mine.select("token", F.col("set").alias("a"), "n", "at", "comp").join(
-                early, (F.col("token") == F.col("t")) & (F.col("comp") != F.col("other")) & (F.col("n") >= F.col("m"))
+            # Blocks of members meet blocks of early members, so no group is one task's.
+            many = lambda n: F.ceil(F.col(n) / GROUP_ROWS).cast("int")
+            turn = lambda n: F.pmod(F.xxhash64("set"), many(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), many(n) - 1))
+            early = mine.where("early").select(
+                F.col("token").alias("t"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"),
+                F.col("comp").alias("other"), turn("n_early").alias("early_block"), every("n_all").alias("block"))
+            pairs = mine.select("token", F.col("set").alias("a"), "n", "at", "comp", turn("n_all").alias("a_block"),
+                                every("n_early").alias("with_block")).join(
+                early, (F.col("token") == F.col("t")) & (F.col("a_block") == F.col("block"))
+                & (F.col("with_block") == F.col("early_block")) & (F.col("comp") != F.col("other")) & (F.col("n") >= F.col("m"))
                 & _hopeful(F.col("n"), F.col("at"), F.col("m"), F.col("bt"), per_cent)).select("a", "b").distinct()
         else:
             hope = _hopeful(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), per_cent)
@@ -256,7 +267,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame, per_cent: int) -> DataFrame:
     """The pairs that share a prefix token of the second order, and whose sets are similar."""
     b = bodies.select(F.col("set").alias("b"), F.col("second").alias("q"), F.col("tokens").alias("y"))
     a = bodies.select(F.col("set").alias("a"), F.col("second").alias("p"), F.col("tokens").alias("x"))
-    rows = pairs.join(b, "b").join(a, "a").where(F.arrays_overlap("p", "q"))
+    rows = dealt_join(pairs, b, "b", "a", key_counts(pairs, "b"), BODY_ROWS)
+    rows = dealt_join(rows, a, "a", "b", key_counts(pairs, "a"), BODY_ROWS).where(F.arrays_overlap("p", "q"))
     shared = F.size(F.array_intersect("x", "y"))
     return rows.where(100 * shared >= per_cent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecast.llm.common import components, stored, table
+from rolecast.llm.common import components, dealt_join, key_counts, stored, table
 from rolecast.operators.common import lookup_join
 
 THRESHOLD, SAMPLE, SUBSPACES, CODES = 0.93, 20_000, 8, 256
@@ -204,7 +204,8 @@ def _linked(rows: DataFrame, dim: int, threshold: float, sample: int, margin: fl
         _search(sent, threshold), "a long, b long"), "links")
     # A link counts the copies at its other end; an entry's own copies link with each other.
     both = links.union(links.select("b", "a"))
-    counts = both.join(entries.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
+    counts = dealt_join(both, entries.select(F.col("id").alias("b"), "copies"), "b", "a", key_counts(both, "b"))
+    counts = counts.groupBy("a").agg(F.sum("copies").alias("n"))
     comp = components(both.select(F.col("a").alias("node")).distinct(), links)
     per = (entries.select("k1", "k2", "id", "low", "copies").join(counts, F.col("id") == F.col("a"), "left")
            .join(comp, F.col("id") == F.col("node"), "left")

@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 
 from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity
-from rolecast.llm.common import components, fold_of
+from rolecast.llm import common
+from rolecast.llm.common import components, dealt_join, fold_of, key_counts
 
 SCHEMA = "doc_id long, text string, chunk string, score string, _row string, n string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -205,6 +206,46 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 500: 500}
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """A key with a third of the rows, and stars whose centers hold all links, low and high ids."""
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(300)] + [(None, 5)], "k long, i long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(250)] + [(None, "none")], "k long, v string")
+    joined = dealt_join(rows, right, "k", "i", key_counts(rows, "k"), floor=10, splits=8)
+    same(joined.select("k", "i", "v").collect(),
+         [(k, i, f"v{k}") for k, i in ((1 if i % 3 == 0 else i, i) for i in range(300)) if k < 250])
+    salts = dealt_join(rows, right, "k", "i", key_counts(rows, "k"), floor=10, splits=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salts and "_salt" not in dealt_join(
+        rows, right, "k", "i", key_counts(rows, "k"))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    stars = [(0, i) for i in range(1, 40)] + [(i, 999) for i in range(100, 140)] + [(139, 200), (200, 201)]
+    got = dict(components(spark.createDataFrame([(i,) for i in {x for p in stars for x in p}], "node long"),
+                          spark.createDataFrame(stars, "a long, b long")).collect())
+    assert got == {x: 0 if x < 40 else 100 for p in stars for x in p}
+
+
+def test_groups_of_unlike_sets_are_dealt_in_blocks(spark, monkeypatch):
+    """All texts share frequent shingles without being alike, and some few of them are: every block of a
+    group meets every other one."""
+    for name, value in (("GROUP_ROWS", 7), ("BODY_ROWS", 3), ("STARS", 0)):
+        monkeypatch.setattr(shingles, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(11)
+    shared = [" ".join(f"s{k}w{j}" for j in range(4)) for k in range(12)]
+    texts = [" ".join(rng.sample(shared, 9)) for _ in range(60)]
+    texts += [t + " end" for t in texts[:20]]
+    sets, group = list(shingle_sets(texts, 4)), list(range(80))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared_n = len(a & sets[j])
+            if 100 * shared_n >= 85 * (len(a) + len(sets[j]) - shared_n):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    low = {g: min(i for i in range(80) if group[i] == g) for g in group}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    same(shingles.similar_documents(docs).collect(), [(i, len(s), low[group[i]]) for i, s in enumerate(sets)])
+    assert 20 <= 80 - len(low)
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
