@@ -27,6 +27,7 @@ EPOCHS, BATCH, RATE, RIDGE = 150, 128, 0.3, 1e-5
 EVIDENCE = 20.0           # a likelihood ratio that chance terms do not reach
 PAIR_TERMS, PAIR_EVIDENCE = 4096, 100.0  # and one that chance does not reach among their 8 million pairs
 PAIR_SHARE = 0.03         # what a pair must explain of the deviance of all labels
+STRIP = 512               # terms whose pairs are counted at a time
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -71,34 +72,38 @@ def _evidence(df: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
 def _telling_together(terms: list[np.ndarray], toxic: np.ndarray, df: np.ndarray, hits: np.ndarray,
                       least: int) -> np.ndarray:
     """Places of the terms of pairs whose four cells (both, one, the other, none) tell more of the labels
-    than the two terms do alone. Counts of pairs are sums of outer products over blocks of documents."""
+    than the two terms do alone. Counts of pairs are sums of outer products over blocks of documents, for
+    a strip of terms at a time, so that no matrix of all pairs is held."""
     docs, share = len(toxic), np.clip(toxic.mean(), 1e-6, 1 - 1e-6)
     varied = np.minimum(df, docs - df)
     some = np.flatnonzero((df >= least) & (varied >= least))
     some = np.sort(some[np.argsort(-varied[some], kind="stable")[:PAIR_TERMS]])
     column, n = np.full(len(df), -1, np.int32), len(some)
     column[some] = np.arange(n)
-    both, bad = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
-    for at in range(0, docs, 1000):
-        block = [k[k >= 0] for k in (column[t] for t in terms[at:at + 1000])]
-        x = np.zeros((len(block), n), np.float32)
-        x[np.repeat(np.arange(len(block)), [len(k) for k in block]), np.concatenate(block)] = 1
-        both += x.T @ x
-        x = x[toxic[at:at + 1000] > 0]
-        bad += x.T @ x
     d, h, alone = df[some], hits[some], _evidence(df[some], hits[some], share)
     kept = np.zeros(n, bool)
     whole = -2 * docs * (share * np.log(share) + (1 - share) * np.log(1 - share))
     least_told = max(PAIR_EVIDENCE, PAIR_SHARE * whole)
-    for i in range(n):
-        j = i + 1 + np.flatnonzero(both[i, i + 1:] >= least)
-        n11, h11 = both[i, j].astype(float), bad[i, j].astype(float)
-        cells = ((n11, h11), (d[i] - n11, h[i] - h11), (d[j] - n11, h[j] - h11),
-                 (docs - d[i] - d[j] + n11, toxic.sum() - h[i] - h[j] + h11))
-        told = sum(_evidence(a, b, share) for a, b in cells) - alone[i] - alone[j]
-        good = j[told >= least_told]
-        kept[good] = True
-        kept[i] |= len(good) > 0
+    held = [k[k >= 0] for k in (column[t] for t in terms)]
+    for low in range(0, n, STRIP):
+        both = np.zeros((min(STRIP, n - low), n - low), np.float32)
+        bad = both.copy()
+        for at in range(0, docs, 1000):
+            block = [k[k >= low] - low for k in held[at:at + 1000]]
+            x = np.zeros((len(block), n - low), np.float32)
+            x[np.repeat(np.arange(len(block)), [len(k) for k in block]), np.concatenate(block)] = 1
+            both += x[:, :STRIP].T @ x
+            x = x[toxic[at:at + 1000] > 0]
+            bad += x[:, :STRIP].T @ x
+        for row in range(len(both)):
+            i, at = low + row, row + 1 + np.flatnonzero(both[row, row + 1:] >= least)
+            j, n11, h11 = low + at, both[row, at].astype(float), bad[row, at].astype(float)
+            cells = ((n11, h11), (d[i] - n11, h[i] - h11), (d[j] - n11, h[j] - h11),
+                     (docs - d[i] - d[j] + n11, toxic.sum() - h[i] - h[j] + h11))
+            told = sum(_evidence(a, b, share) for a, b in cells) - alone[i] - alone[j]
+            good = j[told >= least_told]
+            kept[good] = True
+            kept[i] |= len(good) > 0
     return some[kept]
 
 

@@ -414,6 +414,45 @@ def test_toxicity_of_exactly_one_of_two_words():
     assert len(_machine_of(texts, (rng.random(4000) < 0.2).astype(float)).w) == 0
 
 
+def test_pairs_and_scores_against_brute_force(monkeypatch):
+    """Pairs that tell more together, by a table of their four cells; scores, by the sum over all pairs."""
+    rng = np.random.default_rng(9)
+    has = rng.random((1500, 12)) < 0.4
+    toxic = (has[:, 2] != has[:, 9]).astype(float)
+    terms = [np.flatnonzero(row).astype(np.int32) for row in has]
+    df, hits = has.sum(0), (has * toxic[:, None]).sum(0)
+
+    def told(cells):
+        total = 0.0
+        for cell in cells:
+            for value, share in ((1, toxic.mean()), (0, 1 - toxic.mean())):
+                seen = (toxic[cell] == value).sum()
+                total += 2 * seen * math.log(seen / (cell.sum() * share)) if seen else 0
+        return total
+
+    least = max(toxicity.PAIR_EVIDENCE, toxicity.PAIR_SHARE * -2 * sum(
+        1500 * p * math.log(p) for p in (toxic.mean(), 1 - toxic.mean())))
+    want = set()
+    for i in range(12):
+        for j in range(i):
+            a, b = has[:, i], has[:, j]
+            # A term alone counts the documents that hold it.
+            if told([a & b, a & ~b, b & ~a, ~a & ~b]) - told([a]) - told([b]) >= least:
+                want |= {i, j}
+    for strip in (1, 5, 512):
+        monkeypatch.setattr(toxicity, "STRIP", strip)
+        assert set(toxicity._telling_together(terms, toxic, df, hits, 5).tolist()) == want == {2, 9}
+    machine = toxicity.Machine(12, 3)
+    machine.kept, machine.bias = np.array([0, 1, -1, 2, 3, -1, 4, 5, 6, 7, 8, 9], np.int32), -0.3
+    machine.w, machine.v = rng.normal(size=10), rng.normal(size=(10, 3))
+    owner, place = np.repeat(np.arange(100), [len(t) for t in terms[:100]]), np.concatenate(terms[:100])
+    for got, t in zip(machine.score(owner, place, 100), terms):
+        k = [x for x in machine.kept[t] if x >= 0]
+        z = machine.bias + sum(machine.w[x] for x in k) + sum(
+            machine.v[a] @ machine.v[b] for n, a in enumerate(k) for b in k[:n])
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, z)))))
+
+
 def test_ids_of_all_code_points():
     """Ids by words are those of the tokenizer for every code point, beside marks and punctuation."""
     from tokenizers import Tokenizer

@@ -2,10 +2,12 @@
 
 import gzip
 import hashlib
+import itertools
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +101,6 @@ def test_chunks_out_of_order_are_refused(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "a" * 3000)], "page_id long, url string, html string").coalesce(1)
     rows = warc.chunked(warc.typed(table, "page_id", "url", "html"), 1000).coalesce(1).orderBy("chunk_no").collect()
     rows[1], rows[2] = rows[2], rows[1]
-    import pyarrow as pa
 
     changed = [r.asDict() for r in rows]
     changed[1]["data"] = b"b" * 1000
@@ -144,6 +145,34 @@ def test_roles_are_recovered(spark):
     assert chat.turns(odd.limit(0), model).collect() == []
 
 
+def test_best_path_against_all_paths():
+    """Viterbi, whole and over segments joined by their matrices, against every path of states."""
+    rng = np.random.default_rng(4)
+    n, log = chat.STATES, lambda a: np.log(a / a.sum(-1, keepdims=True))
+    model = chat.Model(log(rng.random(n)), log(rng.random((n, n))), log(rng.random((n, chat.SYMBOLS))))
+
+    def score(path, symbols):
+        total = model.start[path[0]] + model.emit[path[0], symbols[0]]
+        for a, b, x in zip(path, path[1:], symbols[1:]):
+            total += model.move[a, b] + model.emit[b, x]
+        return total
+
+    for length in (1, 2, 5):
+        symbols = rng.integers(0, chat.SYMBOLS, length)
+        best = max(itertools.product(range(n), repeat=length), key=lambda p: score(p, symbols))
+        assert model.states(symbols, -1, -1).tolist() == list(best)
+        cut = length // 2
+        if not cut:
+            continue
+        parts = [symbols[:cut], symbols[cut:]]
+        table = pa.table({"conv": ["c", "c"], "segment": pa.array([1, 0], pa.int64()),
+                          "matrix": [model.matrix(p, False).tobytes() for p in parts[::-1]],
+                          "opening": [model.matrix(p, True).tobytes() for p in parts[::-1]]})
+        border = chat._borders(model)(table).to_pylist()
+        joined = [int(s) for p, b in zip(parts, border) for s in model.states(p, b["first"], b["last"])]
+        assert joined == list(best)
+
+
 def test_segments_decode_as_one(spark, monkeypatch):
     rows = [(1, i, "user" if i % 2 else "assistant", f"line {i}" if i % 5 == 0 else ("Q: hm?" if i % 2 else "A: yes it is\nand more"))
             for i in range(120)]
