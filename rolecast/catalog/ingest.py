@@ -505,7 +505,7 @@ SELECT p_partkey AS profile_id, pos AS query_pos, query, st AS startup_query, l.
 FROM q, (VALUES (0, 'Boston'), (1, 'Remote'), (2, 'Paris')) l(location_pos, location)""")
 def query_grid(spark, d):
     n = F.col("p_partkey")
-    config = table(spark, d, "part").select(
+    config = texts(spark, d, "part").select(
         n.alias("profile_id"),
         F.when(n % 3 == 0, "").otherwise(F.regexp_replace("p_name", " ", "/")).alias("target_role"),
         F.array("p_type").alias("priority_keywords"),

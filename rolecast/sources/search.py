@@ -87,11 +87,12 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
     suffix_word = F.lit("")
     for k, v in V.WORK_MODE_SUFFIX.items():
         suffix_word = F.when(mode == k, v).otherwise(suffix_word)
-    config = config.select("profile_id", "locations", F.struct(
-        F.array_join(focus_terms(
-            F.col("target_role"), F.col("priority_keywords"), max_role_parts, max_keywords), " ").alias("focus"),
-        strip(text(F.col("term"))).alias("term"), suffix_word.alias("mode")).alias("_p"))
-    focus, term, suffix_word = F.col("_p.focus"), F.col("_p.term"), F.col("_p.mode")
+    # Each step is worked out once per row: inside lambdas Spark would repeat it for every phrase.
+    config = computed(config.select("profile_id", "locations", "target_role", "priority_keywords", "term", "remote_preference"),
+                      _focus=F.array_join(focus_terms(
+                          F.col("target_role"), F.col("priority_keywords"), max_role_parts, max_keywords), " "),
+                      _term=strip(text(F.col("term"))), _mode=suffix_word)
+    focus, term, suffix_word = F.col("_focus"), F.col("_term"), F.col("_mode")
 
     def query(phrase):
         parts = [phrase, term, suffix_word]
@@ -103,13 +104,16 @@ def query_grid(config: DataFrame, phrases: dict[str, list[str]] | None = None,
     rows = listed or [(V.QUERY_FALLBACK, False)]
     asked = F.array(*[F.struct(query(p).alias("query"), F.lit(s).alias("startup_query"))
                       for p, s in rows])
-    once = let(asked, lambda all_: F.filter(all_, lambda a, i: ~F.exists(
-        F.slice(all_, F.lit(1), i), lambda b: F.lower(b["query"]) == F.lower(a["query"]))))
+    config = computed(config, _asked=asked)
+    config = computed(config, _low=F.transform("_asked", lambda a: F.lower(a["query"])))
+    # A query is kept where its text stands for the first time.
+    once = F.filter("_asked", lambda a, i: F.array_position(F.col("_low"), F.get(F.col("_low"), i)) == i + 1)
     places = first_n(F.filter(F.transform(F.coalesce("locations", F.array().cast("array<string>")),
                                           strip), lambda p: p != ""), max_locations)
     places = let(places, lambda p: F.when(F.size(p) > 0, p).otherwise(
         F.array(F.lit(V.DEFAULT_LOCATION))))
-    rows = config.select("profile_id", once.alias("_once"), places.alias("_places"))
+    rows = computed(config.select("profile_id", "locations", "_asked", "_low"), _once=once, _places=places).drop(
+        "locations", "_asked", "_low")
     return (rows.select("profile_id", "_places", F.posexplode("_once").alias("query_pos", "_q"))
             .select("profile_id", "query_pos", "_q.query", "_q.startup_query",
                     F.posexplode("_places").alias("location_pos", "location")))

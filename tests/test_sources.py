@@ -283,3 +283,22 @@ def test_land_keeps_what_can_be_read(spark):
     assert [r["requirements"][:2] for r in rows.collect()] == [["piano", "oboe"]]
     assert land({"two": broken}, T.seed_lexicon(spark))[0] is None
     assert land({"one": lambda: board.limit(0)}, T.seed_lexicon(spark))[0].count() == 0
+
+
+def test_query_grid_uses_all_cores_on_one_file(spark, tmp_path):
+    from rolecast.catalog import QUERIES
+    rows = [(i, "hot bolt", "Brand#1", "SMALL", 1, 1.0) for i in range(40)]
+    (spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+     .coalesce(1).write.parquet(f"{tmp_path}/part.parquet"))
+    grid = QUERIES["query_grid"](spark, str(tmp_path))
+    assert grid.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r["n"] for r in grid.groupBy("profile_id").agg(F.count("*").alias("n")).collect()} == {54}
+
+
+def test_query_grid_keeps_a_repeated_query_at_its_first_place(spark):
+    cfg = spark.createDataFrame([(1, "Ops", None, None, None, [" A ", "", None])],
+                                "profile_id long, target_role string, priority_keywords array<string>, "
+                                "term string, remote_preference string, locations array<string>")
+    grid = S.query_grid(cfg, {"general": ["x", "Y", "X", "y", "z"]}, board_breadth=False)
+    assert [(r["query_pos"], r["query"], r["location"]) for r in grid.orderBy("query_pos").collect()] == [
+        (0, "Ops x", "A"), (1, "Ops Y", "A"), (2, "Ops z", "A")]
