@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from rolecast.streaming import sessions as S
 
 T0 = datetime(2026, 1, 1)
@@ -47,3 +49,26 @@ def test_first_rows_keep_one_of_a_hot_key(spark, tmp_path):
     many = [("hot", T0 + timedelta(minutes=i % 300), "x") for i in range(3000)] + rows("cold", 0, 20)
     got = drop(many, S.first_rows)
     assert got == [("cold", T0), ("cold", hours(20)[0]), ("hot", T0)]
+
+
+def test_keys_of_one_bucket_are_followed_apart(spark, tmp_path):
+    drop = Drops(spark, tmp_path)
+    one = lambda *a: S.sessions(*a, buckets=1)
+    at = lambda h: hours(h)[0]
+    first = drop(rows("a", 0) + rows("b", 8) + rows("c", 9), one)
+    assert first == [(k, "open", at(h), at(h), 1) for k, h in (("a", 0), ("b", 8), ("c", 9))]
+    # The bucket has a row, which closes the due key without rows and no other.
+    second = drop(rows("c", 13), one)
+    assert set(second) - set(first) == {("a", "closed", at(0), at(0), 1)}
+    # Without a row for b or c, timers close them; the state of the bucket goes on.
+    third = drop(rows("d", 40), one)
+    assert set(third) - set(second) == {("b", "closed", at(8), at(8), 1), ("c", "closed", at(9), at(13), 2), ("d", "open", at(40), at(40), 1)}
+
+
+def test_python_is_called_per_bucket(spark, tmp_path):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(T0).cast("timestamp").alias("ts"))
+    keys.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(keys.schema).parquet(f"{tmp_path}/in")
+    job = S.drain(S.sessions(stream, "6 hours", "3 hours"), str(tmp_path))
+    states = max(op["numRowsTotal"] for p in job.recentProgress for op in S._plain(p)["stateOperators"])
+    assert states <= S.BUCKETS and spark.read.parquet(f"{tmp_path}/rows").count() == 3000
