@@ -85,8 +85,9 @@ def table_rows(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> Data
     tables = computed(runs, _head=found).where("_head is not null")
     rows = tables.select(doc, "_head.cols", F.explode(F.slice(
         "_rows", F.col("_head.at") + 3, F.size("_rows"))).alias("_row"))
-    return rows.select(doc, F.split_part("_row", F.lit("\t"), F.lit(1)).cast("int").alias("line_no"),
-                       _cells(bare(F.col("_row"))).alias("cells"), "cols")
+    # Cut into cells once, not again in every filter on them.
+    rows = computed(rows, cells=_cells(bare(F.col("_row"))))
+    return rows.select(doc, F.split_part("_row", F.lit("\t"), F.lit(1)).cast("int").alias("line_no"), "cells", "cols")
 
 
 def list_postings(docs: DataFrame, as_of, doc: str = "doc_id", body: str = "text") -> DataFrame:
