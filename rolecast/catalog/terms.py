@@ -87,7 +87,7 @@ expanded AS (SELECT p_partkey, x.term, round(max(b) * max(CASE WHEN t.term IS NU
 
 
 def part_words(spark, d):
-    return table(spark, d, "part").select(
+    return texts(spark, d, "part").select(
         "p_partkey", "p_type", F.explode(F.split("p_name", " ")).alias("term"))
 
 
@@ -117,7 +117,7 @@ SELECT p_partkey, term, weight,
 FROM best""")
 def weight_merge(spark, d):
     words, edges, lexicon = part_vocabulary(spark, d)
-    part = table(spark, d, "part")
+    part = texts(spark, d, "part")
     out = T.merge_weights([
         T.expand_synonyms(words, edges, lexicon, "p_partkey"),
         part.select("p_partkey", F.lower("p_brand").alias("term"), F.lit(1.8).alias("weight")),

@@ -2,8 +2,10 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolecast import values as V
+from rolecast.functions import text as X
 from rolecast.operators import match as M, profile as P, terms as T
 
 RESUME = """Robin Vale
@@ -169,3 +171,40 @@ def test_scores_in_any_form(spark):
     assert dict(M.parse_scores(raw).select("i", "score").collect()) == {
         0: 85, 1: 85, 2: 85, 3: -3, 4: None, 5: None, 9: None}
     assert sorted(r["i"] for r in M.unread_scores(raw).collect()) == [6, 7, 8]
+
+
+def test_part_words_use_all_cores_on_one_file(spark, tmp_path):
+    from rolecast.catalog import terms as CT
+    rows = [(i, "hot bolt", "Brand#1", "SMALL") for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert CT.part_words(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_anchors_are_left_out_in_their_cell(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "doc_id long, text string")
+    among = T.sketch(spark.createDataFrame([("waa",), ("wba wca",), (None,)], "term string"))
+    got = {r[0]: r[1] for r in docs.select("doc_id", X.anchors(F.col("text"), among)).collect()}
+    assert {"waa", "wba wca"} <= set(got[1]) and len(got[1]) < 60 and got[2] == got[3] == []
+    for small in (True, False):
+        lex = spark.createDataFrame([("waa",), ("wba wca",), ("wca wba",), ("wca wda wea",)], "term string")
+        hits = T.known_terms(docs, lex, small=small).collect()
+        assert sorted(map(tuple, hits)) == [(1, "waa"), (1, "wba wca"), (1, "wca wda wea")]
+
+
+def test_counts_by_odd_lines_and_letters(spark):
+    text = "Red Fox\u2028red fox\r\n\x85The FO\u212a fox-. \x1cred"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["term"]: (r["n"], r["first_pos"]) for r in T.term_counts(docs, stopwords=["the"]).collect()}
+    line, pair = 1 << 32, 1 << 31
+    assert got == {"red": (3, 0), "fox": (3, 1), "red fox": (2, pair), "fok": (1, 3 * line), "fok fox": (1, 3 * line + pair)}
+    ranked = [(r["term"], r["term_rank"]) for r in T.top_terms(docs, top_n=3, stopwords=["the"]).orderBy("term_rank").collect()]
+    assert ranked == [("red", 1), ("fox", 2), ("red fox", 3)]
+
+
+def test_pairs_are_summed_where_they_are_made(spark):
+    posts = spark.createDataFrame([(1, "violin", "drum")], "posting_id long, title string, description_text string")
+    terms = spark.createDataFrame([(7, "violin", 1.0, 1), (7, "drum", 0.5, 2)], "profile_id long, term string, weight double, term_rank int")
+    pairs = M.match_pairs(posts, terms, small=True)
+    assert "hashpartitioning(profile_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [r["matched_ranks"] for r in pairs.collect()] == [[1, 2]]
