@@ -8,9 +8,11 @@ replacement away from them. A state at the end of a word, and at the end of its
 one edit spent, is a pair of neighbours.
 
 An edit lies in the second half of a word or, read backwards, in the second half of the reversed
-word. So the trie also holds all words reversed, and in both directions a state starts at the
-last node of its word's first half, where few words are left below a node. Every node knows the
-lengths of the words below it and the characters that follow it; states that can go nowhere end.
+word. So the trie also holds all words reversed, and in both directions a state starts at the node
+of its word's first half, if other words are below it. The first half of a word is never walked, so
+its prefixes up to there are no part of the trie: a word of n letters meets words of n - 1 letters or
+more, whose first halves have floor((n - 1) / 2) letters at least. Every node knows the lengths of the
+words below it and the characters that follow it; states that can go nowhere end.
 
 The frontier is a DataFrame: each level is written to the shared folder before the next one,
 nodes with many states are spread over tasks (`lookup_join`), and nothing meets the driver.
@@ -19,19 +21,13 @@ Nodes are known by 64-bit hashes of their prefixes; every pair is verified on th
 Null and empty texts have no words; a null doc_id counts as an empty one where runs are altered.
 """
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rolecast.llm.common import stored, table
-from rolecast.llm.kernels import Rolling, U, mixed, ranges
 from rolecast.operators.common import is_small, lookup_join
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, ALTERED = 6, 5, 5, 199
-_PREFIXES = pa.schema([("word", pa.string()), ("back", pa.bool_()), ("depth", pa.int32()), ("size", pa.int32()),
-                       ("node", pa.int64()), ("next", pa.int32())])
 BELOW = ("least", "most", "heads")
-PREFIXES = "word string, back boolean, depth int, size int, node long, next int"
 
 
 def words_of(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT,
@@ -55,23 +51,20 @@ def words_of(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
             .groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count))
 
 
-def _prefixes(batches):
-    """All prefixes of each word and of its reverse: their hash, and the character after them
-    (0 at the end of the word)."""
-    for batch in batches:
-        for back in (False, True):
-            words = [w[::-1] if back else w for w in batch.column(0).to_pylist()]
-            codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            owner = np.repeat(np.arange(len(words)), sizes + 1)
-            depth = ranges(np.zeros(len(words), np.int64), sizes + 1)
-            first = starts[owner]
-            # The two directions are two tries; their nodes must not meet.
-            node = mixed(Rolling(mixed(codes.astype(U) + U(1))).of(first, first + depth) + U(back))
-            columns = [pa.array(words, pa.string()).take(pa.array(owner)), np.full(len(owner), back), depth.astype(np.int32),
-                       sizes[owner].astype(np.int32), node.view(np.int64), codes[first + depth].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PREFIXES.types)], schema=_PREFIXES)
+def _prefixes(words: DataFrame) -> DataFrame:
+    """(word, back, size, depth, node, next): the prefixes of each word and of its reverse that a walk may
+    meet, their hash, and the character after them (0 at the end of the word)."""
+    both = words.select(F.inline(F.array(F.struct("word", F.lit(False).alias("back")),
+                                         F.struct(F.reverse("word").alias("word"), F.lit(True).alias("back")))))
+    rows = both.withColumn("size", F.char_length("word"))
+    rows = rows.select("word", "back", "size", F.explode(F.sequence(_half(F.col("size") - 1), F.col("size"))).alias("depth"))
+    # The two directions are two tries; their nodes must not meet.
+    return rows.select("*", F.xxhash64("back", F.substring("word", F.lit(1), F.col("depth"))).alias("node"),
+                       F.ascii(F.substring("word", F.col("depth") + 1, F.lit(1))).alias("next"))
+
+
+def _half(size: Column) -> Column:
+    return F.floor(size / 2).cast("int")
 
 
 def _bit(code: Column) -> Column:
@@ -79,25 +72,26 @@ def _bit(code: Column) -> Column:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The paths (word, back, nodes array of (depth, node, ends, ...)) of all words through the nodes
-    at which words part or end, and the edges (node, head, label, child, depth, ends, least, most,
-    heads): `ends` is the word that ends at the child or null, `least` and `most` the lengths of the
-    words below it, `heads` a bit set of the characters that follow it."""
-    prefixes = stored(words.select("word").mapInArrow(_prefixes, PREFIXES), "prefixes")
+    """The steps (word, back, size, depth, node, ends, n, ...) of all words through the nodes at which
+    words start, part or end, and the edges (node, head, label, child, depth, ends, least, most, heads):
+    `ends` is the word that ends at the child or null, `n` counts the words below a node, `least` and
+    `most` are their lengths, `heads` a bit set of the characters that follow it."""
+    prefixes = _prefixes(words)
     nodes = prefixes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"),
                                          F.min("size").alias("least"), F.max("size").alias("most"),
-                                         F.bit_or(_bit(F.col("next"))).alias("heads"))
-    nodes = stored(nodes.where("low = 0 OR low <> high").select("node", (F.col("low") == 0).alias("ends"), *BELOW), "nodes")
-    kept = lookup_join(prefixes.select("word", "back", "depth", "node"), nodes, ["node"], "inner")
-    steps = F.sort_array(F.collect_list(F.struct("depth", "node", "ends", *BELOW)))
-    paths = stored(kept.groupBy("word", "back").agg(steps.alias("nodes")), "paths")
-    # A root at which no words part is no node of the first edge; its words start at their first node.
-    pairs = paths.select("word", F.explode(F.expr("transform(slice(nodes, 2, size(nodes)), (x, i) -> struct(nodes[i] AS a, x AS b))")).alias("p"))
-    label = F.substring("word", F.col("p.a.depth") + 1, F.col("p.b.depth") - F.col("p.a.depth"))
-    ends = F.when(F.col("p.b.ends"), F.substring("word", F.lit(1), F.col("p.b.depth")))
-    edges = pairs.select(F.col("p.a.node").alias("node"), F.col("p.b.node").alias("child"), label.alias("label"),
-                         ends.alias("ends"), *[F.col(f"p.b.{c}").alias(c) for c in ("depth", *BELOW)])
-    return paths, stored(edges.distinct().withColumn("head", F.substring("label", 1, 1)), "edges")
+                                         F.bit_or(_bit(F.col("next"))).alias("heads"), F.count("*").alias("n"),
+                                         F.max(F.col("depth") == _half(F.col("size"))).alias("starts"))
+    # From a node with one word below it a state would only find its own.
+    nodes = nodes.where("low = 0 OR low <> high OR (starts AND n > 1)")
+    nodes = stored(nodes.select("node", (F.col("low") == 0).alias("ends"), "n", *BELOW), "nodes")
+    steps = stored(lookup_join(prefixes.drop("next"), nodes, ["node"], "inner"), "steps")
+    step = F.lead(F.struct("depth", "node", "ends", *BELOW)).over(W.partitionBy("word", "back").orderBy("depth"))
+    pairs = steps.select("word", "back", "depth", "node", "ends", *BELOW).select("word", "depth", "node", step.alias("b")).where("b IS NOT NULL")
+    label = F.substring("word", F.col("depth") + 1, F.col("b.depth") - F.col("depth"))
+    ends = F.when(F.col("b.ends"), F.substring("word", F.lit(1), F.col("b.depth")))
+    edges = pairs.select("node", F.col("b.node").alias("child"), label.alias("label"), ends.alias("ends"),
+                         *[F.col(f"b.{c}").alias(c) for c in ("depth", *BELOW)])
+    return steps, stored(edges.distinct().withColumn("head", F.substring("label", 1, 1)), "edges")
 
 
 def _next(n: Column) -> Column:
@@ -139,15 +133,11 @@ def _walked(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): all ordered pairs of words one edit apart."""
-    paths, edges = trie(words)
+    steps, edges = trie(words)
     small = is_small(edges)
-    half = F.floor(F.char_length("word") / 2)
-    start = F.expr("try_element_at(filter(nodes, x -> x.depth <= half), -1)")
-    # A word whose first half has no node starts at its first one, which all words share.
-    states = paths.withColumn("half", half).select(
-        "word", "back", F.coalesce(start, F.col("nodes")[0]).alias("s")).select(
-        "word", "back", F.col("s.depth").alias("at"), F.col("s.node").alias("node"), F.lit(0).alias("edits"),
-        F.when(F.col("s.ends"), F.expr("substring(word, 1, s.depth)")).alias("ends"))
+    states = steps.where((F.col("depth") == _half(F.col("size"))) & (F.col("n") > 1)).select(
+        "word", "back", F.col("depth").alias("at"), "node", F.lit(0).alias("edits"),
+        F.when(F.col("ends"), F.expr("substring(word, 1, depth)")).alias("ends"))
     met, level = [], stored(states, "states")
     while True:
         done = (F.col("edits") == 1) & (F.col("at") == F.char_length("word"))

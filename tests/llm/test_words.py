@@ -200,6 +200,18 @@ def test_hot_nodes_are_spread(spark, monkeypatch):
     same(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long")).collect(), _variants(counts))
 
 
+def test_trie_leaves_out_first_halves(spark):
+    """Prefixes that no walk meets are no steps, and starts without other words below are none."""
+    words = spark.createDataFrame([("abcdefgh", 9), ("abcdefgx", 9), ("xbcdefgh", 5), ("qrstuvwx", 5)], "word string, n long")
+    steps, edges = spelling.trie(words)
+    rows = steps.collect()
+    assert all(r["depth"] >= (r["size"] - 1) // 2 for r in rows)
+    assert {r["word"] for r in rows if r["depth"] == 4} == {"abcdefgh", "abcdefgx", "hgfedcba", "hgfedcbx"}
+    assert sorted(r["label"] for r in edges.collect()) == ["a", "dcb", "efg", "h", "x", "x"]
+    got = {(r["word"], r["near"]) for r in spelling.neighbours(words).collect()}
+    assert got == {("abcdefgh", "abcdefgx"), ("abcdefgx", "abcdefgh"), ("abcdefgh", "xbcdefgh"), ("xbcdefgh", "abcdefgh")}
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
