@@ -90,3 +90,33 @@ def test_number_rows(spark):
 def test_computed_survives_a_filter(spark):
     df = K.computed(spark.range(5), y=F.col("id") * 2).where("y > 3")
     assert [r["y"] for r in df.orderBy("id").collect()] == [4, 6, 8]
+
+
+def test_merging_stores_texts_once(spark, monkeypatch):
+    """Copies are folded and merged in one step; the key made of their texts is not stored."""
+    from rolecast.operators import freshness as FR, state as ST
+    from rolecast.plans import run as R
+    from rolecast.sources.listing import LISTING
+
+    kept = []
+    for module in (R, FR):
+        store = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, store=store: kept.append(df.columns) or store(df))
+    fields = ["company", "title", "location", "apply_url", "source", "posted_date", "date_confidence"]
+    rows = [(0, "A", "Data Intern", "X", "u0", "github:a", None, "unverified"), (1, "a!", "data  intern", "x", "u1", "greenhouse:b", "1998-06-01", "verified"),
+            (2, "A", "Data Intern", "X", "u2", "lever:c", "1998-06-02", "verified"), (3, "B", "Other", "", "u3", "github:a", None, "unverified"),
+            (4, None, None, None, None, None, None, None)]
+    rest = [F.lit(None).cast(t).alias(n) for n, t in LISTING.items() if n not in fields and n != "raw"]
+    listings = spark.createDataFrame(rows, "ingest_seq long, " + ", ".join(f"{n} string" for n in fields)).select(
+        "*", *rest).withColumn("posted_date", F.col("posted_date").cast("date"))
+    key = FR.with_key(listings).where("ingest_seq = 3").first()["key"]
+    state = spark.createDataFrame([(key, "1998-01-05 00:00:00")], "key string, first_seen string").select(
+        "key", F.col("first_seen").cast("timestamp").alias("first_seen"))
+    merged, seen = R.merge_fresh(listings, state, "1998-06-15 08:00:00")
+    assert sum("title" in c for c in kept) == 1 and not any("key" in c for c in kept)
+    got = {r["ingest_seq"]: r for r in merged.collect()}
+    assert sorted(got) == [1, 3, 4] and got[1]["also_seen"] == "lever:c, github:a" and got[1]["n_merged"] == 3
+    assert str(got[3]["first_seen"]) == "1998-01-05 00:00:00" and str(got[3]["posted_date"]) == "1998-01-05"
+    assert str(got[4]["first_seen"]) == "1998-06-15 08:00:00" and got[3]["also_seen"] == ""
+    keyed = FR.with_key(listings).withColumn("seen_at", F.lit("1998-06-15 08:00:00").cast("timestamp"))
+    assert sorted(map(str, seen.collect())) == sorted(map(str, ST.fold_batch(keyed).collect()))
