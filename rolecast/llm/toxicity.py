@@ -15,12 +15,14 @@ null never has a label. Null and empty texts score as the bias alone. Without an
 training the score is 0. Repeated rows score alike.
 """
 
+from functools import cmp_to_key
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecast.llm.common import fold_of, stored, table
-from rolecast.llm.kernels import LOWER, Rolling, U, blocks, byte_values, joined, packed
+from rolecast.llm.kernels import LOWER, Rolling, U, blocks, byte_values, deflated, inflated, joined
 
 BITS, RANK, SAMPLE, LEAST = 18, 8, 20_000, 5
 EPOCHS, BATCH, RATE, RIDGE = 150, 128, 0.3, 1e-5
@@ -28,6 +30,7 @@ EVIDENCE = 20.0           # a likelihood ratio that chance terms do not reach
 PAIR_TERMS, PAIR_EVIDENCE = 4096, 100.0  # and one that chance does not reach among their 8 million pairs
 PAIR_SHARE = 0.03         # what a pair must explain of the deviance of all labels
 STRIP = 512               # terms whose pairs are counted at a time
+BLOCK = 250               # documents whose terms are counted at a time
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -55,12 +58,51 @@ def _features(bits: int):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             owner, place = _terms(texts, bits)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            data = [packed(place[i:j].astype(np.int32)) for i, j in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["toxic", "terms"])
+            data = [deflated(place[i:j].astype(np.int32)) for i, j in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cuts).astype(np.int32)), pa.array(data, pa.binary())],
+                                             names=["toxic", "n", "terms"])
 
     return run
 
 
+def _views(every: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The lists of these sizes that stand one after the other; no list has memory of its own."""
+    ends = np.cumsum(sizes)
+    return [every[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def _mapped(terms: list[np.ndarray], column: np.ndarray) -> list[np.ndarray]:
+    """The columns of each document's terms, without those of -1."""
+    held, sizes = [], []
+    for at in range(0, len(terms), BLOCK):
+        some = terms[at:at + BLOCK]
+        to = column[np.concatenate(some)]
+        use = to >= 0
+        held.append(to[use])
+        sizes.append(np.bincount(np.repeat(np.arange(len(some)), [len(t) for t in some])[use], minlength=len(some)))
+    return _views(np.concatenate(held), np.concatenate(sizes)) if held else []
+
+
+def _collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The terms and labels of the sample, in one order whatever the order of the rows, for sums of floats
+    depend on it. They travel compressed and lie in one array, so no copy of them stays in the driver."""
+    found = rows.toArrow()
+    toxic, sizes = found.column("toxic").to_numpy().astype(float), found.column("n").to_numpy().astype(np.int64)
+    terms = _views(np.empty(sizes.sum(), np.int32), sizes)
+    for t, data in zip(terms, found.column("terms")):
+        if len(t):
+            t[:] = inflated(data.as_py(), len(t), np.int32)
+    del found
+    pa.default_memory_pool().release_unused()
+
+    def order(i: int, j: int) -> float:
+        a, b = terms[i].tobytes(), terms[j].tobytes()
+        return (a > b) - (a < b) or toxic[i] - toxic[j]
+
+    at = sorted(range(len(terms)), key=cmp_to_key(order))
+    return [terms[i] for i in at], toxic[at]
+
+
 def _evidence(df: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
     """The likelihood ratio statistic of each term against the share of toxic documents."""
     def part(n, expected):
@@ -84,16 +126,16 @@ def _telling_together(terms: list[np.ndarray], toxic: np.ndarray, df: np.ndarray
     kept = np.zeros(n, bool)
     whole = -2 * docs * (share * np.log(share) + (1 - share) * np.log(1 - share))
     least_told = max(PAIR_EVIDENCE, PAIR_SHARE * whole)
-    held = [k[k >= 0] for k in (column[t] for t in terms)]
+    held = _mapped(terms, column)
     for low in range(0, n, STRIP):
         both = np.zeros((min(STRIP, n - low), n - low), np.float32)
         bad = both.copy()
-        for at in range(0, docs, 1000):
-            block = [k[k >= low] - low for k in held[at:at + 1000]]
+        for at in range(0, docs, BLOCK):
+            block = [k[k >= low] - low for k in held[at:at + BLOCK]]
             x = np.zeros((len(block), n - low), np.float32)
             x[np.repeat(np.arange(len(block)), [len(k) for k in block]), np.concatenate(block)] = 1
             both += x[:, :STRIP].T @ x
-            x = x[toxic[at:at + 1000] > 0]
+            x = x[toxic[at:at + BLOCK] > 0]
             bad += x[:, :STRIP].T @ x
         for row in range(len(both)):
             i, at = low + row, row + 1 + np.flatnonzero(both[row, row + 1:] >= least)
@@ -120,9 +162,12 @@ class Machine:
             return self
         share = np.clip(toxic.mean(), 1e-6, 1 - 1e-6)
         self.bias = float(np.log(share / (1 - share)))
-        every, owner = np.concatenate(terms), np.repeat(toxic, [len(t) for t in terms])
-        df = np.bincount(every, minlength=len(self.kept))
-        hits = np.bincount(every, weights=owner, minlength=len(self.kept))
+        df, hits = np.zeros(len(self.kept), np.int64), np.zeros(len(self.kept))
+        for at in range(0, len(terms), BLOCK):
+            some = terms[at:at + BLOCK]
+            every, owner = np.concatenate(some), np.repeat(toxic[at:at + BLOCK], [len(t) for t in some])
+            df += np.bincount(every, minlength=len(df))
+            hits += np.bincount(every, weights=owner, minlength=len(df))
         chosen = (df >= least) & (_evidence(df, hits, share) >= EVIDENCE)
         chosen[_telling_together(terms, toxic, df, hits, least)] = True
         rng = np.random.default_rng(7)
@@ -130,7 +175,7 @@ class Machine:
         self.kept[chosen] = np.arange(n)
         self.w, self.v = np.zeros(n), rng.normal(0, 0.01, (n, rank))
         w_sum, v_sum, b_sum = np.full(n, 1e-3), np.full((n, rank), 1e-3), 1e-3
-        docs = [k[k >= 0] for k in (self.kept[t] for t in terms)]
+        docs = _mapped(terms, self.kept)
         for _ in range(epochs if n else 0):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), BATCH):
@@ -179,12 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     # At most `sample` narrow rows, so a broadcast has a bound; repeated documents count once.
     rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(
         F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    found = rows.select("toxic", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _features(bits), "toxic int, terms binary").toPandas()
-    # Sums of floats depend on the order of the rows, so that is fixed.
-    found = found.sort_values(["terms", "toxic"], kind="stable")
-    terms = [np.frombuffer(t, np.int32) for t in found["terms"]]
-    return Machine(1 << bits).fit(terms, found["toxic"].to_numpy(float))
+    return Machine(1 << bits).fit(*_collected(rows.select("toxic", F.col("text").cast("binary").alias("text")).mapInArrow(
+        _features(bits), "toxic int, n int, terms binary")))
 
 
 def _score(machine, bits: int, width: int, text: int):

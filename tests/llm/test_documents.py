@@ -5,11 +5,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rolecast.llm import leaks, packing, passages, ppm, shingles, suffixes, toxicity
 from rolecast.llm import common
@@ -414,6 +417,36 @@ def test_toxicity_of_exactly_one_of_two_words():
     assert len(_machine_of(texts, (rng.random(4000) < 0.2).astype(float)).w) == 0
 
 
+def test_fitting_takes_little_memory_beside_its_terms(monkeypatch):
+    """The driver holds the terms once, and few copies of them while it counts; they reach it compressed."""
+    rng = np.random.default_rng(4)
+    terms = [np.sort(rng.choice(1 << 11, 600, replace=False)).astype(np.int32) for _ in range(6000)]
+    toxic = (rng.random(6000) < 0.3).astype(float)
+    monkeypatch.setattr(toxicity, "PAIR_TERMS", 64)
+    tracemalloc.start()
+    toxicity.Machine(1 << 11, 3).fit(terms, toxic, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(t.nbytes for t in terms)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 4000, 400)) for _ in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int32()), pa.array([t.encode() for t in texts])], ["toxic", "text"])
+    sent = sum(len(x.as_py()) for b in toxicity._features(18)([rows]) for x in b.column(b.num_columns - 1))
+    assert sent < 2.5 * len(toxicity._terms([t.encode() for t in texts], 18)[1])
+
+
+def test_sample_meets_in_one_order(spark):
+    """Terms and labels come back whole and in one order, empty and repeated ones too, however the rows were dealt."""
+    texts = [(0, "b a"), (1, "a"), (1, ""), (0, None), (1, "a b"), (0, "a"), (0, " ".join(f"w{i}" for i in range(900))), (1, "a")]
+    got = []
+    for parts in (1, 5):
+        rows = spark.createDataFrame(texts, "toxic int, text string").repartition(parts)
+        rows = rows.select("toxic", F.col("text").cast("binary").alias("text"))
+        terms, toxic = toxicity._collected(rows.mapInArrow(toxicity._features(18), "toxic int, n int, terms binary"))
+        got.append([(t.tobytes(), y) for t, y in zip(terms, toxic.tolist())])
+    want = [(toxicity._terms([(t or "").encode()], 18)[1].astype(np.int32).tobytes(), float(y)) for y, t in texts]
+    assert got[0] == got[1] == sorted(want)
+
+
 def test_pairs_and_scores_against_brute_force(monkeypatch):
     """Pairs that tell more together, by a table of their four cells; scores, by the sum over all pairs."""
     rng = np.random.default_rng(9)
