@@ -23,6 +23,27 @@ def test_lookup_join_is_the_same_in_every_way(spark):
         assert key(K.lookup_join(left, right, ["k"], how, small=False)) == want
 
 
+def test_variants_pass_a_large_lookup(spark):
+    left = hot(spark).withColumn("raw", F.to_variant_object(F.struct("v")))
+    right = left.where("k is not null").select("k").distinct().withColumn("x", F.lit(1))
+    got = K.lookup_join(left, right, ["k"], "left", small=False)
+    assert got.where("x = 1 AND try_variant_get(raw, '$.v', 'int') = v").count() == 4000
+
+
+def test_rows_of_a_product_follow_their_owner(spark):
+    rows = hot(spark)
+    owners = spark.createDataFrame([(i, k) for i, k in enumerate(["hot"] * 9 + [f"k{i}" for i in range(40)]
+                                                                 + ["hot", "none", None])], "owner int, k string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("_n"))
+    want = sorted(owners.join(rows, "k").select("k", "owner", "i", "v").collect())
+    for run, parts in ((100, 4), (1000, 2), (10_000, 1)):
+        got = K.product_join(owners, rows, ["k"], counts, ["i"], run, 4).select("k", "owner", "i", "v").collect()
+        assert sorted(got) == want
+        met = [r["owner"] for r in got if r["k"] == "hot"]
+        assert 1 + sum(a != b for a, b in zip(met, met[1:])) <= 10 * parts
+    assert K.product_join(owners, rows.limit(0), ["k"], counts.limit(0), ["i"]).count() == 0
+
+
 def test_hot_keys_are_spread(spark):
     left = hot(spark)
     right = left.where("k is not null").select("k").distinct().withColumn("x", F.lit(1))

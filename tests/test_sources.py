@@ -200,6 +200,19 @@ def test_profiles_and_boards(spark):
     assert ask(profile_first=False) == {(n, f"yc:greenhouse:{n.lower()}") for n in ("Petal", "Orchid", "Moss")}
 
 
+def test_postings_come_out_company_by_company(spark):
+    comp = C.distinct_companies(company_table(spark, COMPANIES[:4])).withColumn("slug", F.lit("shared"))
+    jobs = [(i, "Data Intern", f"text {i}", None, f"u{i}", None) for i in range(50)]
+    board = B.nested_board(spark.createDataFrame(
+        [("shared", jobs[:30]), ("shared", jobs[30:]), (None, jobs[:2]), ("other", jobs[:3])], B.NESTED_SCHEMA))
+    got = [(r["company_key"], r["apply_url"], r["company"], r["company_description"], r["funding_stage"])
+           for r in C.company_postings(comp, {"greenhouse": board}).collect()]
+    assert sorted(got) == sorted((n.lower(), f"u{i}", n, f"about {n}", f"YC {b} · {t}-person team")
+                                 for n, _, _, t, b in COMPANIES[:4] for i in range(50))
+    keys = [r[0] for r in got]
+    assert 1 + sum(a != b for a, b in zip(keys, keys[1:])) == 4
+
+
 def test_search_pages(spark):
     hit = lambda t, **k: dict({"title": t, "company_name": "F", "description": "intern"}, **k)
     pages = [{"query_pos": 0, "query": "q", "location": "US", "page": p, "startup_query": st, "jobs_results": js}
