@@ -134,18 +134,19 @@ def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def deflated(a: np.ndarray) -> bytes:
-    """Bytes of an array of rising whole numbers: differences, byte planes, compressed."""
-    steps = np.diff(a, prepend=a.dtype.type(0)) if len(a) else a
+def deflated(a: np.ndarray, rising: bool = True) -> bytes:
+    """Bytes of an array of whole numbers: differences if they are rising, byte planes, compressed."""
+    steps = np.diff(a, prepend=a.dtype.type(0)) if rising and len(a) else a
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(len(a), a.itemsize).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def inflated(data: bytes, n: int, kind) -> np.ndarray:
+def inflated(data: bytes, n: int, kind, rising: bool = True) -> np.ndarray:
     kind = np.dtype(kind)
     raw = pa.decompress(data, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
     steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T)
-    return np.cumsum(steps.view(kind).reshape(n), dtype=kind)
+    steps = steps.view(kind).reshape(n)
+    return np.cumsum(steps, dtype=kind) if rising else steps
 
 
 def bucket_slices(keys: np.ndarray, buckets: int):

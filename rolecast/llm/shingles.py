@@ -5,9 +5,10 @@ under two global orders of tokens: rarest first by document frequency, and by ha
 frequent tokens last. A set of n tokens has its n - ceil(t n) + 1 first tokens as prefix; two
 sets over the threshold t share a token in the prefixes under every order. So:
 
-1. Document frequencies: the tokens of each chunk travel as packed sorted arrays to buckets by
-   hash; frequency classes of those in more than one document go back to the chunks. Tokens of
-   one document come first and are shared with nobody, so most sets have no prefix to send.
+1. Document frequencies: the tokens of each block of texts travel as packed sorted arrays, with
+   their chunks, to buckets by hash; frequency classes of those in more than one document go back
+   to the chunks. Tokens of one document come first and are shared with nobody, so most sets have
+   no prefix to send.
 2. Sets with a recurring prefix token are stored once per chunk with both prefixes.
 3. Sets that share a token of the first order are a group. Links are sought where they still
    can join two components. While groups are large, every set is tested against one member of
@@ -42,7 +43,7 @@ PAIRS_PER_ROW = 16         # pairs left per row of a group, up to which all of t
 GROUP_ROWS = 5000          # sets of a group on each side of a task that looks at pairs
 BODY_ROWS = 10_000         # pairs of one set that one task compares
 FREQUENT = 6               # classes are powers of two of the document frequency
-ROUTED = "bucket int, chunk int, n int, tokens binary, counts binary"
+ROUTED = "bucket int, n int, tokens binary, chunks binary, counts binary"
 CLASSES = "chunk int, n int, tokens binary, classes binary"
 STEP = ("kind int, doc_id long, n long, set long, rare int, prefix array<long>, second array<int>, "
         "tokens array<long>")
@@ -76,22 +77,19 @@ def _send(words: int, bits: int, buckets: int):
                               for texts in [[t or b"" for t in batch.column(1).to_pylist()]]
                               for a, b in blocks(texts, CHUNK_BYTES)):
             owner, h = _sets(texts, words)
-            chunk, h = chunks[owner].astype(np.int64), h >> U(64 - bits)
-            order = np.lexsort((h, chunk))
+            chunk, h = chunks[owner].astype(np.int32), h >> U(64 - bits)
+            order = np.lexsort((chunk, h))
             chunk, h = chunk[order], h[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])))) if len(h) else np.zeros(0, int)
             counts = np.minimum(np.diff(np.append(new, len(h))), 255).astype(np.uint8)
             chunk, h = chunk[new], h[new]
-            ids, at = np.unique(chunk, return_index=True)
-            rows = []
-            for c, i, j in zip(ids.tolist(), at, np.append(at[1:], len(chunk))):
-                for b, s in bucket_slices(h[i:j] << U(64 - bits), buckets):
-                    part, n = h[i:j][s], counts[i:j][s]
-                    rows.append((b, c, len(part), deflated(part), deflated(n)))
+            # One row a bucket, whatever the number of chunks: rows for pairs of both would soon be as many as tokens.
+            rows = [(b, s.stop - s.start, deflated(h[s]), deflated(chunk[s], rising=False), deflated(counts[s], rising=False))
+                    for b, s in bucket_slices(h << U(64 - bits), buckets)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [
-                    pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
-                    names=["bucket", "chunk", "n", "tokens", "counts"])
+                    pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
+                    names=["bucket", "n", "tokens", "chunks", "counts"])
 
     return run
 
@@ -99,8 +97,8 @@ def _send(words: int, bits: int, buckets: int):
 def _classes(t: pa.Table) -> pa.Table:
     size = t.column("n").to_pylist()
     tokens = np.concatenate([inflated(x, n, U) for x, n in zip(t.column("tokens").to_pylist(), size)])
-    counts = np.concatenate([inflated(x, n, np.uint8) for x, n in zip(t.column("counts").to_pylist(), size)])
-    chunk = np.repeat(t.column("chunk").to_numpy(), size)
+    counts = np.concatenate([inflated(x, n, np.uint8, rising=False) for x, n in zip(t.column("counts").to_pylist(), size)])
+    chunk = np.concatenate([inflated(x, n, np.int32, rising=False) for x, n in zip(t.column("chunks").to_pylist(), size)])
     order = np.argsort(tokens, kind="stable")
     tokens, counts, chunk = tokens[order], counts[order], chunk[order]
     new = np.ones(len(tokens), bool)

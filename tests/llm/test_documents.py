@@ -190,6 +190,27 @@ def test_similar_documents(docs, nothing, words, per_cent):
     assert shingles.similar_documents(nothing, words, per_cent).collect() == []
 
 
+def test_tokens_travel_by_bucket_not_by_chunk():
+    """A block of texts of many chunks sends a row a bucket at most, and every chunk gets its shared tokens back."""
+    texts = [t for _, t, *_ in ROWS]
+    chunks, buckets, bits = list(range(len(ROWS))), 4, 40
+    batch = pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([data(t) for t in texts])], names=["chunk", "text"])
+    rows = pa.Table.from_batches(shingles._send(4, bits, buckets)([batch]))
+    assert 0 < rows.num_rows <= buckets and len(set(rows["bucket"].to_pylist())) == rows.num_rows
+    owner, tokens = shingles._sets([data(t) for t in texts], 4)
+    mine = defaultdict(set)
+    for d, token in zip(owner.tolist(), tokens.tolist()):
+        mine[d].add(token >> 64 - bits)
+    seen = Counter(t for m in mine.values() for t in m)
+    got = defaultdict(dict)
+    for b in range(buckets):
+        part = rows.filter(pa.array([x == b for x in rows["bucket"].to_pylist()]))
+        for r in shingles._classes(part).to_pylist():
+            keys = shingles.inflated(r["tokens"], r["n"], np.uint64).tolist()
+            got[r["chunk"]].update(zip(keys, shingles.inflated(r["classes"], r["n"], np.uint8).tolist()))
+    assert got == {d: {t: int(math.log2(seen[t])) for t in m if seen[t] > 1} for d, m in mine.items() if any(seen[t] > 1 for t in m)}
+
+
 def test_one_document_of_each_group_stays(docs):
     kept = shingles.one_of_each(docs)
     assert kept.columns == docs.columns
