@@ -15,7 +15,8 @@ more, whose first halves have floor((n - 1) / 2) letters at least. Every node kn
 words below it and the characters that follow it; states that can go nowhere end.
 
 The frontier is a DataFrame: each level is written to the shared folder before the next one,
-nodes with many states are spread over tasks (`lookup_join`), and nothing meets the driver.
+nodes with many states are spread over tasks (`lookup_join`), and nothing meets the driver but
+tables that were counted and found small, to be broadcast.
 Nodes are known by 64-bit hashes of their prefixes; every pair is verified on the words.
 
 Null and empty texts have no words; a null doc_id counts as an empty one where runs are altered.
@@ -103,11 +104,18 @@ def _moved(shift: int, edits: int) -> Column:
     return F.struct((F.col("at") + F.col("n") + shift).cast("int").alias("at"), F.lit(edits).alias("edits"))
 
 
+def _met(states: DataFrame, edges: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """The states with the edges of their nodes. Few states, as on the last levels, are broadcast to many edges."""
+    if not small and is_small(states):
+        return edges.join(F.broadcast(states), on)
+    return lookup_join(states, edges, on, "inner", small)
+
+
 def _walked(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     """The states one edge further down, with `ends`, the word that ends there."""
     size, n = F.char_length("word"), F.char_length("label")
     # Unspent: every edge of the node may be the one that differs.
-    free = lookup_join(states.where("edits = 0"), edges, ["node"], "inner", small).withColumn("n", n)
+    free = _met(states.where("edits = 0"), edges, ["node"], small).withColumn("n", n)
     exact = F.coalesce(F.col("label") == _next(F.col("n")), F.lit(False))
 
     def off(shift):
@@ -120,7 +128,7 @@ def _walked(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
                                     F.when(~exact & off(1), _moved(1, 1)), F.when(off(-1), _moved(-1, 1))))
     free = free.select("word", "back", F.inline(moves), "child", "depth", "ends", *BELOW)
     spent = states.where("edits = 1").withColumn("head", F.substring("word", F.col("at") + 1, F.lit(1)))
-    spent = lookup_join(spent, edges, ["node", "head"], "inner", small).withColumn("n", n).where(exact)
+    spent = _met(spent, edges, ["node", "head"], small).withColumn("n", n).where(exact)
     spent = spent.select("word", "back", (F.col("at") + F.col("n")).cast("int").alias("at"), "edits", "child", "depth", "ends", *BELOW)
     # With the edit spent, what is left must be equal, so the length of the word met is known.
     met = F.col("depth") + size - F.col("at")
@@ -161,12 +169,13 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     word along the forms, itself if it has none."""
     words = stored(words.select("word", "n"), "words")
     pairs = neighbours(words)
-    counted = pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = lookup_join(pairs, words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), ["near"], "inner")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
     # Strings compare by their UTF-8 bytes, which is the order of code points.
     form_n = -F.col("best.minus")
     taken = form_n >= ratio * F.col("n")
-    rows = stored(words.join(best, "word", "left").select(
+    # Spark would size these by their files, which are compressed.
+    rows = stored(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, F.col("best.near")).alias("form"),
         F.when(taken, form_n).alias("form_n")), "forms")
     # Each round doubles the forms followed; counts grow by `ratio`, so chains are short and end.
@@ -178,7 +187,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         if roots.where("ahead IS NOT NULL").isEmpty():
             break
         roots = roots.select("word", F.coalesce("ahead", "root").alias("root"))
-    return (rows.join(roots.select("word", "root"), "word", "left")
+    return (rows.join(roots.select("word", "root").hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 

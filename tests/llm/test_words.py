@@ -10,7 +10,8 @@ from collections import Counter
 
 import pytest
 
-from rolecast.llm import personal, search, spelling
+from rolecast.llm import common, personal, search, spelling
+from rolecast.operators import common as operators
 
 SCHEMA = "doc_id long, text string, row string, word string, spans string, item string, score string"
 REST = ("r", "w", "s", "i", "x")
@@ -200,6 +201,28 @@ def test_hot_nodes_are_spread(spark, monkeypatch):
     same(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long")).collect(), _variants(counts))
 
 
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes a table by its compressed files and leaves an explode out: it would send the trie's prefixes whole
+    through the driver. Only the bounded lists of hot keys may go there, all on the right of left joins."""
+    plans = []
+    monkeypatch.setattr(spelling, "is_small", lambda df: False)
+    monkeypatch.setattr(operators, "is_small", lambda df: False)
+
+    def stored(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(spelling, "stored", stored)
+    counts = {"variant": 500, "varant": 5, "varianta": 50, "other": 7, "others": 90, "single": 5}
+    out = spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    same(out.collect(), _variants(counts))
+    assert {"steps", "states", "near", "forms", "roots", "out"} <= {name for name, _ in plans}
+    for name, plan in plans:
+        for join in re.findall(r"BroadcastHashJoin (.*)", plan):
+            assert "LeftOuter, BuildRight" in join and "_salt" not in join and "[word#" not in join, (name, join)
+
+
 def test_trie_leaves_out_first_halves(spark):
     """Prefixes that no walk meets are no steps, and starts without other words below are none."""
     words = spark.createDataFrame([("abcdefgh", 9), ("abcdefgx", 9), ("xbcdefgh", 5), ("qrstuvwx", 5)], "word string, n long")
